@@ -85,7 +85,7 @@ if __name__ == "__main__":
                 n = run(spark, sf).count()
                 problem = None if n else "no rows"
         except Exception as e:  # noqa: BLE001
-            problem = f"{type(e).__name__}: {str(e)[:1500]}"
+            problem = f"{type(e).__name__}: {str(e)[:500]}"
         bad += problem is not None
         note = "ok" if name in oracles else "rows only"
         print(f"{name:28s} {time.time() - start:6.2f}s {note if problem is None else 'FAIL ' + problem}", flush=True)

@@ -18,9 +18,9 @@ UNKNOWN = "UNKNOWN"
 
 INDEX_SCHEMA = T.StructType(
     [
-        T.StructField("node_path", T.ArrayType(T.IntegerType(), False)),
+        T.StructField("node_path", T.ArrayType(T.IntegerType())),
         T.StructField("level", T.IntegerType()),
-        T.StructField("parent_path", T.ArrayType(T.IntegerType(), False)),
+        T.StructField("parent_path", T.ArrayType(T.IntegerType())),
         T.StructField("data_name", T.StringType()),
         T.StructField("data_type", T.StringType()),
         T.StructField("data_key", T.StringType()),

@@ -7,6 +7,7 @@ ancestors, so tree questions become equi-joins on prefixes.
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from treemend.functions.geo import resolve_location
 from treemend.functions.values import data_key
 from treemend.model import INDEX_COLUMNS, INDEX_SCHEMA, AccessDef, Taxonomy, TypeNode
 from treemend.scale import ordinal_in_group
+from treemend.session import cut_lineage
 
 ROOT_NAME = "QCPROJECT"
 
@@ -51,12 +53,7 @@ def has_doc() -> Column:
 
 def join_children(parents: DataFrame, children: DataFrame, node: TypeNode) -> DataFrame:
     """Bind child rows to their parents by the parent-key template."""
-    pairs = node.parent_pairs()
-    match = None
-    for child_col, parent_col in pairs:
-        term = children[child_col] == parents[parent_col]
-        match = term if match is None else match & term
-    return children.join(parents, match, "inner")
+    return children.join(parents, _all(children[c] == parents[p] for c, p in node.parent_pairs()), "inner")
 
 
 def _columns(**values: Column) -> list[Column]:
@@ -109,33 +106,47 @@ def build_index(
             project=F.lit(project),
         )
     )
+    sizes = _group_sizes(taxonomy, tables, access)
     parts = [root]
     group = 0
     for node in taxonomy.roots:
         rows = tables[access[node.name].table]
         if where:
             rows = rows.where(where)
-        if rows.isEmpty():
+        if sizes[node.name] == 0 or (where and rows.isEmpty()):
             continue
         group += 1
         top = F.array(F.lit(group))
         parts.append(_group_rows(spark.range(1), top, node.group_name, F.lit(project)))
-        placed = rows.select("*", top.alias("_group"), F.lit(None).cast("double").alias("_plat"), F.lit(None).cast("double").alias("_plon"))
-        parts += _place(node, placed, [], tables, access, project)
+        nowhere = F.lit(None).cast("double")
+        placed = rows.select("*", top.alias("_group"), nowhere.alias("_plat"), nowhere.alias("_plon"))
+        parts += _place(node, placed, [], tables, access, sizes, project)
     whole = parts[0]
     for part in parts[1:]:
         whole = whole.unionByName(part)
     return whole
 
 
-def _place(node, rows, within, tables, access, project) -> list[DataFrame]:
+def _group_sizes(taxonomy, tables, access) -> dict[str, int]:
+    """Rows of the largest sibling group per type: one job, one number per type."""
+    maxima = None
+    for root in taxonomy.roots:
+        for node in root.walk():
+            keys = [c for c, _ in node.parent_pairs()]
+            counts = tables[access[node.name].table].groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+            row = counts.agg(F.lit(node.name).alias("name"), F.coalesce(F.max("n"), F.lit(0)).alias("n"))
+            maxima = row if maxima is None else maxima.unionByName(row)
+    return {r["name"]: r["n"] for r in maxima.collect()}
+
+
+def _place(node, rows, within, tables, access, sizes, project) -> list[DataFrame]:
     """Nodes of one type and, recursively, of the types below it.
 
     ``rows`` carry the path of their group node in ``_group`` and the
     location of their parent in ``_plat``/``_plon``.
     """
     definition = access[node.name]
-    numbered = ordinal_in_group(rows, within, list(definition.keys), "_n")
+    numbered = ordinal_in_group(rows, within, list(definition.keys), "_n", largest=sizes[node.name])
     if node.use_parent_location:
         lat, lon = F.col("_plat"), F.col("_plon")
     elif node.latitude:
@@ -167,46 +178,43 @@ def _place(node, rows, within, tables, access, project) -> list[DataFrame]:
             project=F.lit(project),
         )
     )
-    parts = [nodes]
+    return [nodes, *(_place_below(node, placed, tables, access, sizes, project) if node.children else [])]
+
 
-    # which parents own rows of each child type: distinct keys, left join on unique keys
-    parents = placed
-    present: list[Column] = []
+def _place_below(node, placed, tables, access, sizes, project) -> list[DataFrame]:
+    """Group nodes and nodes of all child types of one type."""
+    # parents as keys, path, location, and which child types they own
+    wanted = list(dict.fromkeys(p for child in node.children for _, p in child.parent_pairs()))
+    parents = placed.select(*wanted, "_path", "_lat", "_lon")
     for i, child in enumerate(node.children):
         pairs = child.parent_pairs()
-        owned = (
-            tables[access[child.name].table]
-            .select(*[F.col(c).alias(f"_o{i}_{j}") for j, (c, _) in enumerate(pairs)])
-            .distinct()
-            .withColumn(f"_has{i}", F.lit(1))
-        )
-        match = None
-        for j, (_, p) in enumerate(pairs):
-            term = parents[p] == owned[f"_o{i}_{j}"]
-            match = term if match is None else match & term
-        parents = parents.join(owned, match, "left").drop(*[f"_o{i}_{j}" for j in range(len(pairs))])
-        present.append(F.coalesce(F.col(f"_has{i}"), F.lit(0)))
+        owned = tables[access[child.name].table].select(*[F.col(c).alias(f"_o{j}") for j, (c, _) in enumerate(pairs)]).distinct()
+        match = _all(F.col(p) == F.col(f"_o{j}") for j, (_, p) in enumerate(pairs))
+        parents = parents.join(owned.withColumn(f"_has{i}", F.lit(1)), match, "left").drop(*[f"_o{j}" for j in range(len(pairs))])
+    # narrow, and read once per child type: computed once
+    parents = cut_lineage(parents)
 
+    parts = []
     for i, child in enumerate(node.children):
         pairs = child.parent_pairs()
-        ordinal = sum(present[:i], F.lit(1)).cast("int")
-        owners = parents.filter(present[i] == 1).select(
+        ordinal = sum((F.coalesce(F.col(f"_has{j}"), F.lit(0)) for j in range(i)), F.lit(1)).cast("int")
+        owners_ = parents.filter(F.col(f"_has{i}") == 1).select(
             *[F.col(p).alias(f"_p{j}") for j, (_, p) in enumerate(pairs)],
             F.concat("_path", F.array(ordinal)).alias("_group"),
             F.col("_lat").alias("_plat"),
             F.col("_lon").alias("_plon"),
         )
-        parts.append(_group_rows(owners, F.col("_group"), child.group_name, F.lit(project)))
-        children = tables[access[child.name].table]
-        match = None
-        for j, (c, _) in enumerate(pairs):
-            term = children[c] == owners[f"_p{j}"]
-            match = term if match is None else match & term
-        bound = children.join(owners, match).drop(*[f"_p{j}" for j in range(len(pairs))])
-        parts += _place(child, bound, [c for c, _ in pairs], tables, access, project)
+        parts.append(_group_rows(owners_, F.col("_group"), child.group_name, F.lit(project)))
+        match = _all(F.col(c) == F.col(f"_p{j}") for j, (c, _) in enumerate(pairs))
+        bound = tables[access[child.name].table].join(owners_, match).drop(*[f"_p{j}" for j in range(len(pairs))])
+        parts += _place(child, bound, [c for c, _ in pairs], tables, access, sizes, project)
     return parts
 
 
+def _all(terms) -> Column:
+    return reduce(lambda a, b: a & b, terms)
+
+
 # ---------------------------------------------------------------- reading
 
 

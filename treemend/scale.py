@@ -27,15 +27,17 @@ def ordinal_in_group(
     order: Sequence[str | Column],
     out: str,
     plain_rows: int = PLAIN_GROUP_ROWS,
+    largest: int | None = None,
 ) -> DataFrame:
     """Add 1..n per group in the given total order.
 
     Groups that fit a task use a window. When the largest group does not, the
     rows are range-partitioned on (group, order), so a hot group spans many
     tasks; each task numbers its own stretch and a carry per (task, group)
-    completes the numbers.
+    completes the numbers. ``largest`` is a known bound on the group size; it
+    is counted when not given.
     """
-    if largest_group(df, group) <= plain_rows:
+    if (largest_group(df, group) if largest is None else largest) <= plain_rows:
         window = Window.partitionBy(*group).orderBy(*order) if group else Window.orderBy(*order)
         return df.withColumn(out, F.row_number().over(window).cast("int"))
 
