@@ -54,12 +54,12 @@ VIEWS: dict[str, str] = {
 _LONG_SPARK = """
     SELECT vec_id AS wkey, concat('W', lpad(cast(vec_id AS string), 8, '0')) AS uwi, 'GR' AS curve_id,
            cast(pos AS bigint) AS sample_id, cast(pos AS double) / 2 AS index_value,
-           round(cast(v AS double) * 100, 4) AS measured_value
+           cast(v AS double) * 100 AS measured_value
     FROM {embeddings} LATERAL VIEW posexplode(embedding) t AS pos, v"""
 _LONG_DUCK = """
     SELECT vec_id AS wkey, concat('W', lpad(cast(vec_id AS string), 8, '0')) AS uwi, 'GR' AS curve_id,
            cast(pos - 1 AS bigint) AS sample_id, cast(pos - 1 AS double) / 2 AS index_value,
-           round(cast(embedding[pos] AS double) * 100, 4) AS measured_value
+           cast(embedding[pos] AS double) * 100 AS measured_value
     FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS pos FROM embeddings)"""
 
 VIEWS["f_other"] = """

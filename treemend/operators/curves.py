@@ -16,14 +16,19 @@ from treemend.functions.arrays import parse_array_strict
 from treemend.functions.docs import attr_text, attributes
 from treemend.functions.values import is_blank
 from treemend.scale import BLOCK_ROWS, running_sum, with_halo
+from treemend.session import cut_lineage
 
 # Frame width in samples, cutoff in standard deviations.
 HAT_WINDOW = 25
 STD_WEIGHT = 2.0
 
 
-def curve_ends(samples: DataFrame, series: Sequence[str], position: str) -> DataFrame:
-    return samples.groupBy(*series).agg(F.max(position).alias("_end"))
+def with_end(samples: DataFrame, series: Sequence[str], position: str) -> DataFrame:
+    """Add ``_end``, the last position of the curve."""
+    if "_end" in samples.columns:
+        return samples
+    ends = samples.groupBy(*series).agg(F.max(position).alias("_end"))
+    return samples.join(ends, list(series))
 
 
 def hat_stats(samples: DataFrame, series: Sequence[str], position: str, value: str, window: int = HAT_WINDOW) -> DataFrame:
@@ -33,7 +38,7 @@ def hat_stats(samples: DataFrame, series: Sequence[str], position: str, value: s
     ignored; an empty frame gives null.
     """
     half = window // 2
-    rows = samples.join(curve_ends(samples, series, position), list(series))
+    rows = with_end(samples, series, position)
     rows = rows.withColumn("_v", F.when(F.col(position) < F.col("_end"), F.col(value)))
     rows = with_halo(rows, position, window)
     base = Window.partitionBy(*series, "_block").orderBy(position)
@@ -42,7 +47,8 @@ def hat_stats(samples: DataFrame, series: Sequence[str], position: str, value: s
     for name, low, high in (("trailing", -window, -1), ("centred", -half, half - 1), ("leading", 0, window - 1)):
         frame = base.rowsBetween(low, high)
         out = out.withColumn(f"{name}_avg", F.avg(v).over(frame)).withColumn(f"{name}_std", F.stddev_samp(v).over(frame))
-    return out.filter("_home").drop("_v", "_block", "_home", "_end")
+    keep = [] if "_end" in samples.columns else ["_end"]
+    return out.filter("_home").drop("_v", "_block", "_home", *keep)
 
 
 def segments(
@@ -61,7 +67,8 @@ def segments(
     ratio = F.when(
         F.col("centred_std") == 0, F.when(F.col("leading_std") > 0, F.lit(float("inf")))
     ).otherwise(F.try_divide("leading_std", "centred_std"))
-    rated = stats.withColumn("ratio", ratio)
+    # read for the limits, for the carries and for the result: computed once
+    rated = cut_lineage(stats.withColumn("ratio", ratio))
     finite = F.when(F.col("ratio") < float("inf"), F.col("ratio"))
     limits = rated.groupBy(*series).agg(
         (F.avg(finite) + weight * F.stddev_samp(finite)).alias("_limit"),
@@ -79,8 +86,7 @@ def smooth(samples: DataFrame, series: Sequence[str], position: str, value: str)
     The last sample belongs to no segment and stays null. A break at the very
     first sample leaves the whole curve unsmoothed.
     """
-    cut = segments(samples, series, position, value)
-    cut = cut.join(curve_ends(samples, series, position), list(series))
+    cut = segments(with_end(samples, series, position), series, position, value)
     inner = F.col(position) < F.col("_end")
     means = cut.groupBy(*series, "segment").agg(F.avg(F.when(inner, F.col(value))).alias("_mean"))
     broken = cut.filter((F.col(position) == 0) & (F.col("segment") > 0)).select(*series, F.lit(True).alias("_broken"))

@@ -60,7 +60,7 @@ def _prune(frontier: DataFrame, k: int, metric: str) -> DataFrame:
     """Drop cells that lie beyond the distance within which k points are certain."""
     near, far = _bounds(metric)
     sized = frontier.withColumn("_near", near).withColumn("_far", far)
-    run = Window.partitionBy("tid").orderBy("_far", "cx", "cy", "depth")
+    run = Window.partitionBy("tid").orderBy("_far", "cx", "cy", "cell_depth")
     sized = sized.withColumn("_cum", F.sum("n").over(run.rowsBetween(Window.unboundedPreceding, 0)))
     enough = F.min(F.when(F.col("_cum") >= k, F.col("_far"))).over(Window.partitionBy("tid"))
     sized = sized.withColumn("_limit", enough)
@@ -87,7 +87,8 @@ def nearest(
     # at one location only the lowest ids can be among the nearest; limited before the shuffle
     spot = Window.partitionBy("grp", "lat", "lon").orderBy("cid")
     points = candidates.select("cid", "grp", "lat", "lon", *payload).filter(F.col("lat").isNotNull() & F.col("lon").isNotNull())
-    points = points.withColumn("_r", F.row_number().over(spot)).filter(F.col("_r") <= need).drop("_r")
+    # narrow, and read once per depth: computed once
+    points = cut_lineage(points.withColumn("_r", F.row_number().over(spot)).filter(F.col("_r") <= need).drop("_r"))
     box = points.agg(F.min("lat").alias("a"), F.max("lat").alias("b"), F.min("lon").alias("c"), F.max("lon").alias("d")).first()
     seekers = targets.select("tid", "grp", "lat", "lon").filter(F.col("lat").isNotNull() & F.col("lon").isNotNull())
     if box["a"] is None:
@@ -110,16 +111,16 @@ def nearest(
                 F.min("lat").alias("lat_lo"), F.max("lat").alias("lat_hi"),
                 F.min("lon").alias("lon_lo"), F.max("lon").alias("lon_hi"),
             )
-            .withColumn("depth", F.lit(depth))
+            .withColumn("cell_depth", F.lit(depth))
         )
 
-    columns = ["tid", "grp", "lat", "lon", "depth", "cx", "cy", "n", "lat_lo", "lat_hi", "lon_lo", "lon_hi"]
+    columns = ["tid", "grp", "lat", "lon", "cell_depth", "cx", "cy", "n", "lat_lo", "lat_hi", "lon_lo", "lon_hi"]
     # a group has at most 64 cells on the first depth
     frontier = cut_lineage(_prune(seekers.join(cells(1), "grp").select(*columns), need, metric))
     depth = 1
     used = [1]
-    while depth < _MAX_DEPTH and not frontier.filter((F.col("depth") == depth) & (F.col("n") > leaf)).isEmpty():
-        wide = (F.col("depth") == depth) & (F.col("n") > leaf)
+    while depth < _MAX_DEPTH and not frontier.filter((F.col("cell_depth") == depth) & (F.col("n") > leaf)).isEmpty():
+        wide = (F.col("cell_depth") == depth) & (F.col("n") > leaf)
         opened = frontier.filter(wide).select("tid", "grp", "lat", "lon", F.col("cx").alias("px"), F.col("cy").alias("py"))
         below = cells(depth + 1).withColumn("px", F.shiftright("cx", _BITS)).withColumn("py", F.shiftright("cy", _BITS))
         split = opened.join(below, ["grp", "px", "py"]).select(*columns)
@@ -128,13 +129,13 @@ def nearest(
         used.append(depth)
 
     parts = [
-        at_depth(points, d).select("cid", "grp", F.lit(d).alias("depth"), "cx", "cy", F.col("lat").alias("n_lat"), F.col("lon").alias("n_lon"), *payload)
+        at_depth(points, d).select("cid", "grp", F.lit(d).alias("cell_depth"), "cx", "cy", F.col("lat").alias("n_lat"), F.col("lon").alias("n_lon"), *payload)
         for d in used
     ]
     placed = parts[0]
     for part in parts[1:]:
         placed = placed.unionByName(part)
-    pairs = frontier.select("tid", "grp", "lat", "lon", "depth", "cx", "cy").join(placed, ["grp", "depth", "cx", "cy"])
+    pairs = frontier.select("tid", "grp", "lat", "lon", "cell_depth", "cx", "cy").join(placed, ["grp", "cell_depth", "cx", "cy"])
     if exclude_self:
         pairs = pairs.filter(F.col("tid") != F.col("cid"))
     distance = haversine if metric == "sphere" else _planar

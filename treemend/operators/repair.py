@@ -136,25 +136,23 @@ def lithology_values(idx: DataFrame, failed: DataFrame, strict: bool = True) ->
         attr_text(attrs, "UWI").alias("uwi"), null_value(attrs).alias("_null"),
         parse_array(attr_text(attrs, "INDEX_VALUE")).alias("_i"), parse_array(attr_text(attrs, "MEASURED_VALUE")).alias("_m"),
     )
-    single = logs.groupBy("uwi").agg(F.count(F.lit(1)).alias("_c")).filter(F.col("_c") == 1).select("uwi")
-    logs = logs.join(single, "uwi", "left_semi").filter(F.size("_m") > 0)
+    logs = logs.groupBy("uwi").agg(F.count(F.lit(1)).alias("_c"), F.any_value(F.struct("_null", "_i", "_m")).alias("_l"))
+    logs = logs.filter((F.col("_c") == 1) & (F.size("_l._m") > 0)).select("uwi", "_l.*")
     picks = failed.select("node_path", "doc", attributes(F.col("doc")).alias("_a")).select(
         "node_path", "doc", attr_text(attrs, "UWI").alias("uwi"), attr_number(attrs, "PICK_DEPTH").alias("_depth_value")
     )
     picks = picks.filter(F.col("_depth_value").isNotNull() & (F.col("_depth_value") != NULL_NUMBER))
     picks = picks.join(logs.select("uwi"), "uwi", "left_semi")
-    measured = logs.select("uwi", "_null", F.posexplode("_m").alias("pos", "_v")).select(
-        "uwi", "pos", F.when(F.col("_v") != F.col("_null"), F.col("_v")).alias("v")
+    measured = logs.select("uwi", "_null", (F.size("_m") - 1).alias("_end"), F.posexplode("_m").alias("pos", "_v")).select(
+        "uwi", "pos", "_end", F.when(F.col("_v") != F.col("_null"), F.col("_v")).alias("v")
     )
     index = logs.select("uwi", F.posexplode("_i").alias("pos", "idx"))
     smoothed = smooth(measured, ["uwi"], "pos", "v").select("uwi", F.col("pos").cast("long").alias("pos"), "smoothed")
     found = sample_lookup(picks, index, ["uwi"], "_depth_value", "idx", "pos")
-    found = found.join(smoothed, ["uwi", "pos"], "left").join(
-        measured.groupBy("uwi").agg(F.max("pos").cast("long").alias("_end")), "uwi", "left"
-    )
-    inside = F.col("pos").isNotNull() & (F.col("pos") <= F.col("_end"))
+    # a position beyond the measured values finds no sample and stays Unknown
+    found = found.join(smoothed.withColumn("_there", F.lit(True)), ["uwi", "pos"], "left")
     value = F.coalesce("smoothed", F.lit(0.0)) if strict else F.col("smoothed")
-    return found.select("node_path", "doc", lithology(F.when(inside, value)).alias("rock"))
+    return found.select("node_path", "doc", lithology(F.when(F.col("_there"), value)).alias("rock"))
 
 
 def predict_lithology(idx: DataFrame, rule: Rule, context: Context) -> DataFrame:
