@@ -36,7 +36,7 @@ _KEYED = """SELECT pkey, uwi, CASE WHEN pkey % 9 = 0 THEN NULL ELSE unit END AS
     "csv_key_fix_dedupe",
     duck_with("f_pick", more=f"k AS ({_KEYED.format('f_pick')}), r AS (SELECT *, coalesce(unit, 'UNKNOWN') AS u,"
               " row_number() OVER (PARTITION BY upper(uwi || coalesce(unit, 'UNKNOWN')) ORDER BY pkey DESC) AS rn FROM k)")
-    + "SELECT uwi AS \"UWI\", u AS \"UNIT\", 'UNKNOWN' AS \"INTERP\", pkey, round(depth, 3) AS depth, sha256(upper(uwi || u || 'UNKNOWN')) AS \"KeyHash\" FROM r WHERE rn = 1",
+    + "SELECT uwi AS \"UWI\", u AS \"UNIT\", 'UNKNOWN' AS \"INTERP\", pkey, round(depth, 6) AS depth, sha256(upper(uwi || u || 'UNKNOWN')) AS \"KeyHash\" FROM r WHERE rn = 1",
 )
 def csv_key_fix_dedupe(fx):
     picks = fx.spark.sql(_KEYED.format("{f_pick}"), f_pick=fx["f_pick"]).orderBy("pkey")
@@ -45,7 +45,7 @@ def csv_key_fix_dedupe(fx):
     # part files are written in key order, so the file name sorts as the rows did
     out = K.dedupe_last(rows, ["UWI", "UNIT", "INTERP"])
     return out.select(
-        "UWI", "UNIT", "INTERP", F.col("pkey").cast(BIG).alias("pkey"), F.round(F.col("depth").cast("double"), 3).alias("depth"), "KeyHash"
+        "UWI", "UNIT", "INTERP", F.col("pkey").cast(BIG).alias("pkey"), F.round(F.col("depth").cast("double"), 6).alias("depth"), "KeyHash"
     )
 
 
@@ -101,10 +101,10 @@ def _las_folder(fx: Fixtures) -> str:
         F.lit("~Parameter Information\n MUD .  GEL : Mud: type\n# no parameter\n BHT .DEGC  "), ks, F.lit(" : Bottom hole\n"),
         F.lit("~A DEPT CLICK VIEW BUY\n"),
     )
-    text = F.concat(header, F.array_join("rows.r", "\n"), F.lit("\n"))
+    text = F.concat(header, F.array_join("rows.r", "\n"))
     path = scratch_path(fx.spark, "las")
     files = body.select(k, text.alias("value"))
-    files.repartition(F.col("wkey")).write.partitionBy("wkey").text(path, lineSep="")
+    files.repartition(F.col("wkey")).write.partitionBy("wkey").text(path)
     return path
 
 
@@ -116,7 +116,7 @@ def _las(fx: Fixtures):
 
 
 _USERS = "u AS (SELECT DISTINCT user_id AS k FROM events WHERE user_id % 13 > 0 AND user_id % 17 > 0 AND user_id % 19 > 0)"
-_UWI = "CASE WHEN k % 7 = 0 THEN concat('A', k) WHEN k % 11 = 0 THEN concat('-Well ', k) ELSE concat('W', lpad(cast(k AS string), 8, '0')) END"
+_UWI = "CASE WHEN k % 7 = 0 THEN concat('A', k) WHEN k % 11 = 0 THEN concat('-Well ', k, ' : WELL') ELSE concat('W', lpad(cast(k AS string), 8, '0')) END"
 
 
 @query(
@@ -150,9 +150,9 @@ def las_header_lines(fx):
 
 @query(
     "las_wells",
-    f"WITH {_USERS} SELECT {_UWI.replace('Well ', 'Well ')} AS \"UWI\", concat('Well ', k, ' : WELL') AS \"WELL_NAME\", concat('Lease ', k) AS \"LEASE_NAME\","
+    f"WITH {_USERS} SELECT {_UWI} AS \"UWI\", concat('Well ', k, ' : WELL') AS \"WELL_NAME\", concat('Lease ', k) AS \"LEASE_NAME\","
     " cast(k * 0.5::DOUBLE AS string) AS \"SURFACE_LATITUDE\", '' AS \"SURFACE_LONGITUDE\", 'UNKNOWN' AS \"OPERATOR\", 'UNKNOWN' AS \"CURRENT_STATUS\", 'UNKNOWN' AS \"DEPTH_DATUM\","
-    " 'UNKNOWN' AS \"ASSIGNED_FIELD\" FROM u".replace("ELSE concat('W'", "ELSE concat('W'"),
+    " 'UNKNOWN' AS \"ASSIGNED_FIELD\" FROM u",
 )
 def las_wells(fx):
     return _las(fx)[3].drop("file")
@@ -168,17 +168,17 @@ def las_curve_headers(fx):
     return L.las_logs(headers, wells).select("uwi", "curve_id", "reported_desc", "null_representation", "min_index")
 
 
-_NUM = "CASE WHEN {0} IN ('bad', '1e16') THEN -999.25 ELSE coalesce(cast({0} AS double), -999.25) END"
+_NUM = "CASE WHEN {0} IN ('bad', '1e16') THEN -999.25 ELSE coalesce(try_cast({0} AS double), -999.25) END"
 
 
 @query(
     "las_curve_values",
-    duck_with("f_curve", more=f"{_USERS}, g AS ({_GRID.format(f_curve='f_curve')}), v AS (SELECT k, sample_id, idx, CASE WHEN sample_id % 10 = 0 THEN c1 ELSE c2 END AS c2,"
-              " CASE WHEN sample_id % 10 = 0 THEN c1 ELSE c3 END AS c3, c1 FROM g JOIN u ON wkey = k)")
+    duck_with("f_curve", more=f"{_USERS}, g AS ({_GRID.format(f_curve='f_curve')}), v AS (SELECT k, sample_id, idx, c1, CASE WHEN sample_id % 10 = 0 THEN c1 ELSE c2 END AS c2,"
+              " CASE WHEN sample_id % 10 = 0 THEN c1 ELSE c3 END AS c3 FROM g JOIN u ON wkey = k)")
     + " UNION ALL ".join(
-        f"SELECT {_UWI} AS uwi, '{n}' AS curve_id, sample_id, idx::DOUBLE AS index_value, round({_NUM.format('try_cast_' + c).replace('try_cast_' + c, c)}, 4) AS measured_value FROM v"
+        f"SELECT {_UWI} AS uwi, '{n}' AS curve_id, sample_id, idx::DOUBLE AS index_value, round({_NUM.format(c)}, 4) AS measured_value FROM v"
         for n, c in (("CLICK", "c1"), ("VIEW", "c2"), ("BUY", "c3"))
-    ).replace("cast(c1 AS double)", "try_cast(c1 AS double)").replace("cast(c2 AS double)", "try_cast(c2 AS double)").replace("cast(c3 AS double)", "try_cast(c3 AS double)"),
+    ),
 )
 def las_curve_values(fx):
     _, good, headers, wells = _las(fx)
