@@ -288,7 +288,7 @@ def predict_log_depths(fx):
              WHERE path IN (SELECT path FROM fails WHERE rule_key = 'E1'))
     SELECT qc.path, replace(qc, 'E1', 'P9') AS qc, NULL AS data_key, NULL AS depth, NULL AS remark FROM qc
     UNION ALL SELECT grp, '', NULL, NULL, NULL FROM home WHERE NOT hp
-    UNION ALL SELECT grp || (n + 1) || '/', '', 'UWI = ''' || uwi || ''' AND STRAT_UNIT_ID = ''3-MEDIUM'' AND INTERP_ID = ''UNKNOWN''', -99999.0,
+    UNION ALL SELECT grp || (n + 1) || '/', '', 'UWI = ''' || uwi || ''' AND STRAT_UNIT_ID = ''3-MEDIUM'' AND INTERP_ID = ''UNKNOWN''', -99999.0::DOUBLE,
                      'Has been predicted and created by QCEngine' FROM home""",
 )
 def predict_missing_children(fx):
@@ -351,7 +351,7 @@ def map_points_query(fx):
     return map_points(flat_wells(fx), "WellBore").select(wkey("node_path").alias("wkey"), "lat", "lon")
 
 
-@query("surface_grid", duck_with("f_well", more=_GRID) + "SELECT i, j, round(lat, 5) AS lat, round(lon, 5) AS lon FROM grid")
+@query("surface_grid", duck_with("f_well", more=_GRID) + "SELECT i::INT AS i, j::INT AS j, round(lat, 5) AS lat, round(lon, 5) AS lon FROM grid")
 def surface_grid_query(fx):
     return surface_grid(_map_points(fx)).select("i", "j", F.round("lat", 5).alias("lat"), F.round("lon", 5).alias("lon"))
 
@@ -360,7 +360,7 @@ def surface_grid_query(fx):
     "surface_idw",
     duck_with("f_well", more=_GRID + """, d AS (SELECT i, j, wkey, z, sqrt(pow(g.lat - p.lat, 2) + pow(g.lon - p.lon, 2)) AS dist FROM grid g, pts p),
     near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY i, j ORDER BY round(dist, 9), wkey) AS rn FROM d) WHERE rn <= 5)""")
-    + "SELECT i, j, round(coalesce(min(CASE WHEN dist = 0 THEN z END), sum(CASE WHEN dist > 0 THEN z / pow(dist, 2) END) / sum(CASE WHEN dist > 0 THEN 1 / pow(dist, 2) END)), 3) AS value"
+    + "SELECT i::INT AS i, j::INT AS j, round(coalesce(min(CASE WHEN dist = 0 THEN z END), sum(CASE WHEN dist > 0 THEN z / pow(dist, 2) END) / sum(CASE WHEN dist > 0 THEN 1 / pow(dist, 2) END)), 3) AS value"
     " FROM near GROUP BY i, j",
 )
 def surface_idw_query(fx):

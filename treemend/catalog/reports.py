@@ -63,7 +63,7 @@ def failure_list_query(fx):
     "edit_attribute",
     WELL_IDX + _FAILED + ", qc AS (" + _FLAGS + """)
     SELECT qc.path, CASE WHEN k % 3 = 0 AND qc LIKE '%C1%' THEN replace(replace(qc, 'C1;', ''), 'C1', '') ELSE qc END AS qc,
-           CASE WHEN k % 3 = 0 AND qc LIKE '%C1%' THEN 100.5 + k END AS elev, CASE WHEN k % 3 = 0 AND qc LIKE '%C1%' THEN ';DEPTH_DATUM_ELEV has been manually edited;' END AS remark
+           CASE WHEN k % 3 = 0 AND qc LIKE '%C1%' THEN 100.5::DOUBLE + k END AS elev, CASE WHEN k % 3 = 0 AND qc LIKE '%C1%' THEN ';DEPTH_DATUM_ELEV has been manually edited;' END AS remark
     FROM qc LEFT JOIN (SELECT path AS wp, CAST(substr(data_name, 2) AS BIGINT) AS k FROM idx WHERE data_type = 'WellBore') w ON qc.path = wp""",
 )
 def edit_attribute(fx):

@@ -24,6 +24,15 @@ def attributes(doc: Column) -> Column:
     return F.from_json(doc, _TEXT_MAP)
 
 
+def with_attrs(df: DataFrame, doc: str = "doc") -> DataFrame:
+    """Add ``_attrs``, parsed once per record.
+
+    The parse sits in a generator of one row, so filters on attributes run on
+    its result and are not pushed below it, where each would parse again.
+    """
+    return df.select("*", F.inline(F.array(F.struct(attributes(F.col(doc)).alias("_attrs")))))
+
+
 def has_attr(attrs: Column, name: str) -> Column:
     return F.coalesce(F.map_contains_key(attrs, F.lit(name)), F.lit(False))
 

@@ -13,8 +13,8 @@ PAD_WIDTH = 14
 
 def to_number(text: Column) -> Column:
     """Double of a number text with optional thousands commas; null otherwise."""
-    plain = F.regexp_replace(text, r"[,\s]", "")
-    return F.when(text.rlike(NUMBER_PATTERN), plain.try_cast("double"))
+    # text that is no number extracts as '', which does not cast; one mention of the text
+    return F.regexp_replace(F.regexp_extract(text, NUMBER_PATTERN, 0), r"[,\s]", "").try_cast("double")
 
 
 def is_blank(text: Column) -> Column:

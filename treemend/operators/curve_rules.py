@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from treemend.functions.docs import attr_number, attr_text, attributes
+from treemend.functions.docs import attr_number, attr_text, with_attrs
 from treemend.functions.values import to_number
 from treemend.model import NULL_CURVE, Rule
 from treemend.operators.index import has_doc
@@ -46,8 +46,7 @@ def curve_spikes(idx: DataFrame, rule: Rule) -> DataFrame:
     window, severity = spike_parameters(rule)
     attrs = F.col("_attrs")
     curves = (
-        idx.filter((F.col("data_type") == rule.data_type) & has_doc())
-        .select("node_path", attributes(F.col("doc")).alias("_attrs"))
+        with_attrs(idx.filter((F.col("data_type") == rule.data_type) & has_doc()).select("node_path", "doc"))
         .filter(rule_filter(attrs, rule))
         .select(
             "node_path",

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from treemend.functions.arrays import parse_array
-from treemend.functions.docs import annotate, attr_number, attr_text, attributes, doc_from, empty_doc
+from treemend.functions.docs import annotate, attr_number, attr_text, attributes, doc_from, empty_doc, with_attrs
 from treemend.functions.values import lithology
 from treemend.model import INDEX_COLUMNS, NULL_NUMBER, AccessDef, Rule, Taxonomy
 from treemend.operators.curve_rules import null_value
@@ -77,8 +77,8 @@ def formation_order(idx: DataFrame, data_type: str = "MarkerWell", name: str = "
 
     Ranks the grouped result: one row per formation name.
     """
-    attrs = F.col("_a")
-    picks = idx.filter((F.col("data_type") == data_type) & has_doc()).select(attributes(F.col("doc")).alias("_a"))
+    attrs = F.col("_attrs")
+    picks = with_attrs(idx.filter((F.col("data_type") == data_type) & has_doc()).select("doc"))
     picks = picks.select(F.try_element_at(attrs, F.lit(name)).alias("name"), attr_number(attrs, depth).alias("depth"))
     ranges = picks.filter(F.col("name").isNotNull() & F.col("depth").isNotNull()).groupBy("name").agg(
         F.min("depth").alias("min_depth"), F.max("depth").alias("max_depth")
@@ -104,9 +104,9 @@ def knn_neighbors(idx: DataFrame, rule: Rule, k: int = NEIGHBORS) -> DataFrame:
     """
     group = F.when(F.col("level") == 2, F.lit("")).otherwise(F.col("data_name"))
     located = idx.filter((F.col("data_type") == rule.data_type) & has_doc())
-    located = located.filter(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
+    located = with_attrs(located.filter(F.col("latitude").isNotNull() & F.col("longitude").isNotNull()))
     place = [group.alias("grp"), F.col("latitude").alias("lat"), F.col("longitude").alias("lon")]
-    depth = attr_number(attributes(F.col("doc")), rule.attribute)
+    depth = attr_number(F.col("_attrs"), rule.attribute)
     fails = F.array_contains("qc", rule.fail_rule)
     targets = located.filter(fails).select(F.col("node_path").alias("tid"), *place)
     candidates = located.filter(~fails).select(F.col("node_path").alias("cid"), *place, depth.alias("depth"))
@@ -128,17 +128,15 @@ def lithology_values(idx: DataFrame, failed: DataFrame, strict: bool = True) ->
     ``strict`` keeps the value 0 of a pick on the never-smoothed last sample;
     otherwise such a pick is Unknown.
     """
-    attrs = F.col("_a")
-    logs = idx.filter((F.col("data_type") == "Log") & has_doc() & (F.col("data_name") == LITHOLOGY_CURVE)).select(
-        attributes(F.col("doc")).alias("_a")
-    )
-    logs = logs.select(
+    attrs = F.col("_attrs")
+    logs = idx.filter((F.col("data_type") == "Log") & has_doc() & (F.col("data_name") == LITHOLOGY_CURVE))
+    logs = with_attrs(logs.select("doc")).select(
         attr_text(attrs, "UWI").alias("uwi"), null_value(attrs).alias("_null"),
         parse_array(attr_text(attrs, "INDEX_VALUE")).alias("_i"), parse_array(attr_text(attrs, "MEASURED_VALUE")).alias("_m"),
     )
     logs = logs.groupBy("uwi").agg(F.count(F.lit(1)).alias("_c"), F.any_value(F.struct("_null", "_i", "_m")).alias("_l"))
     logs = logs.filter((F.col("_c") == 1) & (F.size("_l._m") > 0)).select("uwi", "_l.*")
-    picks = failed.select("node_path", "doc", attributes(F.col("doc")).alias("_a")).select(
+    picks = with_attrs(failed.select("node_path", "doc")).select(
         "node_path", "doc", attr_text(attrs, "UWI").alias("uwi"), attr_number(attrs, "PICK_DEPTH").alias("_depth_value")
     )
     picks = picks.filter(F.col("_depth_value").isNotNull() & (F.col("_depth_value") != NULL_NUMBER))

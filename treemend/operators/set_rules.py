@@ -8,7 +8,7 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from treemend.functions.docs import attr_text, attributes, has_attr
+from treemend.functions.docs import attr_text, has_attr, with_attrs
 from treemend.functions.values import normalize, normalize14, sha256_key, to_number
 from treemend.model import AccessDef, Rule, Taxonomy, split_list
 from treemend.operators.curve_rules import curve_spikes
@@ -46,7 +46,7 @@ def uniq_key(attrs: Column, params: str) -> Column:
 
 def rows_of(idx: DataFrame, rule: Rule) -> DataFrame:
     """Live records of the rule's type with their attributes."""
-    return idx.filter((F.col("data_type") == rule.data_type) & has_doc()).withColumn("_attrs", attributes(F.col("doc")))
+    return with_attrs(idx.filter((F.col("data_type") == rule.data_type) & has_doc()))
 
 
 def uniqueness(idx: DataFrame, rule: Rule) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treemend.functions.docs import attr_number, attributes
+from treemend.functions.docs import attr_number, with_attrs
 from treemend.model import NULL_NUMBER
 from treemend.operators.index import has_doc
 from treemend.operators.neighbors import nearest
@@ -19,13 +19,14 @@ SURFACE_POWER = 2
 
 def map_points(idx: DataFrame, data_type: str, lat: str = "SURFACE_LATITUDE", lon: str = "SURFACE_LONGITUDE", z: str | None = None) -> DataFrame:
     """Plottable points of records without sentinels (and with a z value if asked)."""
-    attrs = attributes(F.col("doc"))
-    rows = idx.filter((F.col("data_type") == data_type) & has_doc()).select(
+    attrs = F.col("_attrs")
+    rows = with_attrs(idx.filter((F.col("data_type") == data_type) & has_doc()).select("node_path", "data_name", "doc"))
+    rows = rows.select(
         "node_path", "data_name", attr_number(attrs, lon).alias("lon"), attr_number(attrs, lat).alias("lat"),
         *([attr_number(attrs, z).alias("z")] if z else []),
     )
     for name in ["lon", "lat", *(["z"] if z else [])]:
-        rows = rows.filter(F.col(name).isNotNull() & (F.col(name) != NULL_NUMBER))
+        rows = rows.filter(F.col(name) != NULL_NUMBER)
     return rows
 
 
