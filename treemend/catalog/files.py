@@ -108,11 +108,8 @@ def _las_folder(fx: Fixtures) -> str:
     return path
 
 
-def _las(fx: Fixtures):
-    lines = L.scan_las(fx.spark, _las_folder(fx))
-    good = L.accepted(lines)
-    headers = L.header_lines(good)
-    return lines, good, headers, L.las_wells(headers)
+def _las(fx: Fixtures) -> L.LasBatch:
+    return L.load_las(fx.spark, _las_folder(fx))
 
 
 _USERS = "u AS (SELECT DISTINCT user_id AS k FROM events WHERE user_id % 13 > 0 AND user_id % 17 > 0 AND user_id % 19 > 0)"
@@ -125,9 +122,9 @@ _UWI = "CASE WHEN k % 7 = 0 THEN concat('A', k) WHEN k % 11 = 0 THEN concat('-We
     " 5::BIGINT AS n_sections FROM (SELECT DISTINCT user_id AS k FROM events)",
 )
 def las_sections(fx):
-    lines = L.scan_las(fx.spark, _las_folder(fx))
-    counts = lines.groupBy("file").agg(F.countDistinct("section").alias("n_sections"))
-    rows = L.verdicts(lines, L.header_lines(lines)).join(counts, "file")
+    batch = _las(fx)
+    counts = batch.lines.groupBy("file").agg(F.countDistinct("section").alias("n_sections"))
+    rows = batch.verdict.join(counts, "file")
     return rows.select(F.regexp_extract("file", "wkey=([0-9]+)", 1).cast(BIG).alias("k"), "reason", "n_sections")
 
 
@@ -142,8 +139,7 @@ def las_sections(fx):
     " ['P', 'MUD', '', 'GEL : Mud', 'type'], ['P', 'BHT', 'DEGC', cast(k AS string), 'Bottom hole']]) AS m FROM u)",
 )
 def las_header_lines(fx):
-    _, _, headers, _ = _las(fx)
-    return headers.select(
+    return _las(fx).good_headers.select(
         F.regexp_extract("file", "wkey=([0-9]+)", 1).cast(BIG).alias("k"), "section", "mnemonic", "unit", "data", "description"
     )
 
@@ -155,7 +151,7 @@ def las_header_lines(fx):
     " 'UNKNOWN' AS \"ASSIGNED_FIELD\" FROM u",
 )
 def las_wells(fx):
-    return _las(fx)[3].drop("file")
+    return _las(fx).wells().drop("file")
 
 
 @query(
@@ -164,8 +160,7 @@ def las_wells(fx):
     " (SELECT k, unnest([['CLICK', 'Clicks'], ['VIEW', 'Views'], ['BUY', 'Purchases']]) AS m FROM u)",
 )
 def las_curve_headers(fx):
-    _, _, headers, wells = _las(fx)
-    return L.las_logs(headers, wells).select("uwi", "curve_id", "reported_desc", "null_representation", "min_index")
+    return _las(fx).logs().select("uwi", "curve_id", "reported_desc", "null_representation", "min_index")
 
 
 _NUM = "CASE WHEN {0} IN ('bad', '1e16') THEN -999.25 ELSE coalesce(try_cast({0} AS double), -999.25) END"
@@ -181,8 +176,7 @@ _NUM = "CASE WHEN {0} IN ('bad', '1e16') THEN -999.25 ELSE coalesce(try_cast({0}
     ),
 )
 def las_curve_values(fx):
-    _, good, headers, wells = _las(fx)
-    return L.las_values(good, headers, wells).withColumn("measured_value", F.round("measured_value", 4))
+    return _las(fx).values().withColumn("measured_value", F.round("measured_value", 4))
 
 
 @query(
@@ -191,5 +185,4 @@ def las_curve_values(fx):
     " (SELECT k, unnest([['1', 'MUD', 'GEL : Mud', 'type'], ['2', 'BHT', cast(k AS string), 'Bottom hole']]) AS m FROM u)",
 )
 def las_parameters(fx):
-    _, _, headers, wells = _las(fx)
-    return L.las_parameters(headers, wells)
+    return _las(fx).parameters()

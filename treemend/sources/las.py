@@ -9,6 +9,7 @@ section. Both give the same lines.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from treemend.functions.values import to_number
 from treemend.model import NULL_CURVE, NULL_NUMBER, UNKNOWN
 from treemend.scale import ordinal_in_group, running_sum
+from treemend.session import cut_lineage
 
 # Files above this size are never held in one row.
 WHOLE_FILE_BYTES = 32 * 1024 * 1024
@@ -108,9 +110,8 @@ def header_lines(lines: DataFrame) -> DataFrame:
     ).filter(F.length("mnemonic") > 0)
 
 
-def verdicts(lines: DataFrame, headers: DataFrame) -> DataFrame:
+def verdicts(files: DataFrame, headers: DataFrame) -> DataFrame:
     """(file, reason) per file; a null reason means the file is accepted."""
-    files = lines.select("file").distinct()
     version = headers.filter(F.col("section") == "V")
     bad_version = (F.col("mnemonic") == "VERS") & ~F.col("data").startswith("2.0")
     bad_wrap = (F.col("mnemonic") == "WRAP") & (F.col("data") != "NO")
@@ -123,10 +124,54 @@ def verdicts(lines: DataFrame, headers: DataFrame) -> DataFrame:
     return files.join(seen, "file", "left").select("file", why.alias("reason"))
 
 
-def accepted(lines: DataFrame) -> DataFrame:
-    """Lines of the files that pass the version check."""
-    good = verdicts(lines, header_lines(lines)).filter(F.col("reason").isNull())
-    return lines.join(good.select("file"), "file", "left_semi")
+def list_files(spark: SparkSession, path: str) -> DataFrame:
+    """(file) below a path, from the listing alone."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return found.select(F.col("_metadata.file_path").alias("file"))
+
+
+@dataclass
+class LasBatch:
+    """LAS files with their small parts at hand.
+
+    ``headers`` (all files) is written once; ``lines`` re-reads the files, so
+    the data section costs one pass when it is used.
+    """
+
+    lines: DataFrame
+    headers: DataFrame
+    verdict: DataFrame
+
+    def _accepted(self, df: DataFrame) -> DataFrame:
+        return df.join(self.verdict.filter(F.col("reason").isNull()).select("file"), "file", "left_semi")
+
+    @property
+    def rejects(self) -> DataFrame:
+        return self.verdict.filter(F.col("reason").isNotNull())
+
+    @property
+    def good_headers(self) -> DataFrame:
+        return self._accepted(self.headers)
+
+    def wells(self, **options) -> DataFrame:
+        return las_wells(self.good_headers, **options)
+
+    def logs(self, **options) -> DataFrame:
+        return las_logs(self.good_headers, self.wells(), **options)
+
+    def values(self, **options) -> DataFrame:
+        data = self.lines.filter(F.col("section") == "A")
+        return las_values(data, self.good_headers, self.wells(), **options)
+
+    def parameters(self) -> DataFrame:
+        return las_parameters(self.good_headers, self.wells())
+
+
+def load_las(spark: SparkSession, path: str, whole_bytes: int = WHOLE_FILE_BYTES, plain_rows: int | None = None) -> LasBatch:
+    """Read the headers of all files below a path and judge each file."""
+    lines = scan_las(spark, path, whole_bytes, plain_rows)
+    headers = cut_lineage(header_lines(lines))
+    return LasBatch(lines, headers, verdicts(list_files(spark, path), headers))
 
 
 def las_wells(
