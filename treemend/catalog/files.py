@@ -103,8 +103,7 @@ def _las_folder(fx: Fixtures) -> str:
     )
     text = F.concat(header, F.array_join("rows.r", "\n"))
     path = scratch_path(fx.spark, "las")
-    files = body.select(k, text.alias("value"))
-    files.repartition(F.col("wkey")).write.partitionBy("wkey").text(path)
+    body.select(text.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
     return path
 
 
@@ -112,6 +111,11 @@ def _las(fx: Fixtures) -> L.LasBatch:
     return L.load_las(fx.spark, _las_folder(fx))
 
 
+def _user(headers):
+    """(file, k): the user a file was written for stands in its BHT parameter."""
+    return headers.filter(F.col("mnemonic") == "BHT").select("file", F.col("data").cast(BIG).alias("k"))
+
+
 _USERS = "u AS (SELECT DISTINCT user_id AS k FROM events WHERE user_id % 13 > 0 AND user_id % 17 > 0 AND user_id % 19 > 0)"
 _UWI = "CASE WHEN k % 7 = 0 THEN concat('A', k) WHEN k % 11 = 0 THEN concat('-Well ', k, ' : WELL') ELSE concat('W', lpad(cast(k AS string), 8, '0')) END"
 
@@ -125,7 +129,7 @@ def las_sections(fx):
     batch = _las(fx)
     counts = batch.lines.groupBy("file").agg(F.countDistinct("section").alias("n_sections"))
     rows = batch.verdict.join(counts, "file")
-    return rows.select(F.regexp_extract("file", "wkey=([0-9]+)", 1).cast(BIG).alias("k"), "reason", "n_sections")
+    return rows.join(_user(batch.headers), "file").select("k", "reason", "n_sections")
 
 
 @query(
@@ -139,9 +143,9 @@ def las_sections(fx):
     " ['P', 'MUD', '', 'GEL : Mud', 'type'], ['P', 'BHT', 'DEGC', cast(k AS string), 'Bottom hole']]) AS m FROM u)",
 )
 def las_header_lines(fx):
-    return _las(fx).good_headers.select(
-        F.regexp_extract("file", "wkey=([0-9]+)", 1).cast(BIG).alias("k"), "section", "mnemonic", "unit", "data", "description"
-    )
+    batch = _las(fx)
+    rows = batch.good_headers.join(_user(batch.headers), "file")
+    return rows.select("k", "section", "mnemonic", "unit", "data", "description")
 
 
 @query(

@@ -24,7 +24,7 @@ MIN_DISTANCE = 0.1
 TWIN_DEGREES = 0.0001
 MIN_NEIGHBORS = 3
 
-LEAF_POINTS = 64
+LEAF_POINTS = 24
 _BITS = 3
 _MAX_DEPTH = 12
 
@@ -43,14 +43,15 @@ def _bounds(metric: str) -> tuple[Column, Column]:
         ny, fy = gap("lat", "lat_lo", "lat_hi")
         nx, fx = gap("lon", "lon_lo", "lon_hi")
         return F.sqrt(ny * ny + nx * nx), F.sqrt(fy * fy + fx * fx)
-    # any point of the box is within half its height plus half its widest width of the centre
+    # a straight line in degrees from the centre to any point of the box is no longer than this
+    # reach (meridians count fully, parallels at most at their widest), and the great circle is shorter
     mid_lat = (F.col("lat_lo") + F.col("lat_hi")) / 2
     mid_lon = (F.col("lon_lo") + F.col("lon_hi")) / 2
     widest = F.when((F.col("lat_lo") < 0) & (F.col("lat_hi") > 0), F.lit(1.0)).otherwise(
         F.greatest(F.cos(F.radians("lat_lo")), F.cos(F.radians("lat_hi")))
     )
-    reach = EARTH_RADIUS * (
-        F.radians(F.col("lat_hi") - F.col("lat_lo")) / 2 + widest * F.radians(F.col("lon_hi") - F.col("lon_lo")) / 2
+    reach = EARTH_RADIUS / 2 * F.sqrt(
+        F.pow(F.radians(F.col("lat_hi") - F.col("lat_lo")), 2) + F.pow(widest * F.radians(F.col("lon_hi") - F.col("lon_lo")), 2)
     )
     centre = haversine(F.col("lat"), F.col("lon"), mid_lat, mid_lon)
     return F.greatest(centre - reach, F.lit(0.0)), centre + reach

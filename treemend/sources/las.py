@@ -73,17 +73,21 @@ def _split_lines(raw: DataFrame, plain_rows: int | None = None) -> DataFrame:
 
 def scan_las(spark: SparkSession, path: str, whole_bytes: int = WHOLE_FILE_BYTES, plain_rows: int | None = None) -> DataFrame:
     """(file, section, line_no, line) of all LAS files below a path."""
+    return _scan(spark, path, list_files(spark, path), whole_bytes, plain_rows)
+
+
+def _scan(spark: SparkSession, path: str, files: DataFrame, whole_bytes: int, plain_rows: int | None) -> DataFrame:
     options = {"recursiveFileLookup": "true"}
     size = F.col("_metadata.file_size")
     whole = spark.read.options(**options).text(path, wholetext=True)
     small = whole.filter(size <= whole_bytes).select(F.col("_metadata.file_path").alias("file"), "value")
+    if files.filter(F.col("size") > whole_bytes).isEmpty():
+        return _whole_lines(small)
     lines = spark.read.options(**options).text(path)
     large = lines.filter(size > whole_bytes).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
         F.monotonically_increasing_id().alias("at"), "value",
     )
-    if large.isEmpty():
-        return _whole_lines(small)
     return _whole_lines(small).unionByName(_split_lines(large, plain_rows))
 
 
@@ -125,9 +129,9 @@ def verdicts(files: DataFrame, headers: DataFrame) -> DataFrame:
 
 
 def list_files(spark: SparkSession, path: str) -> DataFrame:
-    """(file) below a path, from the listing alone."""
+    """(file, size) below a path, from the listing alone."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return found.select(F.col("_metadata.file_path").alias("file"))
+    return found.select(F.col("_metadata.file_path").alias("file"), F.col("length").alias("size"))
 
 
 @dataclass
@@ -169,9 +173,10 @@ class LasBatch:
 
 def load_las(spark: SparkSession, path: str, whole_bytes: int = WHOLE_FILE_BYTES, plain_rows: int | None = None) -> LasBatch:
     """Read the headers of all files below a path and judge each file."""
-    lines = scan_las(spark, path, whole_bytes, plain_rows)
+    files = list_files(spark, path)
+    lines = _scan(spark, path, files, whole_bytes, plain_rows)
     headers = cut_lineage(header_lines(lines))
-    return LasBatch(lines, headers, verdicts(list_files(spark, path), headers))
+    return LasBatch(lines, headers, verdicts(files.select("file"), headers))
 
 
 def las_wells(
