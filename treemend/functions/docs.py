@@ -24,13 +24,19 @@ def attributes(doc: Column) -> Column:
     return F.from_json(doc, _TEXT_MAP)
 
 
-def with_attrs(df: DataFrame, doc: str = "doc") -> DataFrame:
-    """Add ``_attrs``, parsed once per record.
+def computed(df: DataFrame, *keep: str | Column, **columns: Column) -> DataFrame:
+    """Select columns, computing the named ones exactly here and once per row.
 
-    The parse sits in a generator of one row, so filters on attributes run on
-    its result and are not pushed below it, where each would parse again.
+    They sit in a generator of one row: filters on them run on the result and
+    are not pushed below, where each would compute them again, or compute them
+    for rows that an earlier step drops.
     """
-    return df.select("*", F.inline(F.array(F.struct(attributes(F.col(doc)).alias("_attrs")))))
+    return df.select(*keep, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
+def with_attrs(df: DataFrame, doc: str = "doc") -> DataFrame:
+    """Add ``_attrs``, parsed once per record."""
+    return computed(df, "*", _attrs=attributes(F.col(doc)))
 
 
 def has_attr(attrs: Column, name: str) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from treemend.functions.docs import attr_text, attributes, doc_from, empty_doc, set_attrs
+from treemend.functions.docs import attr_text, attributes, computed, doc_from, empty_doc, set_attrs
 from treemend.model import INDEX_COLUMNS, AccessDef, Rule, Taxonomy
 from treemend.operators.index import has_doc, insert_docs
 from treemend.operators.set_rules import uniq_key
@@ -34,7 +34,7 @@ def apply_edits(idx: DataFrame, edits: DataFrame) -> DataFrame:
     value = (
         F.when(F.col("column_type") == "number", F.col("number_value").cast("variant"))
         .when(F.col("column_type") == "text", F.col("text_value").cast("variant"))
-        .otherwise(F.raise_error(F.concat(F.lit("column type not supported: "), F.col("column_type"))).cast("variant"))
+        .when(F.col("column_type").isNotNull(), F.raise_error(F.concat(F.lit("column type not supported: "), F.col("column_type"))).cast("variant"))
     )
     remark = F.concat(attr_text(attributes(F.col("doc")), "REMARK"), _note(F.col("column_name"))).cast("variant")
     edited = F.to_json(F.map_concat(kept, F.create_map(F.col("column_name"), value, F.lit("REMARK"), remark)))
@@ -58,7 +58,7 @@ def child_docs(parents: DataFrame, rule: Rule, taxonomy: Taxonomy, access: Acces
     for key in access.keys:
         bad = F.coalesce(F.length(values[key].cast("string")), F.lit(0)) == 0
         values[key] = F.when(bad, F.raise_error(F.lit(f"key {key} has no value")).cast("string")).otherwise(values[key])
-    return parents.select(F.col("node_path").alias("parent_path"), doc_from(values).alias("doc"))
+    return computed(parents, F.col("node_path").alias("parent_path"), doc=doc_from(values))
 
 
 def insert_children(idx: DataFrame, parents: DataFrame, rule: Rule, taxonomy: Taxonomy, access: AccessDef, today: str) -> DataFrame:

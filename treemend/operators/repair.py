@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from treemend.functions.arrays import parse_array
-from treemend.functions.docs import annotate, attr_number, attr_text, attributes, doc_from, empty_doc, with_attrs
+from treemend.functions.docs import annotate, attr_number, attr_text, attributes, computed, doc_from, empty_doc, with_attrs
 from treemend.functions.values import lithology
 from treemend.model import INDEX_COLUMNS, NULL_NUMBER, AccessDef, Rule, Taxonomy
 from treemend.operators.curve_rules import null_value
@@ -162,7 +162,7 @@ def predict_lithology(idx: DataFrame, rule: Rule, context: Context) -> DataFrame
 
 def predict_log_depths(idx: DataFrame, rule: Rule, context: Context) -> DataFrame:
     """MIN_INDEX or MAX_INDEX from the index array; an empty array stays failed."""
-    failed = select_failed(idx, rule).select("node_path", "doc", log_depths(F.col("doc"), rule.attribute).alias("_d"))
+    failed = computed(select_failed(idx, rule), "node_path", "doc", _d=log_depths(F.col("doc"), rule.attribute))
     doc = annotate(F.col("doc"), {rule.attribute: F.col("_d")}, NOTE_LOG.format(rule.attribute))
     return repaired(idx, rule, failed.filter(F.col("_d").isNotNull()).select("node_path", doc.alias("new_doc")))
 
