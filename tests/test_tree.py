@@ -9,6 +9,7 @@ from treemend.operators.repair import Context, mark_repaired
 from treemend.operators.reports import failure_counts
 from treemend.plans.predictions import prediction_order, run_predictions
 from treemend.plans.qc import close_qc, flag_index, run_qc
+from treemend.session import cut_lineage
 from treemend.standard import ACCESS as STANDARD_ACCESS
 from treemend.standard import RULES, WELL_TREE
 
@@ -37,8 +38,6 @@ def tables(spark):
 
 @pytest.fixture(scope="module")
 def idx(spark, tables):
-    from treemend.session import cut_lineage
-
     return cut_lineage(X.build_index(spark, TREE, tables, ACCESS))
 
 
@@ -93,7 +92,7 @@ E1 = Rule("E1", "Well", "Entirety", "Entirety", "ID", '{"DataType": "Pick", "Nam
 
 def test_qc_is_idempotent_and_ordered(idx):
     rules = [E1, C1, C10]
-    once = close_qc(idx, run_qc(idx, rules, TREE, ACCESS))
+    once = cut_lineage(close_qc(idx, run_qc(idx, rules, TREE, ACCESS)))
     twice = close_qc(once, run_qc(once, rules, TREE, ACCESS))
     fused = flag_index(once, rules, TREE, ACCESS)
     key = lambda d: sorted((str(r["node_path"]), tuple(r["qc"])) for r in d.collect())
@@ -135,7 +134,7 @@ def test_predictions_run_in_order(idx):
         Rule("P3", "Pick", "DeleteDataObject", "Predictions", fail_rule="C1", order=2, active=False),
     ]
     assert [r.key for r in prediction_order(rules)] == ["P1", "P2"]
-    flagged = flag_index(idx, [C1, E1], TREE, ACCESS)
+    flagged = cut_lineage(flag_index(idx, [C1, E1], TREE, ACCESS))
     out, corrected = run_predictions(flagged, rules, Context(TREE, ACCESS, "2024-01-01"))
     assert not X.search_index(out, flag="E1").count() and not X.search_index(out, flag="C1").count()
     done = {r["rule_key"]: r["count"] for r in corrected.groupBy("rule_key").count().collect()}
@@ -146,7 +145,7 @@ def test_predictions_run_in_order(idx):
 
 
 def test_edits(idx):
-    flagged = flag_index(idx, [C1, E1], TREE, ACCESS)
+    flagged = cut_lineage(flag_index(idx, [C1, E1], TREE, ACCESS))
     pick = X.search_index(flagged, flag="C1").select(
         "node_path", F.lit("DEPTH").alias("column_name"), F.lit("number").alias("column_type"), F.lit(7.5).alias("number_value"),
         F.lit(None).cast("string").alias("text_value"), F.lit("C1").alias("rule_key"),
@@ -174,7 +173,7 @@ def test_merge_duplicates(spark):
     cores = spark.createDataFrame([], "ID string, UNIT string, NO string")
     idx = X.build_index(spark, TREE, {"W": wells, "P": picks, "N": none, "C": cores}, ACCESS)
     rule = Rule("U1", "Well", "Uniqueness", "Uniqueness", "REMARK", "*NORMALIZE(REMARK)")
-    flagged = flag_index(idx, [rule], TREE, ACCESS)
+    flagged = cut_lineage(flag_index(idx, [rule], TREE, ACCESS))
     out = merge_duplicates(flagged, flagged.filter("data_name = 'a'"), rule, TREE, ACCESS)
     a = attributes(F.col("doc"))
     live = out.filter(X.has_doc() & F.col("data_type").isin("Well", "Pick"))

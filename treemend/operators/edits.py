@@ -10,6 +10,7 @@ from treemend.model import INDEX_COLUMNS, AccessDef, Rule, Taxonomy
 from treemend.operators.index import has_doc, insert_docs
 from treemend.operators.set_rules import uniq_key
 from treemend.scale import first_by
+from treemend.session import cut_lineage
 
 # Fixed value: note left in REMARK.
 NOTE_EDITED = ";{0} has been manually edited;"
@@ -86,22 +87,24 @@ def merge_duplicates(idx: DataFrame, survivors: DataFrame, rule: Rule, taxonomy:
     keep = first_by(keep.select("_key", "node_path", "doc"), ["_key"], F.col("node_path"))
     keep = keep.select("_key", F.col("node_path").alias("_to"), F.col("doc").alias("_to_doc"))
     twins = keyed.join(keep, "_key").filter(F.col("node_path") != F.col("_to"))
-    twins = twins.select(F.col("node_path").alias("_from"), "_to", "_to_doc")
+    # who merges into whom: read below for the children, the clearing and the flags
+    twins = cut_lineage(twins.select(F.col("node_path").alias("_from"), "_to", "_to_doc"))
+    saved = cut_lineage(keep.select(F.col("_to").alias("_saved")))
 
     below = idx.filter((F.col("level") > level) & has_doc()).withColumn("_owner", F.slice("node_path", 1, level))
     moved = below.join(twins, F.col("_owner") == F.col("_from"))
-    have = below.join(keep.select("_to"), F.col("_owner") == F.col("_to"), "left_semi").select(
+    have = below.join(saved, F.col("_owner") == F.col("_saved"), "left_semi").select(
         F.col("_owner").alias("_to"), "data_name"
     ).distinct()
     moved = moved.join(have, ["_to", "data_name"], "left_anti")
-    moved = first_by(moved.select("_to", "_to_doc", "data_type", "data_name", "node_path", "doc"), ["_to", "data_type", "data_name"], F.col("node_path"))
+    moved = moved.select("_to", "_to_doc", "data_type", "data_name", "node_path", "doc")
+    moved = cut_lineage(first_by(moved, ["_to", "data_type", "data_name"], F.col("node_path")))
 
     out = idx
     hit = twins.select(F.col("_from").alias("_hit"))
     out = out.withColumn("_owner", F.when(F.col("level") >= level, F.slice("node_path", 1, level)))
     out = out.join(hit, F.col("_owner") == F.col("_hit"), "left")
     gone = F.col("_hit").isNotNull()
-    saved = keep.select(F.col("_to").alias("_saved"))
     out = out.join(saved, F.col("node_path") == F.col("_saved"), "left")
     empty = F.array().cast("array<string>")
     out = out.withColumn("doc", F.when(~gone, F.col("doc"))).withColumn(
@@ -113,7 +116,8 @@ def merge_duplicates(idx: DataFrame, survivors: DataFrame, rule: Rule, taxonomy:
         survivor = attributes(F.col("_to_doc"))
         rekeyed = set_attrs(F.col("doc"), {c: attr_text(survivor, p) for c, p in child.parent_pairs()})
         docs = moved.filter(F.col("data_type") == child.name).select(F.col("_to").alias("parent_path"), rekeyed.alias("doc"))
-        out = insert_docs(out, docs, child, access[child.name])
+        if not docs.isEmpty():
+            out = insert_docs(cut_lineage(out), docs, child, access[child.name])
     return out
 
 
