@@ -103,7 +103,9 @@ def _las_folder(fx: Fixtures) -> str:
     )
     text = F.concat(header, F.array_join("rows.r", "\n"))
     path = scratch_path(fx.spark, "las")
-    body.select(text.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    # one file per user, written by all cores
+    files = body.select(text.alias("value")).repartition(fx.spark.sparkContext.defaultParallelism)
+    files.write.option("maxRecordsPerFile", 1).text(path)
     return path
 
 
