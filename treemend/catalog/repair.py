@@ -40,7 +40,7 @@ def flags():
 
 def flagged(fx):
     # as between the stages of a run
-    return cut_lineage(flag_index(well_index(fx), ALL_RULES, WELL_TREE, ACCESS))
+    return cut_lineage(flag_index(cut_lineage(well_index(fx), "data_type"), ALL_RULES, WELL_TREE, ACCESS), "data_type")
 
 
 P_DELETE = predict("P1", "WellBore", "DeleteDataObject", "C2", 1)

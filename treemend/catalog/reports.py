@@ -22,7 +22,7 @@ IDLE = Rule("V9", "WellBore", "ValidityRange", "Validity", "SURFACE_LATITUDE", '
 
 
 def flagged(fx, rules=ALL_RULES):
-    return cut_lineage(flag_index(well_index(fx), rules, WELL_TREE, ACCESS))
+    return cut_lineage(flag_index(cut_lineage(well_index(fx), "data_type"), rules, WELL_TREE, ACCESS), "data_type")
 
 
 _LIST = "(VALUES (1, 'C1', 'WellBore'), (2, 'V1', 'WellBore'), (3, 'C2', 'WellBore'), (4, 'C4', 'MarkerPick'), (5, 'E1', 'WellBore'), (6, 'V9', 'WellBore')) r(rule_id, rule_key, data_type)"

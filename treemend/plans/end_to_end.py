@@ -12,6 +12,7 @@ from treemend.model import AccessDef, Rule, Taxonomy, numbered
 from treemend.operators.index import build_index
 from treemend.operators.repair import Context
 from treemend.operators.reports import failure_counts
+from treemend.operators.set_rules import is_set_rule
 from treemend.plans.predictions import run_predictions
 from treemend.plans.qc import flag_index
 from treemend.session import cut_lineage
@@ -42,7 +43,10 @@ def run_all(
     rules = numbered(list(rules))
     checks = [r for r in rules if r.rule_type != "Predictions"]
     built = build_index(spark, taxonomy, tables, access, where)
-    flagged = cut_lineage(flag_index(built, checks, taxonomy, access, sources))
+    if any(is_set_rule(r) for r in checks):
+        # every set rule reads the index again
+        built = cut_lineage(built, "data_type")
+    flagged = cut_lineage(flag_index(built, checks, taxonomy, access, sources), "data_type")
     repaired, corrected = run_predictions(flagged, rules, Context(taxonomy, access, today))
     again = flag_index(repaired, checks, taxonomy, access, sources)
     before = failure_counts(flagged, checks).withColumnRenamed("n_failed", "n_before")

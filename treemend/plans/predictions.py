@@ -7,10 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treemend.model import Rule, numbered
+from treemend.model import Rule, Taxonomy, numbered
 from treemend.operators.repair import PREDICTIONS, Context, select_failed
 from treemend.session import cut_lineage
 
+# predictions whose reach is known; user predictions added later rewrite the whole index
+BUILT_IN = tuple(PREDICTIONS)
+
 
 def prediction_order(rules: Sequence[Rule]) -> list[Rule]:
     """Active prediction rules in their order."""
@@ -21,10 +24,22 @@ def prediction_order(rules: Sequence[Rule]) -> list[Rule]:
     return sorted(chosen, key=lambda r: (r.order, r.rule_id))
 
 
+def touched_types(rule: Rule, taxonomy: Taxonomy) -> list[str] | None:
+    """Data types a prediction can change or add to; None when it is not known."""
+    if rule.function == "DeleteDataObject":
+        node = taxonomy.find(rule.data_type)
+        return [node.name, *(n for c in node.children for d in c.walk() for n in (d.name, d.group_name))]
+    if rule.function == "PredictMissingDataObjects":
+        child = taxonomy.find(rule.parameters()["DataType"])
+        return [rule.data_type, child.name, child.group_name]
+    return [rule.data_type] if rule.function in BUILT_IN else None
+
+
 def run_predictions(idx: DataFrame, rules: Sequence[Rule], context: Context) -> tuple[DataFrame, DataFrame]:
     """(repaired index, corrected): ``corrected`` is (rule_key, node_path).
 
-    The index is checkpointed after each rule that had something to do, so the
+    After each rule that had something to do the record types it touches are
+    written anew, by type; all other types are read from where they were. The
     plan stays short and a lost executor does not replay the whole chain.
     """
     corrected = idx.select(F.lit("").alias("rule_key"), "node_path").limit(0)
@@ -32,11 +47,17 @@ def run_predictions(idx: DataFrame, rules: Sequence[Rule], context: Context) ->
     for rule in prediction_order(rules):
         if select_failed(current, rule).isEmpty():
             continue
-        after = cut_lineage(PREDICTIONS[rule.function](current, rule, context))
+        after = PREDICTIONS[rule.function](current, rule, context)
+        types = touched_types(rule, context.taxonomy)
+        if types is None:
+            after = rest = cut_lineage(after, "data_type")
+        else:
+            after = cut_lineage(after.filter(F.col("data_type").isin(types)), "data_type")
+            rest = current.filter(~F.col("data_type").isin(types)).unionByName(after)
         done = after.filter(F.array_contains("qc", rule.key)).select("node_path")
         before = select_failed(current, rule).select("node_path")
         corrected = corrected.unionByName(
             before.join(done, "node_path", "left_semi").select(F.lit(rule.key).alias("rule_key"), "node_path")
         )
-        current = after
+        current = rest
     return current, corrected

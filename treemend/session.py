@@ -63,16 +63,17 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/treemend/{label}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     """The rows as a table written to the shared folder.
 
     Survives the loss of executors, is computed once however often it is read,
     and readers get column pruning and filter pushdown. The schema is carried
-    over, so column types stay as they were.
+    over, so column types stay as they were. ``partition_by`` names a column of
+    few values whose filters should skip files.
     """
     path = scratch_path(df.sparkSession, "stage")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    (df.write.partitionBy(partition_by) if partition_by else df.write).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
 def clear_scratch(spark: SparkSession) -> None:
