@@ -43,17 +43,27 @@ def run_predictions(idx: DataFrame, rules: Sequence[Rule], context: Context) ->
     plan stays short and a lost executor does not replay the whole chain.
     """
     corrected = idx.select(F.lit("").alias("rule_key"), "node_path").limit(0)
-    current = idx
+    current = base = idx
+    moved: set[str] = set()  # types no longer read from the base
+    parts: list[tuple[set[str], DataFrame]] = []  # types and where they are now
     for rule in prediction_order(rules):
         if select_failed(current, rule).isEmpty():
             continue
         after = PREDICTIONS[rule.function](current, rule, context)
         types = touched_types(rule, context.taxonomy)
         if types is None:
-            after = rest = cut_lineage(after, "data_type")
+            after = rest = base = cut_lineage(after, "data_type")
+            moved, parts = set(), []
         else:
-            after = cut_lineage(after.filter(F.col("data_type").isin(types)), "data_type")
-            rest = current.filter(~F.col("data_type").isin(types)).unionByName(after)
+            after = after.filter(F.col("data_type").isin(types))
+            after = cut_lineage(after, "data_type" if len(types) > 1 else None)
+            moved |= set(types)
+            # earlier parts keep the types this rule left alone
+            parts = [(left, df.filter(F.col("data_type").isin(sorted(left)))) for held, df in parts if (left := held - set(types))]
+            parts.append((set(types), after))
+            rest = base.filter(~F.col("data_type").isin(sorted(moved)))
+            for _, df in parts:
+                rest = rest.unionByName(df)
         done = after.filter(F.array_contains("qc", rule.key)).select("node_path")
         before = select_failed(current, rule).select("node_path")
         corrected = corrected.unionByName(
