@@ -37,3 +37,27 @@ def op1_best_fit_packing(spark, folder):
     from treemend.llm.packing import pack_documents
 
     return pack_documents(table(spark, folder, "documents"), tokenizer_path())
+
+
+@query
+def op5_secret_scans(spark, folder):
+    """Secrets in every whole text of documents."""
+    from treemend.llm.secrets import secret_report
+
+    return secret_report(table(spark, folder, "documents"))
+
+
+@query
+def op9_source_mix(spark, folder):
+    """All documents mixed to target weights of their sources."""
+    from treemend.llm.mixing import mix_report
+
+    return mix_report(table(spark, folder, "documents"))
+
+
+@query
+def op3_simhash_near_dedup(spark, folder):
+    """Near-duplicate components of all documents."""
+    from treemend.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, folder, "documents"))
