@@ -41,7 +41,7 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def pieces_of(texts: list, most: int = 4_000_000) -> Iterator[tuple[int, int]]:
+def pieces_of(texts: list, most: int = 1_500_000) -> Iterator[tuple[int, int]]:
     """Index ranges of about ``most`` characters, so that numpy buffers stay bounded."""
     start, size = 0, 0
     for i, t in enumerate(texts):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from treemend.llm.common import prepare
 
@@ -61,3 +62,15 @@ def op3_simhash_near_dedup(spark, folder):
     from treemend.llm.simhash import near_duplicates
 
     return near_duplicates(table(spark, folder, "documents"))
+
+
+@query
+def op7_language_id(spark, folder):
+    """The language of every whole text of documents, learned outside the held-out fold."""
+    from treemend.llm.common import held_out, learnable
+    from treemend.llm.langid import fit_languages, language_column
+
+    docs = table(spark, folder, "documents")
+    predict = language_column(fit_languages(docs.where(learnable(docs.doc_id)).select("lang", "text")))
+    scored = docs.select("doc_id", held_out(docs.doc_id).alias("held_out"), predict(docs.text).alias("_p"))
+    return scored.select("doc_id", "held_out", F.col("_p.lang").alias("lang_pred"), "_p.score", "_p.rejected")
