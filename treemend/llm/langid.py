@@ -33,7 +33,7 @@ FIT_CHARS = 6_000_000
 CALIBRATION_TEXTS = 2_000
 MOST_LANGUAGES = 1_000
 # Spreads above its language's mean at which a text is rejected: see calibrate().
-REJECT_SPREADS = 6.0
+REJECT_SPREADS = 8.0
 UNKNOWN, EDGE = 1, 2
 _LETTER_BITS = 15
 

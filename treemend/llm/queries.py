@@ -74,3 +74,13 @@ def op7_language_id(spark, folder):
     predict = language_column(fit_languages(docs.where(learnable(docs.doc_id)).select("lang", "text")))
     scored = docs.select("doc_id", held_out(docs.doc_id).alias("held_out"), predict(docs.text).alias("_p"))
     return scored.select("doc_id", "held_out", F.col("_p.lang").alias("lang_pred"), "_p.score", "_p.rejected")
+
+
+@query
+def op2_quality_classifier(spark, folder):
+    """Quality scores of every whole text of documents, learned from labels outside the held-out fold."""
+    from treemend.llm.common import held_out, learnable
+    from treemend.llm.quality import score_quality
+
+    scored = score_quality(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "labels"), learnable)
+    return scored.select("row.doc_id", held_out(F.col("row.doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
