@@ -84,3 +84,11 @@ def op2_quality_classifier(spark, folder):
 
     scored = score_quality(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "labels"), learnable)
     return scored.select("row.doc_id", held_out(F.col("row.doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query
+def op4_exact_top_k(spark, folder):
+    """The 5 highest integer inner products of every 50th vector against all others."""
+    from treemend.llm.topk import top_k
+
+    return top_k(table(spark, folder, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0, 5)
