@@ -92,3 +92,11 @@ def op4_exact_top_k(spark, folder):
     from treemend.llm.topk import top_k
 
     return top_k(table(spark, folder, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0, 5)
+
+
+@query
+def op10_nearest_neighbours(spark, folder):
+    """The 20 nearest vectors found for every 20th vector."""
+    from treemend.llm.ann import nearest_neighbours
+
+    return nearest_neighbours(table(spark, folder, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 20 == 0, 20)
