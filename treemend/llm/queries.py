@@ -100,3 +100,80 @@ def op10_nearest_neighbours(spark, folder):
     from treemend.llm.ann import nearest_neighbours
 
     return nearest_neighbours(table(spark, folder, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 20 == 0, 20)
+
+
+# The test tables carry no crawl days and no list. Both come from the pages: a page's day from its number, and a
+# list whose keys are the pages' own domains and paths, added and dropped on days drawn from the key's hash.
+_DAYS = 730
+_START = "2023-01-01"
+
+
+def _drawn(key: str, at: int) -> str:
+    """Two bytes of the key's MD5 as a number, in Spark SQL."""
+    return f"cast(conv(substr(md5({key}), {at}, 4), 16, 10) as int)"
+
+
+def dated_list(pages):
+    """key, category, day, action: about an eighth of all domains and path prefixes, up to three changes each."""
+    from treemend.llm.urls import host_of, keys_of, path_of
+
+    keys = pages.select(F.explode(keys_of(host_of(F.col("url")), path_of(F.col("url")))).alias("key")).distinct()
+    listed = keys.where(f"{_drawn('key', 1)} % 8 = 0").withColumn("category", F.when(F.instr("key", "/") > 0, "path").otherwise("domain"))
+    steps = F.expr("explode(array(named_struct('i', 5, 'a', 'add'), named_struct('i', 9, 'a', 'drop'), named_struct('i', 13, 'a', 'add')))")
+    day = f"date_add(date'{_START}', {_drawn('key', 'cast(s.i as int)')} % {_DAYS})"
+    return listed.withColumn("s", steps).select("key", "category", F.expr(day).alias("day"), F.col("s.a").alias("action"))
+
+
+@query
+def op8_url_filters(spark, folder):
+    """Every page's URL judged against the list entries active on its fetch day."""
+    from treemend.llm.urls import filter_urls
+
+    pages = table(spark, folder, "pages").select("page_id", "url")
+    captures = pages.withColumn("fetched", F.expr(f"date_add(date'{_START}', cast(pmod(page_id * 37, {_DAYS}) as int))"))
+    judged = filter_urls(captures, dated_list(pages))
+    return judged.select("row.page_id", "row.url", F.col("row.fetched").alias("fetched"), F.col("n_hits").cast("int").alias("n_hits"), "reasons", "blocked")
+
+
+_KEYS = r"""
+    SELECT url, unnest(list_distinct(list_concat(
+        list_transform(generate_series(1, greatest(1, len(labels) - 1)), lambda i: array_to_string(labels[i:], '.')),
+        CASE WHEN path = '' THEN [] ELSE list_transform(generate_series(1, least(len(segments), 3)), lambda i: host || '/' || array_to_string(segments[1:i], '/')) END
+    ))) AS key
+    FROM (
+        SELECT url, host, path, string_split(host, '.') AS labels, string_split_regex(path, '/+') AS segments
+        FROM (
+            SELECT DISTINCT url,
+                lower(regexp_extract(url, '^\s*[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]*?)\.?(?::\d*)?(?:[/?#]|$)', 1)) AS host,
+                regexp_replace(regexp_extract(url, '^\s*[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '^/+|/+$', '', 'g') AS path
+            FROM pages WHERE url IS NOT NULL
+        ) WHERE host <> ''
+    )"""
+ORACLES["op8_url_filters"] = f"""
+WITH keys AS MATERIALIZED ({_KEYS}),
+events AS (
+    SELECT key, category, day, max(action) AS action FROM (
+        SELECT key, CASE WHEN contains(key, '/') THEN 'path' ELSE 'domain' END AS category, s.a AS action,
+            DATE '{_START}' + CAST(CAST('0x' || substr(md5(key), s.i, 4) AS INTEGER) % {_DAYS} AS INTEGER) AS day
+        FROM (SELECT DISTINCT key FROM keys), (SELECT unnest([{{'i': 5, 'a': 'add'}}, {{'i': 9, 'a': 'drop'}}, {{'i': 13, 'a': 'add'}}]) AS s)
+        WHERE CAST('0x' || substr(md5(key), 1, 4) AS INTEGER) % 8 = 0
+    ) GROUP BY key, category, day
+),
+changes AS (
+    SELECT * FROM (SELECT *, lag(action) OVER (PARTITION BY key, category ORDER BY day) AS was FROM events)
+    WHERE action <> coalesce(was, 'drop')
+),
+spans AS (
+    SELECT * FROM (SELECT *, lead(day) OVER (PARTITION BY key, category ORDER BY day) AS upto FROM changes) WHERE action = 'add'
+),
+captures AS (SELECT page_id, url, DATE '{_START}' + CAST((page_id * 37) % {_DAYS} AS INTEGER) AS fetched FROM pages),
+hits AS (
+    SELECT c.url, c.fetched, count(DISTINCT s.category || ':' || s.key) AS n,
+        array_to_string(list_sort(list(DISTINCT s.category || ':' || s.key)), ',') AS reasons
+    FROM (SELECT DISTINCT url, fetched FROM captures) c JOIN keys USING (url) JOIN spans s USING (key)
+    WHERE s.day <= c.fetched AND (s.upto IS NULL OR c.fetched < s.upto)
+    GROUP BY c.url, c.fetched
+)
+SELECT page_id, url, fetched, CAST(coalesce(n, 0) AS INTEGER) AS n_hits, coalesce(reasons, '') AS reasons, n IS NOT NULL AS blocked
+FROM captures LEFT JOIN hits USING (url, fetched)
+"""
