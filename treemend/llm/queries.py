@@ -177,3 +177,11 @@ hits AS (
 SELECT page_id, url, fetched, CAST(coalesce(n, 0) AS INTEGER) AS n_hits, coalesce(reasons, '') AS reasons, n IS NOT NULL AS blocked
 FROM captures LEFT JOIN hits USING (url, fetched)
 """
+
+
+@query
+def op6_substring_dedup(spark, folder):
+    """All documents without the words of 35-word windows that occur elsewhere."""
+    from treemend.llm.substrings import remove_repeats
+
+    return remove_repeats(table(spark, folder, "documents").select("doc_id", "text"))
