@@ -80,7 +80,7 @@ def test_components(spark):
     pairs = [(i, i + 1) for i in range(100, 160)] + [(7, x) for x in range(1000, 1100)] + [(5, 5), (9, 8), (8, 9), (-3, 8)] + rng.integers(2000, 2200, (150, 2)).tolist()
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame([tuple(map(int, p)) for p in pairs], "u long, v long")).collect()}
     nodes = {x for a, b in pairs if a != b for x in (a, b)}
-    assert got == roots(pairs, nodes)
+    assert got == roots([p for p in pairs if p[0] != p[1]], nodes)
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
