@@ -245,15 +245,16 @@ def fit_languages(learn: DataFrame) -> bytes | None:
     the ``MOST_LANGUAGES`` largest of them.
     """
     spark = prepare(learn.sparkSession)
-    learn = learn.where("lang IS NOT NULL AND text IS NOT NULL").select(F.col("lang").cast("string"), F.col("text").cast("string"), F.xxhash64(F.lit(7), "text").alias("_h"))
-    sizes = learn.groupBy("lang").agg(F.sum(F.length("text")).alias("chars"), F.count(F.lit(1)).alias("texts"))
-    sizes = {r["lang"]: (r["chars"], r["texts"]) for r in sizes.where("chars > 0").orderBy(F.desc("chars"), "lang").limit(MOST_LANGUAGES).collect()}
+    learn = learn.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select(F.col("lang").cast("string"), F.col("text").cast("string"), F.xxhash64(F.lit(7), "text").alias("_h"))
+    u = F.pmod("_h", F.lit(1_000_003)) / 1_000_003
+    sizes = learn.groupBy("lang").agg(F.sum(F.length("text")).alias("chars"), F.count(F.lit(1)).alias("texts"), F.min(u).alias("first"))
+    sizes = {r["lang"]: (r["chars"], r["texts"], r["first"]) for r in sizes.where("chars > 0").orderBy(F.desc("chars"), "lang").limit(MOST_LANGUAGES).collect()}
     if not sizes:
         return None
-    share = {k: min(0.8, FIT_CHARS / c) for k, (c, _) in sizes.items()}
-    late = {k: min(1.0 - share[k], CALIBRATION_TEXTS / n) for k, (_, n) in sizes.items()}
+    # a language of few different texts is still learned from one of them
+    share = {k: max(min(0.8, FIT_CHARS / c), first + 1e-6) for k, (c, _, first) in sizes.items()}
+    late = {k: min(1.0 - share[k], CALIBRATION_TEXTS / n) for k, (_, n, _) in sizes.items()}
     table = lambda d: F.create_map(*[F.lit(x) for k, v in d.items() for x in (k, float(v))])
-    u = F.pmod("_h", F.lit(1_000_003)) / 1_000_003
     draw = learn.withColumn("_s", F.try_element_at(table(share), "lang")).withColumn("_l", F.try_element_at(table(late), "lang"))
     drawn = cut_lineage(draw.where(u < F.col("_s") + F.col("_l")).select("lang", "text", (u >= F.col("_s")).alias("late")).distinct())
     counted = drawn.where("NOT late").select("lang", "text")
