@@ -4,10 +4,12 @@ import math
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 import treemend.operators.curves as C
 import treemend.scale as S
+from treemend.functions.arrays import pack_curves
 from treemend.operators.curve_rules import spike_samples
 from treemend.operators.neighbors import idw, nearest
 
@@ -15,11 +17,11 @@ from treemend.operators.neighbors import idw, nearest
 def test_ordinals_over_a_hot_group(spark):
     rows = [("hot" if i % 3 else f"g{i % 7}", f"k{i:05d}", i) for i in range(3000)]
     df = spark.createDataFrame(rows, "g string, k string, v int").repartition(5)
-    plain = S.ordinal_in_group(df, ["g"], ["k"], "n")
-    split = S.ordinal_in_group(df, ["g"], ["k"], "n", plain_rows=10)
+    plain = df.withColumn("n", F.row_number().over(Window.partitionBy("g").orderBy("k")))
+    split = S.ordinal_in_group(df, ["g"], ["k"], "n")
     key = lambda d: sorted(map(tuple, d.select("g", "k", "v", "n").collect()))
     assert key(plain) == key(split)
-    whole = S.ordinal_in_group(df, [], ["k"], "n", plain_rows=10)
+    whole = S.ordinal_in_group(df, [], ["k"], "n")
     assert [r["n"] for r in whole.orderBy("k").select("n").collect()] == list(range(1, 3001))
 
 
@@ -127,10 +129,10 @@ def test_constant_curve_is_one_segment(spark):
     assert {r["segment"] for r in out} == {0}
 
 
-def test_sample_lookup_against_scan(spark, monkeypatch):
-    monkeypatch.setattr(C, "BLOCK_ROWS", 8)
+@pytest.mark.parametrize("outlier", [None, 1e9])
+def test_sample_lookup_against_scan(spark, outlier):
     rng = random.Random(3)
-    index = sorted(round(rng.uniform(0, 50), 1) for _ in range(200))
+    index = sorted(round(rng.uniform(0, 50), 1) for _ in range(200)) + ([outlier] if outlier else [])
     assert len(set(index)) < len(index)
     samples = spark.createDataFrame([("w", i, v) for i, v in enumerate(index)], "u string, pos int, idx double")
     depths = [round(rng.uniform(-2, 52), 1) for _ in range(300)] + [index[-1], index[0], index[57]] + [index[9]] * 50
@@ -146,6 +148,21 @@ def test_sample_lookup_against_scan(spark, monkeypatch):
     assert got == {i: scan(d) if i % 10 else None for i, d in enumerate(depths)}
 
 
+def test_sample_lookup_refuses_a_falling_index(spark):
+    samples = spark.createDataFrame([("w", 0, 3.0), ("w", 1, 2.0), ("w", 2, 1.0)], "u string, pos int, idx double")
+    picks = spark.createDataFrame([(1, "w", 2.5)], "k int, u string, d double")
+    with pytest.raises(Exception, match="does not ascend"):
+        C.sample_lookup(picks, samples, ["u"], "d", "idx", "pos").collect()
+
+
+def test_packed_curves_with_dense_and_missing_indexes(spark):
+    rng = random.Random(5)
+    rows = [("a", rng.choice([0.0, 1e-9, 1e9, 3.5, None]), float(i)) for i in range(300)]
+    out = pack_curves(spark.createDataFrame(rows, "u string, INDEX_VALUE double, MEASURED_VALUE double"), ["u"]).first()
+    want = sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0.0, r[2]))
+    assert [float(v) for v in out["MEASURED_VALUE"].split(", ")] == [r[2] for r in want]
+
+
 def brute_nearest(targets, candidates, k):
     def dist(a, b):
         la, lo, lb, lp = map(math.radians, (a[2], a[3], b[2], b[3]))

@@ -1,4 +1,6 @@
 import os
+import re
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -75,13 +77,35 @@ def test_las_batch(spark, las_folder):
     assert [tuple(r) for r in batch.parameters().filter("uwi = 'A1'").collect()] == [("A1", 1, "MUD", "GEL", "Mud")]
 
 
+def plain_las_lines(folder):
+    """Sections by splitting the whole text at ~; the last section of a letter counts; a line break ends a line."""
+    out = []
+    for file in Path(folder).rglob("*.las"):
+        last = {s[0]: s for s in file.read_bytes().decode().split("~") if s and s[0] in "VWCPA"}
+        for letter, text in last.items():
+            lines = re.split("\r\n|\r|\n", text)
+            lines = lines[:-1] if lines[-1] == "" and len(lines) > 1 else lines
+            out += [(file.name, letter, i, x) for i, x in enumerate(lines)]
+    return out
+
+
+@pytest.mark.parametrize("tail", ["", "\n", "\n\n", "\r\n", "\r\n\r\n\r\n", "\n\n\n\n"])
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_line_ends_and_blank_tails(spark, tmp_path, tail, end):
+    body = end.join(["~V", " VERS. 2.0 : v", "~~W x", " UWI. W1 : w", "~C", "~P", "~C again", " GR. : g", "~A", "1 2", "", "3 4"])
+    (tmp_path / "a.las").write_bytes((body + tail).encode())
+    got = sorted((r["f"], r["section"], r["line_no"], r["line"]) for r in L.scan_las(spark, str(tmp_path)).select(name().alias("f"), "*").collect())
+    assert got == sorted(plain_las_lines(tmp_path))
+
+
 def test_large_files_read_in_splits_give_the_same_lines(spark, las_folder):
     key = lambda df: sorted((r["f"], r["section"], r["line_no"], r["line"]) for r in df.select(name().alias("f"), "*").collect())
     whole = key(L.scan_las(spark, las_folder))
+    assert whole == sorted(plain_las_lines(las_folder))
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "64b")
     try:
-        split = key(L.scan_las(spark, las_folder, whole_bytes=100, plain_rows=5))
+        split = key(L.scan_las(spark, las_folder))
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert split == whole
@@ -89,12 +113,29 @@ def test_large_files_read_in_splits_give_the_same_lines(spark, las_folder):
 
 def test_csv(spark, tmp_path):
     (tmp_path / "a.csv").write_text("X,KEY,NAME\n1,a,first\n2,,nokey\n3,A,longer name\n4,b,\n")
-    rows = K.scan_csv(spark, str(tmp_path), "KEY=1; NAME=2; NO=0", {"NAME": 6}, with_order=True)
+    rows = K.scan_csv(spark, str(tmp_path), "KEY=1; NAME=2; NO=0", {"NAME": 6}, with_order=True, multiline=False)
     out = {r["KEY"]: (r["NAME"], r["NO"], r["SET"]) for r in K.dedupe_last(rows, ["KEY", "SET"]).collect()}
     # the hash ignores case, the last row wins, an absent key column is UNKNOWN
     assert out == {"UNKNOWN": ("nokey", "2", "UNKNOWN"), "A": ("longer", "3", "UNKNOWN"), "b": (None, "4", "UNKNOWN")}
 
 
+def test_csv_quotes(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('ID,NAME,X\n1,"say ""hi"" x",a\n2,"path\\",b\n3,"a,b",c\n4,back\\slash,d\n')
+    rows = K.scan_csv(spark, str(tmp_path), "ID=0; NAME=1; X=2", multiline=False)
+    assert sorted(map(tuple, rows.collect())) == [("1", 'say "hi" x', "a"), ("2", "path\\", "b"), ("3", "a,b", "c"), ("4", "back\\slash", "d")]
+    (tmp_path / "a.csv").write_text('ID,NAME\n1,"two\nlines"\n2,one\n')
+    rows = K.scan_csv(spark, str(tmp_path), "ID=0; NAME=1", multiline=True)
+    assert sorted(map(tuple, rows.collect())) == [("1", "two\nlines"), ("2", "one")]
+
+
+def test_upsert_refuses_unknown_columns(spark):
+    target = spark.createDataFrame([(1, "a")], "k int, v string")
+    source = spark.createDataFrame([(2, "b", 5)], "k int, v string, extra int")
+    with pytest.raises(ValueError, match="extra"):
+        S.upsert(target, source, ["k"])
+    assert sorted(map(tuple, S.upsert(target, source, ["k"], ignore_unknown=True).collect())) == [(1, "a"), (2, "b")]
+
+
 def test_parents(spark):
     child = spark.createDataFrame([("abc'def",), ("abc'xyz",), ("ab",), ("",), (None,), ("abcdef",)], "U string")
     ref = ReferenceDef("Pick", "UNIT", "ID", "LONG", "U", "SET=ALL")

@@ -64,11 +64,16 @@ def test_where_keeps_only_matching_branches(spark, tables):
     assert paths(X.build_index(spark, TREE, tables, ACCESS, where="ID = 'none'")) == ["/"]
 
 
-def test_hot_parent_gives_the_same_tree(spark, tables, idx, monkeypatch):
-    monkeypatch.setattr(X, "ordinal_in_group", lambda *a, **k: __import__("treemend.scale").scale.ordinal_in_group(*a, **{**k, "plain_rows": 2}))
-    again = X.build_index(spark, TREE, tables, ACCESS)
-    key = lambda d: sorted(map(str, d.select("node_path", "data_name", "data_type").collect()))
-    assert key(again) == key(idx)
+def test_siblings_are_numbered_within_their_group(spark):
+    """Two parents of one key: each has all the children, numbered from 1."""
+    tables = {
+        "W": spark.createDataFrame([("a", 1.0, 1.0, 1.0, "x"), ("a", 2.0, 2.0, 2.0, "y")], "ID string, LAT double, LON double, ELEV double, REMARK string"),
+        "P": spark.createDataFrame([("a", f"u{i}", 1.0, "") for i in range(3)], "ID string, UNIT string, DEPTH double, REMARK string"),
+        "N": spark.createDataFrame([], "ID string, TXT string"), "C": spark.createDataFrame([], "ID string, UNIT string, NO string"),
+    }
+    out = X.build_index(spark, TREE, tables, ACCESS).filter("data_type = 'Pick'")
+    assert sorted(r["node_path"][-1] for r in out.collect()) == [1, 1, 2, 2, 3, 3]
+    assert out.select("node_path").distinct().count() == 6
 
 
 def test_reading(idx):

@@ -14,17 +14,30 @@ BIG = "bigint"
 
 def _csv(fx: Fixtures, df, label: str) -> str:
     path = scratch_path(fx.spark, label)
-    df.write.csv(path, header=True)
+    df.write.csv(path, header=True, escape='"')
+    return path
+
+
+def _rfc_csv(fx: Fixtures, df, label: str) -> str:
+    """Files of quoted values, quotes doubled, written as plain text."""
+    path = scratch_path(fx.spark, label)
+    cells = [F.concat(F.lit('"'), F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit('"'), F.lit('""')), F.lit('"')) for c in df.columns]
+    lines = df.select(F.pmod(F.xxhash64(*df.columns), F.lit(8)).alias("part"), F.concat_ws(",", *cells).alias("line"))
+    text = lines.groupBy("part").agg(F.concat(F.lit(",".join(df.columns) + "\n"), F.array_join(F.collect_list("line"), "\n")).alias("value"))
+    text.select("value").repartition(8).write.option("maxRecordsPerFile", 1).text(path)
     return path
 
 
 @query(
     "csv_scan_mapped",
-    duck_with("f_well") + "SELECT uwi AS \"UWI\", substr(well_name, 1, 14) AS \"WELL_NAME\", cast(round(elev, 2) AS double) AS \"ELEV\" FROM f_well",
+    duck_with("f_well") + "SELECT uwi AS \"UWI\", substr(concat(well_name, CASE wkey % 5 WHEN 0 THEN ' \"a\" b' WHEN 1 THEN ',c' WHEN 2 THEN '\\' WHEN 3 THEN '\\\"' ELSE '' END), 1, 22) AS \"WELL_NAME\","
+    " cast(round(elev, 2) AS double) AS \"ELEV\" FROM f_well",
 )
 def csv_scan_mapped(fx):
-    w = fx["f_well"].select("wkey", "status", "uwi", "lat", "elev", "well_name")
-    rows = K.scan_csv(fx.spark, _csv(fx, w, "wells"), "UWI=2; WELL_NAME=5; ELEV=4", {"WELL_NAME": 14})
+    # names with doubled quotes, delimiters and backslashes in quotes
+    tail = F.get(F.array(*map(F.lit, (' "a" b', ",c", "\\", '\\"', ""))), F.col("wkey") % 5)
+    w = fx["f_well"].select("wkey", "status", "uwi", "lat", "elev", F.concat("well_name", tail).alias("well_name"))
+    rows = K.scan_csv(fx.spark, _rfc_csv(fx, w, "wells"), "UWI=2; WELL_NAME=5; ELEV=4", {"WELL_NAME": 22}, multiline=False)
     return rows.select("UWI", "WELL_NAME", F.round(F.col("ELEV").cast("double"), 2).alias("ELEV"))
 
 
@@ -41,7 +54,7 @@ _KEYED = """SELECT pkey, uwi, CASE WHEN pkey % 9 = 0 THEN NULL ELSE unit END AS
 def csv_key_fix_dedupe(fx):
     picks = fx.spark.sql(_KEYED.format("{f_pick}"), f_pick=fx["f_pick"]).orderBy("pkey")
     path = _csv(fx, picks, "picks")
-    rows = K.scan_csv(fx.spark, path, {"pkey": 0, "UWI": 1, "UNIT": 2, "depth": 3}, with_order=True)
+    rows = K.scan_csv(fx.spark, path, {"pkey": 0, "UWI": 1, "UNIT": 2, "depth": 3}, with_order=True, multiline=False)
     # part files are written in key order, so the file name sorts as the rows did
     out = K.dedupe_last(rows, ["UWI", "UNIT", "INTERP"])
     return out.select(
@@ -57,7 +70,7 @@ def csv_key_fix_dedupe(fx):
 def csv_parent_rows(fx):
     name = F.when(F.col("p_partkey") % 11 == 0, "").otherwise(F.concat(F.replace("p_name", F.lit(" "), F.lit("'")), "p_brand"))
     path = _csv(fx, fx["part"].select("p_partkey", name.alias("unit")), "units")
-    child = K.scan_csv(fx.spark, path, "ID=0; UNIT=1")
+    child = K.scan_csv(fx.spark, path, "ID=0; UNIT=1", multiline=False)
     ref = ReferenceDef("MarkerPick", "STRAT_UNIT", "UNIT_ID", "LONG_NAME", "UNIT", "SET_ID=UNKNOWN")
     return K.derive_parents(child, ref, 12)
 
@@ -70,7 +83,8 @@ def csv_parent_rows(fx):
 _GRID = """
     SELECT wkey, sample_id, sample_id / 2 AS idx,
            max(CASE WHEN curve_id = 'click' THEN t END) AS c1, max(CASE WHEN curve_id = 'view' THEN t END) AS c2,
-           max(CASE WHEN curve_id = 'purchase' THEN t END) AS c3
+           max(CASE WHEN curve_id = 'purchase' THEN t END) AS c3, max(CASE WHEN curve_id = 'signup' THEN t END) AS c4,
+           max(CASE WHEN curve_id = 'error' THEN t END) AS c5
     FROM (SELECT wkey, sample_id, curve_id,
                  CASE WHEN event_id % 29 = 0 THEN 'bad' WHEN event_id % 31 = 0 THEN '1e16' ELSE cast(measured_value AS string) END AS t FROM {f_curve}) s
     GROUP BY wkey, sample_id"""
@@ -82,7 +96,7 @@ def _las_folder(fx: Fixtures) -> str:
     # rows divisible by 10 stop after the first curve: the missing columns repeat it
     row = F.concat(
         F.lit("  "), F.col("idx").cast("string"), F.lit("   "), token("c1"),
-        F.when(F.col("sample_id") % 10 > 0, F.concat(F.lit("  "), token("c2"), F.lit(" "), token("c3"))).otherwise(""),
+        F.when(F.col("sample_id") % 10 > 0, F.concat(F.lit("  "), token("c2"), F.lit(" "), token("c3"), F.lit("  "), token("c4"), F.lit("   "), token("c5"))).otherwise(""),
     )
     body = grid.groupBy("wkey").agg(F.array_sort(F.collect_list(F.struct("sample_id", row.alias("r")))).alias("rows"))
     k = F.col("wkey")
@@ -97,9 +111,9 @@ def _las_folder(fx: Fixtures) -> str:
         F.lit("~Well Information\n#MNEM.UNIT  DATA : DESCRIPTION\n UWI .  "), F.when((k % 7 > 0) & (k % 11 > 0), uwi).otherwise(""),
         F.lit(" : UNIQUE WELL ID\n API .  "), F.when(k % 7 == 0, F.concat(F.lit("A"), ks)).otherwise(""), F.lit(" : API NUMBER\n"),
         F.lit(" WELL .  Well "), ks, F.lit(" : WELL: NAME\n LEAS .  Lease "), ks, F.lit(" : LEASE\n LAT .DEG  "), (k * 0.5).cast("string"), F.lit(" : LATITUDE\n"),
-        F.lit("~Curve Information\n DEPT.M : Depth\n CLICK.API 07 : Clicks\n VIEW.API : Views\n BUY.V/V : Purchases\n"),
+        F.lit("~Curve Information\n DEPT.M : Depth\n CLICK.API 07 : Clicks\n VIEW.API : Views\n BUY.V/V : Purchases\n SIGN.API : Signups\n ERR.API : Errors\n"),
         F.lit("~Parameter Information\n MUD .  GEL : Mud: type\n# no parameter\n BHT .DEGC  "), ks, F.lit(" : Bottom hole\n"),
-        F.lit("~A DEPT CLICK VIEW BUY\n"),
+        F.lit("~A DEPT CLICK VIEW BUY SIGN ERR\n"),
     )
     text = F.concat(header, F.array_join("rows.r", "\n"))
     path = scratch_path(fx.spark, "las")
@@ -141,7 +155,7 @@ def las_sections(fx):
     " ['W', 'UWI', '', CASE WHEN k % 7 > 0 AND k % 11 > 0 THEN concat('W', lpad(cast(k AS string), 8, '0')) ELSE '' END, 'UNIQUE WELL ID'],"
     " ['W', 'API', '', CASE WHEN k % 7 = 0 THEN concat('A', k) ELSE '' END, 'API NUMBER'], ['W', 'WELL', '', concat('Well ', k, ' : WELL'), 'NAME'],"
     " ['W', 'LEAS', '', concat('Lease ', k), 'LEASE'], ['W', 'LAT', 'DEG', cast(k * 0.5::DOUBLE AS string), 'LATITUDE'],"
-    " ['C', 'DEPT', 'M', '', 'Depth'], ['C', 'CLICK', 'API', '07', 'Clicks'], ['C', 'VIEW', 'API', '', 'Views'], ['C', 'BUY', 'V/V', '', 'Purchases'],"
+    " ['C', 'DEPT', 'M', '', 'Depth'], ['C', 'CLICK', 'API', '07', 'Clicks'], ['C', 'VIEW', 'API', '', 'Views'], ['C', 'BUY', 'V/V', '', 'Purchases'], ['C', 'SIGN', 'API', '', 'Signups'], ['C', 'ERR', 'API', '', 'Errors'],"
     " ['P', 'MUD', '', 'GEL : Mud', 'type'], ['P', 'BHT', 'DEGC', cast(k AS string), 'Bottom hole']]) AS m FROM u)",
 )
 def las_header_lines(fx):
@@ -163,7 +177,7 @@ def las_wells(fx):
 @query(
     "las_curve_headers",
     f"WITH {_USERS} SELECT {_UWI} AS uwi, m[1] AS curve_id, m[2] AS reported_desc, -999.25::DOUBLE AS null_representation, -99999::DOUBLE AS min_index FROM"
-    " (SELECT k, unnest([['CLICK', 'Clicks'], ['VIEW', 'Views'], ['BUY', 'Purchases']]) AS m FROM u)",
+    " (SELECT k, unnest([['CLICK', 'Clicks'], ['VIEW', 'Views'], ['BUY', 'Purchases'], ['SIGN', 'Signups'], ['ERR', 'Errors']]) AS m FROM u)",
 )
 def las_curve_headers(fx):
     return _las(fx).logs().select("uwi", "curve_id", "reported_desc", "null_representation", "min_index")
@@ -175,10 +189,11 @@ _NUM = "CASE WHEN {0} IN ('bad', '1e16') THEN -999.25 ELSE coalesce(try_cast({0}
 @query(
     "las_curve_values",
     duck_with("f_curve", more=f"{_USERS}, g AS ({_GRID.format(f_curve='f_curve')}), v AS (SELECT k, sample_id, idx, c1, CASE WHEN sample_id % 10 = 0 THEN c1 ELSE c2 END AS c2,"
-              " CASE WHEN sample_id % 10 = 0 THEN c1 ELSE c3 END AS c3 FROM g JOIN u ON wkey = k)")
+              " CASE WHEN sample_id % 10 = 0 THEN c1 ELSE c3 END AS c3, CASE WHEN sample_id % 10 = 0 THEN c1 ELSE c4 END AS c4,"
+              " CASE WHEN sample_id % 10 = 0 THEN c1 ELSE c5 END AS c5 FROM g JOIN u ON wkey = k)")
     + " UNION ALL ".join(
         f"SELECT {_UWI} AS uwi, '{n}' AS curve_id, sample_id, idx::DOUBLE AS index_value, round({_NUM.format(c)}, 4) AS measured_value FROM v"
-        for n, c in (("CLICK", "c1"), ("VIEW", "c2"), ("BUY", "c3"))
+        for n, c in (("CLICK", "c1"), ("VIEW", "c2"), ("BUY", "c3"), ("SIGN", "c4"), ("ERR", "c5"))
     ),
 )
 def las_curve_values(fx):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,7 +26,8 @@ def query(name: str, sql: str | None = None):
         run.__doc__ = build.__doc__
         QUERIES[name] = run
         if sql:
-            ORACLES[name] = sql
+            # a CTE that is read more than once is computed once
+            ORACLES[name] = re.sub(r"(\w+) AS \((\s*SELECT)", r"\1 AS MATERIALIZED (\2", sql)
         return build
 
     return add

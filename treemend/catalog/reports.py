@@ -63,7 +63,9 @@ def failure_list_query(fx):
     "edit_attribute",
     WELL_IDX + _FAILED + ", qc AS (" + _FLAGS + """)
     SELECT qc.path, CASE WHEN k % 3 = 0 AND qc LIKE '%C1%' THEN replace(replace(qc, 'C1;', ''), 'C1', '') ELSE qc END AS qc,
-           CASE WHEN k % 3 = 0 AND qc LIKE '%C1%' THEN 100.5::DOUBLE + k END AS elev, CASE WHEN k % 3 = 0 AND qc LIKE '%C1%' THEN ';DEPTH_DATUM_ELEV has been manually edited;' END AS remark
+           CASE WHEN k % 3 = 0 AND qc LIKE '%C1%' THEN 100.5::DOUBLE + k END AS elev,
+           CASE WHEN k % 3 = 0 AND qc LIKE '%C1%' THEN ';DEPTH_DATUM_ELEV has been manually edited;' || CASE WHEN k % 2 = 0 THEN ';OPERATOR has been manually edited;' ELSE '' END END AS remark,
+           CASE WHEN k % 6 = 0 AND qc LIKE '%C1%' THEN 'op ' || k END AS operator
     FROM qc LEFT JOIN (SELECT path AS wp, CAST(substr(data_name, 2) AS BIGINT) AS k FROM idx WHERE data_type = 'WellBore') w ON qc.path = wp""",
 )
 def edit_attribute(fx):
@@ -71,12 +73,20 @@ def edit_attribute(fx):
     wells = idx.filter(F.array_contains("qc", "C1")).withColumn("k", F.substring("data_name", 2, 8).try_cast(BIG)).filter(F.col("k") % 3 == 0)
     edits = wells.select(
         "node_path", F.lit("DEPTH_DATUM_ELEV").alias("column_name"), F.lit("number").alias("column_type"), (F.col("k") + 100.5).cast("double").alias("number_value"),
-        F.lit(None).cast("string").alias("text_value"), F.lit("C1").alias("rule_key"),
+        F.lit(None).cast("string").alias("text_value"), F.lit("C1").alias("rule_key"), F.lit(1).alias("edit_no"), "k",
     )
-    out = E.apply_edits(idx, edits)
+    # every other record has a second edit
+    second = edits.filter(F.col("k") % 2 == 0).select(
+        "node_path", F.lit("OPERATOR").alias("column_name"), F.lit("text").alias("column_type"), F.lit(None).cast("double").alias("number_value"),
+        F.concat(F.lit("op "), F.col("k").cast("string")).alias("text_value"), F.lit(None).cast("string").alias("rule_key"), F.lit(2).alias("edit_no"), "k",
+    )
+    out = E.apply_edits(idx, edits.unionByName(second))
     a = attributes(F.col("doc"))
     edited = attr_text(a, "REMARK").contains("manually")
-    return out.select(path(), flags(), F.when(edited, attr_number(a, "DEPTH_DATUM_ELEV")).alias("elev"), F.when(edited, attr_text(a, "REMARK")).alias("remark"))
+    return out.select(
+        path(), flags(), F.when(edited, attr_number(a, "DEPTH_DATUM_ELEV")).alias("elev"), F.when(edited, attr_text(a, "REMARK")).alias("remark"),
+        F.when(attr_text(a, "REMARK").contains("OPERATOR has been"), attr_text(a, "OPERATOR")).alias("operator"),
+    )
 
 
 @query(
@@ -99,7 +109,10 @@ def insert_child_edit(fx):
 # parts with the same key merge into the lowest; their suppliers' lines are the children
 LINE = AccessDef("Line", "LINES", ("ID", "TAG"), {"ID": "string", "TAG": "string", "QTY": "number"})
 PART = AccessDef("Part", "PARTS", ("ID",), {"ID": "string", "NAME": "string", "BRAND": "string"})
-PART_TREE = Taxonomy((TypeNode("Part", "NAME", children=(TypeNode("Line", "TAG", parent_key="ID = [ID]"),)),))
+ITEM = AccessDef("Item", "ITEMS", ("ID", "TAG", "FLAG"), {"ID": "string", "TAG": "string", "FLAG": "string", "TAX": "number"})
+PART_TREE = Taxonomy((TypeNode("Part", "NAME", children=(TypeNode("Line", "TAG", parent_key="ID = [ID]", children=(TypeNode("Item", "FLAG", parent_key="ID = [ID], TAG = [TAG]"),)),)),))
+_ITEMS = """SELECT l_partkey AS pk, concat('T', cast(l_suppkey % 7 AS string)) AS tag, l_returnflag AS flag, max(l_tax) AS tax FROM {lineitem}
+    GROUP BY l_partkey, concat('T', cast(l_suppkey % 7 AS string)), l_returnflag"""
 _LINES = """SELECT l_partkey AS pk, concat('T', cast(l_suppkey % 7 AS string)) AS tag, sum(l_quantity) AS qty FROM {lineitem}
     GROUP BY l_partkey, concat('T', cast(l_suppkey % 7 AS string))"""
 
@@ -110,17 +123,21 @@ _LINES = """SELECT l_partkey AS pk, concat('T', cast(l_suppkey % 7 AS string)) A
     s AS (SELECT kt, min(p_partkey) AS keep FROM k WHERE n > 1 GROUP BY kt),
     tw AS (SELECT p_partkey, keep FROM k JOIN s USING (kt) WHERE p_partkey <> keep),
     lone AS (SELECT p_partkey FROM k WHERE p_partkey NOT IN (SELECT p_partkey FROM tw)),
-    kept AS (SELECT pk AS id, tag, qty FROM lines WHERE pk IN (SELECT p_partkey FROM lone)),
-    extra AS (SELECT keep AS id, tag, arg_min(qty, pk) AS qty FROM lines JOIN tw ON pk = p_partkey
-              WHERE (keep, tag) NOT IN (SELECT id, tag FROM kept) GROUP BY keep, tag)
-    SELECT 'Part' AS data_type, p_partkey AS id, NULL AS tag, NULL::DOUBLE AS qty, '' AS qc FROM lone
-    UNION ALL SELECT 'Line', id, tag, qty, '' FROM kept UNION ALL SELECT 'Line', id, tag, qty, '' FROM extra""",
+    items AS ({_ITEMS.format(lineitem='lineitem')}),
+    kept AS (SELECT pk AS id, tag, qty, pk AS source FROM lines WHERE pk IN (SELECT p_partkey FROM lone)),
+    extra AS (SELECT keep AS id, tag, arg_min(qty, pk) AS qty, min(pk) AS source FROM lines JOIN tw ON pk = p_partkey
+              WHERE (keep, tag) NOT IN (SELECT id, tag FROM kept) GROUP BY keep, tag),
+    alive AS (SELECT * FROM kept UNION ALL SELECT * FROM extra)
+    SELECT 'Part' AS data_type, p_partkey AS id, NULL AS tag, NULL AS flag, NULL::DOUBLE AS qty, '' AS qc FROM lone
+    UNION ALL SELECT 'Line', id, tag, NULL, qty, '' FROM alive
+    UNION ALL SELECT 'Item', id, alive.tag, flag, tax, '' FROM alive JOIN items ON pk = source AND items.tag = alive.tag""",
 )
 def merge_duplicates(fx):
     parts = fx["part"].select(F.col("p_partkey").alias("ID"), F.col("p_name").alias("NAME"), F.col("p_brand").alias("BRAND"))
     lines = fx.spark.sql(_LINES, lineitem=fx["lineitem"]).select(F.col("pk").alias("ID"), F.col("tag").alias("TAG"), F.col("qty").alias("QTY"))
-    access = {"Part": PART, "Line": LINE}
-    idx = X.build_index(fx.spark, PART_TREE, {"PARTS": parts, "LINES": lines}, access)
+    items = fx.spark.sql(_ITEMS, lineitem=fx["lineitem"]).select(F.col("pk").alias("ID"), F.col("tag").alias("TAG"), F.col("flag").alias("FLAG"), F.col("tax").alias("TAX"))
+    access = {"Part": PART, "Line": LINE, "Item": ITEM}
+    idx = X.build_index(fx.spark, PART_TREE, {"PARTS": parts, "LINES": lines, "ITEMS": items}, access)
     idx = cut_lineage(flag_index(idx, [U1], PART_TREE, access))
     failing = idx.filter(F.array_contains("qc", "U1"))
     a = attributes(F.col("doc"))
@@ -128,9 +145,10 @@ def merge_duplicates(fx):
 
     survivors = failing.groupBy(uniq_key(a, U1.params).alias("k")).agg(F.min("node_path").alias("node_path"))
     out = E.merge_duplicates(idx, survivors, U1, PART_TREE, access)
-    live = out.filter(F.col("data_type").isin("Part", "Line") & X.has_doc())
+    live = out.filter(F.col("data_type").isin("Part", "Line", "Item") & X.has_doc())
     return live.select(
-        "data_type", attr_text(a, "ID").try_cast(BIG).alias("id"), F.try_element_at(a, F.lit("TAG")).alias("tag"), attr_number(a, "QTY").alias("qty"), flags()
+        "data_type", attr_text(a, "ID").try_cast(BIG).alias("id"), F.try_element_at(a, F.lit("TAG")).alias("tag"), F.try_element_at(a, F.lit("FLAG")).alias("flag"),
+        F.coalesce(attr_number(a, "QTY"), attr_number(a, "TAX")).alias("qty"), flags(),
     )
 
 

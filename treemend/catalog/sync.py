@@ -131,7 +131,7 @@ def copy_references(fx):
 @query(
     "insert_if_absent",
     duck_with("f_curve") + "SELECT 'well' AS kind, c_custkey AS k, CASE WHEN c_custkey % 5 = 0 THEN 'there' ELSE c_name END AS v FROM customer WHERE c_custkey % 5 = 0 OR c_custkey % 2 = 0"
-    " UNION ALL SELECT 'sample', wkey, concat(curve_id, '/', cast(sample_id AS string)) FROM f_curve WHERE curve_id IN ('click', 'view', 'purchase')",
+    " UNION ALL SELECT 'sample', wkey, concat(curve_id, '/', cast(sample_id AS string)) FROM f_curve",
 )
 def insert_if_absent(fx):
     c = fx["customer"]
@@ -139,9 +139,9 @@ def insert_if_absent(fx):
     source = c.filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("v"))
     wells = S.append_new(target, source.unionByName(source.withColumn("v", F.concat("v", F.lit("~")))), ["k"])
     curves = fx["f_curve"].select("wkey", "curve_id", "sample_id")
-    old = curves.filter("curve_id IN ('click', 'view')")
+    old = curves.filter("curve_id IN ('click', 'view', 'error')")
     # the arriving curves repeat 'view' with other samples: an existing curve stays as it is
-    arriving = curves.filter("curve_id = 'purchase'").unionByName(old.filter("curve_id = 'view'").withColumn("sample_id", F.col("sample_id") + 1000))
+    arriving = curves.filter("curve_id IN ('purchase', 'signup')").unionByName(old.filter("curve_id = 'view'").withColumn("sample_id", F.col("sample_id") + 1000))
     samples = S.append_new_series(old, arriving, ["wkey", "curve_id"])
     return wells.select(F.lit("well").alias("kind"), "k", "v").unionByName(
         samples.select(F.lit("sample").alias("kind"), F.col("wkey").alias("k"), F.concat_ws("/", "curve_id", F.col("sample_id").cast("string")).alias("v"))

@@ -235,31 +235,34 @@ def insert_node(fx):
 
 @query(
     "delete_subtree",
-    WELL_IDX + ", gone AS (SELECT path AS g FROM idx WHERE data_type = 'WellBore' AND latitude IS NULL)"
-    " SELECT path, CASE WHEN g IS NULL AND data_type NOT IN ('WellBores', 'Logs', 'MarkerPicks') THEN 1 ELSE 0 END::BIGINT AS has_doc"
-    " FROM idx LEFT JOIN gone ON level >= 2 AND '/1/' || split_part(path, '/', 3) || '/' = g",
+    WELL_IDX + ", gone AS (SELECT path AS g FROM idx WHERE data_type = 'WellBore' AND latitude IS NULL),"
+    " keyed AS (SELECT path, data_type, data_name, CASE WHEN level >= 2 THEN '/1/' || split_part(path, '/', 3) || '/' END AS w FROM idx)"
+    " SELECT path, CASE WHEN g IS NULL AND data_type NOT IN ('WellBores', 'Logs', 'MarkerPicks') AND NOT (data_type = 'MarkerPick' AND data_name = '5-LOW') THEN 1 ELSE 0 END::BIGINT AS has_doc"
+    " FROM keyed LEFT JOIN gone ON w = g",
 )
 def delete_subtree(fx):
     idx = well_index(fx)
-    ids = idx.filter((F.col("data_type") == "WellBore") & F.col("latitude").isNull())
-    out = X.delete_subtree(idx, ids, 2)
+    # ids on two levels: wells and picks
+    wells = (F.col("data_type") == "WellBore") & F.col("latitude").isNull()
+    ids = idx.filter(wells | ((F.col("data_type") == "MarkerPick") & (F.col("data_name") == "5-LOW")))
+    out = X.delete_subtree(idx, ids)
     return out.select(X.path_text(F.col("node_path")).alias("path"), X.has_doc().cast(BIG).alias("has_doc"))
 
 
 @query(
     "update_index",
-    WELL_IDX + "SELECT path, CASE WHEN u THEN 'P7;P8' ELSE '' END AS qc, CASE WHEN u THEN num * 2 ELSE num END AS num FROM"
-    " (SELECT path, num, data_type = 'MarkerPick' AND data_name = '5-LOW' AS u FROM idx WHERE data_type = 'MarkerPick')",
+    WELL_IDX + "SELECT path, data_name, data_type, data_key, CASE WHEN u THEN 'P7;P8' ELSE '' END AS qc, CASE WHEN data_type = 'MarkerPick' THEN CASE WHEN u THEN num * 2 ELSE num END END AS num FROM"
+    " (SELECT *, data_type = 'MarkerPick' AND data_name = '5-LOW' AS u FROM idx)",
 )
 def update_index(fx):
     idx = well_index(fx)
     low = idx.filter((F.col("data_type") == "MarkerPick") & (F.col("data_name") == "5-LOW"))
     doc = to_doc((attr_number(attributes(F.col("doc")), "PICK_DEPTH") * 2).alias("PICK_DEPTH"))
     updates = low.select("node_path", doc.alias("doc"), F.array(F.lit("P7"), F.lit("P8")).alias("qc"))
-    out = X.apply_updates(idx, updates).filter(F.col("data_type") == "MarkerPick")
+    out = X.apply_updates(idx, updates)
+    depth = F.when(F.col("data_type") == "MarkerPick", attr_number(attributes(F.col("doc")), "PICK_DEPTH"))
     return out.select(
-        X.path_text(F.col("node_path")).alias("path"), F.concat_ws(";", "qc").alias("qc"),
-        attr_number(attributes(F.col("doc")), "PICK_DEPTH").alias("num"),
+        X.path_text(F.col("node_path")).alias("path"), "data_name", "data_type", "data_key", F.concat_ws(";", "qc").alias("qc"), depth.alias("num")
     )
 
 
@@ -271,14 +274,15 @@ def clear_flags(fx):
 
 @query(
     "project_split",
-    WELL_IDX + "SELECT project, count(*) AS n_nodes FROM idx, (SELECT unnest(['north', 'south']) AS project) GROUP BY project",
+    WELL_IDX + "SELECT project, count(*) AS n_nodes FROM idx, (SELECT unnest(['', 'south', '007']) AS project) GROUP BY project",
 )
 def project_split(fx):
     from treemend.session import scratch_path
 
     idx = well_index(fx)
     path = scratch_path(fx.spark, "projects")
-    X.save_projects(X.copy_project(idx, "north").unionByName(X.copy_project(idx, "old")), path)
-    X.save_projects(X.copy_project(idx, "south"), path)
-    stored = fx.spark.read.parquet(path)
-    return X.list_projects(X.drop_project(stored, "old"))
+    # the default project, a name like a number, and two that go: one from the files, one from what is read
+    X.save_projects(idx.unionByName(X.copy_project(idx, "old")), path)
+    X.save_projects(X.copy_project(idx, "south").unionByName(X.copy_project(idx, "007")).unionByName(X.copy_project(idx, "north")), path)
+    X.drop_stored_project(fx.spark, path, "old")
+    return X.list_projects(X.drop_project(X.load_projects(fx.spark, path), "north"))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from treemend.functions.arrays import parse_array_strict
 from treemend.functions.docs import attr_text, attributes
 from treemend.functions.values import is_blank
-from treemend.scale import BLOCK_ROWS, running_sum, with_halo
+from treemend.scale import in_stretches, running_sum, with_halo
 from treemend.session import cut_lineage
 
 # Frame width in samples, cutoff in standard deviations.
@@ -104,36 +104,31 @@ def sample_lookup(
 ) -> DataFrame:
     """Add ``position`` of the sample whose interval [index, next) holds the depth.
 
-    The last sample matches only its own index; anything else gives null.
-    An as-of merge: distinct depths and samples are merged per depth block and
-    a block's first rows take the last sample of the blocks before it, so no
-    depth is paired with more than one sample.
+    The last sample matches only its own index; anything else gives null. The
+    index must ascend with the position: a sample below an earlier one fails
+    the job. An as-of merge: distinct depths and samples are sorted together in
+    stretches of equal length, and a stretch's first rows take the last sample
+    of the stretches before it, so no depth is paired with more than one sample.
     """
     series = list(series)
-    spans = samples.groupBy(*series).agg(
-        F.min(index).alias("_low"), F.max(index).alias("_high"), F.count(F.lit(1)).alias("_n")
-    )
-    width = F.when(F.col("_high") > F.col("_low"), (F.col("_high") - F.col("_low")) * BLOCK_ROWS / F.col("_n")).otherwise(1.0)
-    spans = spans.withColumn("_width", width)
+    spans = samples.groupBy(*series).agg(F.min(index).alias("_low"), F.max(index).alias("_high"))
     wanted = picks.select(*series, F.col(depth).cast("double").alias("_d")).distinct().join(spans, series)
     wanted = wanted.filter((F.col("_d") >= F.col("_low")) & (F.col("_d") <= F.col("_high")))
-    points = samples.join(spans, series).select(
-        *series, F.col(index).alias("_d"), F.lit(0).alias("_kind"), F.col(position).cast("long").alias("_at"),
-        F.floor((F.col(index) - F.col("_low")) / F.col("_width")).alias("_blk"),
-    )
-    asks = wanted.select(
-        *series, "_d", F.lit(1).alias("_kind"), F.lit(None).cast("long").alias("_at"),
-        F.floor((F.col("_d") - F.col("_low")) / F.col("_width")).alias("_blk"),
-    )
-    merged = points.unionByName(asks)
-    inside = Window.partitionBy(*series, "_blk").orderBy("_d", "_kind", "_at").rowsBetween(Window.unboundedPreceding, 0)
-    merged = merged.withColumn("_last", F.last("_at", ignorenulls=True).over(inside))
-    before = Window.partitionBy(*series).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    carry = points.groupBy(*series, "_blk").agg(F.max_by("_at", F.struct("_d", "_at")).alias("_tail"))
-    blocks = asks.select(*series, "_blk").distinct().join(carry, [*series, "_blk"], "full_outer")
-    carry = blocks.withColumn("_carry", F.last("_tail", ignorenulls=True).over(before)).select(*series, "_blk", "_carry")
+    points = samples.select(*series, F.col(index).alias("_d"), F.lit(0).alias("_kind"), F.col(position).cast("long").alias("_pos"))
+    asks = wanted.select(*series, "_d", F.lit(1).alias("_kind"), F.lit(None).cast("long").alias("_pos"))
+    merged = in_stretches(points.unionByName(asks), [F.col(c) for c in (*series, "_d", "_kind", "_pos")])
+    earlier = Window.partitionBy(*series, "_t").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*series, "_t").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*series).orderBy("_t").rowsBetween(Window.unboundedPreceding, -1)
+    unsorted = F.raise_error(F.lit("the index does not ascend with the position")).cast("long")
+    tails = merged.groupBy(*series, "_t").agg(F.max_by("_pos", F.when(F.col("_kind") == 0, F.col("_at"))).alias("_tail"), F.min("_pos").alias("_head"))
+    carry = tails.withColumn("_carry", F.last("_tail", ignorenulls=True).over(before))
+    carry = carry.select(*series, "_t", F.when(F.col("_head") < F.col("_carry"), unsorted).otherwise(F.col("_carry")).alias("_carry"))
+    merged = merged.withColumn("_most", F.max("_pos").over(earlier))
+    merged = merged.withColumn("_pos", F.when(F.col("_pos") < F.col("_most"), unsorted).otherwise(F.col("_pos")))
+    merged = merged.withColumn("_last", F.last("_pos", ignorenulls=True).over(inside))
     found = (
-        merged.filter(F.col("_kind") == 1).join(carry, [*series, "_blk"], "left")
+        merged.filter(F.col("_kind") == 1).join(carry, [*series, "_t"])
         .select(*series, F.col("_d").alias("_ask"), F.coalesce("_last", "_carry").alias(position))
     )
     match = F.col("_depth") == F.col("_ask")

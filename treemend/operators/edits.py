@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from treemend.functions.docs import attr_text, attributes, computed, doc_from, empty_doc, set_attrs
-from treemend.model import INDEX_COLUMNS, AccessDef, Rule, Taxonomy
-from treemend.operators.index import has_doc, insert_docs
+from treemend.model import INDEX_COLUMNS, AccessDef, Rule, Taxonomy, TypeNode
+from treemend.operators.index import has_doc, insert_docs, insert_placed
 from treemend.operators.set_rules import uniq_key
 from treemend.scale import first_by
 from treemend.session import cut_lineage
@@ -22,26 +22,38 @@ def _note(name: Column) -> Column:
 
 
 def apply_edits(idx: DataFrame, edits: DataFrame) -> DataFrame:
-    """Write single-attribute edits and drop the flag they answer.
+    """Write single-attribute edits and drop the flags they answer.
 
     ``edits``: node_path, column_name, column_type ('number'/'text'),
-    number_value, text_value, rule_key; one edit per record.
+    number_value, text_value, rule_key. A record may have several: they apply
+    in the order of ``edit_no`` if there is that column, else by column name,
+    and the last edit of an attribute stands.
     """
-    new = edits.select(F.col("node_path").alias("_id"), "column_name", "column_type", "number_value", "text_value", "rule_key")
+    number = F.col("edit_no") if "edit_no" in edits.columns else F.lit(0)
+    one = F.struct(number.alias("edit_no"), *[F.col(c) for c in ("column_name", "column_type", "number_value", "text_value", "rule_key")])
+    new = edits.groupBy(F.col("node_path").alias("_id")).agg(F.array_sort(F.collect_list(one)).alias("_edits"))
     joined = idx.join(new, F.col("node_path") == F.col("_id"), "left")
-    kept = F.map_filter(
-        F.from_json("doc", "map<string,variant>"), lambda k, _: (k != F.col("column_name")) & (k != "REMARK")
-    )
-    value = (
-        F.when(F.col("column_type") == "number", F.col("number_value").cast("variant"))
-        .when(F.col("column_type") == "text", F.col("text_value").cast("variant"))
-        .when(F.col("column_type").isNotNull(), F.raise_error(F.concat(F.lit("column type not supported: "), F.col("column_type"))).cast("variant"))
-    )
-    remark = F.concat(attr_text(attributes(F.col("doc")), "REMARK"), _note(F.col("column_name"))).cast("variant")
-    edited = F.to_json(F.map_concat(kept, F.create_map(F.col("column_name"), value, F.lit("REMARK"), remark)))
+
+    def value(e: Column) -> Column:
+        return (
+            F.when(e["column_type"] == "number", e["number_value"].cast("variant"))
+            .when(e["column_type"] == "text", e["text_value"].cast("variant"))
+            .when(e["column_type"].isNotNull(), F.raise_error(F.concat(F.lit("column type not supported: "), e["column_type"])).cast("variant"))
+        )
+
+    rest = F.size("_edits")
+    last = F.filter("_edits", lambda e, i: ~F.exists(F.slice("_edits", i + 2, rest), lambda x: x["column_name"] == e["column_name"]))
+    names = F.transform("_edits", lambda e: e["column_name"])
+    kept = F.map_filter(F.from_json("doc", "map<string,variant>"), lambda k, _: ~F.array_contains(names, k) & (k != "REMARK"))
+    set_ = F.map_from_entries(F.transform(F.filter(last, lambda e: e["column_name"] != "REMARK"), lambda e: F.struct(e["column_name"], value(e))))
+    own = F.element_at(F.filter(last, lambda e: e["column_name"] == "REMARK"), 1)["text_value"]
+    notes = F.array_join(F.transform("_edits", lambda e: _note(e["column_name"])), "")
+    remark = F.concat(F.when(F.array_contains(names, "REMARK"), own).otherwise(attr_text(attributes(F.col("doc")), "REMARK")), notes)
+    edited = F.to_json(F.map_concat(kept, set_, F.create_map(F.lit("REMARK"), remark.cast("variant"))))
     changed = F.col("_id").isNotNull() & has_doc()
+    answered = F.transform("_edits", lambda e: F.coalesce(e["rule_key"], F.lit("")))
     return joined.withColumn("doc", F.when(changed, edited).otherwise(F.col("doc"))).withColumn(
-        "qc", F.when(F.col("_id").isNotNull(), F.array_remove("qc", F.col("rule_key"))).otherwise(F.col("qc"))
+        "qc", F.when(F.col("_id").isNotNull(), F.filter("qc", lambda q: ~F.array_contains(answered, q))).otherwise(F.col("qc"))
     ).select(*INDEX_COLUMNS)
 
 
@@ -77,8 +89,9 @@ def merge_duplicates(idx: DataFrame, survivors: DataFrame, rule: Rule, taxonomy:
     """Fold records with a survivor's uniqueness key into the survivor.
 
     Children whose name the survivor lacks are re-keyed and moved below it (one
-    copy per type and name, the lowest path); the duplicates and everything
-    below them are cleared. ``survivors``: node_path, one per key.
+    copy per type and name, the lowest path), with everything below them; the
+    duplicates are cleared, and so is what was below them. ``survivors``:
+    node_path, one per key.
     """
     level = taxonomy.level_of(rule.data_type)
     flagged = idx.filter((F.col("data_type") == rule.data_type) & has_doc() & F.array_contains("qc", rule.key))
@@ -92,7 +105,7 @@ def merge_duplicates(idx: DataFrame, survivors: DataFrame, rule: Rule, taxonomy:
     saved = cut_lineage(keep.select(F.col("_to").alias("_saved")))
 
     below = idx.filter((F.col("level") > level) & has_doc()).withColumn("_owner", F.slice("node_path", 1, level))
-    moved = below.join(twins, F.col("_owner") == F.col("_from"))
+    moved = below.filter(F.col("level") == level + 2).join(twins, F.col("_owner") == F.col("_from"))
     have = below.join(saved, F.col("_owner") == F.col("_saved"), "left_semi").select(
         F.col("_owner").alias("_to"), "data_name"
     ).distinct()
@@ -112,12 +125,26 @@ def merge_duplicates(idx: DataFrame, survivors: DataFrame, rule: Rule, taxonomy:
         F.when(gone, empty).when(F.col("_saved").isNotNull(), F.array_remove("qc", rule.key)).otherwise(F.col("qc")),
     ).select(*INDEX_COLUMNS)
 
-    for child in taxonomy.find(rule.data_type).children:
-        survivor = attributes(F.col("_to_doc"))
-        rekeyed = set_attrs(F.col("doc"), {c: attr_text(survivor, p) for c, p in child.parent_pairs()})
-        docs = moved.filter(F.col("data_type") == child.name).select(F.col("_to").alias("parent_path"), rekeyed.alias("doc"))
-        if not docs.isEmpty():
-            out = insert_docs(cut_lineage(out), docs, child, access[child.name])
+    return _move(out, idx, moved, taxonomy.find(rule.data_type), access)
+
+
+def _move(out: DataFrame, idx: DataFrame, moved: DataFrame, node: TypeNode, access: dict[str, AccessDef]) -> DataFrame:
+    """Insert records (_to, _to_doc, data_type, node_path, doc) below ``_to``, keyed to ``_to_doc``, and all below them from ``idx``."""
+    for child in node.children:
+        parent = attributes(F.col("_to_doc"))
+        rekeyed = set_attrs(F.col("doc"), {c: attr_text(parent, p) for c, p in child.parent_pairs()})
+        docs = moved.filter(F.col("data_type") == child.name).select(
+            F.col("_to").alias("parent_path"), rekeyed.alias("doc"), F.col("node_path").alias("old_path")
+        )
+        if docs.isEmpty():
+            continue
+        out, placed = insert_placed(cut_lineage(out), docs, child, access[child.name])
+        if child.children:
+            placed = cut_lineage(placed.select(F.col("old_path").alias("_from"), F.col("new_path").alias("_to"), F.col("doc").alias("_to_doc")))
+            names = [c.name for c in child.children]
+            deeper = idx.filter(F.col("data_type").isin(names) & has_doc()).withColumn("_owner", F.slice("node_path", 1, F.col("level") - 2))
+            deeper = deeper.join(placed, F.col("_owner") == F.col("_from"))
+            out = _move(out, idx, cut_lineage(deeper.select("_to", "_to_doc", "data_type", "node_path", "doc")), child, access)
     return out
 
 

@@ -11,14 +11,15 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from treemend.functions.arrays import pack_curves
 from treemend.functions.docs import attr_text, attributes, to_doc
 from treemend.functions.geo import resolve_location
 from treemend.functions.values import data_key
 from treemend.model import INDEX_COLUMNS, INDEX_SCHEMA, AccessDef, Taxonomy, TypeNode
-from treemend.scale import ordinal_in_group
-from treemend.session import cut_lineage
+from treemend.scale import ordinal_in_group, require_unique
+from treemend.session import cut_lineage, delete_folder
 
 ROOT_NAME = "QCPROJECT"
 
@@ -106,47 +107,35 @@ def build_index(
             project=F.lit(project),
         )
     )
-    sizes = _group_sizes(taxonomy, tables, access)
     parts = [root]
     group = 0
     for node in taxonomy.roots:
         rows = tables[access[node.name].table]
         if where:
             rows = rows.where(where)
-        if sizes[node.name] == 0 or (where and rows.isEmpty()):
+        if rows.isEmpty():
             continue
         group += 1
         top = F.array(F.lit(group))
         parts.append(_group_rows(spark.range(1), top, node.group_name, F.lit(project)))
         nowhere = F.lit(None).cast("double")
         placed = rows.select("*", top.alias("_group"), nowhere.alias("_plat"), nowhere.alias("_plon"))
-        parts += _place(node, placed, [], tables, access, sizes, project)
+        parts += _place(node, placed, tables, access, project)
     whole = parts[0]
     for part in parts[1:]:
         whole = whole.unionByName(part)
     return whole
 
 
-def _group_sizes(taxonomy, tables, access) -> dict[str, int]:
-    """Rows of the largest sibling group per type: one job, one number per type."""
-    maxima = None
-    for root in taxonomy.roots:
-        for node in root.walk():
-            keys = [c for c, _ in node.parent_pairs()]
-            counts = tables[access[node.name].table].groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-            row = counts.agg(F.lit(node.name).alias("name"), F.coalesce(F.max("n"), F.lit(0)).alias("n"))
-            maxima = row if maxima is None else maxima.unionByName(row)
-    return {r["name"]: r["n"] for r in maxima.collect()}
-
-
-def _place(node, rows, within, tables, access, sizes, project) -> list[DataFrame]:
+def _place(node, rows, tables, access, project) -> list[DataFrame]:
     """Nodes of one type and, recursively, of the types below it.
 
     ``rows`` carry the path of their group node in ``_group`` and the
     location of their parent in ``_plat``/``_plon``.
     """
     definition = access[node.name]
-    numbered = ordinal_in_group(rows, within, list(definition.keys), "_n", largest=sizes[node.name])
+    # siblings are the rows of one group node, also where parents share a key
+    numbered = ordinal_in_group(rows, ["_group"], list(definition.keys), "_n")
     if node.use_parent_location:
         lat, lon = F.col("_plat"), F.col("_plon")
     elif node.latitude:
@@ -154,7 +143,7 @@ def _place(node, rows, within, tables, access, sizes, project) -> list[DataFrame
     else:
         lat = lon = F.lit(None).cast("double")
     placed = numbered.select(
-        "*", F.concat("_group", F.array("_n")).alias("_path"), lat.alias("_lat"), lon.alias("_lon")
+        "*", F.concat("_group", F.array(F.col("_n").cast("int"))).alias("_path"), lat.alias("_lat"), lon.alias("_lon")
     )
     doc_columns: list = [F.col(c) for c in definition.columns]
     source = placed
@@ -178,10 +167,10 @@ def _place(node, rows, within, tables, access, sizes, project) -> list[DataFrame
             project=F.lit(project),
         )
     )
-    return [nodes, *(_place_below(node, placed, tables, access, sizes, project) if node.children else [])]
+    return [nodes, *(_place_below(node, placed, tables, access, project) if node.children else [])]
 
 
-def _place_below(node, placed, tables, access, sizes, project) -> list[DataFrame]:
+def _place_below(node, placed, tables, access, project) -> list[DataFrame]:
     """Group nodes and nodes of all child types of one type."""
     # parents as keys, path, location, and which child types they own
     wanted = list(dict.fromkeys(p for child in node.children for _, p in child.parent_pairs()))
@@ -207,7 +196,7 @@ def _place_below(node, placed, tables, access, sizes, project) -> list[DataFrame
         parts.append(_group_rows(owners_, F.col("_group"), child.group_name, F.lit(project)))
         match = _all(F.col(c) == F.col(f"_p{j}") for j, (c, _) in enumerate(pairs))
         bound = tables[access[child.name].table].join(owners_, match).drop(*[f"_p{j}" for j in range(len(pairs))])
-        parts += _place(child, bound, [c for c, _ in pairs], tables, access, sizes, project)
+        parts += _place(child, bound, tables, access, project)
     return parts
 
 
@@ -319,7 +308,12 @@ def insert_docs(
     The ``<Type>s`` group node of a parent is found or created with the next
     ordinal; the records follow its last child. All parents in one plan.
     """
-    wanted = inserts.select(F.col("parent_path").alias("_owner"), F.col("doc").alias("_doc"))
+    return insert_placed(idx, inserts.withColumn("old_path", F.lit(None).cast("array<int>")), node, access)[0]
+
+
+def insert_placed(idx: DataFrame, inserts: DataFrame, node: TypeNode, access: AccessDef) -> tuple[DataFrame, DataFrame]:
+    """The same for records that come from ``old_path``; also gives (old_path, new_path, doc)."""
+    wanted = inserts.select(F.col("parent_path").alias("_owner"), F.col("doc").alias("_doc"), F.col("old_path").alias("_old"))
     owners_ = wanted.select("_owner").distinct()
     level_below = idx.select("node_path", "parent_path", "data_type")
     groups = (
@@ -332,7 +326,10 @@ def insert_docs(
         .withColumn("_group", F.coalesce("_have", F.concat("_owner", F.array((F.col("_last") + 1).cast("int")))))
     )
     home = idx.select(F.col("node_path").alias("_at"), "project", F.col("latitude").alias("_plat"), F.col("longitude").alias("_plon"))
-    groups = groups.join(home, F.col("_owner") == F.col("_at")).drop("_at")
+    # an insert below a node that is not there fails; it is never dropped
+    unknown = F.raise_error(F.concat(F.lit("no such parent: "), path_text(F.col("_owner")))).cast("array<int>")
+    groups = groups.join(home, F.col("_owner") == F.col("_at"), "left")
+    groups = groups.withColumn("_group", F.when(F.col("_at").isNotNull(), F.col("_group")).otherwise(unknown)).drop("_at")
     tails = (
         groups.select("_group").join(level_below, F.col("_group") == F.col("parent_path"))
         .groupBy("_group").agg(F.max(F.element_at("node_path", -1)).alias("_tail"))
@@ -363,23 +360,35 @@ def insert_docs(
         )
     )
     made = _group_rows(groups.filter(F.col("_have").isNull()), F.col("_group"), node.group_name, F.col("project"))
-    return idx.unionByName(made).unionByName(records)
-
-
-def mark_below(idx: DataFrame, ids: DataFrame, level: int) -> DataFrame:
-    """Add ``_hit``: the node or its ancestor on ``level`` is in ``ids`` (node_path)."""
-    marks = ids.select(F.col("node_path").alias("_id")).distinct().withColumn("_mark", F.lit(True))
-    at = F.when(F.col("level") >= level, F.slice("node_path", 1, level))
-    return (
-        idx.withColumn("_at", at)
-        .join(marks, F.col("_at") == F.col("_id"), "left")
-        .withColumn("_hit", F.coalesce("_mark", F.lit(False)))
-        .drop("_at", "_id", "_mark")
-    )
+    placed = rows.select(F.col("_old").alias("old_path"), path.alias("new_path"), F.col("_doc").alias("doc"))
+    return idx.unionByName(made).unionByName(records), placed
+
+
+def mark_below(idx: DataFrame, ids: DataFrame, level: int | None = None) -> DataFrame:
+    """Add ``_hit``: the node or one of its ancestors is in ``ids`` (node_path).
+
+    ``level`` tells that all ids are on one level. Without it the ids' levels
+    are looked up, a few numbers, and each takes one join.
+    """
+    marks = ids.select(F.col("node_path").alias("_id")).distinct()
+    levels = [level]
+    if level is None:
+        marks = cut_lineage(marks)
+        levels = sorted(r["n"] for r in marks.select(F.size("_id").alias("n")).distinct().collect())
+    out = idx.withColumn("_hit", F.lit(False))
+    for n in levels:
+        own = (marks if level is not None else marks.filter(F.size("_id") == n)).withColumn("_mark", F.lit(True))
+        out = (
+            out.withColumn("_at", F.when(F.col("level") >= n, F.slice("node_path", 1, n)))
+            .join(own, F.col("_at") == F.col("_id"), "left")
+            .withColumn("_hit", F.col("_hit") | F.coalesce("_mark", F.lit(False)))
+            .drop("_at", "_id", "_mark")
+        )
+    return out
 
 
-def delete_subtree(idx: DataFrame, ids: DataFrame, level: int) -> DataFrame:
-    """Soft delete: clear records and flags of nodes on ``level`` and all below."""
+def delete_subtree(idx: DataFrame, ids: DataFrame, level: int | None = None) -> DataFrame:
+    """Soft delete: clear records and flags of the nodes in ``ids``, on whatever level, and all below."""
     marked = mark_below(idx, ids, level)
     return marked.withColumn("doc", F.when(~F.col("_hit"), F.col("doc"))).withColumn(
         "qc", F.when(F.col("_hit"), _empty_qc()).otherwise(F.col("qc"))
@@ -387,7 +396,8 @@ def delete_subtree(idx: DataFrame, ids: DataFrame, level: int) -> DataFrame:
 
 
 def apply_updates(idx: DataFrame, updates: DataFrame) -> DataFrame:
-    """Replace record and flags by path; ``updates`` is (node_path, doc, qc)."""
+    """Replace record and flags by path; ``updates`` is (node_path, doc, qc), one per node."""
+    require_unique(updates, ["node_path"])
     new = updates.select(
         F.col("node_path").alias("_id"), F.col("doc").alias("_doc"), F.col("qc").alias("_qc"), F.lit(True).alias("_new")
     )
@@ -416,15 +426,35 @@ def list_projects(idx: DataFrame) -> DataFrame:
 
 
 def drop_project(idx: DataFrame, project: str) -> DataFrame:
-    return idx.filter(F.col("project") != project)
+    return idx.filter(~F.col("project").eqNullSafe(project))
+
+
+def _token(project: Column) -> Column:
+    """A folder's name for a project: never empty, and never read as a number."""
+    return F.concat(F.lit("p_"), F.lower(F.hex(F.encode(project, "utf-8"))))
 
 
 def save_projects(idx: DataFrame, path: str) -> None:
     """Write projects as partitions; only the partitions written are replaced."""
     (
-        idx.write.mode("overwrite")
+        idx.withColumn("_project", _token(F.col("project"))).withColumn("_type", F.col("data_type"))
+        .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("project", "data_type")
+        .partitionBy("_project", "_type")
         .parquet(path)
     )
 
+
+def load_projects(spark: SparkSession, path: str, project: str | None = None) -> DataFrame:
+    """The stored index, or one project of it; other projects' files are not read."""
+    schema = StructType([*INDEX_SCHEMA.fields, StructField("_project", StringType()), StructField("_type", StringType())])
+    stored = spark.read.schema(schema).parquet(path)
+    if project is not None:
+        stored = stored.filter(F.col("_project") == _token(F.lit(project)))
+    return stored.select(*INDEX_COLUMNS)
+
+
+def drop_stored_project(spark: SparkSession, path: str, project: str) -> bool:
+    """Delete a project of the stored index; false if it is not there. The other projects are untouched."""
+    return delete_folder(spark, f"{path.rstrip('/')}/_project=p_{project.encode().hex()}")
+

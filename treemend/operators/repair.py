@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from treemend.functions.arrays import parse_array
@@ -19,6 +19,7 @@ from treemend.operators.curve_rules import null_value
 from treemend.operators.curves import log_depths, sample_lookup, smooth
 from treemend.operators.index import has_doc, insert_docs, mark_below
 from treemend.operators.neighbors import NEIGHBORS, idw, nearest
+from treemend.scale import ordinal_in_group
 
 # Curve used for lithology, notes left in REMARK.
 LITHOLOGY_CURVE = "GR"
@@ -83,7 +84,7 @@ def formation_order(idx: DataFrame, data_type: str = "MarkerWell", name: str = "
     ranges = picks.filter(F.col("name").isNotNull() & F.col("depth").isNotNull()).groupBy("name").agg(
         F.min("depth").alias("min_depth"), F.max("depth").alias("max_depth")
     )
-    return ranges.withColumn("age", F.row_number().over(Window.orderBy("min_depth", "name")))
+    return ordinal_in_group(ranges, [], ["min_depth", "name"], "age").withColumn("age", F.col("age").cast("int"))
 
 
 def predict_formation_order(idx: DataFrame, rule: Rule, context: Context) -> DataFrame:

@@ -20,8 +20,7 @@ def failure_counts(idx: DataFrame, rules: Sequence[Rule]) -> DataFrame:
         [(r.rule_id, r.key, r.data_type) for r in chosen], "rule_id int, rule_key string, data_type string"
     )
     counts = idx.filter(F.size("qc") > 0).select("data_type", F.explode("qc").alias("rule_key")).groupBy("data_type", "rule_key").count()
-    # the rule list is a job argument of a few rows
-    return counts.join(F.broadcast(listed), ["data_type", "rule_key"], "right").select(
+    return listed.join(counts, ["data_type", "rule_key"], "left").select(
         "rule_id", "rule_key", "data_type", F.coalesce("count", F.lit(0)).cast("bigint").alias("n_failed")
     )
 

@@ -10,16 +10,7 @@ from pyspark.sql import functions as F
 from treemend.functions.docs import attributes, doc_columns, has_attr
 from treemend.model import UNKNOWN, AccessDef, ReferenceDef
 from treemend.operators.index import has_doc
-from treemend.scale import first_by
-
-
-def require_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The same rows; the job fails when a key occurs twice."""
-    counts = df.groupBy(*[F.col(k).alias(f"_u{i}") for i, k in enumerate(keys)]).count()
-    repeated = counts.filter(F.col("count") > 1)
-    if not repeated.isEmpty():
-        raise ValueError(f"source has repeated keys {list(keys)}")
-    return df
+from treemend.scale import first_by, require_unique
 
 
 def upsert(
@@ -28,13 +19,20 @@ def upsert(
     keys: Sequence[str],
     stamp: Mapping[str, Column] | None = None,
     check: bool = True,
+    ignore_unknown: bool = False,
 ) -> DataFrame:
     """Source rows replace or extend the target; columns the source lacks keep the target's value.
 
+    Columns the target lacks are an error, unless ``ignore_unknown`` drops them.
+
     ``stamp`` gives ``ROW_CHANGED_*`` values for touched rows and
     ``ROW_CREATED_*`` values for new ones. The result is a new version of the
     table; write it to a new path, never over the one being read.
     """
+    unknown = [c for c in source.columns if c not in target.columns]
+    if unknown and not ignore_unknown:
+        raise ValueError(f"columns not in the target: {unknown}")
+    source = source.drop(*unknown)
     if check:
         source = require_unique(source, keys)
     stamp = stamp or {}

@@ -9,58 +9,40 @@ from pyspark.sql import functions as F
 
 from treemend.session import cut_lineage
 
-# A plain window sorts a whole group in one task; that is fine up to this many rows.
-PLAIN_GROUP_ROWS = 2_000_000
 # Rows per block when a long ordered series is cut into independent pieces.
 BLOCK_ROWS = 4096
 
 
-def largest_group(df: DataFrame, group: Sequence[str]) -> int:
-    """Rows of the largest group (partial counts before the shuffle, one number back)."""
-    counts = df.groupBy(*group).count() if group else df.agg(F.count(F.lit(1)).alias("count"))
-    return counts.agg(F.max("count").alias("m")).first()["m"] or 0
+def in_stretches(df: DataFrame, sort: Sequence[Column]) -> DataFrame:
+    """The rows range-partitioned and sorted, written once; ``_at`` ascends in that order and ``_t`` is the stretch.
 
+    Stretches are about equally long whatever the values are: a hot group or an
+    outlier only moves their borders. Rows equal in ``sort`` stay together.
+    """
+    placed = df.repartitionByRange(*sort).sortWithinPartitions(*sort).withColumn("_at", F.monotonically_increasing_id())
+    return cut_lineage(placed).withColumn("_t", F.shiftright("_at", 33))
 
-def ordinal_in_group(
-    df: DataFrame,
-    group: Sequence[str],
-    order: Sequence[str | Column],
-    out: str,
-    plain_rows: int = PLAIN_GROUP_ROWS,
-    largest: int | None = None,
-) -> DataFrame:
-    """Add 1..n per group in the given total order.
 
-    Groups that fit a task use a window. When the largest group does not, the
-    rows are range-partitioned on (group, order), so a hot group spans many
-    tasks; each task numbers its own stretch and a carry per (task, group)
-    completes the numbers. ``largest`` is a known bound on the group size; it
-    is counted when not given.
-    """
-    if (largest_group(df, group) if largest is None else largest) <= plain_rows:
-        window = Window.partitionBy(*group).orderBy(*order) if group else Window.orderBy(*order)
-        return df.withColumn(out, F.row_number().over(window).cast("int"))
+def ordinal_in_group(df: DataFrame, group: Sequence[str], order: Sequence[str | Column], out: str) -> DataFrame:
+    """Add 1..n per group in the given order, as a long.
 
+    Each stretch of the range-partitioned rows numbers its own rows and a carry
+    per (stretch, group) completes the numbers, so no task needs a whole group.
+    """
     keys = [*group]
     sort = [*[F.col(g) for g in group], *[F.col(o) if isinstance(o, str) else o for o in order]]
-    stretch = cut_lineage(
-        df.repartitionByRange(*sort).sortWithinPartitions(*sort).withColumn("_at", F.monotonically_increasing_id())
-    )
-    task = F.shiftright("_at", 33).alias("_task")
-    starts = stretch.groupBy(*keys, task).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    rows = in_stretches(df, sort)
+    starts = rows.groupBy(*keys, F.col("_t").alias("_task")).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
     starts = starts.select(
         *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
         "_task",
         (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1).alias("_shift"),
     )
-    rows = stretch.withColumn("_t", F.shiftright("_at", 33))
     match = F.col("_t") == F.col("_task")
     for i, k in enumerate(keys):
         match = match & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    return rows.join(starts, match).select(
-        *[F.col(c) for c in df.columns], (F.col("_at") + F.col("_shift")).cast("int").alias(out)
-    )
+    return rows.join(starts, match).select(*[F.col(c) for c in df.columns], (F.col("_at") + F.col("_shift")).alias(out))
 
 
 def first_by(df: DataFrame, keys: Sequence[str], order: Column, last: bool = False) -> DataFrame:
@@ -107,3 +89,12 @@ def running_sum(df: DataFrame, series: Sequence[str], position: str, value: str,
         .withColumn(out, F.sum(value).over(inside) + F.col("_carry"))
         .drop("_blk", "_carry")
     )
+
+
+def require_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The same rows; the job fails when a key occurs twice."""
+    counts = df.groupBy(*[F.col(k).alias(f"_u{i}") for i, k in enumerate(keys)]).count()
+    repeated = counts.filter(F.col("count") > 1)
+    if not repeated.isEmpty():
+        raise ValueError(f"source has repeated keys {list(keys)}")
+    return df

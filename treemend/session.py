@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -47,20 +48,24 @@ def local_session(cores: int | str = 8, name: str = "treemend", memory: str = "1
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors see: ``spark.checkpoint.dir``.
 
-    Only a local session may fall back to a temporary folder of its machine.
+    Only a session on one machine may fall back to a temporary folder.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = os.path.join(tempfile.gettempdir(), f"treemend-{spark.sparkContext.applicationId}")
-    return folder
+    return os.path.join(tempfile.gettempdir(), "treemend")
+
+
+def run_folder(spark: SparkSession) -> str:
+    """This application's part of the shared folder; other runs have their own."""
+    return f"{shared_folder(spark).rstrip('/')}/treemend/{spark.sparkContext.applicationId}"
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new, unused path below the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/treemend/{label}-{uuid.uuid4().hex}"
+    """A new, unused path below this run's folder."""
+    return f"{run_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def cut_lineage(df: DataFrame, partition_by: str | None = None) -> DataFrame:
@@ -77,7 +82,11 @@ def cut_lineage(df: DataFrame, partition_by: str | None = None) -> DataFrame:
 
 
 def clear_scratch(spark: SparkSession) -> None:
-    """Delete the stage tables of finished runs below the shared folder."""
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark).rstrip('/')}/treemend")
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    """Delete the stage tables of this run, once its results are written. Other runs keep theirs."""
+    delete_folder(spark, run_folder(spark))
+
+
+def delete_folder(spark: SparkSession, path: str) -> bool:
+    """Delete a folder wherever it is stored; false if there was none."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)

@@ -23,16 +23,21 @@ def scan_csv(
     mapping: Mapping[str, int] | str,
     lengths: Mapping[str, int] | None = None,
     with_order: bool = False,
-    multiline: bool = False,
+    *,
+    multiline: bool,
 ) -> DataFrame:
     """Columns picked by position, renamed, text cut to its declared length.
 
+    Quotes follow RFC 4180: a quote inside quotes is doubled, a backslash is
+    an ordinary character. ``multiline`` says whether quoted values may hold
+    line breaks; if so a file is read by one task, else in splits.
+
     ``with_order`` adds ``_order``, which sorts rows of one file as they stand
     in it (split start, then line within the split).
     """
     places = parse_mapping(mapping) if isinstance(mapping, str) else dict(mapping)
     lengths = lengths or {}
-    raw = spark.read.csv(path, header=True, inferSchema=False, multiLine=multiline, enforceSchema=True)
+    raw = spark.read.csv(path, header=True, inferSchema=False, multiLine=multiline, enforceSchema=True, quote='"', escape='"')
     names = raw.columns
     out = []
     for name, at in places.items():

@@ -1,9 +1,7 @@
 """LAS 2.0 log files as DataFrames.
 
-Files become lines (file, section, line_no, line). Files up to a size are read
-whole, one row each, and split inside the row; larger ones are read line by
-line in parallel splits, and running numbers over the file tell each line its
-section. Both give the same lines.
+Files become lines (file, section, line_no, line). They are read in parallel
+splits, and running numbers over the file tell each line its section.
 """
 
 from __future__ import annotations
@@ -20,9 +18,6 @@ from treemend.model import NULL_CURVE, NULL_NUMBER, UNKNOWN
 from treemend.scale import ordinal_in_group, running_sum
 from treemend.session import cut_lineage
 
-# Files above this size are never held in one row.
-WHOLE_FILE_BYTES = 32 * 1024 * 1024
-
 # Header mnemonics and well columns, key fallbacks, defaults, value limit.
 WELL_MAPPING = {
     "UWI": "UWI",
@@ -38,26 +33,12 @@ SECTIONS = ("V", "W", "C", "P", "A")
 VALUE_LIMIT = 999999999999999.0
 
 
-def _whole_lines(files: DataFrame) -> DataFrame:
-    """Lines of files read as one row each."""
-    sections = F.filter(F.split("value", "~"), lambda s: F.length(s) > 0)
-
-    def last(letter: str) -> Column:
-        own = F.filter(sections, lambda s: F.substring(s, 1, 1) == letter)
-        return F.when(F.size(own) > 0, F.struct(F.lit(letter).alias("section"), F.element_at(own, -1).alias("text")))
-
-    parts = files.select("file", F.inline(F.array_compact(F.array(*[last(x) for x in SECTIONS]))))
-    body = F.regexp_replace("text", r"\r?\n$", "")
-    return parts.select("file", "section", F.posexplode(F.split(body, r"\r?\n")).alias("line_no", "line"))
-
-
-def _split_lines(raw: DataFrame, plain_rows: int | None = None) -> DataFrame:
-    """Lines of files read in splits: (file, start, at, value)."""
-    pieces = raw.select("file", "start", "at", F.posexplode(F.split(F.regexp_replace("value", r"\r$", ""), "~")).alias("piece", "line"), "value")
+def _sections(raw: DataFrame) -> DataFrame:
+    """Lines (file, start, at, value) with the section they stand in; ``~`` opens one wherever it is, the last of a letter counts."""
+    pieces = raw.select("file", "start", "at", F.posexplode(F.split("value", "~")).alias("piece", "line"), "value")
     opens = F.col("value").contains("~")
     pieces = pieces.filter(~(opens & (F.col("piece") == 0) & (F.col("line") == "")))
-    options = {"plain_rows": plain_rows} if plain_rows is not None else {}
-    placed = ordinal_in_group(pieces, ["file"], ["start", "at", "piece"], "pos", **options)
+    placed = ordinal_in_group(pieces, ["file"], ["start", "at", "piece"], "pos")
     placed = placed.withColumn("pos", F.col("pos") - 1).withColumn("_mark", (F.col("piece") > 0).cast("int"))
     placed = running_sum(placed, ["file"], "pos", "_mark", "section_no")
     marks = placed.filter(F.col("_mark") == 1).select(
@@ -71,24 +52,17 @@ def _split_lines(raw: DataFrame, plain_rows: int | None = None) -> DataFrame:
     )
 
 
-def scan_las(spark: SparkSession, path: str, whole_bytes: int = WHOLE_FILE_BYTES, plain_rows: int | None = None) -> DataFrame:
-    """(file, section, line_no, line) of all LAS files below a path."""
-    return _scan(spark, path, list_files(spark, path), whole_bytes, plain_rows)
-
+def scan_las(spark: SparkSession, path: str) -> DataFrame:
+    """(file, section, line_no, line) of all LAS files below a path.
 
-def _scan(spark: SparkSession, path: str, files: DataFrame, whole_bytes: int, plain_rows: int | None) -> DataFrame:
-    options = {"recursiveFileLookup": "true"}
-    size = F.col("_metadata.file_size")
-    whole = spark.read.options(**options).text(path, wholetext=True)
-    small = whole.filter(size <= whole_bytes).select(F.col("_metadata.file_path").alias("file"), "value")
-    if files.filter(F.col("size") > whole_bytes).isEmpty():
-        return _whole_lines(small)
-    lines = spark.read.options(**options).text(path)
-    large = lines.filter(size > whole_bytes).select(
+    Files are read line by line in splits, whatever their size: a line ends
+    with CR, LF or both, and blank lines are lines, also at the end of a file.
+    """
+    lines = spark.read.option("recursiveFileLookup", "true").text(path)
+    return _sections(lines.select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
         F.monotonically_increasing_id().alias("at"), "value",
-    )
-    return _whole_lines(small).unionByName(_split_lines(large, plain_rows))
+    ))
 
 
 def header_lines(lines: DataFrame) -> DataFrame:
@@ -171,10 +145,10 @@ class LasBatch:
         return las_parameters(self.good_headers, self.wells())
 
 
-def load_las(spark: SparkSession, path: str, whole_bytes: int = WHOLE_FILE_BYTES, plain_rows: int | None = None) -> LasBatch:
+def load_las(spark: SparkSession, path: str) -> LasBatch:
     """Read the headers of all files below a path and judge each file."""
     files = list_files(spark, path)
-    lines = _scan(spark, path, files, whole_bytes, plain_rows)
+    lines = scan_las(spark, path)
     headers = cut_lineage(header_lines(lines))
     return LasBatch(lines, headers, verdicts(files.select("file"), headers))
 
