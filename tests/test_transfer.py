@@ -10,6 +10,7 @@ from treemend.operators import duplicates as DU
 from treemend.operators import sync as S
 from treemend.sources import csv_files as K
 from treemend.sources import las as L
+from treemend.sources.tables import scan_jdbc
 from treemend.streaming.ingest import append_to, stream_ingest
 
 LAS = """~Version Information
@@ -136,6 +137,11 @@ def test_upsert_refuses_unknown_columns(spark):
     assert sorted(map(tuple, S.upsert(target, source, ["k"], ignore_unknown=True).collect())) == [(1, "a"), (2, "b")]
 
 
+def test_jdbc_needs_bounds(spark):
+    with pytest.raises(ValueError, match="single_task"):
+        scan_jdbc(spark, "jdbc:none:", AccessDef("A", "A", ("k",), {"k": "string"}))
+
+
 def test_parents(spark):
     child = spark.createDataFrame([("abc'def",), ("abc'xyz",), ("ab",), ("",), (None,), ("abcdef",)], "U string")
     ref = ReferenceDef("Pick", "UNIT", "ID", "LONG", "U", "SET=ALL")

@@ -165,6 +165,75 @@ def test_edits(idx):
     assert X.search_index(out, flag="E1").count() == 9
 
 
+def test_several_edits_of_one_record(idx):
+    flagged = idx.withColumn("qc", F.array(F.lit("C1"), F.lit("V1"), F.lit("C10")))
+    at = flagged.filter("data_name = 'w00' AND data_type = 'Well'").select("node_path")
+    edit = lambda no, column, number, text, key: at.select(
+        "node_path", F.lit(no).alias("edit_no"), F.lit(column).alias("column_name"), F.lit("text" if text else "number").alias("column_type"),
+        F.lit(number).cast("double").alias("number_value"), F.lit(text).cast("string").alias("text_value"), F.lit(key).cast("string").alias("rule_key"),
+    )
+    edits = edit(2, "ELEV", 9.0, None, "C1").unionByName(edit(1, "ELEV", 8.0, None, "V1")).unionByName(edit(3, "NEW", None, "x", None))
+    out = apply_edits(flagged, edits)
+    assert out.count() == flagged.count()
+    row = out.filter("data_name = 'w00' AND data_type = 'Well'").collect()
+    assert len(row) == 1 and row[0]["qc"] == ["C10"] and '"ELEV":9' in row[0]["doc"] and '"NEW":"x"' in row[0]["doc"]
+    assert row[0]["doc"].count("manually edited") == 3
+
+
+def test_updates_of_one_node_must_be_one(idx):
+    twice = idx.filter("data_name = 'w00'").select("node_path", F.lit("{}").alias("doc"), F.array(F.lit("X")).alias("qc"))
+    with pytest.raises(ValueError, match="repeated"):
+        X.apply_updates(idx, twice.unionByName(twice))
+
+
+def test_deletes_on_any_level(idx):
+    well = idx.filter("data_type = 'Well' AND data_name = 'w01'").select("node_path").first()["node_path"]
+    pick = idx.filter((F.col("data_type") == "Pick") & (F.slice("node_path", 1, 2) != F.array(*map(F.lit, well)))).orderBy("node_path").first()["node_path"]
+    ids = idx.filter(F.col("node_path").isin(F.array(*map(F.lit, well)), F.array(*map(F.lit, pick)))).select("node_path")
+    before, after = ({tuple(r["node_path"]) for r in d.filter(X.has_doc()).collect()} for d in (idx, X.delete_subtree(idx, ids)))
+    assert before - after == {p for p in before if p[: len(well)] == tuple(well) or p[: len(pick)] == tuple(pick)} and len(before - after) > 1
+
+
+def test_inserts_below_nothing_fail(spark, idx):
+    docs = spark.createDataFrame([([1, 999], '{"ID": "q", "UNIT": "u"}')], "parent_path array<int>, doc string")
+    with pytest.raises(Exception, match="no such parent"):
+        X.insert_docs(idx, docs, PICK, ACCESS["Pick"]).collect()
+
+
+def test_stored_projects(spark, idx, tmp_path):
+    path = str(tmp_path / "store")
+    X.save_projects(idx.unionByName(X.copy_project(idx, "007")), path)
+    X.save_projects(X.copy_project(idx, "a/b=c"), path)
+    n = idx.count()
+    stored = X.load_projects(spark, path)
+    assert stored.columns == idx.columns
+    assert {r["project"]: r["n_nodes"] for r in X.list_projects(stored).collect()} == {"": n, "007": n, "a/b=c": n}
+    assert X.drop_project(stored, "007").count() == 2 * n and X.load_projects(spark, path, "").count() == n
+    assert X.drop_stored_project(spark, path, "007") and not X.drop_stored_project(spark, path, "none")
+    assert {r["project"] for r in X.list_projects(X.load_projects(spark, path)).collect()} == {"", "a/b=c"}
+
+
+def test_merge_moves_whole_subtrees(spark):
+    one, two, three = (AccessDef(t, t, k, {c: "string" for c in (*k, "NAME")}) for t, k in (("A", ("A",)), ("B", ("A", "B")), ("C", ("A", "B", "C"))))
+    tree = Taxonomy((TypeNode("A", "A", children=(TypeNode("B", "B", parent_key="A = [A]", children=(TypeNode("C", "C", parent_key="A = [A], B = [B]"),)),)),))
+    tables = {
+        "A": spark.createDataFrame([("a1", "x"), ("a2", "x"), ("a3", "y")], "A string, NAME string"),
+        "B": spark.createDataFrame([("a1", "b1", ""), ("a2", "b1", ""), ("a2", "b2", ""), ("a3", "b9", "")], "A string, B string, NAME string"),
+        "C": spark.createDataFrame([("a2", "b2", "c1", ""), ("a2", "b2", "c2", ""), ("a1", "b1", "c0", ""), ("a2", "b1", "c9", "")], "A string, B string, C string, NAME string"),
+    }
+    access = {"A": one, "B": two, "C": three}
+    rule = Rule("U1", "A", "Uniqueness", "Uniqueness", "NAME", "NAME")
+    flagged = cut_lineage(flag_index(X.build_index(spark, tree, tables, access), [rule], tree, access))
+    out = merge_duplicates(flagged, flagged.filter("data_name = 'a1'"), rule, tree, access)
+    live = {X_["data_key"]: X_["node_path"] for X_ in out.filter(X.has_doc() & F.col("data_type").isin("A", "B", "C")).collect()}
+    key = lambda **k: " AND ".join(f"{n} = '{v}'" for n, v in k.items())
+    assert set(live) == {
+        key(A="a1"), key(A="a3"), key(A="a1", B="b1"), key(A="a3", B="b9"), key(A="a1", B="b2"), key(A="a1", B="b1", C="c0"),
+        key(A="a1", B="b2", C="c1"), key(A="a1", B="b2", C="c2"),
+    }
+    assert live[key(A="a1", B="b2", C="c1")][:-2] == live[key(A="a1", B="b2")] and live[key(A="a1", B="b2")][:-2] == live[key(A="a1")]
+
+
 def test_merge_duplicates(spark):
     wells = spark.createDataFrame(
         [("a", 1.0, 1.0, 1.0, "x-1"), ("b", 1.0, 1.0, 1.0, "x1"), ("c", 1.0, 1.0, 1.0, "X 1"), ("d", 1.0, 1.0, 1.0, "y")],

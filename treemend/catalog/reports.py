@@ -6,7 +6,7 @@ from treemend.catalog.registry import query
 from treemend.catalog.repair import _RUN, P_DELETE, P_ELEV, P_RANGE, flags, path, predict
 from treemend.catalog.rules import _FAILED, _FLAGS, ALL_RULES, E1
 from treemend.catalog.tree import C1, C4, V1, WELL_IDX, well_index
-from treemend.fixtures import ACCESS, WELL_TREE, duck_with, tree_tables
+from treemend.fixtures import ACCESS, WELL_TREE, duck_with, pick_table, tree_tables, well_table
 from treemend.functions.docs import attr_number, attr_text, attributes, to_doc
 from treemend.model import AccessDef, Rule, Taxonomy, TypeNode
 from treemend.operators import duplicates as DU
@@ -14,6 +14,7 @@ from treemend.operators import edits as E
 from treemend.operators import index as X
 from treemend.operators.reports import failure_counts, failure_list
 from treemend.plans.end_to_end import run_all
+from treemend.plans.files import tables_from_files
 from treemend.plans.qc import flag_index
 from treemend.session import cut_lineage
 
@@ -197,17 +198,40 @@ RUN_RULES = [
 _TREE_RUN = _RUN.replace("elev_state IN ('null', 'sentinel')", "(elev IS NULL OR elev = -99999)")
 
 
-@query(
-    "end_to_end_run",
-    _TREE_RUN + """, fin AS (SELECT w1.*, coalesce(value, w1.elev) AS e FROM w1 LEFT JOIN i2 ON wkey = tid), all_w AS (SELECT * FROM f_well),
+_RUN_COUNTS = _TREE_RUN + """, fin AS (SELECT w1.*, coalesce(value, w1.elev) AS e FROM w1 LEFT JOIN i2 ON wkey = tid), all_w AS (SELECT * FROM f_well),
     c AS (SELECT user_id, event_type FROM events GROUP BY ALL),
     p AS (SELECT o_orderkey % 13 = 0 AS bad FROM orders)
     SELECT 'C1' AS rule_key, (SELECT count(*) FROM all_w WHERE elev IS NULL OR elev = -99999) AS n_before, (SELECT count(*) FROM fin WHERE e IS NULL OR e = -99999) AS n_after
     UNION ALL SELECT 'V1', (SELECT count(*) FROM all_w WHERE elev < 0 OR elev > 5000), (SELECT count(*) FROM fin WHERE e < 0 OR e > 5000)
     UNION ALL SELECT 'C2', (SELECT count(*) FROM all_w WHERE lat = -99999), 0
     UNION ALL SELECT 'C4', (SELECT count(*) FROM p WHERE bad), 0
-    UNION ALL SELECT 'C6', (SELECT count(*) FROM c WHERE concat('W', lpad(cast(user_id AS string), 8, '0')) IN (SELECT uwi FROM all_w)), 0""",
-)
+    UNION ALL SELECT 'C6', (SELECT count(*) FROM c WHERE concat('W', lpad(cast(user_id AS string), 8, '0')) IN (SELECT uwi FROM all_w)), 0"""
+
+
+@query("end_to_end_run", _RUN_COUNTS)
 def end_to_end_run(fx):
     out = run_all(fx.spark, tree_tables(fx), WELL_TREE, ACCESS, RUN_RULES, today="2024-01-01")
     return out.counts.select("rule_key", "n_before", "n_after")
+
+
+# curves of accepted LAS files whose well has its own key
+_LAS_COUNTS = _RUN_COUNTS.replace(
+    "(SELECT count(*) FROM c WHERE concat('W', lpad(cast(user_id AS string), 8, '0')) IN (SELECT uwi FROM all_w))",
+    "(SELECT 5 * count(DISTINCT user_id) FROM c WHERE concat('W', lpad(cast(user_id AS string), 8, '0')) IN (SELECT uwi FROM all_w)"
+    " AND user_id % 13 > 0 AND user_id % 17 > 0 AND user_id % 19 > 0 AND user_id % 7 > 0 AND user_id % 11 > 0)",
+)
+
+
+@query("files_to_run", _LAS_COUNTS)
+def files_to_run(fx):
+    """Wells and picks from CSV, curves from LAS, then index, rules and repairs."""
+    from treemend.catalog.files import _las_folder, _rfc_csv
+
+    def places(df):
+        return "; ".join(f"{c}={i}" for i, c in enumerate(df.columns))
+
+    wells, picks = well_table(fx), pick_table(fx)
+    csv = {"WellBore": (_rfc_csv(fx, wells, "wells"), places(wells)), "MarkerPick": (_rfc_csv(fx, picks, "picks"), places(picks))}
+    tables = tables_from_files(fx.spark, ACCESS, csv, _las_folder(fx))
+    out = run_all(fx.spark, tables, WELL_TREE, ACCESS, RUN_RULES, today="2024-01-01")
+    return out.counts.select("rule_key", "n_before", "n_after")

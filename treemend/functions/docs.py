@@ -107,6 +107,12 @@ def conform(df: DataFrame, types: Mapping[str, str], lengths: Mapping[str, int]
     return df.select(*out)
 
 
+def complete(df: DataFrame, access: AccessDef) -> DataFrame:
+    """Rows of a source as a table of the record type: absent columns are '' or null, then ``conform``."""
+    missing = {n: F.lit("" if kind == "string" else None) for n, kind in access.types.items() if n not in df.columns}
+    return conform(df.withColumns(missing), access.types, access.lengths)
+
+
 def infer_schema(df: DataFrame, doc: str = "doc") -> DataFrame:
     """(attribute, inferred type, has_null) over many records, one aggregation."""
     entries = df.select(F.explode(attributes(F.col(doc))).alias("attribute", "value"))

@@ -26,6 +26,8 @@ MIN_NEIGHBORS = 3
 
 LEAF_POINTS = 24
 _BITS = 3
+# Depth of the grid: 36 bits a side, cells of well under a metre on the globe. Deeper cells would not split points any
+# more that differ by less; a cell of the last depth is joined whole, after points on one spot are cut to k + 1 ids.
 _MAX_DEPTH = 12
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from treemend.model import Rule, Taxonomy, numbered
+from treemend.operators.index import has_doc
 from treemend.operators.repair import PREDICTIONS, Context, select_failed
 from treemend.session import cut_lineage
 
@@ -46,12 +47,22 @@ def run_predictions(idx: DataFrame, rules: Sequence[Rule], context: Context) ->
     current = base = idx
     moved: set[str] = set()  # types no longer read from the base
     parts: list[tuple[set[str], DataFrame]] = []  # types and where they are now
-    for rule in prediction_order(rules):
-        if select_failed(current, rule).isEmpty():
+    ordered = prediction_order(rules)
+    # one job tells which rules have nothing to do; a flag that another prediction sets may appear later
+    open_ = idx.filter(has_doc()).select("data_type", F.explode("qc").alias("flag"))
+    open_ = {(r["data_type"], r["flag"]) for r in open_.filter(F.col("flag").isin([r.fail_rule for r in ordered])).distinct().collect()} if ordered else set()
+    set_later, changed, unknown = {r.key for r in ordered}, False, False
+    for rule in ordered:
+        if (rule.data_type, rule.fail_rule) not in open_ and rule.fail_rule not in set_later and not unknown:
             continue
+        if (changed or (rule.data_type, rule.fail_rule) not in open_) and select_failed(current, rule).isEmpty():
+            continue
+        changed = True
         after = PREDICTIONS[rule.function](current, rule, context)
         types = touched_types(rule, context.taxonomy)
         if types is None:
+            # a prediction of one's own may set any flag
+            unknown = True
             after = rest = base = cut_lineage(after, "data_type")
             moved, parts = set(), []
         else:

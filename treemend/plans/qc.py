@@ -106,8 +106,10 @@ def flag_index(
     none = F.array().cast("array<struct<ord:int,rule_key:string>>")
     hits = F.transform(_row_hits(row_rules), lambda x: F.struct(x["ord"].alias("ord"), x["rule_key"].alias("rule_key"))) if row_rules else none
     types = sorted({r.data_type for _, r in row_rules})
-    own = F.when(F.col("data_type").isin(types) & has_doc(), hits).otherwise(none)
-    flagged = idx.withColumn("_attrs", attributes(F.col("doc"))).withColumn("_hits", own).drop("_attrs")
+    # only records that a row rule looks at are parsed: a curve's record may be megabytes
+    looked_at = F.col("data_type").isin(types) & has_doc() if types else F.lit(False)
+    own = F.when(looked_at, hits).otherwise(none)
+    flagged = idx.withColumn("_attrs", F.when(looked_at, attributes(F.col("doc")))).withColumn("_hits", own).drop("_attrs")
     if set_rules:
         found = run_qc(idx, set_rules, taxonomy, access, sources, active_only=False)
         position = F.create_map(*[x for r in set_rules for x in (F.lit(r.key), F.lit(order[r.key]))])

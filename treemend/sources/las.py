@@ -144,6 +144,11 @@ class LasBatch:
     def parameters(self) -> DataFrame:
         return las_parameters(self.good_headers, self.wells())
 
+    def tables(self) -> dict[str, DataFrame]:
+        """Wells, curves and samples of the accepted files under their table and column names."""
+        upper = lambda df: df.select(*[F.col(c).alias(c.upper()) for c in df.columns])
+        return {"WELL": self.wells().drop("file"), "WELL_LOG_CURVE": upper(self.logs()), "WELL_LOG_CURVE_VALUE": upper(self.values())}
+
 
 def load_las(spark: SparkSession, path: str) -> LasBatch:
     """Read the headers of all files below a path and judge each file."""

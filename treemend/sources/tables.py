@@ -27,9 +27,16 @@ def scan_jdbc(
     partition_column: str | None = None,
     bounds: tuple[str, str] | None = None,
     partitions: int = 64,
+    single_task: bool = False,
     **options: str,
 ) -> DataFrame:
-    """The same over JDBC, read in parallel when a partition column is given."""
+    """The same over JDBC, read in parallel along a partition column.
+
+    Without a column and its bounds one task would read the whole table; that
+    must be asked for with ``single_task``, for small tables.
+    """
+    if not (partition_column and bounds) and not single_task:
+        raise ValueError("give partition_column and bounds, or single_task=True for a small table")
     reader = spark.read.format("jdbc").option("url", url).option("dbtable", access.table).options(**options)
     if partition_column and bounds:
         reader = (
