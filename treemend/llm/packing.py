@@ -264,5 +264,6 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
         nth = number - p["first"][at]
         return pd.DataFrame({"sequence_id": p["sequence"][at] + nth // p["each"][at], "offset": p["offset"][at] + nth % p["each"][at] * length})
 
-    placed = pieces.join(first, ["_chunk", "length"]).withColumn("_at", place("length", F.col("_before") + F.col("_rank")))
+    # the counts grow with the tasks: never broadcast
+    placed = pieces.join(first.hint("merge"), ["_chunk", "length"]).withColumn("_at", place("length", F.col("_before") + F.col("_rank")))
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "_at.sequence_id", "_at.offset")
