@@ -30,7 +30,9 @@ GROUP = 8
 # Windows of one region at most; longer runs of one key are several regions.
 REGION = 64
 # Regions of one key from which windows are the unit.
-HOT_REGIONS = 20_000
+HOT_REGIONS = 1_000
+# Distinct windows of hot keys that a task holds before it sends them on.
+HELD_WINDOWS = 40_000
 # Words of one FM-index, about: what a task holds at a time.
 SHARD_WORDS = 600_000
 CACHE_WORDS = 300_000
@@ -148,14 +150,27 @@ def text_keys(text):
 
 
 def _units(candidates: DataFrame, window: int) -> DataFrame:
-    """_unit, _k1, _k2, _start, _n, _w, words of regions; of hot keys, windows: _k1 null, _w their number in the task's batch."""
+    """_unit, _k1, _k2, _start, _n, _w, words of regions; of hot keys, windows: _k1 null, _w their number in the task, as far as it holds them."""
     schema = pa.schema([(n, pa.int64()) for n in ("_unit", "_k1", "_k2", "_start", "_n", "_w")] + [("_words", pa.binary())])
 
     def run(batches):
+        many: dict[bytes, int] = {}
+
+        def held():
+            out = defaultdict(list)
+            for w, copies in many.items():
+                for name, v in zip(schema.names, (_window_hash(w), None, None, 0, 1, copies, w)):
+                    out[name].append(v)
+            many.clear()
+            if out:
+                yield arrow_rows(out, schema)
+
         for batch in batches:
-            out, many = defaultdict(list), {}
+            out = defaultdict(list)
             for row in batch.to_pylist():
                 words = words_of(row["text"])
+                if len(many) >= HELD_WINDOWS:
+                    yield from held()
                 for r in row["_regions"]:
                     start, n = r["at"] // 256, r["at"] % 128
                     if r["hot"]:
@@ -166,11 +181,9 @@ def _units(candidates: DataFrame, window: int) -> DataFrame:
                         value = (r["key"], row["_k1"], row["_k2"], start, n, row["_copies"], b" ".join(words[start : start + n + window - 1]))
                         for name, v in zip(schema.names, value):
                             out[name].append(v)
-            for w, copies in many.items():
-                for name, v in zip(schema.names, (_window_hash(w), None, None, 0, 1, copies, w)):
-                    out[name].append(v)
             if out:
                 yield arrow_rows(out, schema)
+        yield from held()
 
     return candidates.mapInArrow(run, "_unit long, _k1 long, _k2 long, _start long, _n long, _w long, _words binary")
 
