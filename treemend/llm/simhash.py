@@ -202,16 +202,16 @@ def component_ids(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """The documents, one of each component: the one with the smallest id (null ids last), then with the smallest text hash.
+    """The documents, one of each component: the one with the smallest id, null ids last.
 
-    Of rows equal in both, one stays: they are counted per written chunk, so
-    none is told apart by anything but its place.
+    Of rows that share an id, the first in the order they are written stays.
     """
     prepare(docs.sparkSession)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")
     # narrow rows decide; the place of a row in its written chunk tells repeated rows apart
-    marked = with_fingerprints(docs, shingle).withColumn("_row", F.monotonically_increasing_id())
+    marked = with_fingerprints(docs.select(whole, "doc_id", "text"), shingle).select("_doc", "doc_id", "_fp", F.monotonically_increasing_id().alias("_row"))
     kept = cut_lineage(marked)
     narrow = kept.select("doc_id", "_fp", "_row")
     narrow = narrow.join(component_ids(narrow, radius).select("_fp", "_root"), "_fp")
     best = narrow.groupBy("_root").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_row"))).alias("_best"))
-    return kept.join(best.select(F.col("_best._row").alias("_row")), "_row", "left_semi").select(*docs.columns)
+    return kept.join(best.select(F.col("_best._row").alias("_row")), "_row", "left_semi").select("_doc.*")
