@@ -11,7 +11,7 @@ from treemend.plans.predictions import prediction_order, run_predictions
 from treemend.plans.qc import close_qc, flag_index, run_qc
 from treemend.session import cut_lineage
 from treemend.standard import ACCESS as STANDARD_ACCESS
-from treemend.standard import RULES, WELL_TREE
+from treemend.standard import WELL_TREE, rules
 
 ACCESS = {
     "Well": AccessDef("Well", "W", ("ID",), {"ID": "string", "LAT": "number", "LON": "number", "ELEV": "number", "REMARK": "string"}),
@@ -258,6 +258,6 @@ def test_merge_duplicates(spark):
 
 
 def test_standard_definitions():
-    assert [r.key for r in prediction_order(RULES)] == ["P1", "P2", "P9", "P6", "P5", "P3", "P4", "P8", "P7"]
+    assert [r.key for r in prediction_order(rules("Top"))] == ["P1", "P2", "P9", "P6", "P5", "P3", "P4", "P8", "P7"]
     assert WELL_TREE.level_of("MarkerPick") == 4 and WELL_TREE.depth == 4
     assert STANDARD_ACCESS["WellBore"].schema["FINAL_TD"].dataType.simpleString() == "double"

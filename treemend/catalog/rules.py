@@ -10,6 +10,7 @@ from treemend.model import AccessDef, Rule
 from treemend.operators import index as X
 from treemend.operators.row_rules import register_check
 from treemend.plans.qc import close_qc, flag_index, run_qc
+from treemend.session import cut_lineage
 
 BIG = "bigint"
 
@@ -196,3 +197,22 @@ def qc_flags_one_pass(fx):
     return out.select(X.path_text(F.col("node_path")).alias("path"), F.concat_ws(";", "qc").alias("qc"))
 
 
+@query(
+    "standard_rules",
+    WELL_IDX + """, w AS (SELECT * FROM idx WHERE data_type = 'WellBore'), logs_ AS (SELECT count(*) AS n FROM idx WHERE data_type = 'Log'),
+    low AS (SELECT DISTINCT '/1/' || split_part(path, '/', 3) || '/' AS wp FROM idx WHERE data_type = 'MarkerPick' AND data_name = '5-LOW')
+    SELECT 'C1' AS rule_key, (SELECT count(*) FROM w WHERE num IS NULL OR num = -99999) AS n_failed
+    UNION ALL SELECT 'C2', (SELECT count(*) FROM w WHERE latitude IS NULL) UNION ALL SELECT 'C3', (SELECT count(*) FROM w WHERE longitude IS NULL)
+    UNION ALL SELECT 'V1', (SELECT count(*) FROM w WHERE num < 0 OR num > 5000)
+    UNION ALL SELECT 'C4', (SELECT count(*) FROM idx WHERE data_type = 'MarkerPick' AND num = -99999)
+    UNION ALL SELECT 'C5', 0 UNION ALL SELECT 'C6', n FROM logs_ UNION ALL SELECT 'C7', n FROM logs_
+    UNION ALL SELECT 'E1', (SELECT count(*) FROM w LEFT JOIN low ON path = wp WHERE wp IS NULL)""",
+)
+def standard_rules(fx):
+    """The ready-made quality rules over the well index."""
+    from treemend.operators.reports import failure_counts
+    from treemend.standard import rules
+
+    checks = [r for r in rules("5-LOW") if r.rule_type != "Predictions"]
+    idx = cut_lineage(well_index(fx), "data_type")
+    return failure_counts(flag_index(idx, checks, WELL_TREE, ACCESS), checks).select("rule_key", "n_failed")

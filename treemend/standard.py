@@ -6,6 +6,8 @@ records come from.
 
 from __future__ import annotations
 
+import json
+
 from treemend.model import AccessDef, CurveArrays, ReferenceDef, Rule, Taxonomy, TypeNode
 
 _STAMPS = {"ROW_CREATED_DATE": "date", "ROW_CREATED_BY": "string", "ROW_CHANGED_DATE": "date", "ROW_CHANGED_BY": "string"}
@@ -85,11 +87,13 @@ CSV_MAPPINGS = {
     "Production": "PDEN_ID=3",
 }
 
-_MISSING_FORMATION = (
-    '{"DataType": "MarkerPick", "Keys": [{"Key": "UWI", "Value": "!UWI"}, '
-    '{"Key": "STRAT_UNIT_ID", "Value": "Heebner Shale Member"}, {"Key": "STRAT_NAME_SET_ID", "Value": "UNKNOWN"}, '
-    '{"Key": "INTERP_ID", "Value": "UNKNOWN"}], "Defaults": [{"Default": "DOMINANT_LITHOLOGY", "Value": "UNKNOWN"}]}'
-)
+
+def _missing(formation: str) -> str:
+    keys = {"UWI": "!UWI", "STRAT_UNIT_ID": formation, "STRAT_NAME_SET_ID": "UNKNOWN", "INTERP_ID": "UNKNOWN"}
+    return json.dumps({
+        "DataType": "MarkerPick", "Keys": [{"Key": k, "Value": v} for k, v in keys.items()],
+        "Defaults": [{"Default": "DOMINANT_LITHOLOGY", "Value": "UNKNOWN"}],
+    })
 
 
 def _complete(i: int, key: str, kind: str, attribute: str) -> Rule:
@@ -100,23 +104,25 @@ def _predict(i: int, key: str, kind: str, function: str, fail: str, order: int,
     return Rule(key, kind, function, "Predictions", attribute, params, fail_rule=fail, order=order, rule_id=i)
 
 
-RULES = [
-    _complete(1, "C1", "WellBore", "DEPTH_DATUM_ELEV"),
-    _complete(2, "C2", "WellBore", "SURFACE_LATITUDE"),
-    _complete(3, "C3", "WellBore", "SURFACE_LONGITUDE"),
-    _predict(4, "P1", "WellBore", "DeleteDataObject", "C2", 1),
-    _predict(5, "P2", "WellBore", "DeleteDataObject", "C3", 2),
-    _predict(6, "P3", "WellBore", "PredictDepthUsingIDW", "C1", 10, "DEPTH_DATUM_ELEV"),
-    Rule("V1", "WellBore", "ValidityRange", "Validity", "DEPTH_DATUM_ELEV", "{MinRange:0, MaxRange:5000}", rule_id=7),
-    _predict(8, "P4", "WellBore", "PredictDepthUsingIDW", "V1", 12, "DEPTH_DATUM_ELEV"),
-    _complete(9, "C4", "MarkerPick", "PICK_DEPTH"),
-    _predict(10, "P5", "MarkerPick", "DeleteDataObject", "C4", 6),
-    _complete(11, "C5", "WellBore", "GROUND_ELEV"),
-    _predict(12, "P6", "MarkerPick", "PredictDepthUsingIDW", "C4", 5, "PICK_DEPTH"),
-    _complete(13, "C6", "Log", "MIN_INDEX"),
-    _complete(14, "C7", "Log", "MAX_INDEX"),
-    _predict(15, "P7", "Log", "PredictLogDepthAttributes", "C7", 16, "MAX_INDEX"),
-    _predict(16, "P8", "Log", "PredictLogDepthAttributes", "C6", 14, "MIN_INDEX"),
-    Rule("E1", "WellBore", "Entirety", "Entirety", "INDEXID", '{"DataType": "MarkerPick", "Name": "Heebner Shale Member"}', rule_id=17),
-    _predict(18, "P9", "WellBore", "PredictMissingDataObjects", "E1", 4, "INDEXID", _MISSING_FORMATION),
-]
+def rules(formation: str) -> list[Rule]:
+    """The quality and prediction rules; every well should have a pick of ``formation``."""
+    return [
+        _complete(1, "C1", "WellBore", "DEPTH_DATUM_ELEV"),
+        _complete(2, "C2", "WellBore", "SURFACE_LATITUDE"),
+        _complete(3, "C3", "WellBore", "SURFACE_LONGITUDE"),
+        _predict(4, "P1", "WellBore", "DeleteDataObject", "C2", 1),
+        _predict(5, "P2", "WellBore", "DeleteDataObject", "C3", 2),
+        _predict(6, "P3", "WellBore", "PredictDepthUsingIDW", "C1", 10, "DEPTH_DATUM_ELEV"),
+        Rule("V1", "WellBore", "ValidityRange", "Validity", "DEPTH_DATUM_ELEV", "{MinRange:0, MaxRange:5000}", rule_id=7),
+        _predict(8, "P4", "WellBore", "PredictDepthUsingIDW", "V1", 12, "DEPTH_DATUM_ELEV"),
+        _complete(9, "C4", "MarkerPick", "PICK_DEPTH"),
+        _predict(10, "P5", "MarkerPick", "DeleteDataObject", "C4", 6),
+        _complete(11, "C5", "WellBore", "GROUND_ELEV"),
+        _predict(12, "P6", "MarkerPick", "PredictDepthUsingIDW", "C4", 5, "PICK_DEPTH"),
+        _complete(13, "C6", "Log", "MIN_INDEX"),
+        _complete(14, "C7", "Log", "MAX_INDEX"),
+        _predict(15, "P7", "Log", "PredictLogDepthAttributes", "C7", 16, "MAX_INDEX"),
+        _predict(16, "P8", "Log", "PredictLogDepthAttributes", "C6", 14, "MIN_INDEX"),
+        Rule("E1", "WellBore", "Entirety", "Entirety", "INDEXID", json.dumps({"DataType": "MarkerPick", "Name": formation}), rule_id=17),
+        _predict(18, "P9", "WellBore", "PredictMissingDataObjects", "E1", 4, "INDEXID", _missing(formation)),
+    ]
