@@ -161,11 +161,10 @@ def mix_sources(
     )
     cut = cut_lineage(cut)
     keys = ["_source", "size", "_bucket"]
-    settled = rows.join(cut.where("_need = 0 OR _need = _n"), keys).withColumn("_one", (F.col("_need") > 0).cast("int"))
+    # one shuffle of the rows, at every size: the cuts grow with the rows and are never broadcast
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy("_hash"))
-    # at most one bucket of each length is cut inside
-    ranked = rows.join(cut.where("_need > 0 AND _need < _n"), keys).withColumn("_one", (rank <= F.col("_need")).cast("int"))
-    return settled.unionByName(ranked).select("row", "size", "source_size", "target", (F.col("_whole") + F.col("_one")).alias("copies"))
+    ranked = rows.join(cut.hint("merge"), keys).withColumn("_one", (rank <= F.col("_need")).cast("int"))
+    return ranked.select("row", "size", "source_size", "target", (F.col("_whole") + F.col("_one")).alias("copies"))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
