@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from treemend.functions.values import is_blank, to_number
 from treemend.model import NULL_NUMBER
-from treemend.scale import ordinal_in_group
+from treemend.scale import in_stretches
 
-# Samples per packing block: sorted pieces are built in parallel and then joined.
-BLOCK_SAMPLES = 4096
+# Packing blocks hold up to 2 ** 12 sorted samples; they are built in parallel and then joined.
+BLOCK_BITS = 12
 
 
 def parse_array(text: Column) -> Column:
@@ -56,18 +56,18 @@ def pack_curves(
 ) -> DataFrame:
     """Samples as two ``", "``-joined texts per curve, ordered by index value.
 
-    Samples are numbered along their curve, and blocks of ``BLOCK_SAMPLES`` of
-    them are joined first, however densely they lie; the last step only strings
-    finished pieces together. A packed curve is one value of the record, as the
+    Samples are sorted in stretches, and blocks of neighbours in a stretch are
+    joined first, however densely they lie; the last step only strings finished
+    pieces together. A packed curve is one value of the record, as the
     model wants it: beyond 2 GB of text it cannot be held, and the job fails.
     """
     order = [F.col("_o0"), F.col("_o1"), F.col("_i"), F.col("_v")]
     rows = samples.select(
         *keys, F.col(index).alias("_o0"), F.col(tie or value).alias("_o1"), text(F.col(index)).alias("_i"), text(F.col(value)).alias("_v")
     )
-    rows = ordinal_in_group(rows, keys, order, "_nth")
-    block = F.floor((F.col("_nth") - 1) / BLOCK_SAMPLES).alias("_block")
-    rows = rows.select(*keys, block, F.struct(F.col("_nth"), F.col("_i").alias("i"), F.col("_v").alias("v")).alias("_s"))
+    rows = in_stretches(rows, [*[F.col(k) for k in keys], *order])
+    block = F.shiftright("_at", BLOCK_BITS).alias("_block")
+    rows = rows.select(*keys, block, F.struct(F.col("_at"), F.col("_i").alias("i"), F.col("_v").alias("v")).alias("_s"))
     pieces = rows.groupBy(*keys, "_block").agg(F.array_sort(F.collect_list("_s")).alias("_s"))
     pieces = pieces.select(
         *keys, F.struct("_block", F.array_join("_s.i", ", ").alias("i"), F.array_join("_s.v", ", ").alias("v")).alias("_p")
