@@ -29,8 +29,8 @@ WINDOW = 35
 GROUP = 8
 # Windows of one region at most; longer runs of one key are several regions.
 REGION = 64
-# Regions of one key from which windows are the unit.
-HOT_REGIONS = 1_000
+# Regions of one key, about a million words, up to which one task indexes a key whole; beyond, windows are the unit.
+HOT_REGIONS = 20_000
 # Distinct windows of hot keys that a task holds before it sends them on.
 HELD_WINDOWS = 40_000
 # Words of one FM-index, about: what a task holds at a time.
