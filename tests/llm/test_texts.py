@@ -248,3 +248,33 @@ def test_languages_of_odd_texts(docs):
     assert [g[1] for g in got[3:6]] == ["en", "en", "de"] and got[6][1] in ("de", "en") and got[7][1] == "en"
     nothing = language_column(fit_languages(df.where("lang IS NULL").select("lang", "text")))
     assert {r["p"]["lang"] for r in odd.select(nothing(F.col("text")).alias("p")).collect()} == {"und"}
+
+
+def test_variance_parts_are_found():
+    rng = np.random.default_rng(6)
+    n = np.exp(rng.uniform(np.log(50), np.log(200_000), 4000))
+    x = rng.normal(2.0, np.sqrt(0.03 + 6 / n))
+    octaves = np.log2(n).astype(int)
+    groups = [octaves == o for o in np.unique(octaves)]
+    mean, between, within = langid.variance_parts(*np.array([(g.sum(), (1 / n[g]).sum(), x[g].sum(), (x[g] ** 2).sum()) for g in groups]).T)
+    assert mean == pytest.approx(2.0, abs=0.02) and between == pytest.approx(0.03, rel=0.15) and within == pytest.approx(6, rel=0.4)
+    # texts of one length: the parts cannot be told apart, their sum can
+    same = rng.normal(2.0, 0.4, 500)
+    mean, between, within = langid.variance_parts(*np.array([[500, 5.0, same.sum(), (same**2).sum()]]).T)
+    assert between + within / 100 == pytest.approx(0.16, rel=0.2)
+
+
+def test_very_long_clean_texts_stay(spark):
+    folder = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    clean = folder.where(fold & F.col("text").rlike(r"^[^{}<>|=]*$") & (F.length("text") > 1500))
+    # each document's own style, at some hundred times its length
+    long = clean.select("doc_id", "lang", F.expr("repeat(concat(text, ' '), cast(1 + 400000 / length(text) as int))").alias("text"))
+    predict = language_column(fit_languages(folder.where(~fold).select("lang", "text")))
+    got = long.select("lang", predict(F.col("text")).alias("p")).collect()
+    assert {r["lang"] for r in got} == {r["lang"] for r in folder.select("lang").distinct().collect()} and len(got) >= 20
+    assert sum(r["p"]["rejected"] for r in got) == 0 and all(r["p"]["lang"] == r["lang"] for r in got)
+    # letters in another order are no language, long or short
+    alien = clean.select(F.translate("text", "abcdefghijklmnopqrstuvwxyz", "qzxjkvwpyhgfbmcuoldtinrase").alias("text"))
+    for text in (F.col("text"), F.repeat("text", F.lit(100))):
+        assert alien.where(~predict(text)["rejected"]).count() == 0

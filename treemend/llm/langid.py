@@ -34,6 +34,8 @@ CALIBRATION_TEXTS = 2_000
 MOST_LANGUAGES = 1_000
 # Spreads above its language's mean at which a text is rejected: see calibrate().
 REJECT_SPREADS = 8.0
+# Least spread of a language's documents, in bits per character, whatever their length.
+LEAST_SPREAD = 0.05
 UNKNOWN, EDGE = 1, 2
 _LETTER_BITS = 15
 
@@ -275,10 +277,13 @@ def fit_languages(learn: DataFrame) -> bytes | None:
 
 
 def calibrate(spark, model: Model, texts: DataFrame) -> np.ndarray:
-    """Per language mean and spread of the cross-entropy of its own unseen texts, spread being scaled to one character.
+    """Per language mean, between and within: the mean cross-entropy of its own unseen texts and the two parts of its variance.
 
-    The cross-entropy of n characters varies with 1 / sqrt(n). A text is
-    rejected when it lies ``REJECT_SPREADS`` spreads above the mean.
+    Documents differ in style by ``between``, however long they are; on top of
+    that the cross-entropy of n characters varies by ``within`` / n. A text is
+    rejected when it lies ``REJECT_SPREADS`` spreads, the root of
+    between + within / n, above the mean. Texts meet in octaves of length, so
+    the driver sees some thirty rows a language.
     """
     data = spark.sparkContext.broadcast(model.pack())
 
@@ -291,16 +296,46 @@ def calibrate(spark, model: Model, texts: DataFrame) -> np.ndarray:
                 h = m.cross_entropy([c for _, c in rows])
                 n = np.array([len(c) for _, c in rows], float)
                 own = h[np.arange(len(rows)), [k for k, _ in rows]]
-                yield pd.DataFrame({"k": [k for k, _ in rows], "w": n, "wh": n * own, "z": n * own * own, "c": 1.0})
-
-    sums = texts.select("lang", "text").mapInPandas(run, "k int, w double, wh double, z double, c double").groupBy("k").agg(*[F.sum(x).alias(x) for x in ("w", "wh", "z", "c")])
-    out = np.tile([np.log2(len(model.alphabet) + 2.0), 1.0], (len(model.languages), 1))
-    for r in sums.collect():
-        mean = r["wh"] / r["w"]
-        out[r["k"]] = mean, max(1.0, np.sqrt(max(0.0, r["z"] - r["w"] * mean * mean) / r["c"]))
+                yield pd.DataFrame({"k": [k for k, _ in rows], "o": np.log2(n).astype(int), "c": 1.0, "r": 1 / n, "h": own, "hh": own * own})
+
+    sums = texts.select("lang", "text").mapInPandas(run, "k int, o int, c double, r double, h double, hh double").groupBy("k", "o").agg(*[F.sum(x).alias(x) for x in ("c", "r", "h", "hh")])
+    out = np.tile([np.log2(len(model.alphabet) + 2.0), LEAST_SPREAD**2, 1.0], (len(model.languages), 1))
+    by: dict[int, list] = {}
+    for r in sums.orderBy("k", "o").collect():
+        by.setdefault(r["k"], []).append((r["c"], r["r"], r["h"], r["hh"]))
+    for k, octaves in by.items():
+        out[k] = variance_parts(*np.array(octaves).T)
     return out
 
 
+def variance_parts(c: np.ndarray, r: np.ndarray, h: np.ndarray, hh: np.ndarray) -> tuple[float, float, float]:
+    """mean, between, within from sums per group of like length: texts, 1 / n, cross-entropy and its square.
+
+    The mean weighs texts by their fitted precision, and the squared
+    deviations are fitted by between + within / n, each group with the
+    precision that fit implies; a few rounds settle both. Neither part falls
+    below its floor.
+    """
+    floors = np.array([LEAST_SPREAD**2, 1.0])
+    x = np.stack([np.ones(len(c)), r / c], axis=1)
+    parts = floors
+    for _ in range(50):
+        v = x @ parts
+        mean = (h / v).sum() / (c / v).sum()
+        off = np.maximum(0.0, hh / c - 2 * mean * h / c + mean * mean)
+        w = c / (v * v)
+        (aa, ab), (_, bb) = (x * w[:, None]).T @ x
+        ya, yb = (x * w[:, None]).T @ off
+        det = aa * bb - ab * ab
+        free = np.array([bb * ya - ab * yb, aa * yb - ab * ya]) / det if det > 1e-9 * aa * bb else np.array([-1.0, -1.0])
+        if (free < floors).any():
+            # one part at its floor, the other by itself; the better of both
+            ends = [np.array([floors[0], max(floors[1], (yb - floors[0] * ab) / bb)]), np.array([max(floors[0], (ya - floors[1] * ab) / aa), floors[1]])]
+            free = min(ends, key=lambda p: (w * (off - x @ p) ** 2).sum())
+        parts = (parts + free) / 2
+    return float(mean), float(parts[0]), float(parts[1])
+
+
 def language_column(model: bytes | None):
     """text -> struct<lang, score, rejected>, a function of columns.
 
@@ -328,8 +363,8 @@ def language_column(model: bytes | None):
                 n = np.array([len(cleaned[i]) for i in rows], float)
                 low = h[np.arange(len(rows)), best]
                 odds = np.exp2(-np.minimum(n, 100)[:, None] * (h - low[:, None]))
-                mean, spread = m.limit[best].T
-                for i, k, s, r in zip(rows, best, 1 / odds.sum(1), low > mean + REJECT_SPREADS * spread / np.sqrt(n)):
+                mean, between, within = m.limit[best].T
+                for i, k, s, r in zip(rows, best, 1 / odds.sum(1), low > mean + REJECT_SPREADS * np.sqrt(between + within / n)):
                     lang[a + i], score[a + i], rejected[a + i] = m.languages[k], s, r
         return pd.DataFrame({"lang": lang, "score": score, "rejected": rejected})
 
