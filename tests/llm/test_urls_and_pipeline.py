@@ -56,6 +56,23 @@ def test_captures_as_of_their_day(spark):
     assert filter_urls(captures.limit(0), entries).count() == 0 and filter_urls(captures, entries.limit(0)).where("blocked").count() == 0
 
 
+def test_list_keys_with_capitals_and_long_paths(spark):
+    keys = ["Example.com/News", "a.org/1/2/3/4/5", "a.org/1/2/3/4/5/6/7", "B.net"]
+    entries = spark.createDataFrame([(k, "c", day(0), "add") for k in keys], "key string, category string, day date, action string")
+    urls = {
+        "http://EXAMPLE.com/News/x": ["c:example.com/News"], "http://example.com/news": [], "http://a.org/1/2/3/4/5?q": ["c:a.org/1/2/3/4/5"], "http://a.org/1/2/3/4": [],
+        "http://a.org/1/2/3/4/5/6/7/8/9": ["c:a.org/1/2/3/4/5", "c:a.org/1/2/3/4/5/6/7"], "http://b.net/a/b/c/d": ["c:b.net"],
+    }
+    captures = spark.createDataFrame([(u, day(1)) for u in urls], "url string, fetched date")
+    assert {r["row"]["url"]: r["reasons"] for r in filter_urls(captures, entries).collect()} == {u: ",".join(w) for u, w in urls.items()}
+    hosts = filter_urls(captures, entries.where("key = 'B.net'"))
+    assert {r["row"]["url"] for r in hosts.where("blocked").collect()} == {"http://b.net/a/b/c/d"}
+    # one key, whichever way its host is written
+    log = spark.createDataFrame([("X.com/Ab", "c", day(1), "add"), ("x.com/Ab", "c", day(5), "drop"), ("x.com/ab", "c", day(2), "add")], entries.schema)
+    got = {(r["key"], r["valid_from"], r["valid_to"]) for r in validity(log).collect()}
+    assert got == {("x.com/Ab", day(1), day(5)), ("x.com/ab", day(2), datetime.date(9999, 12, 31))}
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_oracle(spark, name):
     folder = "/root/testdata/sf0.001"

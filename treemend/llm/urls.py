@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from treemend.llm.common import prepare
 
-# Path segments that a list key may have at most after its host: the list's format, not a limit on URLs.
+# Path segments after the host in keys that are derived from URLs. Captures are judged with as many as the list's longest key has.
 PATH_SEGMENTS = 3
 FOREVER = "9999-12-31"
 
@@ -31,14 +31,20 @@ def path_of(url: Column) -> Column:
     return F.regexp_replace(path, r"^/+|/+$", "")
 
 
-def keys_of(host: Column, path: Column) -> Column:
-    """Host, parent domains of two labels or more, and host with one to ``PATH_SEGMENTS`` leading path segments."""
+def list_key(key: Column) -> Column:
+    """A list's key as ``keys_of`` gives it: the host in lower case, the path after the first slash as it is."""
+    host = F.substring_index(key, "/", 1)
+    return F.concat(F.lower(host), F.substr(key, F.length(host) + 1))
+
+
+def keys_of(host: Column, path: Column, most: int = PATH_SEGMENTS) -> Column:
+    """Host, parent domains of two labels or more, and host with one to ``most`` leading path segments."""
     labels, segments = F.split(host, r"\."), F.split(path, "/+")
     from_end = lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")
     domains = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(labels) - 1)), from_end)
     lead = lambda i: F.concat(host, F.lit("/"), F.array_join(F.slice(segments, 1, i), "/"))
-    paths = F.transform(F.sequence(F.lit(1), F.least(F.size(segments), F.lit(PATH_SEGMENTS))), lead)
-    return F.when(host == "", F.array().cast("array<string>")).when(path == "", domains).otherwise(F.array_distinct(F.concat(domains, paths)))
+    paths = F.transform(F.sequence(F.lit(1), F.least(F.size(segments), F.lit(max(1, most)))), lead)
+    return F.when(host == "", F.array().cast("array<string>")).when((path == "") | F.lit(most < 1), domains).otherwise(F.array_distinct(F.concat(domains, paths)))
 
 
 def validity(entries: DataFrame) -> DataFrame:
@@ -46,10 +52,11 @@ def validity(entries: DataFrame) -> DataFrame:
 
     The last entry of a day counts (``drop`` over ``add``); an add while the key
     is listed, or a drop while it is not, changes nothing. Entries with a null
-    key, day or action are void; a null category is ''.
+    key, day or action are void; a null category is ''. Keys that differ in
+    the case of the host only are one key; paths keep their case.
     """
     log = entries.where("key IS NOT NULL AND day IS NOT NULL AND action IN ('add', 'drop')").groupBy(
-        F.lower("key").alias("key"), F.coalesce("category", F.lit("")).alias("category"), F.col("day").cast("date").alias("day")
+        list_key(F.col("key").cast("string")).alias("key"), F.coalesce("category", F.lit("")).alias("category"), F.col("day").cast("date").alias("day")
     ).agg(F.max("action").alias("action"))
     order = Window.partitionBy("key", "category").orderBy("day")
     changes = log.withColumn("_was", F.lag("action").over(order)).where("action <> coalesce(_was, 'drop')")
@@ -68,8 +75,10 @@ def filter_urls(captures: DataFrame, entries: DataFrame) -> DataFrame:
     prepare(captures.sparkSession)
     rows = captures.select(F.struct(*[F.col(f"`{c}`") for c in captures.columns]).alias("row"), F.col("url").cast("string").alias("_url"), F.col("fetched").cast("date").alias("_day"))
     month = lambda d: F.year(d) * 12 + F.month(d)
+    # the longest path of the list: one number
+    most = entries.agg(F.max(F.size(F.split(F.col("key").cast("string"), "/+")) - 1)).first()[0] or 0
     distinct = rows.select("_url", "_day").where("_url IS NOT NULL AND _day IS NOT NULL").distinct()
-    keyed = distinct.withColumn("_host", host_of(F.col("_url"))).select("_url", "_day", month(F.col("_day")).alias("_month"), F.explode(keys_of(F.col("_host"), path_of(F.col("_url")))).alias("key"))
+    keyed = distinct.withColumn("_host", host_of(F.col("_url"))).select("_url", "_day", month(F.col("_day")).alias("_month"), F.explode(keys_of(F.col("_host"), path_of(F.col("_url")), most)).alias("key"))
     spans = validity(entries)
     # no interval needs months before the first or after the last capture: two numbers
     ends = captures.agg(F.min("fetched").cast("date").alias("a"), F.max("fetched").cast("date").alias("b")).first()
