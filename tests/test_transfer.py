@@ -223,3 +223,28 @@ def test_write_version(spark, tmp_path):
     S.write_version(spark.range(3).toDF("k"), root, 1)
     new = S.upsert(spark.read.parquet(root + "/v000001"), spark.range(5).toDF("k"), ["k"])
     assert spark.read.parquet(S.write_version(new, root, 2)).count() == 5
+
+
+def test_driver_files_are_written_line_by_line(spark, monkeypatch):
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    from treemend.catalog.files import _las_folder, _rfc_csv
+    from treemend.fixtures import Fixtures
+
+    longest, text = [], DataFrameWriter.text
+    monkeypatch.setattr(DataFrameWriter, "text", lambda self, path, *a, **b: longest.append(self._df.agg(F.max(F.length("value"))).first()[0] or 0) or text(self, path, *a, **b))
+    fx = Fixtures(spark, "/root/testdata/sf0.001")
+    rows = spark.range(0, 3000, 1, 20).select("id", F.concat(F.lit('say "'), F.col("id").cast("string"), F.lit('", \\')).alias("name"))
+    path = _rfc_csv(fx, rows.where("id < 2990 OR id > 5000"), "rows")
+    files = [f.read_text().splitlines() for f in Path(path.removeprefix("file:")).glob("part-*")]
+    assert len(files) == 20 and all(f[0] == "id,name" and len(f) > 1 for f in files)
+    assert {(r[0], r[1]) for r in K.scan_csv(spark, path, "id=0; name=1", multiline=False).collect()} == {(str(i), f'say "{i}", \\') for i in range(2990)}
+    assert _rfc_csv(fx, rows.where("id < 0"), "none")
+    folder = _las_folder(fx)
+    users = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select("user_id").distinct().count()
+    las = [f.read_text() for f in Path(folder.removeprefix("file:")).rglob("part-*")]
+    assert len(las) == users and all(t.startswith("~Version") and t.count("~A ") == 1 and "\n\n" not in t for t in las)
+    index = [[float(x.split()[0]) for x in t.split("~A ")[1].splitlines()[1:]] for t in las]
+    assert all(i == sorted(i) and i for i in index)
+    # no value holds more than a header or a row, however many rows a user has
+    assert max(longest) < 1000 < max(map(len, las))

@@ -1,5 +1,6 @@
 """CSV and LAS sources: S keys. The files are written from the driver tables first."""
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from treemend.catalog.registry import query
@@ -22,9 +23,18 @@ def _rfc_csv(fx: Fixtures, df, label: str) -> str:
     """Files of quoted values, quotes doubled, written as plain text."""
     path = scratch_path(fx.spark, label)
     cells = [F.concat(F.lit('"'), F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit('"'), F.lit('""')), F.lit('"')) for c in df.columns]
-    lines = df.select(F.pmod(F.xxhash64(*df.columns), F.lit(8)).alias("part"), F.concat_ws(",", *cells).alias("line"))
-    text = lines.groupBy("part").agg(F.concat(F.lit(",".join(df.columns) + "\n"), F.array_join(F.collect_list("line"), "\n")).alias("value"))
-    text.select("value").repartition(8).write.option("maxRecordsPerFile", 1).text(path)
+    header = ",".join(df.columns)
+
+    def with_header(batches):
+        started = False
+        for batch in batches:
+            if batch.num_rows and not started:
+                started = True
+                yield pa.RecordBatch.from_arrays([pa.array([header], batch.schema.field(0).type)], schema=batch.schema)
+            yield batch
+
+    # each partition writes its own file, line by line
+    df.select(F.concat_ws(",", *cells).alias("value")).mapInArrow(with_header, "value string").write.text(path)
     return path
 
 
@@ -98,7 +108,7 @@ def _las_folder(fx: Fixtures) -> str:
         F.lit("  "), F.col("idx").cast("string"), F.lit("   "), token("c1"),
         F.when(F.col("sample_id") % 10 > 0, F.concat(F.lit("  "), token("c2"), F.lit(" "), token("c3"), F.lit("  "), token("c4"), F.lit("   "), token("c5"))).otherwise(""),
     )
-    body = grid.groupBy("wkey").agg(F.array_sort(F.collect_list(F.struct("sample_id", row.alias("r")))).alias("rows"))
+    body = grid.select("wkey", F.lit(1).alias("part"), "sample_id", row.alias("value")).where("value IS NOT NULL")
     k = F.col("wkey")
     ks = k.cast("string")
     uwi = F.concat(F.lit("W"), F.lpad(ks, 8, "0"))
@@ -113,13 +123,13 @@ def _las_folder(fx: Fixtures) -> str:
         F.lit(" WELL .  Well "), ks, F.lit(" : WELL: NAME\n LEAS .  Lease "), ks, F.lit(" : LEASE\n LAT .DEG  "), (k * 0.5).cast("string"), F.lit(" : LATITUDE\n"),
         F.lit("~Curve Information\n DEPT.M : Depth\n CLICK.API 07 : Clicks\n VIEW.API : Views\n BUY.V/V : Purchases\n SIGN.API : Signups\n ERR.API : Errors\n"),
         F.lit("~Parameter Information\n MUD .  GEL : Mud: type\n# no parameter\n BHT .DEGC  "), ks, F.lit(" : Bottom hole\n"),
-        F.lit("~A DEPT CLICK VIEW BUY SIGN ERR\n"),
+        F.lit("~A DEPT CLICK VIEW BUY SIGN ERR"),
     )
-    text = F.concat(header, F.array_join("rows.r", "\n"))
+    heads = fx["f_curve"].select("wkey").distinct().select("wkey", F.lit(0).alias("part"), F.lit(None).cast(grid.schema["sample_id"].dataType).alias("sample_id"), header.alias("value"))
     path = scratch_path(fx.spark, "las")
-    # one file per user, written by all cores
-    files = body.select(text.alias("value")).repartition(fx.spark.sparkContext.defaultParallelism)
-    files.write.option("maxRecordsPerFile", 1).text(path)
+    # one file per user: its lines in order, a row each
+    lines = heads.union(body).repartition("wkey").sortWithinPartitions("wkey", "part", "sample_id")
+    lines.select("wkey", "value").write.partitionBy("wkey").text(path)
     return path
 
 
