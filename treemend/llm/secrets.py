@@ -2,7 +2,9 @@
 
 Base patterns give spans; strings that look random add more: Shannon entropy
 in a sliding window, by character class, with counts updated character by
-character. Strings on an allow-list, or inside a base span, add nothing.
+character. Base spans and allow-listed pieces are cut out of a string, and what
+is left between them is scored piece by piece; strings and pieces that are
+harmless as a whole add nothing.
 A span's place comes from the texts between matches: split() and
 regexp_extract_all() walk the same matches.
 """
@@ -32,11 +34,10 @@ CLASSES = {
     "upper": (r"^[A-Z0-9_=-]+$", 3.3),
     "base64": (r"^[A-Za-z0-9+/_=-]+$", 3.7),
 }
-# Strings that are no secrets: no digit or no letter, UUIDs, alphabets and placeholders, one character over and over.
-ALLOW_LIST = (
-    r"^[^0-9]*$", r"^[^A-Za-z]*$", r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
-    r"(?i)abcdefgh|01234567|12345678|example|sample|dummy|placeholder|changeme|lorem", r"(.)\1{7,}",
-)
+# Strings that are no secrets as a whole: no digit or no letter, UUIDs.
+HARMLESS = (r"^[^0-9]*$", r"^[^A-Za-z]*$", r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$")
+# Pieces that are no secrets: alphabets and placeholders, one character over and over. What stands around them is scored.
+ALLOW_LIST = (r"(?i)abcdefgh|01234567|12345678|example|sample|dummy|placeholder|changeme|lorem", r"(.)\1{7,}")
 REPLACEMENT = "[secret]"
 
 
@@ -89,6 +90,40 @@ def _hot_stretch(candidate: Column, bits: Column) -> Column:
     return F.aggregate(events, start, step, lambda a: F.struct(a["lo"].alias("lo"), a["hi"].alias("hi")))
 
 
+_PIECES = "array<struct<s:int,m:string>>"
+
+
+def _outside(candidate: Column, spans: Column) -> Column:
+    """array<struct<s, m>>: the candidate's pieces of ``WINDOW`` characters or more outside the sorted spans, each with its start."""
+
+    def step(a: Column, b: Column) -> Column:
+        piece = F.struct(a["p"].alias("s"), F.substr(candidate["m"], a["p"] - candidate["s"] + 1, b["s"] - a["p"]).alias("m"))
+        return F.struct(F.greatest(a["p"], b["e"]).alias("p"), F.when(b["s"] - a["p"] >= WINDOW, F.array_append(a["o"], piece)).otherwise(a["o"]).alias("o"))
+
+    end = F.array(F.struct(candidate["e"].alias("s"), candidate["e"].alias("e")))
+    cuts = F.transform(F.filter(spans, lambda b: (b["s"] < candidate["e"]) & (candidate["s"] < b["e"])), lambda b: F.struct(b["s"].alias("s"), b["e"].alias("e")))
+    return F.aggregate(F.concat(cuts, end), F.struct(candidate["s"].alias("p"), F.array().cast(_PIECES).alias("o")), step, lambda a: a["o"])
+
+
+def _without(piece: Column, pattern: str) -> Column:
+    """array<struct<s, m>>: what the pattern's matches leave of a piece, from ``WINDOW`` characters on."""
+
+    def step(a: Column, part: Column) -> Column:
+        left, match = part["left"], part["match"]
+        rest = F.struct(a["p"].alias("s"), left.alias("m"))
+        return F.struct(
+            (a["p"] + F.length(left) + F.coalesce(F.length(match), F.lit(0))).alias("p"),
+            F.when(F.length(left) >= WINDOW, F.array_append(a["o"], rest)).otherwise(a["o"]).alias("o"),
+        )
+
+    parts = F.arrays_zip(F.split(piece["m"], pattern, -1).alias("left"), F.regexp_extract_all(piece["m"], F.lit(pattern), F.lit(0)).alias("match"))
+    return F.aggregate(parts, F.struct(piece["s"].alias("p"), F.array().cast(_PIECES).alias("o")), step, lambda a: a["o"])
+
+
+def _harmless(text: Column) -> Column:
+    return F.greatest(*[text.rlike(p) for p in HARMLESS])
+
+
 def scan_secrets(docs: DataFrame) -> DataFrame:
     """All columns of ``docs`` in the struct ``row``, with ``base`` and ``spans``: sorted array<struct<s, k, e>>.
 
@@ -108,8 +143,10 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
             F.transform("_hex", span(2)),
         )).alias("base"),
     )
-    allowed = lambda m: [m.rlike(p) for p in ALLOW_LIST]
-    suspect = F.filter("_try", lambda x: ~F.greatest(*allowed(x["m"])) & ~F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
+    df = df.withColumn("_try", F.flatten(F.transform(F.filter("_try", lambda x: ~_harmless(x["m"])), lambda x: _outside(x, F.col("base")))))
+    for pattern in ALLOW_LIST:
+        df = df.withColumn("_try", F.flatten(F.transform("_try", lambda x: _without(x, pattern))))  # noqa: B023
+    suspect = F.filter("_try", lambda x: ~_harmless(x["m"]))
     df = df.withColumn("_try", F.transform(suspect, lambda x: F.struct(x["s"].alias("s"), _hot_stretch(x["m"], _least_entropy(x["m"])).alias("h"))))
     more = F.transform(
         F.filter("_try", lambda x: x["h"]["lo"] > 0),
