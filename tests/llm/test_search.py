@@ -112,6 +112,16 @@ def test_neighbours_of_few_rows(spark):
     assert nearest_neighbours(table(spark, []), F.col("vec_id") % 20 == 0, 20).count() == 0
 
 
+def test_a_query_finds_k_rows_whatever_its_leaves_hold(spark, monkeypatch):
+    monkeypatch.setattr(ann, "calibrate", lambda *_: 1)
+    rows = vectors(1200, 12, 7) + [(5000, [0.9 * (j == 3) for j in range(12)])] * 30
+    got = nearest_neighbours(table(spark, rows), F.col("vec_id") % 20 == 0, 20).groupBy("query_id").count().collect()
+    assert len(got) == 61 and {r["query_id"]: r["count"] for r in got} == {**{i: 20 for i in range(0, 1200, 20)}, 5000: 20 * 30}
+    # fewer only where there are fewer
+    few = [(0, [0.1, 0.2])] * 3 + [(i, [float(i), -1.0]) for i in range(1, 9)]
+    assert {r["count"] for r in nearest_neighbours(table(spark, few), F.col("vec_id") == 0, 20).groupBy("query_id").count().collect()} == {24}
+
+
 def test_recall_on_the_driver_table(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     rows = [(r["vec_id"], r["embedding"]) for r in df.collect()]

@@ -92,14 +92,15 @@ class Tree:
                 own = self.children[node][self.children[node] >= 0]
                 at[mine] = own[nearest(rows[mine], self.centres[own])]
 
-    def best_bins(self, query: np.ndarray, most: int) -> list[int]:
-        """The first ``most`` leaves in best-bin-first order."""
+    def best_bins(self, query: np.ndarray, most: int, counts: np.ndarray | None = None, need: int = 0) -> list[int]:
+        """The first ``most`` leaves in best-bin-first order, and further ones until they hold ``need`` rows by ``counts``."""
         value = self.centres @ query
-        queue, out = [(-value[0], 0)], []
-        while queue and len(out) < most:
+        queue, out, held = [(-value[0], 0)], [], 0
+        while queue and (len(out) < most or held < need):
             _, node = heapq.heappop(queue)
             if self.leaf[node] >= 0:
                 out.append(int(self.leaf[node]))
+                held += int(counts[out[-1]]) if counts is not None else 0
             for child in self.children[node]:
                 if child >= 0:
                     heapq.heappush(queue, (-value[child], int(child)))
@@ -223,17 +224,20 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int, recall: flo
     visits = calibrate(base, cut_lineage(truth_of), tree, first_of, parts_of, k, recall, width)
 
     @F.pandas_udf("array<struct<_b: int, _leaves: array<int>>>")
-    def plan(x: pd.Series) -> pd.Series:
+    def plan(x: pd.Series, own: pd.Series) -> pd.Series:
         t, out = unpack(data.value), []
-        for q in wider(stacked(list(x), np.float64), width):
+        for q, same in zip(wider(stacked(list(x), np.float64), width), own.tolist()):
             by: dict[int, list[int]] = {}
-            for leaf in t.best_bins(q, visits):
+            # the query's own rows do not count
+            for leaf in t.best_bins(q, visits, counts, k + same):
                 for b in range(first_of[leaf], first_of[leaf] + parts_of[leaf]):
                     by.setdefault(int(b), []).append(leaf)
             out.append([{"_b": b, "_leaves": leaves} for b, leaves in by.items()])
         return pd.Series(out)
 
-    asked = rows.where("_is").select("vec_id", "_v", "_q", F.explode(plan("_v")).alias("_p"), F.pmod(F.xxhash64("_q", F.lit(4)), F.lit(groups)).cast("int").alias("_g"))
+    repeated = rows.groupBy("vec_id").agg(F.count(F.lit(1)).alias("_own")).where("_own > 1")
+    asked = rows.where("_is").join(repeated, "vec_id", "left").withColumn("_own", F.coalesce("_own", F.lit(1)))
+    asked = asked.select("vec_id", "_v", "_q", F.explode(plan("_v", "_own")).alias("_p"), F.pmod(F.xxhash64("_q", F.lit(4)), F.lit(groups)).cast("int").alias("_g"))
     base = base.select("*", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("_g"))
     return search_blocks(base, asked.select("vec_id", "_v", "_q", "_p._b", "_p._leaves", "_g"), k)
 
