@@ -185,3 +185,13 @@ def op6_substring_dedup(spark, folder):
     from treemend.llm.substrings import remove_repeats
 
     return remove_repeats(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query
+def op13_tokenizer_alignment(spark, folder):
+    """The byte-level and the piece tokenizer aligned over every whole text of documents."""
+    import public_tokenizers
+
+    from treemend.llm.alignment import alignment_report
+
+    return alignment_report(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
