@@ -195,3 +195,11 @@ def op13_tokenizer_alignment(spark, folder):
     from treemend.llm.alignment import alignment_report
 
     return alignment_report(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op12_license_scans(spark, folder):
+    """Licence phrases and templates in every whole text of documents."""
+    from treemend.llm.licenses import license_spans
+
+    return license_spans(table(spark, folder, "documents")).drop("spans")
