@@ -203,3 +203,46 @@ def op12_license_scans(spark, folder):
     from treemend.llm.licenses import license_spans
 
     return license_spans(table(spark, folder, "documents")).drop("spans")
+
+
+@query
+def op11_source_divergence(spark, folder):
+    """Distances between the term shares of all sources of a language, and the terms each source has most in excess."""
+    from treemend.llm.divergence import divergence
+
+    return divergence(table(spark, folder, "documents"))
+
+
+ORACLES["op11_source_divergence"] = r"""
+WITH d AS MATERIALIZED (
+    SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS id,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+    FROM documents
+),
+tokens AS MATERIALIZED (SELECT lang, source, id, unnest(terms) AS term FROM d),
+kept AS MATERIALIZED (SELECT lang, term, count(*) AS n FROM tokens GROUP BY lang, term HAVING count(DISTINCT id) >= 3),
+langs AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang),
+sources AS MATERIALIZED (SELECT DISTINCT lang, source FROM d),
+counts AS MATERIALIZED (SELECT lang, source, term, count(*) AS n FROM tokens JOIN kept k USING (lang, term) GROUP BY lang, source, term),
+totals AS (SELECT lang, source, sum(n) AS total FROM counts GROUP BY lang, source),
+shares AS MATERIALIZED (
+    SELECT s.lang, s.source, k.term, c.n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (coalesce(t.total, 0) + l.v) AS p,
+        1 + (1000000000::HUGEINT * (k.n + 1)) // (l.total + l.v) AS q
+    FROM sources s JOIN kept k USING (lang) JOIN langs l USING (lang) LEFT JOIN totals t USING (lang, source) LEFT JOIN counts c USING (lang, source, term)
+),
+pairs AS (
+    SELECT a.lang, a.source, b.source AS item, coalesce(max(f.value), 0) AS value
+    FROM sources a JOIN sources b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN (
+        SELECT x.lang, x.source, y.source AS item, sum(((x.p - y.p) * (x.p - y.p)) // y.p) AS value
+        FROM shares x JOIN shares y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY x.lang, x.source, y.source
+    ) f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+    GROUP BY a.lang, a.source, b.source
+),
+terms AS (SELECT lang, source, term AS item, ((p - q) * (p - q)) // q AS value FROM shares WHERE n > 0 AND p > q)
+SELECT lang, source, 'pair' AS part, item, value::BIGINT AS value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INTEGER AS rank FROM pairs
+UNION ALL
+SELECT * FROM (
+    SELECT lang, source, 'term' AS part, item, value::BIGINT AS value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INTEGER AS rank FROM terms
+) WHERE rank <= 200
+"""
