@@ -33,7 +33,7 @@ from treemend.session import cut_lineage
 # Most frequent pairs that are broadcast: 12 bytes each. Any other pair is joined.
 FREQUENT_PAIRS = 1 << 18
 # Bytes of remembered stretches per Python worker, about; longer stretches are not remembered.
-CACHE_BYTES = 120_000_000
+CACHE_BYTES = 200_000_000
 CACHE_CHARS = 64
 # Characters of a text aligned at a time.
 WINDOW_CHARS = 1_000_000
@@ -47,14 +47,14 @@ def byte_alphabet() -> dict[str, int]:
     return {**{chr(b): b for b in plain}, **{chr(256 + i): b for i, b in enumerate(other)}}
 
 
-def token_ends(spans: list[tuple[int, int]], decoded: list[bytes]) -> list[int]:
-    """Byte ends of tokens: their spans' ends where those are coarse cuts, else by decoded bytes."""
-    out, at, last = [], 0, len(spans) - 1
-    for k, (begin, end) in enumerate(spans):
-        coarse = end > begin and (k == last or spans[k + 1][0] == end)
-        at = end if coarse else at + len(decoded[k])
-        out.append(at)
-    return out
+def token_ends(spans: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Byte ends of tokens: their spans' ends where those are coarse cuts, else the cut before and the decoded bytes since."""
+    begin, end = spans.T
+    coarse = (end > begin) & (np.r_[begin[1:], end[-1:]] == end)
+    decoded = np.cumsum(sizes)
+    before = np.maximum.accumulate(np.where(coarse, np.arange(len(end)), -1))
+    since = np.where(before >= 0, end[before] - decoded[before], 0)
+    return np.where(coarse, end, since + decoded)
 
 
 class Aligner(dict):
@@ -81,49 +81,49 @@ class Aligner(dict):
         if any("▁" in self.b.id_to_piece(i).lstrip("▁") for i in range(self.b_size)):
             raise ValueError("tokenizer B has pieces that go on after a blank")
         self.pair = np.dtype("<i4" if len(self.a_bytes) * self.b_size < 1 << 31 else "<i8")
+        self.a_sizes, self.b_sizes = (np.array(list(map(len, table)), np.int64) for table in (self.a_bytes, self.b_bytes))
         self.held = 0
 
-    def align(self, text: str, encoding, proto) -> tuple | None:
-        """One stretch with a blank before it, as both tokenizers see it."""
+    def align(self, stretches: list[str]) -> list[tuple | None]:
+        """Stretches one after another, a blank before each, as both tokenizers see them."""
+        text = " ".join(stretches)
         raw = (" " + text).encode("utf-8", "surrogatepass")
+        encoding, proto = self.a.encode(" " + text, add_special_tokens=False), self.b.encode(text, return_type="proto")
         a_ids, b_ids = encoding.ids, [p.id for p in proto.pieces]
-        a_decoded, b_decoded = [self.a_bytes[i] for i in a_ids], [self.b_bytes[i] for i in b_ids]
-        if b"".join(a_decoded) != raw or b"".join(b_decoded) != raw:
-            return None
-        a_spans, b_spans = encoding.offsets, [(p.begin + 1, p.end + 1) for p in proto.pieces]
-        if not text.isascii():  # from characters to bytes
-            at = [0]
-            for c in " " + text:
-                at.append(at[-1] + len(c.encode("utf-8", "surrogatepass")))
-            a_spans = [(at[x], at[y]) for x, y in a_spans]
-        a_ends, b_ends = token_ends(a_spans, a_decoded), token_ends(b_spans, b_decoded)
-        groups, pairs = [], []
-        i = j = a_from = b_from = 0
-        while i < len(a_ends) and j < len(b_ends):
-            if a_ends[i] == b_ends[j]:
-                groups.append(f"{','.join(map(str, a_ids[a_from : i + 1]))}|{','.join(map(str, b_ids[b_from : j + 1]))}")
-                pairs.append(a_ids[i] * self.b_size + b_ids[j])
-                i, j = i + 1, j + 1
-                a_from, b_from = i, j
-            elif a_ends[i] < b_ends[j]:
-                i += 1
-            else:
-                j += 1
-        return ";".join(groups), np.array(pairs, self.pair).tobytes(), len(a_ids) + (len(b_ids) << 32)
+        if b"".join(map(self.a_bytes.__getitem__, a_ids)) != raw or b"".join(map(self.b_bytes.__getitem__, b_ids)) != raw:
+            # one stretch is at fault, if there are several: the others count
+            return [None] if len(stretches) == 1 else [e for s in stretches for e in self.align([s])]
+        a_spans = np.array(encoding.offsets, np.int64)
+        b_spans = np.array([(p.begin, p.end) for p in proto.pieces], np.int64) + 1
+        points = np.frombuffer((" " + text).encode("utf-32-le", "surrogatepass"), np.uint32)
+        at = np.r_[0, np.cumsum(1 + (points > 0x7F).astype(np.int64) + (points > 0x7FF) + (points > 0xFFFF))]  # from characters to bytes
+        a, b = np.array(a_ids, np.int64), np.array(b_ids, np.int64)
+        _, a_cut, b_cut = np.intersect1d(token_ends(at[a_spans], self.a_sizes[a]), token_ends(b_spans, self.b_sizes[b]), assume_unique=True, return_indices=True)
+        pairs = (a[a_cut] * self.b_size + b[b_cut]).astype(self.pair).tobytes()
+        a_text, b_text = list(map(str, a_ids)), list(map(str, b_ids))
+        a_from, b_from = np.r_[0, a_cut + 1].tolist(), np.r_[0, b_cut + 1].tolist()
+        groups = [",".join(a_text[i:j]) + "|" + ",".join(b_text[k:m]) for i, j, k, m in zip(a_from, a_from[1:], b_from, b_from[1:])]
+        # a stretch ends where the tokens of both have its last byte
+        last = at[np.cumsum([len(s) + 1 for s in stretches])]
+        stops = np.searchsorted(np.cumsum(self.a_sizes[a])[a_cut], last) + 1
+        out, g, size = [], 0, self.pair.itemsize
+        for stop in stops.tolist():
+            out.append((";".join(groups[g:stop]), pairs[g * size : stop * size], a_from[stop] - a_from[g] + ((b_from[stop] - b_from[g]) << 32)))
+            g = stop
+        return out
 
     def learn(self, stretches: set[str]) -> dict[str, tuple | None]:
         """Align stretches not met before; the short ones are remembered as far as they fit, which forgets all others."""
-        texts = list(stretches)
-        # a hundred thousand tokens' worth at a time
+        # blanks at an end would run together with those between stretches, and B reads a low line as a blank
+        plain = [s for s in stretches if s and not s[0].isspace() and not s[-1].isspace() and "▁" not in s]
         out = {}
-        for a, b in pieces_of(texts, 400_000):
-            part = texts[a:b]
-            encodings = self.a.encode_batch([" " + t for t in part], add_special_tokens=False)
-            protos = self.b.encode(part, return_type="proto")
-            out |= {t: self.align(t, e, p) for t, e, p in zip(part, encodings, protos)}
+        for a, b in pieces_of(plain, 20_000):
+            out.update(zip(plain[a:b], self.align(plain[a:b])))
+        for s in stretches - out.keys():
+            out[s] = self.align([s])[0] if s else None
         for t, entry in out.items():
             if len(t) <= CACHE_CHARS:
-                size = 400 + 4 * len(t) + (len(entry[0]) + len(entry[1]) if entry else 0)
+                size = 350 + 2 * len(t) + (len(entry[0]) + len(entry[1]) if entry else 0)
                 if self.held + size > CACHE_BYTES:
                     self.clear()
                     self.held = 0
