@@ -21,6 +21,7 @@ import os
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,9 @@ CACHE_CHARS = 64
 # Characters of a text aligned at a time.
 WINDOW_CHARS = 1_000_000
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+_ODD = re.compile(r" (?:(?<=\s )|(?=\s|$))")
+# What a stretch gives that a tokenizer does not give back byte by byte.
+_FAULTY: tuple = ()
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -58,7 +62,7 @@ def token_ends(spans: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 class Aligner(dict):
-    """Stretch of text -> (groups, packed pairs, tokens of A + tokens of B << 32), or None where bytes differ."""
+    """Stretch of text -> (groups, packed pairs, tokens of A + tokens of B << 32), nothing of it where bytes differ."""
 
     def __init__(self, a_path: str, b_path: str):
         import sentencepiece
@@ -84,7 +88,7 @@ class Aligner(dict):
         self.a_sizes, self.b_sizes = (np.array(list(map(len, table)), np.int64) for table in (self.a_bytes, self.b_bytes))
         self.held = 0
 
-    def align(self, stretches: list[str]) -> list[tuple | None]:
+    def align(self, stretches: list[str]) -> list[tuple]:
         """Stretches one after another, a blank before each, as both tokenizers see them."""
         text = " ".join(stretches)
         raw = (" " + text).encode("utf-8", "surrogatepass")
@@ -92,9 +96,9 @@ class Aligner(dict):
         a_ids, b_ids = encoding.ids, [p.id for p in proto.pieces]
         if b"".join(map(self.a_bytes.__getitem__, a_ids)) != raw or b"".join(map(self.b_bytes.__getitem__, b_ids)) != raw:
             # one stretch is at fault, if there are several: the others count
-            return [None] if len(stretches) == 1 else [e for s in stretches for e in self.align([s])]
-        a_spans = np.array(encoding.offsets, np.int64)
-        b_spans = np.array([(p.begin, p.end) for p in proto.pieces], np.int64) + 1
+            return [_FAULTY] if len(stretches) == 1 else [e for s in stretches for e in self.align([s])]
+        a_spans = np.fromiter(chain.from_iterable(encoding.offsets), np.int64, 2 * len(a_ids)).reshape(-1, 2)
+        b_spans = np.array([[p.begin for p in proto.pieces], [p.end for p in proto.pieces]], np.int64).T + 1
         points = np.frombuffer((" " + text).encode("utf-32-le", "surrogatepass"), np.uint32)
         at = np.r_[0, np.cumsum(1 + (points > 0x7F).astype(np.int64) + (points > 0x7FF) + (points > 0xFFFF))]  # from characters to bytes
         a, b = np.array(a_ids, np.int64), np.array(b_ids, np.int64)
@@ -102,7 +106,10 @@ class Aligner(dict):
         pairs = (a[a_cut] * self.b_size + b[b_cut]).astype(self.pair).tobytes()
         a_text, b_text = list(map(str, a_ids)), list(map(str, b_ids))
         a_from, b_from = np.r_[0, a_cut + 1].tolist(), np.r_[0, b_cut + 1].tolist()
-        groups = [",".join(a_text[i:j]) + "|" + ",".join(b_text[k:m]) for i, j, k, m in zip(a_from, a_from[1:], b_from, b_from[1:])]
+        groups = [
+            f"{a_text[i]}|{b_text[k]}" if j - i == m - k == 1 else f"{','.join(a_text[i:j])}|{','.join(b_text[k:m])}"
+            for i, j, k, m in zip(a_from, a_from[1:], b_from, b_from[1:])
+        ]
         # a stretch ends where the tokens of both have its last byte
         last = at[np.cumsum([len(s) + 1 for s in stretches])]
         stops = np.searchsorted(np.cumsum(self.a_sizes[a])[a_cut], last) + 1
@@ -112,7 +119,7 @@ class Aligner(dict):
             g = stop
         return out
 
-    def learn(self, stretches: set[str]) -> dict[str, tuple | None]:
+    def learn(self, stretches: set[str]) -> dict[str, tuple]:
         """Align stretches not met before; the short ones are remembered as far as they fit, which forgets all others."""
         # blanks at an end would run together with those between stretches, and B reads a low line as a blank
         plain = [s for s in stretches if s and not s[0].isspace() and not s[-1].isspace() and "▁" not in s]
@@ -120,7 +127,7 @@ class Aligner(dict):
         for a, b in pieces_of(plain, 20_000):
             out.update(zip(plain[a:b], self.align(plain[a:b])))
         for s in stretches - out.keys():
-            out[s] = self.align([s])[0] if s else None
+            out[s] = self.align([s])[0]
         for t, entry in out.items():
             if len(t) <= CACHE_CHARS:
                 size = 350 + 2 * len(t) + (len(entry[0]) + len(entry[1]) if entry else 0)
@@ -139,7 +146,7 @@ def aligner(a_path: str, b_path: str) -> Aligner:
 
 
 def windows(text: str, most: int = WINDOW_CHARS) -> Iterator[str]:
-    """The text in parts of ``most`` characters and up to the next single blank, without these blanks."""
+    """The text in parts of ``most`` characters and up to the next single blank between others, without these blanks."""
     at = 0
     while len(text) - at > most and (cut := _CUT.search(text, at + most)):
         yield text[at : cut.start()]
@@ -147,29 +154,35 @@ def windows(text: str, most: int = WINDOW_CHARS) -> Iterator[str]:
     yield text[at:]
 
 
-def align_text(known: Aligner, text: str, fresh: dict) -> tuple:
-    """(tokens of A, tokens of B, groups, links, sha256 of the groups, distinct pairs, how often each)."""
-    digest, counts, totals, groups = hashlib.sha256(), [], 0, 0
-    for n, window in enumerate(windows(text)) if text else ():
-        stretches = _CUT.split(window)
-        entries = [known.get(s) or fresh.get(s, fresh) for s in stretches]
-        if any(e is fresh for e in entries):
-            new = known.learn({s for s, e in zip(stretches, entries) if e is fresh})
-            entries = [new.get(s) if e is fresh else e for s, e in zip(stretches, entries)]
+def stretches_of(text: str) -> list[str]:
+    """The text cut at single blanks between other characters."""
+    return _CUT.split(text) if text[0] == " " or _ODD.search(text) else text.split(" ")
+
+
+def align_text(known: Aligner, parts: Iterator[list[str]], fresh: dict) -> tuple:
+    """(tokens of A, tokens of B, groups, links, sha256 of the groups, distinct pairs, how often each) of a text, its stretches window by window."""
+    digest, counts, totals = hashlib.sha256(), [], 0
+    for n, stretches in enumerate(parts):
+        entries = list(map(known.get, stretches))
+        if None in entries:
+            entries = [fresh.get(s) if e is None else e for s, e in zip(stretches, entries)]
         if None in entries:
+            new = known.learn({s for s, e in zip(stretches, entries) if e is None})
+            entries = [new[s] if e is None else e for s, e in zip(stretches, entries)]
+        if _FAULTY in entries:
             counts = []
             break
-        joined = ";".join([e[0] for e in entries if e[0]])
-        digest.update((";" if n and joined else "").encode() + joined.encode())
-        totals += sum([e[2] for e in entries])
-        counts.append(np.unique(np.frombuffer(b"".join([e[1] for e in entries]), known.pair), return_counts=True))
+        groups, pairs, tokens = zip(*entries)
+        digest.update((";" if n else "").encode() + ";".join(groups).encode())
+        totals += sum(tokens)
+        counts.append(np.unique(np.frombuffer(b"".join(pairs), known.pair), return_counts=True))
     if not counts:
         none = np.zeros(0, known.pair)
         return 0, 0, 0, 0, "", none, none.astype(np.int64)
     pairs, which = np.unique(np.concatenate([k for k, _ in counts]), return_inverse=True)
     times = np.bincount(which, np.concatenate([c for _, c in counts])).astype(np.int64)
-    groups = int(times.sum())
-    return totals & 0xFFFFFFFF, totals >> 32, groups, groups, digest.hexdigest(), pairs, times
+    links = int(times.sum())
+    return totals & 0xFFFFFFFF, totals >> 32, links, links, digest.hexdigest(), pairs, times
 
 
 def aligned(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
@@ -188,9 +201,10 @@ def aligned(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in pieces_of(texts):
-                # what the short texts of a batch have in common is aligned once
-                fresh = known.learn({s for t in texts[a:b] if t and len(t) <= WINDOW_CHARS for s in _CUT.split(t) if s not in known})
-                rows = [(ids[i], *align_text(known, texts[i] or "", fresh)) for i in range(a, b)]
+                # stretches that the shorter texts of a batch share are aligned once; a long text is cut window by window
+                cut = [[stretches_of(t)] if t and len(t) <= WINDOW_CHARS else map(stretches_of, windows(t)) if t else () for t in texts[a:b]]
+                fresh = known.learn({s for parts in cut if isinstance(parts, list) for s in parts[0]} - known.keys())
+                rows = [(i, *align_text(known, parts, fresh)) for i, parts in zip(ids[a:b], cut)]
                 out = dict(zip(schema.names, zip(*rows)))
                 yield arrow_rows(out, schema)
 
