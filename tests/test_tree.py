@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 from treemend.functions.docs import attr_number, attr_text, attributes
 from treemend.model import AccessDef, Rule, Taxonomy, TypeNode
 from treemend.operators import index as X
-from treemend.operators.edits import apply_edits, insert_children, merge_duplicates
+from treemend.operators.edits import apply_edits, insert_children
+from treemend.operators.merge import merge_duplicates
 from treemend.operators.repair import Context, mark_repaired
 from treemend.operators.reports import failure_counts
 from treemend.plans.predictions import prediction_order, run_predictions
@@ -229,7 +230,7 @@ def test_merge_moves_whole_subtrees(spark):
     key = lambda **k: " AND ".join(f"{n} = '{v}'" for n, v in k.items())
     assert set(live) == {
         key(A="a1"), key(A="a3"), key(A="a1", B="b1"), key(A="a3", B="b9"), key(A="a1", B="b2"), key(A="a1", B="b1", C="c0"),
-        key(A="a1", B="b2", C="c1"), key(A="a1", B="b2", C="c2"),
+        key(A="a1", B="b2", C="c1"), key(A="a1", B="b2", C="c2"), key(A="a1", B="b1", C="c9"),
     }
     assert live[key(A="a1", B="b2", C="c1")][:-2] == live[key(A="a1", B="b2")] and live[key(A="a1", B="b2")][:-2] == live[key(A="a1")]
 
@@ -257,6 +258,72 @@ def test_merge_duplicates(spark):
     assert X.search_index(out, flag="U1").count() == 0
 
 
+def merged_by_hand(records, survivors):
+    """{root: members} and records as (path of names, payload): trees of one root folded into the survivor's, name by name."""
+    out = {}
+    for path, payload, order in sorted(records, key=lambda r: (r[0][0] != survivors.get(r[0][0], r[0][0]), r[2])):
+        home = (survivors.get(path[0], path[0]), *path[1:])
+        out.setdefault(home, payload)
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_merge_keeps_every_name_on_every_level(spark, seed):
+    import random
+
+    rng = random.Random(seed)
+    kinds = ("A", "B", "X", "C", "D")
+    keys = {"A": ("A",), "B": ("A", "B"), "X": ("A", "X"), "C": ("A", "B", "C"), "D": ("A", "B", "C", "D")}
+    access = {t: AccessDef(t, t, k, {c: "string" for c in (*k, "NOTE")}) for t, k in keys.items()}
+    access["A"] = AccessDef("A", "A", ("A",), {"A": "string", "NOTE": "string", "LAT": "number", "LON": "number"})
+    tie = lambda k: ", ".join(f"{c} = [{c}]" for c in k[:-1])
+    d = TypeNode("D", "D", parent_key=tie(keys["D"]), use_parent_location=True)
+    c = TypeNode("C", "C", parent_key=tie(keys["C"]), use_parent_location=True, children=(d,))
+    b = TypeNode("B", "B", parent_key=tie(keys["B"]), use_parent_location=True, children=(c,))
+    tree = Taxonomy((TypeNode("A", "A", "LAT", "LON", children=(TypeNode("X", "X", parent_key="A = [A]"), b)),))
+    rows = {t: {} for t in kinds}
+    for i in range(7):
+        rows["A"][f"a{i}",] = f"key{i % 3}"
+    for t in kinds[1:]:
+        parents = rows["A"] if t in "BX" else rows["B"] if t == "C" else rows["C"]
+        for parent in parents:
+            for name in rng.sample("pqrs", rng.randint(0, 3)):
+                rows[t][*parent, name] = f"{t}:{'/'.join(parent)}/{name}"
+    tables = {
+        t: spark.createDataFrame(
+            [(*k, n, 10.0 + int(k[0][1]), 20.0) if t == "A" else (*k, n) for k, n in found.items()],
+            ", ".join(f"{c} string" for c in (*keys[t], "NOTE")) + (", LAT double, LON double" if t == "A" else ""))
+        for t, found in rows.items()
+    }
+    rule = Rule("U1", "A", "Uniqueness", "Uniqueness", "NOTE", "NOTE")
+    flagged = cut_lineage(flag_index(X.build_index(spark, tree, tables, access), [rule], tree, access))
+    chosen = {f"key{k}": rng.choice([f"a{i}" for i in range(7) if i % 3 == k]) for k in (0, 1)}
+    out = cut_lineage(merge_duplicates(flagged, flagged.filter(F.col("data_name").isin(*chosen.values()) & (F.col("data_type") == "A")), rule, tree, access))
+    survivors = {k[0]: chosen[n] for k, n in rows["A"].items() if n in chosen}
+    a = attributes(F.col("doc"))
+    live = out.filter(X.has_doc() & F.col("data_type").isin(*kinds)).select("*", attr_text(a, "NOTE").alias("note"), *[attr_text(a, t).alias(f"k_{t}") for t in kinds]).collect()
+    for t in kinds:
+        want = merged_by_hand([(k, n, k) for k, n in rows[t].items()], survivors)
+        got = {tuple(r[f"k_{c}"] for c in keys[t]): r for r in live if r["data_type"] == t}
+        assert len(got) == sum(r["data_type"] == t for r in live)
+        assert {k: r["note"] for k, r in got.items()} == want
+        for k, r in got.items():
+            assert r["data_name"] == k[-1] and r["data_key"] == " AND ".join(f"{c} = '{v}'" for c, v in zip(keys[t], k))
+            assert r["latitude"] == (None if t == "X" else 10.0 + int(k[0][1]))
+    # a tree: unique paths, every node's parent is there and is its group, records stand below the record their key names
+    nodes = {tuple(r["node_path"]): r for r in out.collect()}
+    assert len(nodes) == out.count()
+    by_key = {(r["data_type"], r["data_key"]): tuple(r["node_path"]) for r in live}
+    for r in live:
+        path = tuple(r["node_path"])
+        assert r["level"] == len(path) and tuple(r["parent_path"]) == path[:-1] and nodes[path[:-1]]["data_type"] == r["data_type"] + "s"
+        if r["data_type"] != "A":
+            above = {"B": "A", "X": "A", "C": "B", "D": "C"}[r["data_type"]]
+            assert path[:-2] == by_key[above, " AND ".join(f"{c} = '{r[f'k_{c}']}'" for c in keys[above])]
+    # the duplicates that no survivor was named for keep their flags
+    assert {r["data_name"] for r in nodes.values() if r["qc"]} == {k[0] for k, n in rows["A"].items() if n not in chosen} == {"a2", "a5"}
+
+
 def test_standard_definitions():
     assert [r.key for r in prediction_order(rules("Top"))] == ["P1", "P2", "P9", "P6", "P5", "P3", "P4", "P8", "P7"]
     assert WELL_TREE.level_of("MarkerPick") == 4 and WELL_TREE.depth == 4

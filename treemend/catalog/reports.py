@@ -12,6 +12,7 @@ from treemend.model import AccessDef, Rule, Taxonomy, TypeNode
 from treemend.operators import duplicates as DU
 from treemend.operators import edits as E
 from treemend.operators import index as X
+from treemend.operators.merge import merge_duplicates as fold_duplicates
 from treemend.operators.reports import failure_counts, failure_list
 from treemend.plans.end_to_end import run_all
 from treemend.plans.files import tables_from_files
@@ -120,18 +121,12 @@ _LINES = """SELECT l_partkey AS pk, concat('T', cast(l_suppkey % 7 AS string)) A
 
 @query(
     "merge_duplicates",
-    f"""WITH lines AS ({_LINES.format(lineitem='lineitem')}), k AS ({_UNIQ}),
-    s AS (SELECT kt, min(p_partkey) AS keep FROM k WHERE n > 1 GROUP BY kt),
-    tw AS (SELECT p_partkey, keep FROM k JOIN s USING (kt) WHERE p_partkey <> keep),
-    lone AS (SELECT p_partkey FROM k WHERE p_partkey NOT IN (SELECT p_partkey FROM tw)),
-    items AS ({_ITEMS.format(lineitem='lineitem')}),
-    kept AS (SELECT pk AS id, tag, qty, pk AS source FROM lines WHERE pk IN (SELECT p_partkey FROM lone)),
-    extra AS (SELECT keep AS id, tag, arg_min(qty, pk) AS qty, min(pk) AS source FROM lines JOIN tw ON pk = p_partkey
-              WHERE (keep, tag) NOT IN (SELECT id, tag FROM kept) GROUP BY keep, tag),
-    alive AS (SELECT * FROM kept UNION ALL SELECT * FROM extra)
-    SELECT 'Part' AS data_type, p_partkey AS id, NULL AS tag, NULL AS flag, NULL::DOUBLE AS qty, '' AS qc FROM lone
-    UNION ALL SELECT 'Line', id, tag, NULL, qty, '' FROM alive
-    UNION ALL SELECT 'Item', id, alive.tag, flag, tax, '' FROM alive JOIN items ON pk = source AND items.tag = alive.tag""",
+    # records of one name below one merged record become one, the lowest part's, on both levels
+    f"""WITH lines AS ({_LINES.format(lineitem='lineitem')}), items AS ({_ITEMS.format(lineitem='lineitem')}),
+    k AS ({_UNIQ}), m AS (SELECT p_partkey, min(p_partkey) OVER (PARTITION BY kt) AS home FROM k)
+    SELECT DISTINCT 'Part' AS data_type, home AS id, NULL AS tag, NULL AS flag, NULL::DOUBLE AS qty, '' AS qc FROM m
+    UNION ALL SELECT 'Line', home, tag, NULL, arg_min(qty, pk), '' FROM lines JOIN m ON pk = p_partkey GROUP BY home, tag
+    UNION ALL SELECT 'Item', home, tag, flag, arg_min(tax, pk), '' FROM items JOIN m ON pk = p_partkey GROUP BY home, tag, flag""",
 )
 def merge_duplicates(fx):
     parts = fx["part"].select(F.col("p_partkey").alias("ID"), F.col("p_name").alias("NAME"), F.col("p_brand").alias("BRAND"))
@@ -145,7 +140,7 @@ def merge_duplicates(fx):
     from treemend.operators.set_rules import uniq_key
 
     survivors = failing.groupBy(uniq_key(a, U1.params).alias("k")).agg(F.min("node_path").alias("node_path"))
-    out = E.merge_duplicates(idx, survivors, U1, PART_TREE, access)
+    out = fold_duplicates(idx, survivors, U1, PART_TREE, access)
     live = out.filter(F.col("data_type").isin("Part", "Line", "Item") & X.has_doc())
     return live.select(
         "data_type", attr_text(a, "ID").try_cast(BIG).alias("id"), F.try_element_at(a, F.lit("TAG")).alias("tag"), F.try_element_at(a, F.lit("FLAG")).alias("flag"),

@@ -1,4 +1,4 @@
-"""Manual edits of the index: attribute edits, child inserts, merging duplicates."""
+"""Manual edits of the index: attribute edits and child inserts."""
 
 from __future__ import annotations
 
@@ -6,11 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from treemend.functions.docs import attr_text, attributes, computed, doc_from, empty_doc, set_attrs
-from treemend.model import INDEX_COLUMNS, AccessDef, Rule, Taxonomy, TypeNode
-from treemend.operators.index import has_doc, insert_docs, insert_placed
-from treemend.operators.set_rules import uniq_key
-from treemend.scale import first_by
-from treemend.session import cut_lineage
+from treemend.model import INDEX_COLUMNS, AccessDef, Rule, Taxonomy
+from treemend.operators.index import has_doc, insert_docs
 
 # Fixed value: note left in REMARK.
 NOTE_EDITED = ";{0} has been manually edited;"
@@ -83,68 +80,3 @@ def insert_children(idx: DataFrame, parents: DataFrame, rule: Rule, taxonomy: Ta
     return added.join(marks, F.col("node_path") == F.col("_id"), "left").withColumn(
         "qc", F.when(F.col("_id").isNotNull(), F.array_remove("qc", rule.key)).otherwise(F.col("qc"))
     ).select(*INDEX_COLUMNS)
-
-
-def merge_duplicates(idx: DataFrame, survivors: DataFrame, rule: Rule, taxonomy: Taxonomy, access: dict[str, AccessDef]) -> DataFrame:
-    """Fold records with a survivor's uniqueness key into the survivor.
-
-    Children whose name the survivor lacks are re-keyed and moved below it (one
-    copy per type and name, the lowest path), with everything below them; the
-    duplicates are cleared, and so is what was below them. ``survivors``:
-    node_path, one per key.
-    """
-    level = taxonomy.level_of(rule.data_type)
-    flagged = idx.filter((F.col("data_type") == rule.data_type) & has_doc() & F.array_contains("qc", rule.key))
-    keyed = flagged.select("node_path", "doc", uniq_key(attributes(F.col("doc")), rule.params).alias("_key"))
-    keep = keyed.join(survivors.select("node_path").distinct(), "node_path", "left_semi")
-    keep = first_by(keep.select("_key", "node_path", "doc"), ["_key"], F.col("node_path"))
-    keep = keep.select("_key", F.col("node_path").alias("_to"), F.col("doc").alias("_to_doc"))
-    twins = keyed.join(keep, "_key").filter(F.col("node_path") != F.col("_to"))
-    # who merges into whom: read below for the children, the clearing and the flags
-    twins = cut_lineage(twins.select(F.col("node_path").alias("_from"), "_to", "_to_doc"))
-    saved = cut_lineage(keep.select(F.col("_to").alias("_saved")))
-
-    below = idx.filter((F.col("level") > level) & has_doc()).withColumn("_owner", F.slice("node_path", 1, level))
-    moved = below.filter(F.col("level") == level + 2).join(twins, F.col("_owner") == F.col("_from"))
-    have = below.join(saved, F.col("_owner") == F.col("_saved"), "left_semi").select(
-        F.col("_owner").alias("_to"), "data_name"
-    ).distinct()
-    moved = moved.join(have, ["_to", "data_name"], "left_anti")
-    moved = moved.select("_to", "_to_doc", "data_type", "data_name", "node_path", "doc")
-    moved = cut_lineage(first_by(moved, ["_to", "data_type", "data_name"], F.col("node_path")))
-
-    out = idx
-    hit = twins.select(F.col("_from").alias("_hit"))
-    out = out.withColumn("_owner", F.when(F.col("level") >= level, F.slice("node_path", 1, level)))
-    out = out.join(hit, F.col("_owner") == F.col("_hit"), "left")
-    gone = F.col("_hit").isNotNull()
-    out = out.join(saved, F.col("node_path") == F.col("_saved"), "left")
-    empty = F.array().cast("array<string>")
-    out = out.withColumn("doc", F.when(~gone, F.col("doc"))).withColumn(
-        "qc",
-        F.when(gone, empty).when(F.col("_saved").isNotNull(), F.array_remove("qc", rule.key)).otherwise(F.col("qc")),
-    ).select(*INDEX_COLUMNS)
-
-    return _move(out, idx, moved, taxonomy.find(rule.data_type), access)
-
-
-def _move(out: DataFrame, idx: DataFrame, moved: DataFrame, node: TypeNode, access: dict[str, AccessDef]) -> DataFrame:
-    """Insert records (_to, _to_doc, data_type, node_path, doc) below ``_to``, keyed to ``_to_doc``, and all below them from ``idx``."""
-    for child in node.children:
-        parent = attributes(F.col("_to_doc"))
-        rekeyed = set_attrs(F.col("doc"), {c: attr_text(parent, p) for c, p in child.parent_pairs()})
-        docs = moved.filter(F.col("data_type") == child.name).select(
-            F.col("_to").alias("parent_path"), rekeyed.alias("doc"), F.col("node_path").alias("old_path")
-        )
-        if docs.isEmpty():
-            continue
-        out, placed = insert_placed(cut_lineage(out), docs, child, access[child.name])
-        if child.children:
-            placed = cut_lineage(placed.select(F.col("old_path").alias("_from"), F.col("new_path").alias("_to"), F.col("doc").alias("_to_doc")))
-            names = [c.name for c in child.children]
-            deeper = idx.filter(F.col("data_type").isin(names) & has_doc()).withColumn("_owner", F.slice("node_path", 1, F.col("level") - 2))
-            deeper = deeper.join(placed, F.col("_owner") == F.col("_from"))
-            out = _move(out, idx, cut_lineage(deeper.select("_to", "_to_doc", "data_type", "node_path", "doc")), child, access)
-    return out
-
-

@@ -11,6 +11,8 @@ from treemend.session import cut_lineage
 
 # Rows per block when a long ordered series is cut into independent pieces.
 BLOCK_ROWS = 4096
+# Rows of a table about files or splits, some hundred bytes each, up to which it goes to every task; beyond, it is joined by a shuffle.
+BROADCAST_ROWS = 100_000
 
 
 def in_stretches(df: DataFrame, sort: Sequence[Column]) -> DataFrame:
@@ -45,6 +47,18 @@ def ordinal_in_group(df: DataFrame, group: Sequence[str], order: Sequence[str |
     return rows.join(starts, match).select(*[F.col(c) for c in df.columns], (F.col("_at") + F.col("_shift")).alias(out))
 
 
+def broadcast_if_small(written: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A written table of narrow rows, to be broadcast when it has at most ``most`` of them."""
+    return F.broadcast(written) if written.limit(most + 1).count() <= most else written
+
+
+def pin_splits(spark: SparkSession) -> None:
+    """From now on files are cut into the same splits however many executors there are, unless the session says how."""
+    key = "spark.sql.files.minPartitionNum"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(spark.sparkContext.defaultParallelism))
+
+
 def first_by(df: DataFrame, keys: Sequence[str], order: Column, last: bool = False) -> DataFrame:
     """One row per key: the first (or last) in the order, by aggregation with map-side combine."""
     rest = [c for c in df.columns if c not in keys]

@@ -1,7 +1,9 @@
 """LAS 2.0 log files as DataFrames.
 
 Files become lines (file, section, line_no, line). They are read in parallel
-splits, and running numbers over the file tell each line its section.
+splits. A first pass over the splits yields a few numbers for each; with those
+of the splits before it, each split tells its lines their section and number,
+so no line is sorted or shuffled.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 
 from treemend.functions.values import to_number
 from treemend.model import NULL_CURVE, NULL_NUMBER, UNKNOWN
-from treemend.scale import ordinal_in_group, running_sum
+from treemend.scale import broadcast_if_small, pin_splits
 from treemend.session import cut_lineage
 
 # Header mnemonics and well columns, key fallbacks, defaults, value limit.
@@ -33,23 +35,49 @@ SECTIONS = ("V", "W", "C", "P", "A")
 VALUE_LIMIT = 999999999999999.0
 
 
+def _carries(raw: DataFrame) -> DataFrame:
+    """Per split of a file: where its lines begin, and the sections of the file.
+
+    (file, start, _first, _lines, _before, _sections): the number of the
+    split's first row, its lines, the file's lines before it, and per section
+    letter (letter, line, piece, upto): the line that opens it, which ``~`` of
+    that line does, and the line with the next ``~``. The last of a letter
+    counts. The lines are read and not kept: a task gives a row per split, with
+    the few lines that hold a ``~``.
+    """
+    marked = F.when(F.col("value").contains("~"), F.struct("at", "value"))
+    splits = cut_lineage(raw.groupBy("file", "start").agg(F.min("at").alias("_first"), F.count(F.lit(1)).alias("_lines"), F.collect_list(marked).alias("_marks")))
+    earlier = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("_before", F.coalesce(F.sum("_lines").over(earlier), F.lit(0)))
+    marks = splits.select("file", "_first", "_before", F.explode("_marks").alias("_m"))
+    marks = marks.select("file", (F.col("_before") + F.col("_m.at") - F.col("_first")).alias("line"), F.posexplode(F.split("_m.value", "~")).alias("piece", "text")).filter("piece > 0")
+    upto = F.lead("line").over(Window.partitionBy("file").orderBy("line", "piece"))
+    opened = marks.select("file", F.substring("text", 1, 1).alias("letter"), "line", "piece", upto.alias("upto")).filter(F.col("letter").isin(*SECTIONS))
+    last = opened.groupBy("file", "letter").agg(F.max(F.struct("line", "piece", "upto")).alias("_l"))
+    sections = last.groupBy("file").agg(F.collect_list(F.struct("letter", "_l.line", "_l.piece", "_l.upto")).alias("_sections"))
+    return cut_lineage(splits.drop("_marks").join(sections, "file", "left"))
+
+
 def _sections(raw: DataFrame) -> DataFrame:
-    """Lines (file, start, at, value) with the section they stand in; ``~`` opens one wherever it is, the last of a letter counts."""
-    pieces = raw.select("file", "start", "at", F.posexplode(F.split("value", "~")).alias("piece", "line"), "value")
-    opens = F.col("value").contains("~")
-    pieces = pieces.filter(~(opens & (F.col("piece") == 0) & (F.col("line") == "")))
-    placed = ordinal_in_group(pieces, ["file"], ["start", "at", "piece"], "pos")
-    placed = placed.withColumn("pos", F.col("pos") - 1).withColumn("_mark", (F.col("piece") > 0).cast("int"))
-    placed = running_sum(placed, ["file"], "pos", "_mark", "section_no")
-    marks = placed.filter(F.col("_mark") == 1).select(
-        "file", "section_no", F.substring("line", 1, 1).alias("section"), F.col("pos").alias("_from")
-    )
-    marks = marks.filter(F.col("section").isin(*SECTIONS))
-    last = marks.groupBy("file", "section").agg(F.max(F.struct("section_no", "_from")).alias("_m"))
-    last = last.select("file", "section", "_m.section_no", "_m._from")
-    return placed.join(last, ["file", "section_no"]).select(
-        "file", "section", (F.col("pos") - F.col("_from")).alias("line_no"), "line"
-    )
+    """Lines (file, start, at, value) with the section they stand in and their number there; ``~`` opens one wherever it is.
+
+    Lines stay where they are read: what a split has to know of the file comes
+    from ``_carries``. A file is read twice; should its splits differ the second
+    time, the job fails.
+    """
+    known = raw.join(broadcast_if_small(_carries(raw)), ["file", "start"], "left")
+    own = F.col("at") - F.col("_first")
+    changed = F.raise_error(F.lit("the splits of a file changed while it was read")).cast("long")
+    line = F.when((own >= 0) & (own < F.col("_lines")), F.col("_before") + own).otherwise(changed)
+    pieces = F.when(
+        F.col("value").contains("~"),
+        F.filter(F.transform(F.split("value", "~"), lambda t, i: F.struct(i.alias("piece"), t.alias("text"))), lambda x: (x["piece"] > 0) | (x["text"] != "")),
+    ).otherwise(F.array(F.struct(F.lit(0).alias("piece"), F.col("value").alias("text"))))
+    rows = known.select("file", "_sections", line.alias("_line"), F.inline(pieces))
+    opens = lambda s: (s["line"] == F.col("_line")) & (s["piece"] == F.col("piece"))
+    holds = lambda s: (F.col("piece") == 0) & (s["line"] < F.col("_line")) & (s["upto"].isNull() | (F.col("_line") <= s["upto"]))
+    rows = rows.withColumn("_s", F.get(F.filter("_sections", lambda s: opens(s) | holds(s)), 0)).filter(F.col("_s").isNotNull())
+    return rows.select("file", F.col("_s.letter").alias("section"), (F.col("_line") - F.col("_s.line")).alias("line_no"), F.col("text").alias("line"))
 
 
 def scan_las(spark: SparkSession, path: str) -> DataFrame:
@@ -58,6 +86,7 @@ def scan_las(spark: SparkSession, path: str) -> DataFrame:
     Files are read line by line in splits, whatever their size: a line ends
     with CR, LF or both, and blank lines are lines, also at the end of a file.
     """
+    pin_splits(spark)
     lines = spark.read.option("recursiveFileLookup", "true").text(path)
     return _sections(lines.select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
@@ -113,15 +142,22 @@ class LasBatch:
     """LAS files with their small parts at hand.
 
     ``headers`` (all files) is written once; ``lines`` re-reads the files, so
-    the data section costs one pass when it is used.
+    the data section costs one pass when it is used. Only ``verdict`` lists the
+    files again, for those without a line.
     """
 
+    path: str
     lines: DataFrame
     headers: DataFrame
-    verdict: DataFrame
+
+    @property
+    def verdict(self) -> DataFrame:
+        """(file, reason) of every file; a null reason means it is accepted."""
+        return verdicts(list_files(self.headers.sparkSession, self.path).select("file"), self.headers)
 
     def _accepted(self, df: DataFrame) -> DataFrame:
-        return df.join(self.verdict.filter(F.col("reason").isNull()).select("file"), "file", "left_semi")
+        judged = verdicts(self.headers.select("file").distinct(), self.headers)
+        return df.join(judged.filter(F.col("reason").isNull()).select("file"), "file", "left_semi")
 
     @property
     def rejects(self) -> DataFrame:
@@ -151,11 +187,9 @@ class LasBatch:
 
 
 def load_las(spark: SparkSession, path: str) -> LasBatch:
-    """Read the headers of all files below a path and judge each file."""
-    files = list_files(spark, path)
+    """The LAS files below a path; their headers are read at once."""
     lines = scan_las(spark, path)
-    headers = cut_lineage(header_lines(lines))
-    return LasBatch(lines, headers, verdicts(files.select("file"), headers))
+    return LasBatch(path, lines, cut_lineage(header_lines(lines)))
 
 
 def las_wells(
@@ -239,6 +273,7 @@ def las_values(lines: DataFrame, headers: DataFrame, wells: DataFrame, null_valu
     files = names.join(wells.select("file", "UWI"), "file")
     data = lines.filter((F.col("section") == "A") & (F.col("line_no") >= 1))
     text = F.regexp_replace("line", r"^\s+|\s+$", "")
+    files = broadcast_if_small(cut_lineage(files))
     rows = data.select("file", (F.col("line_no") - 1).alias("sample_id"), F.split(text, r" \s*").alias("_tok")).join(files, "file")
     number = lambda token: F.coalesce(to_number(token), F.lit(NULL_CURVE))
     rows = rows.select(
