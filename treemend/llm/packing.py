@@ -32,15 +32,16 @@ from treemend.session import cut_lineage
 
 CAPACITY = 4096
 END_ID = 1
-# Words and pre-tokens whose ids one Python worker remembers.
-CACHE_WORDS = 400_000
+# Bytes of words and of pre-tokens, with their ids, that one Python worker remembers, about; longer ones are not remembered.
+CACHE_BYTES = 80_000_000
+CACHE_CHARS = 64
 # Letters whose normal form, lower case and class are the same everywhere; other words go through the whole tokenizer.
 _PLAIN = re.compile("[!-~\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
 _PRE_TOKEN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z0-9\xdf-\xf6\xf8-\xff]+")
 
 
 class WordIds(dict):
-    """Little-endian ids of white-space separated words; forgets all when full.
+    """Little-endian ids of white-space separated words; forgets all when full, and keeps no long word.
 
     The tokenizer never joins characters across a blank, so a text's ids are
     its words' ids one after another; and a word's are its pre-tokens'. Both
@@ -60,24 +61,29 @@ class WordIds(dict):
         self.as_bytes = {ord(c): level.pre_tokenize_str(c)[0][0] for c in map(chr, range(0xC0, 0x100))}
         self.special = tuple(t.content for t in self.whole.get_added_tokens_decoder().values())
         self.parts: dict[str, bytes] = {}
-        self[""] = b""
+        self.held = {"words": 0, "parts": 0}
 
     def __missing__(self, word: str) -> bytes:
         if _PLAIN.fullmatch(word) and not any(s in word for s in self.special):
             ids = b"".join([self.parts.get(p) or self.part(p) for p in _PRE_TOKEN.findall(word.lower())])
         else:
             ids = np.array(self.whole.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        self[word] = ids
+        self.keep("words", self, word, ids)
         return ids
 
+    def keep(self, what: str, memory: dict, text: str, ids: bytes) -> None:
+        if len(text) <= CACHE_CHARS:
+            size = 180 + 4 * len(text) + len(ids)
+            if self.held[what] + size > CACHE_BYTES:
+                memory.clear()
+                self.held[what] = 0
+            memory[text] = ids
+            self.held[what] += size
+
     def part(self, pre_token: str) -> bytes:
         spelt = pre_token if pre_token.isascii() else pre_token.translate(self.as_bytes)
         ids = array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
-        if len(self.parts) >= CACHE_WORDS:
-            self.parts.clear()
-        self.parts[pre_token] = ids
+        self.keep("parts", self.parts, pre_token, ids)
         return ids
 
     def ids(self, text: str) -> bytes:
