@@ -7,7 +7,9 @@ done. The others go to shards by key; each shard builds a compressed FM-index
 over its regions and streams them through backward search, which reports the
 runs of windows that occur more than once. Keys with very many regions are
 split further: there the unit is the single window, sent by the hash of its
-words, and equal windows of a task travel as one with their number.
+words, and equal windows of a task travel as one with their number. An index
+tells words apart as they are, not by hashes; windows of split keys are named
+by 120 bits of two hashes.
 """
 
 from __future__ import annotations
@@ -35,16 +37,20 @@ HOT_REGIONS = 20_000
 HELD_WINDOWS = 40_000
 # Words of one FM-index, about: what a task holds at a time.
 SHARD_WORDS = 600_000
+# Words whose hashes one Python worker remembers, none longer than this.
 CACHE_WORDS = 300_000
+CACHE_CHARS = 64
 
 
 class WordHashes(dict):
-    """XXH64 of words seen before; forgets all when full."""
+    """XXH64 of words seen before; forgets all when full, and keeps no long word."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
+        h = xxhash.xxh64_intdigest(word)
+        if len(word) <= CACHE_CHARS:
+            if len(self) >= CACHE_WORDS:
+                self.clear()
+            self[word] = h
         return h
 
 
@@ -150,7 +156,7 @@ def text_keys(text):
 
 
 def _units(candidates: DataFrame, window: int) -> DataFrame:
-    """_unit, _k1, _k2, _start, _n, _w, words of regions; of hot keys, windows: _k1 null, _w their number in the task, as far as it holds them."""
+    """_unit, _k1, _k2, _start, _n, _w, words of regions; of hot keys, windows: _k1 null, _start a second hash, _w their number in the task, as far as it holds them."""
     schema = pa.schema([(n, pa.int64()) for n in ("_unit", "_k1", "_k2", "_start", "_n", "_w")] + [("_words", pa.binary())])
 
     def run(batches):
@@ -159,7 +165,7 @@ def _units(candidates: DataFrame, window: int) -> DataFrame:
         def held():
             out = defaultdict(list)
             for w, copies in many.items():
-                for name, v in zip(schema.names, (_window_hash(w), None, None, 0, 1, copies, w)):
+                for name, v in zip(schema.names, (_window_hash(w), None, None, _second_hash(w), 1, copies, w)):
                     out[name].append(v)
             many.clear()
             if out:
@@ -192,6 +198,11 @@ def _window_hash(words: bytes) -> int:
     return int(np.array(xxhash.xxh64_intdigest(words, 3), np.uint64).astype(np.int64))
 
 
+def _second_hash(words: bytes) -> int:
+    """56 bits that the first hash does not tell."""
+    return xxhash.xxh3_64_intdigest(words, 5) >> 8
+
+
 def repeated_runs(units: list[dict], window: int) -> list[tuple[int, int, int]]:
     """(unit, first, last): runs of windows that occur more than once among the units, by one FM-index over the distinct ones."""
     distinct: dict[bytes, int] = {}
@@ -202,10 +213,9 @@ def repeated_runs(units: list[dict], window: int) -> list[tuple[int, int, int]]:
             weights.append(0)
         weights[at] += u["_w"]
         which.append(at)
-    hashes = word_hashes()
     split = [w.split(b" ") for w in distinct]
-    flat = np.array([hashes[x] for s in split for x in s], np.uint64)
-    symbols = np.unique(flat, return_inverse=True)[1] + 1
+    number: dict[bytes, int] = {}
+    symbols = np.array([number.setdefault(x, len(number) + 1) for s in split for x in s], np.int64)
     index = FMIndex(symbols, np.array(list(map(len, split))), np.array(weights), REGION + window)
     runs = defaultdict(list)
     for s, a, b in zip(*(x.tolist() for x in index.repeated_windows(window))):
@@ -214,7 +224,7 @@ def repeated_runs(units: list[dict], window: int) -> list[tuple[int, int, int]]:
 
 
 def _search(units: DataFrame, window: int) -> DataFrame:
-    """_unit, _k1, _k2, _from, _to: words of a text (end exclusive), or for windows of hot keys the window's hash alone."""
+    """_unit, _k1, _k2, _from, _to: words of a text (end exclusive), or for windows of hot keys the window's two hashes in _unit and _from."""
     dealt = units.repartition("_unit").sortWithinPartitions("_unit")
     schema = pa.schema([(n, pa.int64()) for n in ("_unit", "_k1", "_k2", "_from", "_to")])
 
@@ -245,8 +255,8 @@ def _search(units: DataFrame, window: int) -> DataFrame:
 
 
 def _hot_windows(candidates: DataFrame, window: int) -> DataFrame:
-    """_unit, _k1, _k2, _from of every window of hot keys."""
-    schema = pa.schema([(n, pa.int64()) for n in ("_unit", "_k1", "_k2", "_from")])
+    """_unit, _second, _k1, _k2, _from of every window of hot keys."""
+    schema = pa.schema([(n, pa.int64()) for n in ("_unit", "_second", "_k1", "_k2", "_from")])
 
     def run(batches):
         for batch in batches:
@@ -256,12 +266,13 @@ def _hot_windows(candidates: DataFrame, window: int) -> DataFrame:
                 for r in (r for r in row["_regions"] if r["hot"]):
                     start, n = r["at"] // 256, r["at"] % 128
                     for s in range(start, start + n):
-                        for name, v in zip(schema.names, (_window_hash(b" ".join(words[s : s + window])), row["_k1"], row["_k2"], s)):
+                        w = b" ".join(words[s : s + window])
+                        for name, v in zip(schema.names, (_window_hash(w), _second_hash(w), row["_k1"], row["_k2"], s)):
                             out[name].append(v)
             if out:
                 yield arrow_rows(out, schema)
 
-    return candidates.mapInArrow(run, "_unit long, _k1 long, _k2 long, _from long")
+    return candidates.mapInArrow(run, "_unit long, _second long, _k1 long, _k2 long, _from long")
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, group: int = GROUP, hot: int = HOT_REGIONS) -> DataFrame:
@@ -289,8 +300,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, group: int = GROUP, ho
     found = cut_lineage(_search(_units(candidates, window), window))
     spans = found.where("_k1 IS NOT NULL").select("_k1", "_k2", "_from", "_to")
     if shared.where(F.col("_n") > hot).limit(1).count():
-        repeated = found.where("_k1 IS NULL").select("_unit").distinct()
-        spans = spans.union(_hot_windows(candidates, window).join(repeated, "_unit").select("_k1", "_k2", "_from", (F.col("_from") + window).alias("_to")))
+        repeated = found.where("_k1 IS NULL").select("_unit", F.col("_from").alias("_second")).distinct()
+        spans = spans.union(_hot_windows(candidates, window).join(repeated, ["_unit", "_second"]).select("_k1", "_k2", "_from", (F.col("_from") + window).alias("_to")))
     spans = spans.groupBy("_k1", "_k2").agg(F.collect_set(F.struct("_from", "_to")).alias("_spans"))
     schema = pa.schema([("_k1", pa.int64()), ("_k2", pa.int64()), ("n_removed", pa.int64()), ("_sha", pa.string())])
 
