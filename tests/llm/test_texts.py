@@ -1,6 +1,7 @@
 import hashlib
 import math
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -96,6 +97,25 @@ def test_secrets_beside_base_spans_and_allow_listed_pieces(docs):
     assert got[6]["spans"] == "" and out[6] == texts[6] and out[5].startswith("日本 DUMMY[secret]lorem[secret]")
 
 
+def test_long_strings_and_many_matches(docs):
+    rng = np.random.default_rng(6)
+    pick = lambda letters, n: "".join(rng.choice(list(letters), n))
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    quiet = "xy12" * 10_000
+    # a hot stretch that crosses the border of two parts of a string; one string of 300,000 characters; 20,000 matches
+    texts = [quiet[:16370] + MIXED + quiet, pick(letters, 300_000), " ".join(f"token=abcdefg{i}h {DIGEST}" for i in range(10_000))]
+    began = time.time()
+    got = {r["doc_id"]: r["spans"] for r in secret_report(docs([doc(i, t) for i, t in enumerate(texts)])).collect()}
+    out = {r["doc_id"]: r["text"] for r in redact_secrets(docs([doc(i, t) for i, t in enumerate(texts)])).collect()}
+    assert time.time() - began < 120
+    hot = [j for j, h in enumerate(window_entropies(texts[0])) if h >= 3.7]
+    assert got[0] == f"entropy:{hot[0]}:{hot[-1] + WINDOW}" and 16370 - WINDOW < hot[0] < 16384 < hot[-1] + WINDOW
+    assert out[0] == texts[0][: hot[0]] + "[secret]" + texts[0][hot[-1] + WINDOW :]
+    hot = [j for j, h in enumerate(window_entropies(texts[1])) if h >= 3.7]
+    assert got[1] == f"entropy:{hot[0]}:{hot[-1] + WINDOW}"
+    assert got[2] == as_text(base_spans(texts[2])) and out[2] == " ".join(["[secret] [secret]"] * 10_000)
+
+
 def test_redaction(docs):
     df = docs([doc(i, t) for i, t in enumerate(SECRETS)])
     out = redact_secrets(df)
@@ -194,10 +214,39 @@ def test_statistics_are_finite():
 
 def test_isotonic():
     rng = np.random.default_rng(4)
-    x = np.arange(200) / 200
-    n = rng.integers(1, 20, 200)
-    knots, chance = isotonic(x, rng.binomial(n, x).astype(float), n.astype(float))
-    assert (np.diff(knots) > 0).all() and (np.diff(chance) > -0.2).all() and abs(np.interp(0.5, knots, chance) - 0.5) < 0.15
+    for _ in range(200):
+        m = int(rng.integers(1, 40))
+        x, n = np.sort(rng.choice(1000, m, replace=False)) / 1000, rng.integers(1, 200, m).astype(float)
+        y = np.floor(n * rng.random(m))
+        knots, chance = isotonic(x, y, n)
+        assert (np.diff(knots) > 0).all() and (np.diff(chance) >= 0).all() and (chance > 0).all() and (chance < 1).all()
+        # the best ascending fit by its min-max formula; the pooled means differ by half an example a block at most
+        best = [max(min(y[i : j + 1].sum() / n[i : j + 1].sum() for j in range(k, m)) for i in range(k + 1)) for k in range(m)]
+        pooled = {round(v, 9): sum(n[i] for i in range(m) if round(best[i], 9) == round(v, 9)) for v in best}
+        assert len(knots) == len(pooled)
+        assert chance.tolist() == pytest.approx(list(np.maximum.accumulate([(v * w + 0.5) / (w + 1) for v, w in sorted(pooled.items())])), abs=1e-6)
+    knots, chance = isotonic(np.array([0.0, 0.5, 1.0]), np.array([0.0, 95.0, 1.0]), np.array([100.0, 100.0, 1.0]))
+    assert chance[0] < 0.01 and chance[2] >= chance[1] > 0.94
+
+
+def test_fit_is_ridge_on_all_rows(spark):
+    from treemend.llm import quality
+
+    rng = np.random.default_rng(9)
+    x = rng.normal(0, 1, (120, len(quality.NAMES))).astype(np.float32)
+    y = (x[:, 0] + 0.3 * rng.normal(size=120) > 0).astype(float)
+    late = np.arange(120) % 5 == 0
+    rows = spark.createDataFrame([(v.tolist(), float(t), bool(c)) for v, t, c in zip(x, y, late)], "_x array<float>, _y double, _calibrate boolean").repartition(7)
+    got = quality.fit_quality(rows, features=20, ridge=0.01)
+    fx = x[~late].astype(np.float64)
+    plain = quality.Scorer(fx.mean(0), np.sqrt(fx.var(0)) + 1e-6, got.projection, got.phase)
+    z = plain.cosines(fx)
+    plain.weights = np.linalg.solve(z.T @ z + 0.01 * len(fx) * np.eye(21) / 21, z.T @ y[~late])
+    assert got.weights == pytest.approx(plain.weights, rel=1e-6, abs=1e-8)
+    raw = np.round(plain.raw(x[late].astype(np.float64)) * quality.BINS_PER_UNIT)
+    bins = np.unique(raw)
+    knots, chance = isotonic(bins / quality.BINS_PER_UNIT, np.array([y[late][raw == b].sum() for b in bins]), np.array([(raw == b).sum() for b in bins], float))
+    assert got.knots == pytest.approx(knots) and got.chance == pytest.approx(chance)
 
 
 def held(i):
