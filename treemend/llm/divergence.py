@@ -257,16 +257,15 @@ class Tile:
         self.entries, self.terms, self.last = [], 0, None
 
     def rows(self, first_part: bool):
-        """(source, item, sum) of every ordered pair; the first part adds the terms that neither has."""
+        """(way, left source, its name, right sources, sums) of the tile; the first part adds the terms that neither source has, and names."""
         self.settle()
         names, alone = self.names[0] + self.names[1], np.array(self.alone[0] + self.alone[1], np.int64)
-        for total, (x, y) in zip(self.sums, self.ways()):
+        for way, (total, (x, y)) in enumerate(zip(self.sums, self.ways())):
             if first_part:
                 total = total + self.kept * ((alone[x][:, None] - alone[y]) ** 2 // alone[y])
+            items = [names[s] for s in y] if first_part else None
             for i, g in enumerate(x):
-                for j, s in enumerate(y):
-                    if g != s:
-                        yield names[g], names[s], int(total[i, j])
+                yield way, i, names[g], items, total[i]
 
 
 def pair_divergence(entries: DataFrame, groups: DataFrame, parts: int, tile: int = TILE) -> DataFrame:
@@ -286,7 +285,10 @@ def pair_divergence(entries: DataFrame, groups: DataFrame, parts: int, tile: int
     names = ("_part", "lang", "_a", "_b", "_side", "_no", "term", "p", "source", "_kept")
     placed = tiles.withColumns({"_a": F.least("_own", "_other"), "_b": F.greatest("_own", "_other"), "_side": (F.col("_own") > F.col("_other")).cast("int")}).select(*names)
     dealt = placed.repartition(parts, "_part").sortWithinPartitions("_part", "lang", "_a", "_b", "term", "_side", "_no")
-    schema = pa.schema([("lang", pa.string()), ("source", pa.string()), ("item", pa.string()), ("value", pa.int64())])
+    keys = ["lang", "_a", "_b", "_way", "_i"]
+    schema = pa.schema([
+        ("lang", pa.string()), *[(n, pa.int32()) for n in keys[1:]], ("source", pa.string()), ("items", pa.list_(pa.string())), ("sums", pa.list_(pa.int64())),
+    ])
 
     def run(batches):
         now, at = None, None
@@ -294,8 +296,8 @@ def pair_divergence(entries: DataFrame, groups: DataFrame, parts: int, tile: int
         def done():
             if now is not None:
                 out = defaultdict(list)
-                for source, item, value in now.rows(at[0] == 0):
-                    for name, v in zip(schema.names, (at[1], source, item, value)):
+                for row in now.rows(at[0] == 0):
+                    for name, v in zip(schema.names, (*at[1:], *row)):
                         out[name].append(v)
                 if out:
                     yield arrow_rows(out, schema)
@@ -311,8 +313,29 @@ def pair_divergence(entries: DataFrame, groups: DataFrame, parts: int, tile: int
                     now.source(side, no, source, p, kept)
         yield from done()
 
-    sums = dealt.mapInArrow(run, "lang string, source string, item string, value long")
-    return sums.groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
+    # a row per part, tile and left source; added up row by row
+    sums = dealt.mapInArrow(run, "lang string, _a int, _b int, _way int, _i int, source string, items array<string>, sums array<long>")
+    result = pa.schema([("lang", pa.string()), ("source", pa.string()), ("item", pa.string()), ("value", pa.int64())])
+
+    def add(batches):
+        at, items, total, source = None, None, None, None
+
+        def done():
+            if at is not None:
+                out = [(i, v) for i, v in zip(items, total.tolist()) if i != source]
+                if out:
+                    yield arrow_rows({"lang": [at[0]] * len(out), "source": [source] * len(out), "item": [i for i, _ in out], "value": [v for _, v in out]}, result)
+
+        for batch in batches:
+            for *key, name, names, values in zip(*(c.to_pylist() for c in batch.columns)):
+                if key != at:
+                    yield from done()
+                    at, items, total, source = key, None, 0, name
+                total, items = total + np.array(values, np.int64), items or names
+        yield from done()
+
+    met = sums.repartition(*keys).sortWithinPartitions(*keys)
+    return met.mapInArrow(add, "lang string, source string, item string, value long")
 
 
 def divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP_TERMS, slice_bytes: int = SLICE_BYTES, tile: int = TILE) -> DataFrame:
