@@ -289,12 +289,72 @@ def test_kneser_ney_sums_to_one():
     for order, (g, p, contexts, weight) in enumerate(kneser_ney(grams, n, letters), 1):
         assert (p > 0).all() and (p < 1).all() and len(weight) == len(contexts)
         if order == langid.ORDER:
-            model = langid.build({"x": (grams, n)}, np.arange(letters) + 97)
+            model = langid.build("x", grams, n, np.arange(letters) + 97, letters)
             context = (g[:50] >> np.uint64(15)) << np.uint64(15)
-            total = sum(2.0 ** model.log2p(context | np.uint64(i), order)[:, 0] for i in [1, 2, *range(3, 3 + letters)])
+            total = sum(2.0 ** model.log2p(context | np.uint64(i), order) for i in [1, 2, *range(3, 3 + letters)])
             assert total == pytest.approx(np.ones(len(context)), abs=1e-3)
 
 
+def plain_kneser_ney(texts, letters):
+    """p(character | the three before it), from dictionaries and by the textbook's recursion."""
+    pad = ["^" * 3 + t for t in texts]
+    counts = {4: Counter(t[i - 3 : i + 1] for t in pad for i in range(3, len(t)))}
+    for order in (3, 2, 1):
+        counts[order] = Counter(g[1:] for g in counts[order + 1])
+    off = {}
+    for order, c in counts.items():
+        ones, twos = (sum(n == k for n in c.values()) for k in (1, 2))
+        off[order] = min(0.95, max(0.1, ones / (ones + 2 * twos) if ones else 0.5))
+    total, kinds = defaultdict(int), defaultdict(int)
+    for order, c in counts.items():
+        for g, n in c.items():
+            total[order, g[:-1]] += n
+            kinds[order, g[:-1]] += 1
+
+    def p(gram):
+        order = len(gram)
+        if not order:
+            return 1 / (letters + 2)
+        if (order, gram[:-1]) not in total:
+            return p(gram[1:])
+        d, n = off[order], total[order, gram[:-1]]
+        return max(0, counts[order][gram] - d) / n + d * kinds[order, gram[:-1]] / n * p(gram[1:])
+
+    return lambda text: -sum(math.log2(p(("^" * 3 + text)[i : i + 4])) for i in range(len(text))) / len(text)
+
+
+def test_cross_entropy_is_plain_kneser_ney(docs):
+    words = {"en": "the cat sat on a mat and then ran", "de": "der hund und die katze über dem dach", "xx": "жук 日本 語 aé"}
+    rng = np.random.default_rng(7)
+    texts = {k: [langid.clean(" ".join(rng.choice(w.split(), 30))) for _ in range(12)] for k, w in words.items()}
+    alphabets = {k: np.unique([ord(c) for t in ts for c in t]) for k, ts in texts.items()}
+    letters = len(set().union(*(a.tolist() for a in alphabets.values())))
+    models = []
+    for k, ts in texts.items():
+        flat, _ = langid.codes(ts)
+        grams, n = np.unique(langid.packed(langid.numbers(flat, alphabets[k]), langid.ORDER)[flat != langid.EDGE], return_counts=True)
+        models.append(langid.build(k, grams, n, alphabets[k], letters))
+    asked = [langid.clean(t) for t in ("the dog", "über katze жук", "日本 mat", "zzz qqq")]
+    got = langid.cross_entropies(langid.unpack(langid.pack(models)), asked)
+    for k, ts in enumerate(texts.values()):
+        plain = plain_kneser_ney(ts, letters)
+        known = {chr(c) for c in alphabets[list(texts)[k]]}
+        for i, t in enumerate(asked):
+            assert got[i, k] == pytest.approx(plain("".join(c if c in known else "\x01" for c in t)), rel=1e-4)
+    assert langid.distinct_rows([np.array([3, 1, 3]), np.array([70_000, 2, 70_000])] * 2, 70_001)[1].tolist() == [1, 0, 1]
+
+
+def test_many_languages(docs):
+    rng = np.random.default_rng(8)
+    own = [["".join(chr(0x4E00 + 40 * k + int(c)) for c in rng.integers(0, 40, 4)) for _ in range(6)] for k in range(60)]
+    rows = [doc(i, " ".join(rng.choice(own[i % 60], 25)), f"l{i % 60:02d}") for i in range(600)]
+    packed = fit_languages(docs(rows).select("lang", "text"))
+    assert len(langid.unpack(packed)) == 60 and len(packed) < 3_000_000
+    got = docs(rows).select("lang", language_column(packed)(F.col("text")).alias("p")).collect()
+    assert all(r["p"]["lang"] == r["lang"] for r in got) and np.mean([r["p"]["rejected"] for r in got]) < 0.05
+    assert fit_languages(docs([], EMPTY).select("lang", "text")) is None
+
+
 def test_languages_on_the_held_out_fold(spark):
     from treemend.llm.queries import QUERIES
 

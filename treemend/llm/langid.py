@@ -1,13 +1,12 @@
 """Language identification by interpolated Kneser-Ney character models.
 
-One model per language, orders 1 to ``ORDER``. N-grams are packed into one
-integer and mixed by a bijection, so the sorted arrays hold hashes that never
-collide. The arrays hold every n-gram that any language has seen, with one
-log2 probability per language, already interpolated; an n-gram that none has
-seen backs off to its suffix with the weight of its context. A text gets the
-language of the lowest cross-entropy per character. It is rejected when that
-is above a limit calibrated on texts of the language that the model has not
-seen.
+One model per language, orders 1 to ``ORDER``, built in a task of its own.
+N-grams are packed into one integer and mixed by a bijection, so the sorted
+arrays of a model hold hashes that never collide, each with its interpolated
+log2 probability; an n-gram that the language has not seen backs off to its
+suffix with the weight of its context. A text gets the language of the lowest
+cross-entropy per character. It is rejected when that is above a limit
+calibrated on texts of the language that the model has not seen.
 """
 
 from __future__ import annotations
@@ -20,7 +19,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from treemend.llm.common import arrow_rows, pieces_of, prepare
@@ -29,15 +28,18 @@ from treemend.session import cut_lineage
 ORDER = 4
 # Characters per language that are counted at most; texts are drawn by hash. The model's size is bound by it.
 FIT_CHARS = 6_000_000
+# Characters that are counted in all, shared evenly where there are many languages, but this many of each at least.
+ALL_FIT_CHARS, LEAST_FIT_CHARS = 150_000_000, 100_000
 # Texts per language for calibration, drawn by hash from those not counted.
 CALIBRATION_TEXTS = 2_000
-MOST_LANGUAGES = 1_000
 # Spreads above its language's mean at which a text is rejected: see calibrate().
 REJECT_SPREADS = 8.0
 # Least spread of a language's documents, in bits per character, whatever their length.
 LEAST_SPREAD = 0.05
 UNKNOWN, EDGE = 1, 2
 _LETTER_BITS = 15
+# Letters of one language with a number of their own, the most common ones; its other letters are one unknown.
+LETTERS = (1 << _LETTER_BITS) - 4
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -77,69 +79,111 @@ def codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Model:
-    """languages, the sorted alphabet, and per order hashes, log2 probabilities and log2 back-off weights."""
+    """A language: its sorted alphabet, and per order sorted hashes, log2 probabilities, contexts and log2 back-off weights.
 
-    languages: list[str]
+    ``base`` is log2 p of any character before any count, the same for all
+    languages. ``limit``: see calibrate().
+    """
+
+    language: str
     alphabet: np.ndarray
+    base: float
     hashes: list[np.ndarray]
     logp: list[np.ndarray]
     contexts: list[np.ndarray]
     backoff: list[np.ndarray]
-    limit: np.ndarray | None = None
-
-    def ids(self, points: np.ndarray) -> np.ndarray:
-        """Alphabet numbers by direct lookup; characters never seen are one unknown."""
-        table = np.full(0x110000, UNKNOWN, np.uint64) if not hasattr(self, "_table") else self._table
-        if not hasattr(self, "_table"):
-            table[self.alphabet] = np.arange(len(self.alphabet), dtype=np.uint64) + 3
-            table[EDGE] = EDGE
-            self._table = table
-        return table[points]
+    limit: np.ndarray
 
     def log2p(self, grams: np.ndarray, order: int) -> np.ndarray:
-        """log2 p of the last character of each packed n-gram, a column per language."""
+        """log2 p of the last character of each packed n-gram."""
         if order == 0:
-            return np.full((len(grams), len(self.languages)), -np.log2(len(self.alphabet) + 2.0), np.float32)
+            return np.full(len(grams), self.base, np.float32)
         at, hit = find(self.hashes[order - 1], mix(grams))
-        out = self.logp[order - 1][at]
+        out = self.logp[order - 1][at] if len(self.logp[order - 1]) else np.zeros(len(grams), np.float32)
         miss = np.flatnonzero(~hit)
         if len(miss):
             g = grams[miss]
             lower = self.log2p(g & np.uint64((1 << (_LETTER_BITS * (order - 1))) - 1), order - 1)
             c_at, c_hit = find(self.contexts[order - 1], mix(g >> np.uint64(_LETTER_BITS)))
-            out[miss] = lower + np.where(c_hit[:, None], self.backoff[order - 1][c_at], 0)
+            out[miss] = lower + np.where(c_hit, self.backoff[order - 1][c_at], 0) if len(self.backoff[order - 1]) else lower
         return out
 
-    def cross_entropy(self, cleaned: list[str]) -> np.ndarray:
-        """Bits per character of each text under each language."""
+
+def numbers(points: np.ndarray, alphabet: np.ndarray) -> np.ndarray:
+    """A language's numbers of code points: letters from 3 on, one number for all others, the edge mark's own."""
+    at, hit = find(alphabet, points)
+    return np.where(points == EDGE, np.uint64(EDGE), np.where(hit, at.astype(np.uint64) + np.uint64(3), np.uint64(UNKNOWN)))
+
+
+class Evidence:
+    """Texts as distinct n-grams of code points, looked up once in each model."""
+
+    def __init__(self, cleaned: list[str]):
         flat, ends = codes(cleaned)
-        ids = self.ids(flat)
-        grams = packed(ids, ORDER)
-        # each distinct n-gram is looked up once
-        distinct, inverse = np.unique(grams, return_inverse=True)
-        bits = self.log2p(distinct, ORDER)
-        starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
-        lengths = ends - starts - 1
-        out = np.empty((len(cleaned), len(self.languages)))
-        for k in range(len(self.languages)):
-            per = bits[inverse, k].astype(np.float64)
-            per[starts] = 0
-            out[:, k] = -np.add.reduceat(per, starts) / np.maximum(lengths, 1) if len(per) else 0
-        return out
+        self.starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
+        self.lengths = ends - self.starts - 1
+        self.points, local = np.unique(flat, return_inverse=True)
+        windows = last_letters(local, local[flat == EDGE][:1], ORDER)
+        self.columns, self.inverse = distinct_rows(windows, len(self.points))
+
+    def bits(self, model: Model) -> np.ndarray:
+        """Bits per character of each text."""
+        known = numbers(self.points, model.alphabet)
+        grams = np.zeros(len(self.columns[0]), np.uint64)
+        for back, column in enumerate(self.columns):
+            grams |= known[column] << np.uint64(_LETTER_BITS * back)
+        per = model.log2p(grams, ORDER).astype(np.float64)[self.inverse]
+        per[self.starts] = 0
+        return -np.add.reduceat(per, self.starts) / np.maximum(self.lengths, 1) if len(per) else np.zeros(0)
+
+
+def last_letters(ids: np.ndarray, edge: np.ndarray, order: int) -> list[np.ndarray]:
+    """The character at each place and the ``order`` - 1 before it; before an edge mark there are only edge marks."""
+    out, seen = [ids], ids == edge if len(edge) else np.zeros(len(ids), bool)
+    for back in range(1, order):
+        before = np.concatenate([np.repeat(edge, min(back, len(ids))), ids[:-back]])
+        before = np.where(seen, edge, before) if len(edge) else before
+        seen = seen | (before == edge)
+        out.append(before)
+    return out
 
-    def pack(self) -> bytes:
-        out = io.BytesIO()
-        np.savez(out, languages=np.array(self.languages), alphabet=self.alphabet, limit=self.limit if self.limit is not None else np.zeros(0), **{
-            f"{n}{i}": a for n, arrays in (("h", self.hashes), ("p", self.logp), ("c", self.contexts), ("b", self.backoff)) for i, a in enumerate(arrays)
-        })
-        return out.getvalue()
+
+def distinct_rows(columns: list[np.ndarray], below: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct rows of small numbers, as columns, and which of them each row is."""
+    if below <= 1 << (64 // len(columns)):
+        width = 64 // len(columns)
+        key = np.zeros(len(columns[0]), np.uint64)
+        for k, c in enumerate(columns):
+            key |= c.astype(np.uint64) << np.uint64(width * k)
+        found, inverse = np.unique(key, return_inverse=True)
+        return [((found >> np.uint64(width * k)) & np.uint64((1 << width) - 1)).astype(np.int64) for k in range(len(columns))], inverse
+    found, inverse = np.unique(np.stack(columns, 1), axis=0, return_inverse=True)
+    return list(found.T), inverse.ravel()
+
+
+def pack(models: list[Model]) -> bytes:
+    out = io.BytesIO()
+    arrays = {f"{k}_{n}{i}": a for k, m in enumerate(models) for n, held in (("h", m.hashes), ("p", m.logp), ("c", m.contexts), ("b", m.backoff)) for i, a in enumerate(held)}
+    np.savez(
+        out, languages=np.array([m.language for m in models]), base=np.array([m.base for m in models]), limits=np.array([m.limit for m in models]),
+        **{f"{k}_alphabet": m.alphabet for k, m in enumerate(models)}, **arrays,
+    )
+    return out.getvalue()
 
 
 @functools.lru_cache(maxsize=2)
-def unpack(data: bytes) -> Model:
+def unpack(data: bytes) -> list[Model]:
     z = np.load(io.BytesIO(data))
-    arrays = [[z[f"{n}{i}"] for i in range(ORDER)] for n in "hpcb"]
-    return Model([str(x) for x in z["languages"]], z["alphabet"], *arrays, limit=z["limit"])
+    return [
+        Model(str(name), z[f"{k}_alphabet"], float(z["base"][k]), *[[z[f"{k}_{n}{i}"] for i in range(ORDER)] for n in "hpcb"], limit=z["limits"][k])
+        for k, name in enumerate(z["languages"])
+    ]
+
+
+def cross_entropies(models: list[Model], cleaned: list[str]) -> np.ndarray:
+    """Bits per character, a row per text and a column per language."""
+    evidence = Evidence(cleaned)
+    return np.stack([evidence.bits(m) for m in models], axis=1)
 
 
 def find(sorted_hashes: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -154,20 +198,17 @@ def find(sorted_hashes: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def packed(ids: np.ndarray, order: int) -> np.ndarray:
-    """The last ``order`` characters at each place; before an edge mark there are only edge marks."""
-    out, seen = ids.copy(), ids == EDGE
-    for back in range(1, order):
-        before = np.concatenate([np.full(min(back, len(ids)), EDGE, np.uint64), ids[:-back]])
-        before = np.where(seen, np.uint64(EDGE), before)
-        seen = seen | (before == EDGE)
-        out |= before << np.uint64(_LETTER_BITS * back)
+    """The last ``order`` characters at each place in one integer."""
+    out = np.zeros(len(ids), np.uint64)
+    for back, letters in enumerate(last_letters(ids, np.array([EDGE], np.uint64), order)):
+        out |= letters << np.uint64(_LETTER_BITS * back)
     return out
 
 
-def count_grams(texts: DataFrame, alphabet: np.ndarray) -> DataFrame:
+def count_grams(texts: DataFrame, alphabets: dict[str, np.ndarray]) -> DataFrame:
     """lang, gram, n over (lang, text): counts of highest-order n-grams, summed per task, then per n-gram."""
     schema = pa.schema([("lang", pa.string()), ("gram", pa.int64()), ("n", pa.int64())])
-    alphabet_only = Model([], alphabet, [], [], [], [])
+    known = texts.sparkSession.sparkContext.broadcast(alphabets)
 
     def run(batches):
         for batch in batches:
@@ -178,7 +219,7 @@ def count_grams(texts: DataFrame, alphabet: np.ndarray) -> DataFrame:
                     by.setdefault(lang, []).append(clean(text))
                 for lang, cleaned in by.items():
                     flat, _ = codes(cleaned)
-                    grams = packed(alphabet_only.ids(flat), ORDER)
+                    grams = packed(numbers(flat, known.value[lang]), ORDER)
                     grams, n = np.unique(grams[flat != EDGE], return_counts=True)
                     yield arrow_rows({"lang": [lang] * len(grams), "gram": grams.view(np.int64), "n": n}, schema)
 
@@ -212,72 +253,68 @@ def kneser_ney(grams: np.ndarray, counts: np.ndarray, letters: int) -> list[tupl
     return out
 
 
-def build(per_language: dict[str, tuple[np.ndarray, np.ndarray]], alphabet: np.ndarray) -> Model:
-    """The joint arrays: each n-gram of any language with every language's interpolated log2 p."""
-    names = sorted(per_language)
-    fitted = [kneser_ney(*per_language[k], len(alphabet)) for k in names]
+def build(language: str, grams: np.ndarray, counts: np.ndarray, alphabet: np.ndarray, letters: int) -> Model:
+    """A language's sorted arrays from its sorted n-grams; ``letters`` are those of all languages together."""
     hashes, logp, contexts, backoff = [], [], [], []
-    below = (np.zeros(1, np.uint64), np.full((1, len(names)), 1.0 / (len(alphabet) + 2)))
-    for order in range(1, ORDER + 1):
-        every = np.unique(np.concatenate([f[order - 1][0] for f in fitted]))
-        ctx = np.unique(np.concatenate([f[order - 1][2] for f in fitted]))
-        weights = np.ones((len(ctx), len(names)))
-        for k, f in enumerate(fitted):
-            weights[np.searchsorted(ctx, f[order - 1][2]), k] = f[order - 1][3]
-        suffix = every & np.uint64((1 << (_LETTER_BITS * (order - 1))) - 1)
-        p = below[1][np.searchsorted(below[0], suffix)] * weights[np.searchsorted(ctx, every >> np.uint64(_LETTER_BITS))]
-        for k, f in enumerate(fitted):
-            p[np.searchsorted(every, f[order - 1][0]), k] = f[order - 1][1]
-        below = (every, p)
-        by, by_ctx = np.argsort(mix(every)), np.argsort(mix(ctx))
-        hashes.append(mix(every)[by])
+    for g, p, ctx, weight in kneser_ney(grams, counts, letters):
+        by, by_ctx = np.argsort(mix(g)), np.argsort(mix(ctx))
+        hashes.append(mix(g)[by])
         logp.append(np.log2(p[by]).astype(np.float32))
         contexts.append(mix(ctx)[by_ctx])
-        backoff.append(np.log2(weights[by_ctx]).astype(np.float32))
-    return Model(names, alphabet, hashes, logp, contexts, backoff)
+        backoff.append(np.log2(weight[by_ctx]).astype(np.float32))
+    base = -float(np.log2(letters + 2.0))
+    return Model(language, alphabet, base, hashes, logp, contexts, backoff, np.array([-base, LEAST_SPREAD**2, 1.0]))
 
 
 def fit_languages(learn: DataFrame) -> bytes | None:
-    """A packed model from (lang, text); None if there is nothing to learn from.
-
-    Rows with a null language, a null text or no letter teach nothing. At most
-    ``FIT_CHARS`` characters per language are counted, drawn by text hash with
-    a share known from the language's size; another ``CALIBRATION_TEXTS`` texts
-    calibrate the rejection limit. Only languages that have characters count,
-    the ``MOST_LANGUAGES`` largest of them.
+    """Packed models from (lang, text), one per language; None if there is nothing to learn from.
+
+    Rows with a null language, a null text or no letter teach nothing, repeated
+    rows teach once; an empty table gives no model. Of each language at most
+    ``FIT_CHARS`` characters are counted, less where there are many languages
+    (``ALL_FIT_CHARS``), drawn by text hash with a share known from the
+    language's size; another ``CALIBRATION_TEXTS`` texts calibrate the
+    rejection limit. The models of all languages go to the driver and to the
+    tasks; these bounds are theirs.
     """
     spark = prepare(learn.sparkSession)
     learn = learn.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select(F.col("lang").cast("string"), F.col("text").cast("string"), F.xxhash64(F.lit(7), "text").alias("_h"))
     u = F.pmod("_h", F.lit(1_000_003)) / 1_000_003
-    sizes = learn.groupBy("lang").agg(F.sum(F.length("text")).alias("chars"), F.count(F.lit(1)).alias("texts"), F.min(u).alias("first"))
-    sizes = {r["lang"]: (r["chars"], r["texts"], r["first"]) for r in sizes.where("chars > 0").orderBy(F.desc("chars"), "lang").limit(MOST_LANGUAGES).collect()}
-    if not sizes:
+    sizes = cut_lineage(learn.groupBy("lang").agg(F.sum(F.length("text")).alias("_chars"), F.count(F.lit(1)).alias("_texts"), F.min(u).alias("_least")))
+    languages = sizes.count()
+    if not languages:
         return None
+    most = min(FIT_CHARS, max(LEAST_FIT_CHARS, ALL_FIT_CHARS // languages))
     # a language of few different texts is still learned from one of them
-    share = {k: max(min(0.8, FIT_CHARS / c), first + 1e-6) for k, (c, _, first) in sizes.items()}
-    late = {k: min(1.0 - share[k], CALIBRATION_TEXTS / n) for k, (_, n, _) in sizes.items()}
-    table = lambda d: F.create_map(*[F.lit(x) for k, v in d.items() for x in (k, float(v))])
-    draw = learn.withColumn("_s", F.try_element_at(table(share), "lang")).withColumn("_l", F.try_element_at(table(late), "lang"))
+    share = F.greatest(F.least(F.lit(0.8), most / F.col("_chars")), F.col("_least") + 1e-6)
+    late = F.least(1.0 - share, CALIBRATION_TEXTS / F.col("_texts"))
+    draw = learn.join(sizes.select("lang", share.alias("_s"), late.alias("_l")), "lang")
     drawn = cut_lineage(draw.where(u < F.col("_s") + F.col("_l")).select("lang", "text", (u >= F.col("_s")).alias("late")).distinct())
     counted = drawn.where("NOT late").select("lang", "text")
-    chars = counted.select(F.explode(F.array_distinct(F.split(F.lower("text"), ""))).alias("c")).groupBy("c").count()
-    # the most common letters have a number each; the rest is one unknown
-    common = [r["c"] for r in chars.where("length(c) = 1").orderBy(F.desc("count"), "c").limit((1 << _LETTER_BITS) - 4).collect()]
-    alphabet = np.unique(np.array([ord(c) for c in {*common, " "}] or [32], np.int64))
-    grams: dict[str, list] = {}
-    for r in count_grams(counted, alphabet).groupBy("lang").agg(F.collect_list("gram").alias("g"), F.collect_list("n").alias("n")).toLocalIterator():
-        g = np.array(r["g"], np.int64).view(np.uint64)
-        by = np.argsort(g)
-        grams[r["lang"]] = (g[by], np.array(r["n"], np.int64)[by])
-    if not grams:
+    letters = counted.select("lang", F.explode(F.array_distinct(F.split(F.lower("text"), ""))).alias("c")).where("length(c) = 1").groupBy("lang", "c").count()
+    common = letters.withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "c"))).where(F.col("_n") <= LETTERS)
+    alphabets = {r["lang"]: np.unique([32, *map(ord, r["cs"])]) for r in common.groupBy("lang").agg(F.collect_list("c").alias("cs")).toLocalIterator()}
+    if not alphabets:
         return None
-    model = build(grams, alphabet)
-    model.limit = calibrate(spark, model, drawn.where("late"))
-    return model.pack()
+    total = len(set().union(*(a.tolist() for a in alphabets.values())))
+    known = spark.sparkContext.broadcast(alphabets)
+
+    def model_of(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        grams = rows["gram"].to_numpy(np.int64).view(np.uint64)
+        by = np.argsort(grams)
+        return pd.DataFrame({"lang": [key[0]], "model": [pack([build(key[0], grams[by], rows["n"].to_numpy(np.int64)[by], known.value[key[0]], total)])]})
+
+    # a language is one task's work: what is counted of it is bounded
+    built = count_grams(counted, alphabets).groupBy("lang").applyInPandas(model_of, "lang string, model binary")
+    models = [unpack.__wrapped__(bytes(r["model"]))[0] for r in cut_lineage(built).orderBy("lang").toLocalIterator()]
+    if not models:
+        return None
+    calibrate(spark, models, drawn.where("late"))
+    return pack(models)
 
 
-def calibrate(spark, model: Model, texts: DataFrame) -> np.ndarray:
-    """Per language mean, between and within: the mean cross-entropy of its own unseen texts and the two parts of its variance.
+def calibrate(spark, models: list[Model], texts: DataFrame) -> None:
+    """Set each limit (mean, between, within): the mean cross-entropy of a language's own unseen texts and the two parts of its variance.
 
     Documents differ in style by ``between``, however long they are; on top of
     that the cross-entropy of n characters varies by ``within`` / n. A text is
@@ -285,27 +322,28 @@ def calibrate(spark, model: Model, texts: DataFrame) -> np.ndarray:
     between + within / n, above the mean. Texts meet in octaves of length, so
     the driver sees some thirty rows a language.
     """
-    data = spark.sparkContext.broadcast(model.pack())
+    data = spark.sparkContext.broadcast(pack(models))
 
     def run(batches):
-        m = unpack(data.value)
-        where = {k: i for i, k in enumerate(m.languages)}
+        by_name = {m.language: m for m in unpack(data.value)}
         for b in batches:
-            rows = [(where[k], c) for k, c in zip(b["lang"], map(clean, b["text"])) if k in where and has_letter(c)]
-            if rows:
-                h = m.cross_entropy([c for _, c in rows])
-                n = np.array([len(c) for _, c in rows], float)
-                own = h[np.arange(len(rows)), [k for k, _ in rows]]
-                yield pd.DataFrame({"k": [k for k, _ in rows], "o": np.log2(n).astype(int), "c": 1.0, "r": 1 / n, "h": own, "hh": own * own})
-
-    sums = texts.select("lang", "text").mapInPandas(run, "k int, o int, c double, r double, h double, hh double").groupBy("k", "o").agg(*[F.sum(x).alias(x) for x in ("c", "r", "h", "hh")])
-    out = np.tile([np.log2(len(model.alphabet) + 2.0), LEAST_SPREAD**2, 1.0], (len(model.languages), 1))
-    by: dict[int, list] = {}
-    for r in sums.orderBy("k", "o").collect():
+            langs, values = b["lang"].tolist(), b["text"].tolist()
+            for x, y in pieces_of(values):
+                own: dict[str, list[str]] = {}
+                for lang, c in zip(langs[x:y], map(clean, values[x:y])):
+                    if lang in by_name and has_letter(c):
+                        own.setdefault(lang, []).append(c)
+                for lang, cleaned in own.items():
+                    h, n = Evidence(cleaned).bits(by_name[lang]), np.array(list(map(len, cleaned)), float)
+                    yield pd.DataFrame({"k": lang, "o": np.log2(n).astype(int), "c": 1.0, "r": 1 / n, "h": h, "hh": h * h})
+
+    sums = texts.select("lang", "text").mapInPandas(run, "k string, o int, c double, r double, h double, hh double").groupBy("k", "o").agg(*[F.sum(x).alias(x) for x in ("c", "r", "h", "hh")])
+    by: dict[str, list] = {}
+    for r in sums.orderBy("k", "o").toLocalIterator():
         by.setdefault(r["k"], []).append((r["c"], r["r"], r["h"], r["hh"]))
-    for k, octaves in by.items():
-        out[k] = variance_parts(*np.array(octaves).T)
-    return out
+    for m in models:
+        if m.language in by:
+            m.limit = np.array(variance_parts(*np.array(by[m.language]).T))
 
 
 def variance_parts(c: np.ndarray, r: np.ndarray, h: np.ndarray, hh: np.ndarray) -> tuple[float, float, float]:
@@ -339,7 +377,9 @@ def variance_parts(c: np.ndarray, r: np.ndarray, h: np.ndarray, hh: np.ndarray)
 def language_column(model: bytes | None):
     """text -> struct<lang, score, rejected>, a function of columns.
 
-    ``und``, score 0 and rejected for null texts and texts without a letter;
+    ``und``, score 0 and rejected for null texts and texts without a letter,
+    and for all texts without a model; equal cross-entropies: the first
+    language by name;
     score is the posterior of the best language over the first 100 characters'
     worth of evidence, so it stays short of certain for short texts.
     """
@@ -352,20 +392,21 @@ def language_column(model: bytes | None):
         values = texts.tolist()
         lang, score, rejected = ["und"] * len(values), np.zeros(len(values)), np.ones(len(values), bool)
         if data.value is not None:
-            m = unpack(data.value)
+            models = unpack(data.value)
+            limits = np.array([m.limit for m in models])
             for a, b in pieces_of(values):
                 cleaned = [clean(t) if isinstance(t, str) else "" for t in values[a:b]]
                 rows = [i for i, c in enumerate(cleaned) if has_letter(c)]
                 if not rows:
                     continue
-                h = m.cross_entropy([cleaned[i] for i in rows])
+                h = cross_entropies(models, [cleaned[i] for i in rows])
                 best = h.argmin(1)
                 n = np.array([len(cleaned[i]) for i in rows], float)
                 low = h[np.arange(len(rows)), best]
                 odds = np.exp2(-np.minimum(n, 100)[:, None] * (h - low[:, None]))
-                mean, between, within = m.limit[best].T
+                mean, between, within = limits[best].T
                 for i, k, s, r in zip(rows, best, 1 / odds.sum(1), low > mean + REJECT_SPREADS * np.sqrt(between + within / n)):
-                    lang[a + i], score[a + i], rejected[a + i] = m.languages[k], s, r
+                    lang[a + i], score[a + i], rejected[a + i] = models[k].language, s, r
         return pd.DataFrame({"lang": lang, "score": score, "rejected": rejected})
 
     return lambda text: of(text.cast("string"))
