@@ -58,6 +58,38 @@ def test_repeated_rows_and_large_components(spark):
     assert [g[2] for g in got] == [2, 2, 3]
 
 
+@pytest.mark.parametrize("large", [1e6, 1e9, 1e17, 1e36])
+@pytest.mark.parametrize("shard", [16384, 70])
+def test_components_of_any_size_are_exact(spark, large, shard):
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(160):
+        v = rng.normal(0, 1, 8) * (large if i % 3 == 0 else 1.0)
+        rows.append((i, [float(np.float32(x)) for x in v]))
+    rows += [(200, rows[0][1]), (201, rows[0][1]), (202, [0.0] * 8), (203, [float(np.float32(large))] + [0.0] * 7), (204, [float(np.float32(large)), 2**-8] + [0.0] * 6)]
+    got = sorted(tuple(r) for r in top_k(table(spark, rows), F.col("vec_id") % 7 == 0, 5, shard_rows=shard, query_rows=9).collect())
+    part = [[math.floor(256 * x) for x in v] for _, v in rows]
+    want = []
+    for (i, _), q in zip(rows, part):
+        if i % 7 == 0:
+            scores = sorted((-sum(a * b for a, b in zip(q, p)), j) for (j, _), p in zip(rows, part) if j != i)[:5]
+            want += [(i, r, j, max(-topk.MOST, min(topk.MOST, -s))) for r, (s, j) in enumerate(scores, 1)]
+    assert [x for x in zip(got, sorted(want)) if x[0] != x[1]] == [] and len(got) == len(want)
+
+
+def test_walk_in_doubles_is_exact():
+    rng = np.random.default_rng(4)
+    for power in (30, 300):
+        x = np.floor(rng.normal(0, 1, (400, 12)) * 2.0**power)
+        ids = rng.permutation(400)
+        index = ImpactIndex(ids, x)
+        for q, found, scores in search_shard(index, ids[:10], x[:10], 5):
+            exact = [sum(int(a) * int(b) for a, b in zip(r, x[q])) for r in x.tolist()]
+            want = sorted((j for j in range(400) if j != q), key=lambda j: (-exact[j], ids[j]))[:5]
+            assert found.tolist() == ids[want].tolist() and [int(s) for s in scores] == [exact[j] for j in want]
+    assert sorted([-10**30, 3, 10**20, 10**25, -10**19], key=lambda s: (-max(-topk.MOST, min(topk.MOST, s)), topk.beyond(s))) == [10**25, 10**20, 3, -10**19, -10**30]
+
+
 @pytest.mark.parametrize("kind", ["dense", "sparse", "skewed"])
 def test_walk_stops_on_proof_only(kind):
     rng = np.random.default_rng(2)
@@ -67,11 +99,11 @@ def test_walk_stops_on_proof_only(kind):
         x[:, 0] *= 40
     x = np.floor(x).astype(np.int64)
     ids = rng.permutation(3000)
-    index = ImpactIndex(ids, x)
+    index = ImpactIndex(ids, x.astype(float))
     scored = []
     exact = index._exact
-    index._exact = lambda places, q, own: scored.append(len(places)) or exact(places, q, own)
-    for q, found, scores in search_shard(index, ids[:40], x[:40], 5):
+    index._exact = lambda places, q, own, whole: scored.append(len(places)) or exact(places, q, own, whole)
+    for q, found, scores in search_shard(index, ids[:40], x[:40].astype(float), 5):
         s = x @ x[q]
         want = [j for j in np.lexsort((ids, -s)) if j != q][:5]
         assert found.tolist() == ids[want].tolist() and scores.tolist() == s[want].tolist()
