@@ -148,11 +148,26 @@ def test_sample_lookup_against_scan(spark, outlier):
     assert got == {i: scan(d) if i % 10 else None for i, d in enumerate(depths)}
 
 
-def test_sample_lookup_refuses_a_falling_index(spark):
-    samples = spark.createDataFrame([("w", 0, 3.0), ("w", 1, 2.0), ("w", 2, 1.0)], "u string, pos int, idx double")
-    picks = spark.createDataFrame([(1, "w", 2.5)], "k int, u string, d double")
-    with pytest.raises(Exception, match="does not ascend"):
-        C.sample_lookup(picks, samples, ["u"], "d", "idx", "pos").collect()
+def test_sample_lookup_takes_any_index(spark):
+    rng = random.Random(4)
+    curves = {
+        "falling": [50.0 - i / 2 for i in range(100)], "again": [float(i % 25) for i in range(200)], "zigzag": [round(rng.uniform(0, 50), 1) for _ in range(400)],
+        "wide": [x for i in range(150) for x in (25 - i / 10, 25 + i / 10)], "flat": [3.0] * 5, "one": [7.0], "gaps": [1.0, None, 3.0, float("nan"), 5.0, 9.0, 6.0],
+    }
+    samples = spark.createDataFrame([(u, i, v) for u, c in curves.items() for i, v in enumerate(c)], "u string, pos int, idx double").repartition(5)
+    asks = [(u, d) for u, c in curves.items() for d in [round(rng.uniform(-2, 52), 1) for _ in range(150)] + [x for x in c[-3:] if x == x]] + [("zigzag", None), ("none", 1.0), (None, 1.0)]
+    picks = spark.createDataFrame([(i, u, d) for i, (u, d) in enumerate(asks)], "k int, u string, d double")
+    got = {r["k"]: r["pos"] for r in C.sample_lookup(picks, samples, ["u"], "d", "idx", "pos").collect()}
+
+    def walk(c, d):
+        if d is None or not c:
+            return None
+        for j in range(len(c) - 1):
+            if c[j] is not None and c[j + 1] is not None and c[j] <= d < c[j + 1]:
+                return j
+        return len(c) - 1 if d == c[-1] else None
+
+    assert got == {i: walk(curves.get(u, []), d) for i, (u, d) in enumerate(asks)}
 
 
 def test_packed_curves_with_dense_and_missing_indexes(spark):

@@ -172,7 +172,7 @@ _FAILED = """, fails AS (
     UNION ALL SELECT 1, 'V1', path FROM idx WHERE data_type = 'WellBore' AND (num < 0 OR num > 5000)
     UNION ALL SELECT 2, 'C2', path FROM idx WHERE data_type = 'WellBore' AND latitude IS NULL
     UNION ALL SELECT 3, 'C4', path FROM idx WHERE data_type = 'MarkerPick' AND num = -99999
-    UNION ALL SELECT 4, 'E1', path FROM idx WHERE data_type = 'WellBore' AND data_name NOT IN (SELECT uwi FROM f_pick WHERE unit = '3-MEDIUM'))"""
+    UNION ALL SELECT 4, 'E1', path FROM idx LEFT JOIN (SELECT DISTINCT uwi AS has FROM f_pick WHERE unit = '3-MEDIUM') h ON data_name = has WHERE data_type = 'WellBore' AND has IS NULL)"""
 
 
 @query("run_qc", WELL_IDX + _FAILED + " SELECT rule_key, path FROM fails")

@@ -7,8 +7,11 @@ over between blocks: no task needs a whole curve.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Sequence
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -102,35 +105,47 @@ def sample_lookup(
     index: str,
     position: str,
 ) -> DataFrame:
-    """Add ``position`` of the sample whose interval [index, next) holds the depth.
-
-    The last sample matches only its own index; anything else gives null. The
-    index must ascend with the position: a sample below an earlier one fails
-    the job. An as-of merge: distinct depths and samples are sorted together in
-    stretches of equal length, and a stretch's first rows take the last sample
-    of the stretches before it, so no depth is paired with more than one sample.
+    """Add ``position`` of the sample whose interval [index, next index) holds the depth; of several the first by position.
+
+    The next index is that of the next position; where it does not ascend, the
+    interval is empty. A depth in no interval that equals the last sample's
+    index gets that sample; anything else gives null, and so do null depths. An
+    index may fall, repeat and start again. Intervals are stabbed by a sweep:
+    distinct depths and interval starts are sorted together in stretches of
+    equal length, each stretch keeps its open intervals in a heap by position,
+    and only intervals that are still open at a stretch's end go on to the
+    later ones they reach, those without an earlier one that reaches as far
+    left out.
     """
     series = list(series)
-    spans = samples.groupBy(*series).agg(F.min(index).alias("_low"), F.max(index).alias("_high"))
+    points = samples.select(*series, F.col(index).cast("double").alias("_d"), F.col(position).cast("long").alias("_pos"))
+    after = points.select(*series, F.col("_d").alias("_end"), (F.col("_pos") - 1).alias("_pos"))
+    intervals = points.join(after, [*series, "_pos"]).filter((F.col("_d") < F.col("_end")) & ~F.isnan("_end"))
+    spans = points.groupBy(*series).agg(F.min("_d").alias("_low"), F.max("_d").alias("_high"), F.max("_pos").alias("_last"), F.max_by("_d", "_pos").alias("_last_d"))
+    spans = cut_lineage(spans)
     wanted = picks.select(*series, F.col(depth).cast("double").alias("_d")).distinct().join(spans, series)
     wanted = wanted.filter((F.col("_d") >= F.col("_low")) & (F.col("_d") <= F.col("_high")))
-    points = samples.select(*series, F.col(index).alias("_d"), F.lit(0).alias("_kind"), F.col(position).cast("long").alias("_pos"))
-    asks = wanted.select(*series, "_d", F.lit(1).alias("_kind"), F.lit(None).cast("long").alias("_pos"))
-    merged = in_stretches(points.unionByName(asks), [F.col(c) for c in (*series, "_d", "_kind", "_pos")])
-    earlier = Window.partitionBy(*series, "_t").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
-    inside = Window.partitionBy(*series, "_t").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy(*series).orderBy("_t").rowsBetween(Window.unboundedPreceding, -1)
-    unsorted = F.raise_error(F.lit("the index does not ascend with the position")).cast("long")
-    tails = merged.groupBy(*series, "_t").agg(F.max_by("_pos", F.when(F.col("_kind") == 0, F.col("_at"))).alias("_tail"), F.min("_pos").alias("_head"))
-    carry = tails.withColumn("_carry", F.last("_tail", ignorenulls=True).over(before))
-    carry = carry.select(*series, "_t", F.when(F.col("_head") < F.col("_carry"), unsorted).otherwise(F.col("_carry")).alias("_carry"))
-    merged = merged.withColumn("_most", F.max("_pos").over(earlier))
-    merged = merged.withColumn("_pos", F.when(F.col("_pos") < F.col("_most"), unsorted).otherwise(F.col("_pos")))
-    merged = merged.withColumn("_last", F.last("_pos", ignorenulls=True).over(inside))
-    found = (
-        merged.filter(F.col("_kind") == 1).join(carry, [*series, "_t"])
-        .select(*series, F.col("_d").alias("_ask"), F.coalesce("_last", "_carry").alias(position))
+    none = F.lit(None)
+    rows = intervals.select(*series, "_d", F.lit(0).alias("_ask"), "_pos", "_end").unionByName(
+        wanted.select(*series, "_d", F.lit(1).alias("_ask"), none.cast("long").alias("_pos"), none.cast("double").alias("_end"))
     )
+    rows = in_stretches(rows, [F.col(c) for c in (*series, "_d", "_ask", "_pos")])
+    # what is open at the end of a stretch: an interval counts where none before it in the curve reaches as far
+    stretch = cut_lineage(rows.groupBy(*series, "_t").agg(F.min("_d").alias("_from"), F.max("_d").alias("_upto")))
+    crossing = rows.filter("_ask = 0").join(stretch, [*series, "_t"]).filter(F.col("_end") > F.col("_upto"))
+    reach = F.max("_end").over(Window.partitionBy(*series, "_t").orderBy("_pos").rowsBetween(Window.unboundedPreceding, -1))
+    crossing = crossing.withColumn("_reach", reach).filter(F.col("_reach").isNull() | (F.col("_end") > F.col("_reach")))
+    later = stretch.select(*[F.col(c).alias(f"_s{i}") for i, c in enumerate(series)], F.col("_t").alias("_to"), F.col("_from").alias("_begins"))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_s{i}")) for i, c in enumerate(series)])
+    carried = crossing.join(later, same & (F.col("_to") > F.col("_t")) & (F.col("_begins") < F.col("_end")))
+    carried = carried.select(*series, F.lit(float("-inf")).alias("_d"), F.lit(0).alias("_ask"), "_pos", "_end", F.col("_to").alias("_t"))
+    names = [*series, "_d", "_ask", "_pos", "_end", "_t"]
+    dealt = rows.select(*names).unionByName(carried.select(*names)).repartition("_t", *series).sortWithinPartitions("_t", *series, "_d", "_ask", "_pos")
+    kinds = dict(dealt.dtypes)
+    found = dealt.mapInArrow(_swept(len(series)), ", ".join([*[f"`{c}` {kinds[c]}" for c in series], "_ask_d double", "_found long"]))
+    # the last sample holds its own index and nothing above
+    found = wanted.select(*series, "_d", "_last", "_last_d").join(found.withColumnRenamed("_ask_d", "_d"), [*series, "_d"], "left")
+    found = found.select(*series, F.col("_d").alias("_ask"), F.coalesce("_found", F.when(F.col("_d") == F.col("_last_d"), F.col("_last"))).alias(position))
     match = F.col("_depth") == F.col("_ask")
     left = picks.withColumn("_depth", F.col(depth).cast("double")).alias("p")
     right = found.alias("f")
@@ -139,6 +154,34 @@ def sample_lookup(
     return left.join(right, match, "left").select(*[F.col(f"p.{c}").alias(c) for c in picks.columns], F.col(f"f.{position}"))
 
 
+def _swept(keys: int):
+    """Rows (series keys, _d, _ask, _pos, _end, _t) of stretches, sorted -> (series keys, depth asked for, first interval that holds it)."""
+
+    def run(batches):
+        at, heap = None, []
+        for batch in batches:
+            out: list[list] = [[] for _ in range(keys + 2)]
+            columns = [c.to_pylist() for c in batch.columns]
+            for row in zip(*columns):
+                d, ask, pos, end, t = row[keys:]
+                if (t, row[:keys]) != at:
+                    at, heap = (t, row[:keys]), []
+                if not ask:
+                    heapq.heappush(heap, (pos, end))
+                    continue
+                while heap and heap[0][1] <= d:
+                    heapq.heappop(heap)
+                if heap:
+                    for values, v in zip(out, (*row[:keys], d, heap[0][0])):
+                        values.append(v)
+            if out[0]:
+                types = [*[batch.schema.field(i).type for i in range(keys)], pa.float64(), pa.int64()]
+                names = [*[batch.schema.field(i).name for i in range(keys)], "_ask_d", "_found"]
+                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, types)], names=names)
+
+    return run
+
+
 def log_depths(doc, attribute: str):
     """MIN_INDEX or MAX_INDEX from the index array; null when it is empty."""
     text = attr_text(attributes(doc), "INDEX_VALUE")

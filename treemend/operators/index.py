@@ -321,7 +321,7 @@ def insert_placed(idx: DataFrame, inserts: DataFrame, node: TypeNode, access: Ac
         .groupBy("_owner")
         .agg(
             F.min(F.when(F.col("data_type") == node.group_name, F.col("node_path"))).alias("_have"),
-            F.coalesce(F.max(F.element_at("node_path", -1)), F.lit(0)).alias("_last"),
+            F.coalesce(F.max(F.try_element_at("node_path", F.lit(-1))), F.lit(0)).alias("_last"),
         )
         .withColumn("_group", F.coalesce("_have", F.concat("_owner", F.array((F.col("_last") + 1).cast("int")))))
     )

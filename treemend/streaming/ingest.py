@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from treemend.functions.docs import attr_text, attributes, complete, to_doc
+from treemend.functions.geo import resolve_location
+from treemend.functions.values import data_key
+from treemend.model import INDEX_COLUMNS, AccessDef, Taxonomy
+from treemend.operators.index import apply_updates
+from treemend.operators.store import IndexStore
+from treemend.scale import first_by
+from treemend.session import cut_lineage
+
 
 def stream_ingest(
     spark: SparkSession,
@@ -43,3 +53,55 @@ def append_to(path: str) -> Callable[[DataFrame, int], None]:
         batch.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch_id}")
 
     return load
+
+
+def load_into_index(
+    store: IndexStore, taxonomy: Taxonomy, access: Mapping[str, AccessDef], data_type: str, order: str | None = None
+) -> Callable[[DataFrame, int], None]:
+    """A loader that places each batch's records in a stored index, as one layer named by the batch.
+
+    A batch that was committed before changes nothing. Rows of one key count
+    once, the last by ``order`` (without it, by the row itself). A key that the
+    index has replaces its record and drops its flags; a new key goes below its
+    parent, whose batches come first: a record without parent fails its batch,
+    which is then repeated. Keys of batches are met with the index's by one
+    join on the data key, with neither records nor arrays.
+    """
+    node, definition = taxonomy.find(data_type), access[data_type]
+    if node.arrays:
+        raise ValueError(f"{data_type} holds packed arrays: build the index from its tables")
+    above = next((n for root in taxonomy.roots for n in root.walk() if node in n.children), None)
+
+    def load(batch: DataFrame, batch_id: int) -> None:
+        name = f"{data_type}-batch{batch_id}"
+        if name in store.commits():
+            return
+        rank = F.col(order) if order else F.struct(*batch.columns)
+        rows = complete(first_by(batch.withColumn("_rank", rank), list(definition.keys), F.col("_rank"), last=True), definition)
+        rows = cut_lineage(rows.select(
+            data_key([(k, F.col(k)) for k in definition.keys]).alias("_key"),
+            (data_key([(p, F.col(c)) for c, p in node.parent_pairs()]) if above else F.lit("")).alias("_parent"),
+            to_doc(*[F.col(c) for c in definition.columns]).alias("_doc"),
+        ))
+        nodes = store.read().select("node_path", "data_type", "data_key")
+        own = nodes.filter((F.col("data_type") == data_type) & F.col("data_key").isNotNull())
+        met = cut_lineage(rows.join(own.select("node_path", F.col("data_key").alias("_key")), "_key", "left"))
+        none = F.array().cast("array<string>")
+        updates = met.filter("node_path IS NOT NULL").select("node_path", F.col("_doc").alias("doc"), none.alias("qc"))
+        fresh = met.filter("node_path IS NULL").drop("node_path")
+        if above:
+            parents = nodes.filter(F.col("data_type") == above.name).select(F.col("node_path").alias("parent_path"), F.col("data_key").alias("_parent"))
+            fresh = fresh.join(parents, "_parent", "left")
+            missing = F.raise_error(F.concat(F.lit("no parent in the index: "), F.col("_parent"))).cast("array<int>")
+            fresh = fresh.withColumn("parent_path", F.when(F.col("parent_path").isNotNull(), F.col("parent_path")).otherwise(missing))
+        else:
+            fresh = fresh.withColumn("parent_path", F.array().cast("array<int>"))
+        changed = apply_updates(store.named(updates.select("node_path")), updates)
+        if node.latitude:
+            attrs = attributes(F.col("doc"))
+            lat, lon = resolve_location(attr_text(attrs, node.latitude), attr_text(attrs, node.longitude))
+            changed = changed.withColumns({"latitude": lat, "longitude": lon})
+        made = store.placed(fresh.select("parent_path", F.col("_doc").alias("doc")), node, definition)
+        store.commit(changed.select(*INDEX_COLUMNS).unionByName(made), name)
+
+    return load
