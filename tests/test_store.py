@@ -128,6 +128,12 @@ def test_many_paths_are_joined(spark, idx, store, monkeypatch):
     from treemend.operators import store as module
 
     monkeypatch.setattr(module, "FEW_PATHS", 5)
+    monkeypatch.setattr(module, "FEW_RANGES", 2)
+    at = {r["data_name"]: r["node_path"] for r in idx.filter("data_type = 'Well'").collect()}
+    inserts = spark.createDataFrame([(at[f"w{i:03d}"], f'{{"ID": "w{i:03d}", "UNIT": "u9", "REMARK": ""}}') for i in range(20, 30)], "parent_path array<int>, doc string")
+    store.insert(inserts, PICK, ACCESS["Pick"])
+    idx = cut_lineage(X.insert_docs(idx, inserts, PICK, ACCESS["Pick"]))
+    assert rows(store.read()) == rows(idx)
     edits = cut_lineage(edits_of(idx, [f"w{i:03d}" for i in range(40)]))
     store.edit(edits)
     assert rows(store.read()) == rows(apply_edits(idx, edits))

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,8 +27,9 @@ from treemend.session import cut_lineage, delete_folder
 
 _WIDTH = 8
 _NAME = re.compile(r"layer-(\d{6})(?:-(.*))?")
-# Paths a change names that are looked up by value in the scan; more are joined.
+# Paths a change names that are looked up by value in the scan, and subtrees by a range each; more are joined within the range they span.
 FEW_PATHS = 1_000
+FEW_RANGES = 16
 
 
 def path_key(path: Column) -> Column:
@@ -194,12 +196,12 @@ class IndexStore:
         inserts = cut_lineage(inserts)
         owners = cut_lineage(inserts.select(F.col("parent_path").alias("_owner")).distinct())
         sizes = sorted(r["n"] for r in owners.select(F.size("_owner").alias("n")).distinct().collect())  # a few levels
-        few = [r["_owner"] for r in owners.limit(FEW_PATHS + 1).collect()]
-        where = None
-        if len(few) <= FEW_PATHS:
-            where = F.lit(False)
-            for path in few:
-                where = where | below(path)
+        few = [r["_owner"] for r in owners.limit(FEW_RANGES + 1).collect()]
+        if len(few) <= FEW_RANGES:
+            where = reduce(lambda a, b: a | b, map(below, few), F.lit(False))
+        else:
+            span = owners.agg(F.min(path_key(F.col("_owner"))).alias("low"), F.max(path_key(F.col("_owner"))).alias("high")).first()
+            where = (F.col("path_key") >= span["low"]) & (F.col("path_key") < span["high"] + "g")
         near = None
         for n in sizes:
             rows = self.read(where).filter(F.col("level").between(n, n + 2)).withColumn("_at", F.slice("node_path", 1, n))
