@@ -120,6 +120,38 @@ def test_csv(spark, tmp_path):
     assert out == {"UNKNOWN": ("nokey", "2", "UNKNOWN"), "A": ("longer", "3", "UNKNOWN"), "b": (None, "4", "UNKNOWN")}
 
 
+def test_quoted_line_breaks_in_splits(spark, tmp_path):
+    import csv
+    import random
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice('ab,"\n é;') for _ in range(rng.randint(0, 12)))
+    want = []
+    for f in range(3):
+        rows = [(str(i), word(), "x\n" * rng.choice([0, 0, 0, 90]) + word()) for i in range(60)]
+        with open(tmp_path / f"{f}.csv", "w", newline="") as out:
+            writer = csv.writer(out, lineterminator="\n")
+            writer.writerow(["ID", 'A "quoted"\nname', "B"])
+            writer.writerows(rows)
+        want += rows
+    one_task = spark.read.csv(str(tmp_path), header=True, multiLine=True, quote='"', escape='"').toDF("ID", "A", "B")
+    key = lambda df: sorted(tuple(x or "" for x in r) for r in df.select("ID", "A", "B").collect())
+    assert key(one_task) == sorted(want)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in (old, "64b", "333b"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            got = K.scan_csv(spark, str(tmp_path), "ID=0; A=1; B=2", with_order=True, multiline=True)
+            assert key(got) == sorted(want)
+            ids = [r["ID"] for r in got.filter(F.col("_order.file").endswith("0.csv")).orderBy("_order").select("ID").collect()]
+            assert ids == [str(i) for i in range(60)]
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    (tmp_path / "crlf").mkdir()
+    (tmp_path / "crlf" / "a.csv").write_bytes(b'ID,A\r\n1,"x"\r\n\r\n2,y\r\n3,"a\nb"')
+    assert [tuple(r) for r in K.scan_csv(spark, str(tmp_path / "crlf"), "ID=0; A=1", multiline=True).orderBy("ID").collect()] == [("1", "x"), ("2", "y"), ("3", "a\nb")]
+
+
 def test_csv_quotes(spark, tmp_path):
     (tmp_path / "a.csv").write_text('ID,NAME,X\n1,"say ""hi"" x",a\n2,"path\\",b\n3,"a,b",c\n4,back\\slash,d\n')
     rows = K.scan_csv(spark, str(tmp_path), "ID=0; NAME=1; X=2", multiline=False)

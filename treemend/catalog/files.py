@@ -51,6 +51,17 @@ def csv_scan_mapped(fx):
     return rows.select("UWI", "WELL_NAME", F.round(F.col("ELEV").cast("double"), 2).alias("ELEV"))
 
 
+@query(
+    "csv_quoted_breaks",
+    duck_with("f_well") + "SELECT uwi AS \"UWI\", concat(well_name, CASE wkey % 3 WHEN 0 THEN chr(10) || '\"a\"' || chr(10) || chr(10) || 'b' WHEN 1 THEN ',' || chr(10) ELSE '' END) AS \"WELL_NAME\" FROM f_well",
+)
+def csv_quoted_breaks(fx):
+    """Names with line breaks, quotes and delimiters in quotes, read in splits."""
+    tail = F.get(F.array(*map(F.lit, ('\n"a"\n\nb', ",\n", ""))), F.col("wkey") % 3)
+    w = fx["f_well"].select("wkey", "uwi", F.concat("well_name", tail).alias("well_name"))
+    return K.scan_csv(fx.spark, _rfc_csv(fx, w, "names"), "UWI=1; WELL_NAME=2", multiline=True)
+
+
 # picks of one (unit, status) pair repeat within a well; empty units when the key divides by 9
 _KEYED = """SELECT pkey, uwi, CASE WHEN pkey % 9 = 0 THEN NULL ELSE unit END AS unit, depth FROM {0}"""
 
