@@ -63,13 +63,16 @@ class ImpactIndex:
     def __init__(self, ids: np.ndarray, rows: np.ndarray):
         by_id = np.argsort(ids, kind="stable")
         self.ids, self.doubles = ids[by_id], rows[by_id]
-        self.postings = np.argsort(self.doubles, axis=0, kind="stable").T.astype(np.int32)
+        self.postings = np.ascontiguousarray(np.argsort(self.doubles, axis=0, kind="stable").T, np.int32)
         ordered = np.ascontiguousarray(np.take_along_axis(self.doubles.T, self.postings, axis=1))
         self.most = float(np.abs(rows).max(initial=0))
         self.scale = _below_one(self.most)
         self.scaled = ordered * self.scale if self.scale != 1 else ordered
         self.whole = self.most < 1 << 62
         self.rows, self.values = (self.doubles.astype(np.int64), ordered.astype(np.int64)) if self.whole else (None, None)
+        # the least and the greatest component of each dimension
+        self.scaled_ends = self.scaled[:, [0, -1]]
+        self.ends = self.values[:, [0, -1]] if self.whole else None
 
     def search(self, query: np.ndarray, k: int, but: int | None) -> tuple[np.ndarray, np.ndarray]:
         """Places and scores of every possible member of the top k; exact scores, at least the true top k."""
@@ -84,7 +87,7 @@ class ImpactIndex:
         unit = 1.0 if exact else shrink * self.scale
         q = query[live].astype(np.int64) if exact else query[live] * shrink
         values = self.values if exact else self.scaled
-        ends = values[live][:, [0, -1]] * q[:, None]
+        ends = (self.ends if exact else self.scaled_ends)[live] * q[:, None]
         high, low = ends.max(1), ends.min(1)
         # no proof is possible before about half the range of impacts is walked
         steps = np.arange(LEVELS // 2, LEVELS + 1)
