@@ -85,10 +85,18 @@ def test_pages_are_judged(spark):
 
 
 def test_one_query_per_operator():
-    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 14))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "near_duplicates", "secret_scan", "source_mix", "packing"]
 
 
+def test_stages_of_an_empty_table(spark, docs, tmp_path):
+    empty = docs([])
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, empty, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        out = spark.read.parquet(f"{tmp_path}/{name}")
+        assert out.count() == 0 and (name == "packing" or out.columns == empty.columns), name
+
+
 def test_pipeline_stage_by_stage(spark, docs, tmp_path):
     real = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     secret = "here token = 0b96a8c8d79c4a5085c919698889f59b72ab7bb6 and " + " ".join(reversed(real[0][1].split()))
