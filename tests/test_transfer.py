@@ -280,3 +280,16 @@ def test_driver_files_are_written_line_by_line(spark, monkeypatch):
     assert all(i == sorted(i) and i for i in index)
     # no value holds more than a header or a row, however many rows a user has
     assert max(longest) < 1000 < max(map(len, las))
+
+
+def test_las_files_are_many_to_a_task(spark, tmp_path):
+    from treemend.catalog.files import _las_folder
+    from treemend.fixtures import Fixtures
+
+    events = ["id AS event_id", "id % 40 AS user_id", "timestamp_seconds(id) AS ts", "if(id % 3 = 0, 'view', 'click') AS event_type", "cast(id AS double) AS value"]
+    spark.range(400).selectExpr(*events).write.parquet(str(tmp_path / "events.parquet"))
+    las = list(Path(_las_folder(Fixtures(spark, str(tmp_path))).removeprefix("file:")).rglob("part-*"))
+    texts = [f.read_text() for f in las]
+    assert len(las) == 40 and all(t.startswith("~Version") and t.count("~A ") == 1 for t in texts)
+    # tasks follow the rows, not the files or the users' ids
+    assert len({f.name.split("-")[1] for f in las}) <= spark.sparkContext.defaultParallelism

@@ -11,6 +11,8 @@ from treemend.sources import csv_files as K
 from treemend.sources import las as L
 
 BIG = "bigint"
+# LAS files that one task writes.
+FILES_PER_TASK = 250
 
 
 def _csv(fx: Fixtures, df, label: str) -> str:
@@ -138,10 +140,10 @@ def _las_folder(fx: Fixtures) -> str:
     )
     heads = fx["f_curve"].select("wkey").distinct().select("wkey", F.lit(0).alias("part"), F.lit(None).cast(grid.schema["sample_id"].dataType).alias("sample_id"), header.alias("value"))
     path = scratch_path(fx.spark, "las")
-    # one file per user, all in one folder: its lines in order, a row each
-    last = grid.agg(F.max("wkey")).first()[0] or 0
-    lines = heads.union(body).repartitionById(int(last) + 1, F.col("wkey").cast("int")).sortWithinPartitions("part", "sample_id")
-    lines.select("value").write.text(path)
+    # one file per user: its lines in order, a row each. A task writes many files, so tasks and shuffled pieces follow the rows, not the files
+    tasks = max(fx.spark.sparkContext.defaultParallelism, heads.count() // FILES_PER_TASK + 1)
+    lines = heads.union(body).repartition(tasks, "wkey").sortWithinPartitions("wkey", "part", "sample_id")
+    lines.select("wkey", "value").write.partitionBy("wkey").text(path)
     return path
 
 
