@@ -355,6 +355,18 @@ def test_many_languages(docs):
     assert fit_languages(docs([], EMPTY).select("lang", "text")) is None
 
 
+def test_every_text_is_counted(docs):
+    # a thousand short texts with a syllable of their own each, and copies of them, which teach once
+    texts = [f"{chr(0x4E00 + i)}{chr(0x6E00 + i)} the mat" for i in range(1000)]
+    rows = [doc(i, t, "en") for i, t in enumerate(texts + texts[:300])]
+    (model,) = langid.unpack(fit_languages(docs(rows).select("lang", "text")))
+    flat, _ = langid.codes([langid.clean(t) for t in texts])
+    grams, n = np.unique(langid.packed(langid.numbers(flat, model.alphabet), langid.ORDER)[flat != langid.EDGE], return_counts=True)
+    whole = langid.build("en", grams, n, model.alphabet, len(model.alphabet))
+    assert set(map(chr, model.alphabet)) == set("".join(texts)) and all(np.array_equal(a, b) for a, b in zip(model.hashes, whole.hashes))
+    assert all(np.allclose(a, b) for a, b in zip(model.logp, whole.logp))
+
+
 def test_languages_on_the_held_out_fold(spark):
     from treemend.llm.queries import QUERIES
 

@@ -6,7 +6,8 @@ arrays of a model hold hashes that never collide, each with its interpolated
 log2 probability; an n-gram that the language has not seen backs off to its
 suffix with the weight of its context. A text gets the language of the lowest
 cross-entropy per character. It is rejected when that is above a limit
-calibrated on texts of the language that the model has not seen.
+calibrated on all texts of the language, each read by a model of the half of
+them that it is not in.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from __future__ import annotations
 import functools
 import io
 import unicodedata
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,16 +25,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from treemend.llm.common import arrow_rows, pieces_of, prepare
+from treemend.scale import broadcast_if_small
 from treemend.session import cut_lineage
 
 ORDER = 4
-# Characters per language that are counted at most; texts are drawn by hash. The model's size is bound by it.
-FIT_CHARS = 6_000_000
-# Characters that are counted in all, shared evenly where there are many languages, but this many of each at least.
-ALL_FIT_CHARS, LEAST_FIT_CHARS = 150_000_000, 100_000
-# Texts per language for calibration, drawn by hash from those not counted.
-CALIBRATION_TEXTS = 2_000
-# Spreads above its language's mean at which a text is rejected: see calibrate().
+# n-grams that a task holds before it hands on their counts.
+HELD_GRAMS = 2_000_000
+# Spreads above its language's mean at which a text is rejected: see strangeness().
 REJECT_SPREADS = 8.0
 # Least spread of a language's documents, in bits per character, whatever their length.
 LEAST_SPREAD = 0.05
@@ -82,7 +81,7 @@ class Model:
     """A language: its sorted alphabet, and per order sorted hashes, log2 probabilities, contexts and log2 back-off weights.
 
     ``base`` is log2 p of any character before any count, the same for all
-    languages. ``limit``: see calibrate().
+    languages. ``limit``: see strangeness().
     """
 
     language: str
@@ -205,25 +204,61 @@ def packed(ids: np.ndarray, order: int) -> np.ndarray:
     return out
 
 
+def count_letters(texts: DataFrame) -> DataFrame:
+    """lang, c, count over (lang, text): in how many texts a character stands, lower-cased."""
+    schema = pa.schema([("lang", pa.string()), ("c", pa.string()), ("n", pa.int64())])
+
+    def run(batches):
+        for batch in batches:
+            by: dict[str, Counter] = {}
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                by.setdefault(lang, Counter()).update(set(text.lower()))
+            for lang, found in by.items():
+                yield arrow_rows({"lang": [lang] * len(found), "c": list(found), "n": list(found.values())}, schema)
+
+    return texts.select("lang", "text").mapInArrow(run, "lang string, c string, n long").groupBy("lang", "c").agg(F.sum("n").alias("count"))
+
+
 def count_grams(texts: DataFrame, alphabets: dict[str, np.ndarray]) -> DataFrame:
-    """lang, gram, n over (lang, text): counts of highest-order n-grams, summed per task, then per n-gram."""
-    schema = pa.schema([("lang", pa.string()), ("gram", pa.int64()), ("n", pa.int64())])
+    """lang, gram, n0, n1 over (lang, text, half): counts of highest-order n-grams in either half, summed per task, then per n-gram."""
+    schema = pa.schema([("lang", pa.string()), ("half", pa.int32()), ("gram", pa.int64()), ("n", pa.int64())])
     known = texts.sparkSession.sparkContext.broadcast(alphabets)
 
+    def summed(parts: list) -> tuple[np.ndarray, np.ndarray]:
+        grams, at = np.unique(np.concatenate([g for g, _ in parts]), return_inverse=True)
+        return grams, np.bincount(at, np.concatenate([n for _, n in parts]), len(grams)).astype(np.int64)
+
+    def rows(held: dict):
+        for (lang, half), parts in held.items():
+            grams, n = summed(parts)
+            yield arrow_rows({"lang": [lang] * len(grams), "half": [half] * len(grams), "gram": grams.view(np.int64), "n": n}, schema)
+
     def run(batches):
+        held: dict[tuple[str, int], list] = {}
+        size = 0
         for batch in batches:
-            langs, values = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            langs, values, halves = (batch.column(i).to_pylist() for i in range(3))
             for a, b in pieces_of(values):
-                by: dict[str, list] = {}
-                for lang, text in zip(langs[a:b], values[a:b]):
-                    by.setdefault(lang, []).append(clean(text))
-                for lang, cleaned in by.items():
+                by: dict[tuple[str, int], list] = {}
+                for lang, half, text in zip(langs[a:b], halves[a:b], values[a:b]):
+                    by.setdefault((lang, half), []).append(clean(text))
+                for key, cleaned in by.items():
                     flat, _ = codes(cleaned)
-                    grams = packed(numbers(flat, known.value[lang]), ORDER)
-                    grams, n = np.unique(grams[flat != EDGE], return_counts=True)
-                    yield arrow_rows({"lang": [lang] * len(grams), "gram": grams.view(np.int64), "n": n}, schema)
-
-    return texts.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+                    grams = packed(numbers(flat, known.value[key[0]]), ORDER)
+                    found = np.unique(grams[flat != EDGE], return_counts=True)
+                    held.setdefault(key, []).append(found)
+                    size += len(found[0])
+                if size > HELD_GRAMS:
+                    held = {key: [summed(parts)] for key, parts in held.items()}
+                    size = sum(len(g) for [(g, _)] in held.values())
+                    if 2 * size > HELD_GRAMS:
+                        yield from rows(held)
+                        held, size = {}, 0
+        yield from rows(held)
+
+    counted = texts.select("lang", "text", "half").mapInArrow(run, "lang string, half int, gram long, n long")
+    of = lambda half: F.sum(F.when(F.col("half") == half, F.col("n")).otherwise(0)).alias(f"n{half}")
+    return counted.groupBy("lang", "gram").agg(of(0), of(1))
 
 
 def kneser_ney(grams: np.ndarray, counts: np.ndarray, letters: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -266,61 +301,68 @@ def build(language: str, grams: np.ndarray, counts: np.ndarray, alphabet: np.nda
     return Model(language, alphabet, base, hashes, logp, contexts, backoff, np.array([-base, LEAST_SPREAD**2, 1.0]))
 
 
+def different_texts(learn: DataFrame) -> DataFrame:
+    """(lang, text, half): repeated rows once, texts dealt into halves by hash. Only texts with copies are shuffled."""
+    on = ["lang", "_h", "_g"]
+    rows = learn.select("lang", "text", F.xxhash64(F.lit(7), "text").alias("_h"), F.xxhash64(F.lit(11), "text").alias("_g"))
+    copies = broadcast_if_small(cut_lineage(rows.groupBy(*on).count().where("count > 1").select(*on)))
+    # the hashes only tell which texts may have copies
+    found = rows.join(copies, on, "left_anti").select(*rows.columns).unionByName(rows.join(copies, on, "left_semi").select(*rows.columns).distinct())
+    return found.select("lang", "text", (F.col("_h") < 0).cast("int").alias("half"))
+
+
 def fit_languages(learn: DataFrame) -> bytes | None:
     """Packed models from (lang, text), one per language; None if there is nothing to learn from.
 
     Rows with a null language, a null text or no letter teach nothing, repeated
-    rows teach once; an empty table gives no model. Of each language at most
-    ``FIT_CHARS`` characters are counted, less where there are many languages
-    (``ALL_FIT_CHARS``), drawn by text hash with a share known from the
-    language's size; another ``CALIBRATION_TEXTS`` texts calibrate the
-    rejection limit. The models of all languages go to the driver and to the
-    tasks; these bounds are theirs.
+    rows teach once; an empty table gives no model. All characters of all other
+    texts are counted. Two more models of each language, of either half of its
+    texts, calibrate the rejection limit on the other half. Models hold every
+    n-gram seen and go to the driver and to the tasks, one set of three at a
+    time: their size follows the number of different n-grams of each language.
     """
     spark = prepare(learn.sparkSession)
-    learn = learn.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select(F.col("lang").cast("string"), F.col("text").cast("string"), F.xxhash64(F.lit(7), "text").alias("_h"))
-    u = F.pmod("_h", F.lit(1_000_003)) / 1_000_003
-    sizes = cut_lineage(learn.groupBy("lang").agg(F.sum(F.length("text")).alias("_chars"), F.count(F.lit(1)).alias("_texts"), F.min(u).alias("_least")))
-    languages = sizes.count()
-    if not languages:
-        return None
-    most = min(FIT_CHARS, max(LEAST_FIT_CHARS, ALL_FIT_CHARS // languages))
-    # a language of few different texts is still learned from one of them
-    share = F.greatest(F.least(F.lit(0.8), most / F.col("_chars")), F.col("_least") + 1e-6)
-    late = F.least(1.0 - share, CALIBRATION_TEXTS / F.col("_texts"))
-    draw = learn.join(sizes.select("lang", share.alias("_s"), late.alias("_l")), "lang")
-    drawn = cut_lineage(draw.where(u < F.col("_s") + F.col("_l")).select("lang", "text", (u >= F.col("_s")).alias("late")).distinct())
-    counted = drawn.where("NOT late").select("lang", "text")
-    letters = counted.select("lang", F.explode(F.array_distinct(F.split(F.lower("text"), ""))).alias("c")).where("length(c) = 1").groupBy("lang", "c").count()
-    common = letters.withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "c"))).where(F.col("_n") <= LETTERS)
+    learn = learn.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select(F.col("lang").cast("string"), F.col("text").cast("string"))
+    texts = different_texts(learn)
+    common = count_letters(texts).withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "c"))).where(F.col("_n") <= LETTERS)
     alphabets = {r["lang"]: np.unique([32, *map(ord, r["cs"])]) for r in common.groupBy("lang").agg(F.collect_list("c").alias("cs")).toLocalIterator()}
     if not alphabets:
         return None
     total = len(set().union(*(a.tolist() for a in alphabets.values())))
     known = spark.sparkContext.broadcast(alphabets)
 
-    def model_of(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    def models_of(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("gram", key=lambda g: g.to_numpy(np.int64).view(np.uint64))
         grams = rows["gram"].to_numpy(np.int64).view(np.uint64)
-        by = np.argsort(grams)
-        return pd.DataFrame({"lang": [key[0]], "model": [pack([build(key[0], grams[by], rows["n"].to_numpy(np.int64)[by], known.value[key[0]], total)])]})
-
-    # a language is one task's work: what is counted of it is bounded
-    built = count_grams(counted, alphabets).groupBy("lang").applyInPandas(model_of, "lang string, model binary")
-    models = [unpack.__wrapped__(bytes(r["model"]))[0] for r in cut_lineage(built).orderBy("lang").toLocalIterator()]
-    if not models:
-        return None
-    calibrate(spark, models, drawn.where("late"))
+        halves = rows["n0"].to_numpy(np.int64), rows["n1"].to_numpy(np.int64)
+        found = [(i, n > 0, n) for i, n in enumerate((*halves, sum(halves))) if n.any()]
+        return pd.DataFrame({"lang": key[0], "part": i, "model": pack([build(key[0], grams[has], n[has], known.value[key[0]], total)])} for i, has, n in found)
+
+    # a language's different n-grams are one task's work
+    built = cut_lineage(count_grams(texts, alphabets).groupBy("lang").applyInPandas(models_of, "lang string, part int, model binary"))
+    part = lambda i: [unpack.__wrapped__(bytes(r["model"]))[0] for r in built.where(F.col("part") == i).orderBy("lang").toLocalIterator()]
+    seen: dict[tuple[str, int], np.ndarray] = {}
+    for half in (0, 1):
+        for key, sums in strangeness(spark, part(half), texts.where(F.col("half") != half)).items():
+            seen[key] = seen.get(key, 0) + sums
+    models = part(2)
+    for m in models:
+        own = [sums for (lang, _), sums in sorted(seen.items()) if lang == m.language]
+        if own:
+            m.limit = np.array(variance_parts(*np.array(own).T))
     return pack(models)
 
 
-def calibrate(spark, models: list[Model], texts: DataFrame) -> None:
-    """Set each limit (mean, between, within): the mean cross-entropy of a language's own unseen texts and the two parts of its variance.
+def strangeness(spark, models: list[Model], texts: DataFrame) -> dict[tuple[str, int], np.ndarray]:
+    """Per language and octave of length: texts, sums of 1 / n, of the cross-entropy and its square, of texts that the models have not seen.
 
-    Documents differ in style by ``between``, however long they are; on top of
-    that the cross-entropy of n characters varies by ``within`` / n. A text is
-    rejected when it lies ``REJECT_SPREADS`` spreads, the root of
-    between + within / n, above the mean. Texts meet in octaves of length, so
-    the driver sees some thirty rows a language.
+    A language's limit (mean, between, within) is their mean cross-entropy and
+    the two parts of its variance. Documents differ in style by ``between``,
+    however long they are; on top of that the cross-entropy of n characters
+    varies by ``within`` / n. A text is rejected when it lies
+    ``REJECT_SPREADS`` spreads, the root of between + within / n, above the
+    mean. Texts meet in octaves of length, so the driver sees some thirty rows
+    a language.
     """
     data = spark.sparkContext.broadcast(pack(models))
 
@@ -338,12 +380,7 @@ def calibrate(spark, models: list[Model], texts: DataFrame) -> None:
                     yield pd.DataFrame({"k": lang, "o": np.log2(n).astype(int), "c": 1.0, "r": 1 / n, "h": h, "hh": h * h})
 
     sums = texts.select("lang", "text").mapInPandas(run, "k string, o int, c double, r double, h double, hh double").groupBy("k", "o").agg(*[F.sum(x).alias(x) for x in ("c", "r", "h", "hh")])
-    by: dict[str, list] = {}
-    for r in sums.orderBy("k", "o").toLocalIterator():
-        by.setdefault(r["k"], []).append((r["c"], r["r"], r["h"], r["hh"]))
-    for m in models:
-        if m.language in by:
-            m.limit = np.array(variance_parts(*np.array(by[m.language]).T))
+    return {(r["k"], r["o"]): np.array([r["c"], r["r"], r["h"], r["hh"]]) for r in sums.toLocalIterator()}
 
 
 def variance_parts(c: np.ndarray, r: np.ndarray, h: np.ndarray, hh: np.ndarray) -> tuple[float, float, float]:
