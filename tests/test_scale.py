@@ -217,6 +217,31 @@ def test_nearest_against_all_pairs(spark, shape):
     assert found == {t: c for t, c in brute_nearest(targets, candidates, 24).items() if c}
 
 
+def test_targets_on_one_spot_are_sought_once(spark, monkeypatch):
+    from treemend.operators import neighbors
+
+    rng = random.Random(12)
+    rows = [(i, "a", 10.0, 20.0) if i % 2 else (i, "a", rng.uniform(-60, 60), rng.uniform(-170, 170)) for i in range(400)]
+    targets = [r for r in rows if r[0] % 20 in (1, 3, 4)]
+    searches, prune = [], neighbors._prune
+
+    def counted(frontier, k, metric):
+        searches.append(frontier.select("tid").distinct().count())
+        return prune(frontier, k, metric)
+
+    monkeypatch.setattr(neighbors, "_prune", counted)
+    schema = "grp string, lat double, lon double"
+    frames = spark.createDataFrame(targets + targets[:1], "tid int, " + schema), spark.createDataFrame(rows, "cid int, " + schema)
+    found = {}
+    for r in nearest(*frames, k=24, leaf=8).orderBy("tid", "rank").collect():
+        found.setdefault(r["tid"], []).append(r["cid"])
+    want = brute_nearest(targets, rows, 24)
+    # a row that is given twice finds its neighbours twice, and still 24 in all
+    want[targets[0][0]] = [c for c in want[targets[0][0]][:12] for _ in "ab"]
+    assert found == want
+    assert max(searches) == len({r[2:] for r in targets}) < len(targets)
+
+
 def near(spark, rows):
     return spark.createDataFrame([(1, i, *r, i + 1) for i, r in enumerate(rows)], "tid int, cid int, n_lat double, n_lon double, distance double, depth double, rank int")
 

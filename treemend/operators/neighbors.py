@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from treemend.functions.geo import EARTH_RADIUS, haversine
 from treemend.model import NULL_NUMBER
+from treemend.scale import broadcast_if_small
 from treemend.session import cut_lineage
 
 # Neighbours, weighting power, closest usable distance (m), twin distance (degrees).
@@ -84,7 +85,8 @@ def nearest(
 
     ``targets``: tid, grp, lat, lon. ``candidates``: cid, grp, lat, lon and the
     payload. With ``exclude_self`` a target never matches its own id. Distances are
-    ordered to the micrometre, ties by id.
+    ordered to the micrometre, ties by id. Targets of one group on one spot are
+    sought as one.
     """
     need = k + 1  # the target itself may be among the points
     # at one location only the lowest ids can be among the nearest; limited before the shuffle
@@ -97,6 +99,9 @@ def nearest(
     if box["a"] is None:
         seekers = seekers.limit(0)
         box = {"a": 0.0, "b": 0.0, "c": 0.0, "d": 0.0}
+    place = ["grp", "lat", "lon"]
+    own = cut_lineage(seekers.groupBy("tid", *place).agg(F.count(F.lit(1)).cast("int").alias("_m")))
+    seekers = cut_lineage(own.groupBy(*place).agg(F.min("tid").alias("tid")))
     height, width = max(box["b"] - box["a"], 1e-9), max(box["d"] - box["c"], 1e-9)
 
     def cell(value: str, low: float, size: float, depth: int) -> Column:
@@ -122,10 +127,13 @@ def nearest(
     frontier = cut_lineage(_prune(seekers.join(cells(1), "grp").select(*columns), need, metric))
     depth = 1
     used = [1]
+    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     while depth < _MAX_DEPTH and not frontier.filter((F.col("cell_depth") == depth) & (F.col("n") > leaf)).isEmpty():
         wide = (F.col("cell_depth") == depth) & (F.col("n") > leaf)
-        opened = frontier.filter(wide).select("tid", "grp", "lat", "lon", F.col("cx").alias("px"), F.col("cy").alias("py"))
+        # a row becomes up to 64: spread before, and met by cells where these are few
+        opened = frontier.filter(wide).select("tid", "grp", "lat", "lon", F.col("cx").alias("px"), F.col("cy").alias("py")).repartition(tasks, "tid")
         below = cells(depth + 1).withColumn("px", F.shiftright("cx", _BITS)).withColumn("py", F.shiftright("cy", _BITS))
+        below = broadcast_if_small(cut_lineage(below))
         split = opened.join(below, ["grp", "px", "py"]).select(*columns)
         frontier = cut_lineage(_prune(frontier.filter(~wide).unionByName(split), need, metric))
         depth += 1
@@ -139,16 +147,20 @@ def nearest(
     for part in parts[1:]:
         placed = placed.unionByName(part)
     pairs = frontier.select("tid", "grp", "lat", "lon", "cell_depth", "cx", "cy").join(placed, ["grp", "cell_depth", "cx", "cy"])
-    if exclude_self:
-        pairs = pairs.filter(F.col("tid") != F.col("cid"))
     distance = haversine if metric == "sphere" else _planar
     pairs = pairs.withColumn("distance", distance(F.col("lat"), F.col("lon"), F.col("n_lat"), F.col("n_lon")))
     by_distance = Window.partitionBy("tid").orderBy(F.round("distance", 6 if metric == "sphere" else 9), "cid")
-    return (
-        pairs.withColumn("rank", F.row_number().over(by_distance))
-        .filter(F.col("rank") <= k)
-        .select("tid", "cid", "n_lat", "n_lon", "distance", "rank", *payload)
-    )
+    near = pairs.withColumn("rank", F.row_number().over(by_distance)).filter(F.col("rank") <= need)
+    found = F.array_sort(F.collect_list(F.struct("rank", "cid", "n_lat", "n_lon", "distance", *payload)), lambda a, b: a["rank"] - b["rank"])
+    lists = near.groupBy(*place).agg(found.alias("_near"))
+    if exclude_self:
+        rows = own.join(lists, place).select("tid", "_m", F.filter("_near", lambda x: x["cid"] != F.col("tid")).alias("_near"))
+    else:
+        rows = own.join(lists, place)
+    # a target given more than once finds each neighbour as often
+    often = F.when(F.col("_m") > 1, F.flatten(F.transform("_near", lambda x: F.array_repeat(x, F.col("_m"))))).otherwise(F.col("_near"))
+    rows = rows.select("tid", F.posexplode(F.slice(often, 1, k)).alias("_at", "_n"))
+    return rows.select("tid", "_n.cid", "_n.n_lat", "_n.n_lon", "_n.distance", (F.col("_at") + 1).alias("rank"), *[F.col("_n")[c].alias(c) for c in payload])
 
 
 def idw(neighbors: DataFrame, depth: str = "depth", power: int = IDW_POWER) -> DataFrame:
