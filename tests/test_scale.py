@@ -2,6 +2,7 @@
 
 import math
 import random
+import tempfile
 
 import pytest
 from pyspark.sql import Window
@@ -257,3 +258,24 @@ def test_idw(spark):
     noise = [(0.5, 0.5, 0.0, 1.0)] + three + [(3.00005, 3.0, 41.0, 9.0), (4.0, 4.0, 50.0, -99999.0), (5.0, 5.0, 60.0, None), (-99999.0, -99999.0, 70.0, 1.0)]
     row = idw(near(spark, noise)).first()
     assert row["n_used"] == 3 and row["value"] == pytest.approx(want)
+
+
+def test_partitioned_writes_do_not_sort(spark, monkeypatch):
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    from treemend.operators.index import load_projects, save_projects
+    from treemend.model import INDEX_SCHEMA
+    from treemend.session import cut_lineage
+
+    keys = ("spark.sql.maxConcurrentOutputFileWriters", "spark.sql.optimizer.plannedWrite.enabled")
+    before, seen, parquet = [spark.conf.get(k) for k in keys], [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path, *a, **b: seen.append([spark.conf.get(k) for k in keys]) or parquet(self, path, *a, **b))
+    # more folders than a task writes at once, one of them null
+    rows = spark.range(0, 400, 1, 2).selectExpr("nullif(concat('t', id % 40), 't7') AS kind", "id")
+    assert sorted(cut_lineage(rows, "kind").collect(), key=str) == sorted(rows.collect(), key=str)
+    idx = spark.createDataFrame([([1, i], 2, [1], f"n{i}", f"t{i % 3}", f"k{i}", "{}", None, None, [], p) for i in range(60) for p in ("", "007")], INDEX_SCHEMA)
+    with tempfile.TemporaryDirectory() as folder:
+        save_projects(idx, folder)
+        assert sorted(load_projects(spark, folder).collect(), key=str) == sorted(idx.collect(), key=str)
+    assert seen and all(int(n) > 0 and planned == "false" for n, planned in seen)
+    assert [spark.conf.get(k) for k in keys] == before

@@ -19,7 +19,7 @@ from treemend.functions.geo import resolve_location
 from treemend.functions.values import data_key
 from treemend.model import INDEX_COLUMNS, INDEX_SCHEMA, AccessDef, Taxonomy, TypeNode
 from treemend.scale import ordinal_in_group, require_unique
-from treemend.session import cut_lineage, delete_folder
+from treemend.session import cut_lineage, delete_folder, open_writers
 
 ROOT_NAME = "QCPROJECT"
 
@@ -436,13 +436,14 @@ def _token(project: Column) -> Column:
 
 def save_projects(idx: DataFrame, path: str) -> None:
     """Write projects as partitions; only the partitions written are replaced."""
-    (
-        idx.withColumn("_project", _token(F.col("project"))).withColumn("_type", F.col("data_type"))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("_project", "_type")
-        .parquet(path)
-    )
+    with open_writers(idx.sparkSession):
+        (
+            idx.withColumn("_project", _token(F.col("project"))).withColumn("_type", F.col("data_type"))
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy("_project", "_type")
+            .parquet(path)
+        )
 
 
 def load_projects(spark: SparkSession, path: str, project: str | None = None) -> DataFrame:

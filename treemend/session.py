@@ -6,6 +6,8 @@ import os
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -68,6 +70,24 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{run_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+# Folders that a task writes at a time; rows of further ones are sorted first.
+OPEN_WRITERS = 32
+_UNSORTED = {"spark.sql.maxConcurrentOutputFileWriters": str(OPEN_WRITERS), "spark.sql.optimizer.plannedWrite.enabled": "false"}
+
+
+@contextmanager
+def open_writers(spark: SparkSession) -> Iterator[None]:
+    """Tasks write a few folders at once, so that partitioned writes of wide rows hold and sort none of them."""
+    before = {k: spark.conf.get(k, None) for k in _UNSORTED}
+    try:
+        for k, v in _UNSORTED.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def cut_lineage(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     """The rows as a table written to the shared folder.
 
@@ -77,7 +97,11 @@ def cut_lineage(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     few values whose filters should skip files.
     """
     path = scratch_path(df.sparkSession, "stage")
-    (df.write.partitionBy(partition_by) if partition_by else df.write).parquet(path)
+    if partition_by:
+        with open_writers(df.sparkSession):
+            df.write.partitionBy(partition_by).parquet(path)
+    else:
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
