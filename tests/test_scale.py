@@ -279,3 +279,16 @@ def test_partitioned_writes_do_not_sort(spark, monkeypatch):
         assert sorted(load_projects(spark, folder).collect(), key=str) == sorted(idx.collect(), key=str)
     assert seen and all(int(n) > 0 and planned == "false" for n, planned in seen)
     assert [spark.conf.get(k) for k in keys] == before
+
+
+def test_lithology_parses_records_once(spark):
+    from treemend.operators.repair import lithology_values
+
+    log = '{"UWI": "w", "NULL_REPRESENTATION": -999.25, "INDEX_VALUE": "0.0, 1.0, 2.0", "MEASURED_VALUE": "5.0, 40.0, 90.0"}'
+    pick = '{"UWI": "%s", "PICK_DEPTH": %s}'
+    rows = [([1, 1], "Log", "GR", log), ([1, 2], "MarkerPick", "a", pick % ("w", 0.5)), ([1, 3], "MarkerPick", "b", pick % ("w", 9)), ([1, 4], "MarkerPick", "c", pick % ("x", 1)), ([1, 5], "MarkerPick", "d", pick % ("w", -99999))]
+    idx = spark.createDataFrame(rows, "node_path array<int>, data_type string, data_name string, doc string")
+    out = lithology_values(idx, idx.filter("data_type = 'MarkerPick'"))
+    assert "from_json" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {r["node_path"][1]: r["rock"] for r in out.collect()}
+    assert sorted(got) == [2, 3] and got[3].upper() == "UNKNOWN" != got[2].upper()

@@ -20,6 +20,7 @@ from treemend.operators.curves import log_depths, sample_lookup, smooth
 from treemend.operators.index import has_doc, insert_docs, mark_below
 from treemend.operators.neighbors import NEIGHBORS, idw, nearest
 from treemend.scale import ordinal_in_group
+from treemend.session import cut_lineage
 
 # Curve used for lithology, notes left in REMARK.
 LITHOLOGY_CURVE = "GR"
@@ -136,12 +137,13 @@ def lithology_values(idx: DataFrame, failed: DataFrame, strict: bool = True) ->
         parse_array(attr_text(attrs, "INDEX_VALUE")).alias("_i"), parse_array(attr_text(attrs, "MEASURED_VALUE")).alias("_m"),
     )
     logs = logs.groupBy("uwi").agg(F.count(F.lit(1)).alias("_c"), F.any_value(F.struct("_null", "_i", "_m")).alias("_l"))
-    logs = logs.filter((F.col("_c") == 1) & (F.size("_l._m") > 0)).select("uwi", "_l.*")
+    # records are parsed once: both sides are read several times below
+    logs = cut_lineage(logs.filter((F.col("_c") == 1) & (F.size("_l._m") > 0)).select("uwi", "_l.*"))
     picks = with_attrs(failed.select("node_path", "doc")).select(
         "node_path", "doc", attr_text(attrs, "UWI").alias("uwi"), attr_number(attrs, "PICK_DEPTH").alias("_depth_value")
     )
     picks = picks.filter(F.col("_depth_value").isNotNull() & (F.col("_depth_value") != NULL_NUMBER))
-    picks = picks.join(logs.select("uwi"), "uwi", "left_semi")
+    picks = cut_lineage(picks.join(logs.select("uwi"), "uwi", "left_semi"))
     measured = logs.select("uwi", "_null", (F.size("_m") - 1).alias("_end"), F.posexplode("_m").alias("pos", "_v")).select(
         "uwi", "pos", "_end", F.when(F.col("_v") != F.col("_null"), F.col("_v")).alias("v")
     )
