@@ -258,6 +258,28 @@ def test_merge_duplicates(spark):
     assert X.search_index(out, flag="U1").count() == 0
 
 
+def test_merge_writes_records_once(spark, monkeypatch):
+    """Only the table of the merge's region holds documents and only rows of the rule's type meet its failures, however the joins run."""
+    from treemend.operators import merge
+
+    tables = {
+        "W": spark.createDataFrame([("a", 1.0, 1.0, 1.0, "x"), ("b", 1.0, 1.0, 1.0, "x")], "ID string, LAT double, LON double, ELEV double, REMARK string"),
+        "P": spark.createDataFrame([("a", "u1", 1.0, ""), ("b", "u1", 2.0, ""), ("b", "u2", 3.0, "")], "ID string, UNIT string, DEPTH double, REMARK string"),
+        "N": spark.createDataFrame([], "ID string, TXT string"),
+        "C": spark.createDataFrame([("b", "u1", "c1"), ("b", "u2", "c2")], "ID string, UNIT string, NO string"),
+    }
+    rule = Rule("U1", "Well", "Uniqueness", "Uniqueness", "REMARK", "REMARK")
+    flagged = cut_lineage(flag_index(cut_lineage(X.build_index(spark, TREE, tables, ACCESS)), [rule], TREE, ACCESS))
+    written = []
+    monkeypatch.setattr(merge, "cut_lineage", lambda df, *a: written.append(df.columns) or cut_lineage(df, *a))
+    out = merge_duplicates(flagged, flagged.filter("data_name = 'a'"), rule, TREE, ACCESS)
+    live = {r["data_key"] for r in out.filter(X.has_doc() & F.col("data_type").isin("Well", "Pick", "Core")).collect()}
+    key = lambda **k: " AND ".join(f"{n} = '{v}'" for n, v in k.items())
+    cores = {key(ID="a", UNIT="u1", NO="c1"), key(ID="a", UNIT="u2", NO="c2")}
+    assert live == {key(ID="a"), key(ID="a", UNIT="u1"), key(ID="a", UNIT="u2"), *cores}
+    assert len([c for c in written if "doc" in c]) == 1
+
+
 def merged_by_hand(records, survivors):
     """{root: members} and records as (path of names, payload): trees of one root folded into the survivor's, name by name."""
     out = {}

@@ -29,10 +29,17 @@ def _nothing() -> Column:
     return F.create_map().cast("map<string,string>")
 
 
-def _values(doc: Column, names: list[str], changed: Collection[str] = ()) -> Column:
-    """The named attributes as map<string,string>, those in ``changed`` from ``_set``."""
-    attrs = attributes(doc)
-    return F.create_map(*[x for n in names for x in (F.lit(n), F.try_element_at("_set", F.lit(n)) if n in changed else attr_text(attrs, n))]) if names else _nothing()
+def _values(node: TypeNode) -> Column:
+    """What a record's children's keys repeat, as map<string,string>: what the move changes from ``_set``, all else from ``_attrs``."""
+    changed = {c for c, _ in node.parent_pairs()}
+    pairs = [x for n in _wanted(node) for x in (F.lit(n), F.try_element_at("_set" if n in changed else "_attrs", F.lit(n)))]
+    return F.create_map(*pairs) if pairs else _nothing()
+
+
+def _texts(names: list[str]) -> Column:
+    """The named attributes of the record as map<string,string>."""
+    attrs = attributes(F.col("doc"))
+    return F.create_map(*[x for n in names for x in (F.lit(n), attr_text(attrs, n))]) if names else _nothing()
 
 
 def _wanted(node: TypeNode) -> list[str]:
@@ -75,14 +82,15 @@ def merge_duplicates(idx: DataFrame, survivors: DataFrame, rule: Rule, taxonomy:
     # who merges into whom, survivors into themselves
     pairs = cut_lineage(keyed.join(keep, "_key").select(F.col("node_path").alias("_from"), "_to"))
     owner = F.when(F.col("level") >= level, F.slice("node_path", 1, level))
-    region = cut_lineage(idx.withColumn("_owner", owner).join(pairs, F.col("_owner") == F.col("_from")).drop("_owner"))
+    # records travel once: every later step reads what it needs of this table
+    tagged = cut_lineage(idx.withColumn("_owner", owner).join(pairs, F.col("_owner") == F.col("_from"), "left").drop("_owner"))
+    region = tagged.filter("_from IS NOT NULL")
 
     moved, made = _settle(region, top, level, access)
     gone = F.col("_from").isNotNull() & (F.col("_from") != F.col("_to"))
     saved = F.coalesce(F.col("node_path") == F.col("_to"), F.lit(False))
     no_flags = F.array().cast("array<string>")
-    out = idx.withColumn("_owner", owner).join(pairs, F.col("_owner") == F.col("_from"), "left")
-    out = out.withColumns({
+    out = tagged.withColumns({
         "doc": F.when(~F.coalesce(gone, F.lit(False)), F.col("doc")),
         "qc": F.when(gone, no_flags).when(saved, F.array_remove("qc", rule.key)).otherwise(F.col("qc")),
     }).select(*INDEX_COLUMNS)
@@ -99,39 +107,51 @@ def _settle(region: DataFrame, top: TypeNode, level: int, access: Mapping[str, A
     """
     head = region.filter(F.col("node_path") == F.col("_to"))
     place = ["_stay", "_new", "_keys", "_lat", "_lon", "_project"]
-    # records that stay and get others' children, where they stood and stand; and records that are folded into them
+    # records that stay and get others' children, where they stood and stand; and, below the top, records that are folded into them
     staying = cut_lineage(head.select(
-        F.col("node_path").alias("_stay"), F.col("node_path").alias("_new"), _values(F.col("doc"), _wanted(top)).alias("_keys"),
+        F.col("node_path").alias("_stay"), F.col("node_path").alias("_new"), _texts(_wanted(top)).alias("_keys"),
         F.col("latitude").alias("_lat"), F.col("longitude").alias("_lon"), F.col("project").alias("_project"),
     ))
-    folded = region.filter((F.col("node_path") == F.col("_from")) & (F.col("_from") != F.col("_to"))).select(F.col("node_path").alias("_at"), F.col("_to").alias("_stay"))
+    folded = None
     nodes, moved, made = [top], [], []
     while nodes := [child for node in nodes for child in node.children]:
         level += 2
+        deeper = any(node.children for node in nodes)
         by_name = {node.name: node for node in nodes}
-        homes = staying.select(F.col("_stay").alias("_at"), "_stay", F.lit(0).alias("_foreign")).unionByName(folded.withColumn("_foreign", F.lit(1)))
-        kids = region.filter(F.col("data_type").isin(*by_name) & (F.col("level") == level) & has_doc()).withColumn("_parent", F.slice("node_path", 1, level - 2))
-        kids = kids.join(homes, F.col("_parent") == F.col("_at")).drop("_at")
-        first = kids.groupBy("_stay", "data_type", "data_name").agg(F.min(F.struct("_foreign", "node_path")).alias("_first"), F.max("_foreign").alias("_any"))
-        first = first.filter("_any = 1").select("_stay", "data_type", "data_name", F.col("_first.node_path").alias("_wins"))
-        met = cut_lineage(kids.join(first, ["_stay", "data_type", "data_name"]).join(staying, "_stay"))
+        names = {n.name: list(dict.fromkeys([*access[n.name].keys, *_wanted(n)])) for n in nodes}
+        kids = region.filter(F.col("data_type").isin(*by_name) & (F.col("level") == level) & has_doc() & F.col("data_name").isNotNull())
+        if folded is None:
+            kids = kids.withColumns({"_stay": F.col("_to"), "_foreign": (F.col("_from") != F.col("_to")).cast("int")})
+        else:
+            homes = staying.select(F.col("_stay").alias("_at"), "_stay", F.lit(0).alias("_foreign")).unionByName(folded.withColumn("_foreign", F.lit(1)))
+            kids = kids.withColumn("_parent", F.slice("node_path", 1, level - 2)).join(homes, F.col("_parent") == F.col("_at"))
+        texts = _case([(F.col("data_type") == n, _texts(wanted)) for n, wanted in names.items()], _nothing())
+        kids = kids.select("_stay", "data_type", "data_name", "node_path", "_foreign", texts.alias("_attrs"), "latitude", "longitude")
+        kids = cut_lineage(kids) if deeper and folded is not None else kids
+        # of a name only the record that stays travels on, without its document
+        row = F.struct("node_path", "_foreign", "_attrs", "latitude", "longitude")
+        first = kids.groupBy("_stay", "data_type", "data_name").agg(F.min_by(row, F.struct("_foreign", "node_path")).alias("_first"), F.max("_foreign").alias("_any"))
+        first = cut_lineage(first.filter("_any = 1").select("_stay", "data_type", "data_name", "_first.*"))
 
         new_keys = _case([  # what the parent's place makes of the keys
             (F.col("data_type") == n.name, F.create_map(*[x for c, p in n.parent_pairs() for x in (F.lit(c), F.try_element_at("_keys", F.lit(p)))]))
             for n in nodes if n.parent_pairs()
         ], _nothing())
-        met = met.withColumn("_set", new_keys)
-        own_keys = _case([(F.col("data_type") == n.name, _values(F.col("doc"), _wanted(n), {c for c, _ in n.parent_pairs()})) for n in nodes if n.children], _nothing())
-        wins = F.col("node_path") == F.col("_wins")
-        arriving, groups = _numbered(region, met.filter((F.col("_foreign") == 1) & wins), nodes, access)
+        met = first.join(staying, "_stay").withColumn("_set", new_keys)
+        own_keys = _case([(F.col("data_type") == n.name, _values(n)) for n in nodes if n.children], _nothing())
+        arriving, groups = _numbered(region, met.filter("_foreign = 1"), nodes, access, level)
         arriving = cut_lineage(arriving.withColumn("_child_keys", own_keys))
         made.append(groups)
         moved.append(arriving.select(F.col("node_path").alias("_old"), "_to_path", F.col("data_type").alias("_type"), "_set", F.col("_child_keys").alias("_keys"), "_lat", "_lon", "_project"))
+        if not deeper:
+            break
 
-        folded = cut_lineage(met.filter(~wins & (F.col("_foreign") == 1)).select(F.col("node_path").alias("_at"), F.col("_wins").alias("_stay")))
+        wins = first.select("_stay", "data_type", "data_name", F.col("node_path").alias("_wins"))
+        lost = kids.filter("_foreign = 1").select("_stay", "data_type", "data_name", "node_path").join(wins, ["_stay", "data_type", "data_name"]).filter(F.col("node_path") != F.col("_wins"))
+        folded = cut_lineage(lost.select(F.col("node_path").alias("_at"), F.col("_wins").alias("_stay")))
         hosts = folded.select(F.col("_stay").alias("_host")).distinct()
         host = lambda df: df.join(hosts, F.col("node_path") == F.col("_host"), "left_semi")
-        stay = host(met.filter((F.col("_foreign") == 0) & wins)).select(
+        stay = host(met.filter("_foreign = 0")).select(
             F.col("node_path").alias("_s"), _under(F.col("_new"), F.col("_stay"), F.col("node_path")).alias("_n"), own_keys.alias("_keys"), *_located(nodes), "_project",
         )
         come = host(arriving).select(F.col("node_path").alias("_s"), F.col("_to_path").alias("_n"), F.col("_child_keys").alias("_keys"), *_located(nodes), "_project")
@@ -140,7 +160,7 @@ def _settle(region: DataFrame, top: TypeNode, level: int, access: Mapping[str, A
     return (whole.withColumnRenamed("_to_path", "_new") if whole is not None else None), made
 
 
-def _numbered(region: DataFrame, arriving: DataFrame, nodes: list[TypeNode], access: Mapping[str, AccessDef]) -> tuple[DataFrame, DataFrame]:
+def _numbered(region: DataFrame, arriving: DataFrame, nodes: list[TypeNode], access: Mapping[str, AccessDef], level: int) -> tuple[DataFrame, DataFrame]:
     """The records with ``_to_path``; rows of the group nodes that were missing.
 
     A record's group node is the one its new parent has for its type, or the
@@ -150,7 +170,7 @@ def _numbered(region: DataFrame, arriving: DataFrame, nodes: list[TypeNode], acc
     group_name = _case([(F.col("data_type") == n.name, F.lit(n.group_name)) for n in nodes])
     rank = _case([(F.col("data_type") == n.name, F.lit(i)) for i, n in enumerate(nodes)])
     wanted = arriving.select("_stay", "_new", "_project", "data_type").distinct().withColumns({"_group_name": group_name, "_rank": rank})
-    groups = region.select(F.col("node_path").alias("_g"), F.col("parent_path").alias("_p"), F.col("data_type").alias("_gt"))
+    groups = region.filter(F.col("level") == level - 1).select(F.col("node_path").alias("_g"), F.col("parent_path").alias("_p"), F.col("data_type").alias("_gt"))
     groups = groups.join(wanted.select("_stay").distinct(), F.col("_p") == F.col("_stay"), "left_semi")
     last = groups.groupBy(F.col("_p").alias("_lp")).agg(F.max(F.element_at("_g", -1)).alias("_last"))
     have = groups.groupBy(F.col("_p").alias("_hp"), "_gt").agg(F.min("_g").alias("_have"))
@@ -161,10 +181,11 @@ def _numbered(region: DataFrame, arriving: DataFrame, nodes: list[TypeNode], acc
         F.concat("_new", F.array((F.coalesce("_last", F.lit(0)) + missing).cast("int")))
     )
     wanted = wanted.withColumn("_group", path)
-    tails = region.select(F.col("parent_path").alias("_tp"), F.element_at("node_path", -1).alias("_no")).join(wanted.filter("_have IS NOT NULL").select("_have"), F.col("_tp") == F.col("_have"), "left_semi")
+    tails = region.filter(F.col("level") == level).groupBy(F.col("parent_path").alias("_tp")).agg(F.max(F.element_at("node_path", -1)).alias("_no"))
+    tails = tails.join(wanted.filter("_have IS NOT NULL").select("_have"), F.col("_tp") == F.col("_have"), "left_semi")
     wanted = cut_lineage(wanted.join(tails.groupBy("_tp").agg(F.max("_no").alias("_tail")), F.col("_have") == F.col("_tp"), "left").select("_stay", "data_type", "_group_name", "_group", "_have", "_tail", "_project"))
 
-    keys = _case([(F.col("data_type") == n.name, data_key([(k, F.coalesce(F.try_element_at("_set", F.lit(k)), attr_text(attributes(F.col("doc")), k))) for k in access[n.name].keys])) for n in nodes])
+    keys = _case([(F.col("data_type") == n.name, data_key([(k, F.coalesce(F.try_element_at("_set", F.lit(k)), F.try_element_at("_attrs", F.lit(k)))) for k in access[n.name].keys])) for n in nodes])
     rows = ordinal_in_group(arriving.withColumn("_key", keys), ["_stay", "data_type"], ["_key", "node_path"], "_n")
     rows = rows.join(wanted.select(F.col("_stay").alias("_ws"), F.col("data_type").alias("_wt"), "_group", "_tail"), (F.col("_stay") == F.col("_ws")) & (F.col("data_type") == F.col("_wt")))
     rows = rows.withColumn("_to_path", F.concat("_group", F.array((F.coalesce("_tail", F.lit(0)) + F.col("_n")).cast("int"))))
@@ -194,8 +215,10 @@ def _taken_along(region: DataFrame, moved: DataFrame, top: TypeNode, level: int,
     foreign = region.filter((F.col("_from") != F.col("_to")) & (F.col("level") > level) & stays)
     # the prefixes that are records' paths; at most one of them is a moved root
     steps = F.sequence(F.lit(level + 2), F.greatest("level", F.lit(level + 2)), F.lit(2))
-    prefixes = foreign.withColumn("_at", F.explode(F.transform(steps, lambda n: F.slice("node_path", F.lit(1), n)))).filter(F.size("_at") <= F.col("level"))
-    rows = prefixes.join(moved, F.col("_at") == F.col("_old"))
+    prefixes = foreign.select("node_path", "level", F.explode(F.transform(steps, lambda n: F.slice("node_path", F.lit(1), n))).alias("_at")).filter(F.size("_at") <= F.col("level"))
+    # paths alone meet the roots; only what moves is read with its record
+    taken = cut_lineage(prefixes.join(moved, F.col("_at") == F.col("_old")).select(F.col("node_path").alias("_row"), *moved.columns))
+    rows = foreign.drop("project").join(taken, F.col("node_path") == F.col("_row"))
     path = _under(F.col("_new"), F.col("_old"), F.col("node_path"))
     docs, lats, lons, data_keys = [], [], [], []
     for root in nodes:

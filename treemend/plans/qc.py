@@ -11,7 +11,7 @@ from treemend.functions.docs import attributes
 from treemend.model import INDEX_COLUMNS, AccessDef, Rule, Taxonomy, numbered
 from treemend.operators.index import has_doc
 from treemend.operators.row_rules import ROW_CHECKS, rule_filter
-from treemend.operators.set_rules import is_set_rule, set_failures
+from treemend.operators.set_rules import BUILT_IN_SET_RULES, is_set_rule, set_failures
 
 
 def _checked(rules: Sequence[Rule], active_only: bool) -> list[Rule]:
@@ -116,8 +116,12 @@ def flag_index(
         found = found.groupBy(F.col("node_path").alias("_id")).agg(
             F.collect_set(F.struct(position[F.col("rule_key")].alias("ord"), "rule_key")).alias("_more")
         )
-        flagged = flagged.join(found, F.col("node_path") == F.col("_id"), "left").withColumn(
-            "_hits", F.concat("_hits", F.coalesce("_more", none))
-        )
+        # the built-in rules fail records of their own type: all others need not meet the failures
+        near = F.lit(True)
+        if all(r.function in BUILT_IN_SET_RULES for r in set_rules):
+            near = F.coalesce(F.col("data_type").isin(sorted({r.data_type for r in set_rules})), F.lit(False))
+        met = flagged.filter(near).join(found, F.col("node_path") == F.col("_id"), "left")
+        met = met.withColumn("_hits", F.concat("_hits", F.coalesce("_more", none))).select(*flagged.columns)
+        flagged = met.unionByName(flagged.filter(~near))
     flags = F.transform(F.array_sort("_hits"), lambda x: x["rule_key"])
     return flagged.withColumn("qc", flags).select(*INDEX_COLUMNS)
