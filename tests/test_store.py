@@ -175,3 +175,25 @@ def test_batches_are_placed_once(spark, tmp_path):
     store.clean()
     well(make([("w78", 1.0, 1.0)], W), 0)
     assert meaning(store.read().select(*INDEX_COLUMNS)) == meaning(whole)
+
+
+def test_layers_are_read_without_records(spark, idx, store, monkeypatch):
+    """Paths and keys of a store with layers come from scans without documents; a batch replaces records unread."""
+    from treemend.streaming import ingest
+
+    store.edit(edits_of(idx, ["w001", "w002"]), "one")
+    store.edit(edits_of(idx, ["w002", "w003"]), "two")
+    assert rows(store.read()) == rows(apply_edits(apply_edits(idx, edits_of(idx, ["w001", "w002"])), edits_of(idx, ["w002", "w003"])))
+    narrow = store.read().select("node_path", "data_key")
+    narrow.collect()
+    plan = narrow._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    scanned = [line for line in plan.splitlines() if "ReadSchema" in line]
+    assert scanned and not any("doc:" in line for line in scanned)
+
+    # records that a batch replaces are not looked up
+    monkeypatch.setattr(store, "named", None)
+    batch = spark.createDataFrame([("w004", 1.5), ("w004", 0.5), ("w005", None)], "ID string, ELEV double")
+    ingest.load_into_index(store, TREE, ACCESS, "Well")(batch, 7)
+    got = {r["data_name"]: r["doc"] for r in store.read().filter("data_type = 'Well'").collect()}
+    elev = lambda name: '"ELEV":1.5' in got[name]
+    assert len(got) == 300 and elev("w004") and not elev("w005")

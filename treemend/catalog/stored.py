@@ -8,7 +8,7 @@ from treemend.fixtures import ACCESS, WELL_TREE, duck_with, pick_table, tree_tab
 from treemend.functions.docs import attr_number, attributes
 from treemend.operators.index import build_index, path_text
 from treemend.operators.store import IndexStore
-from treemend.session import scratch_path
+from treemend.session import cut_lineage, scratch_path
 from treemend.streaming.ingest import load_into_index
 
 BIG = "bigint"
@@ -78,7 +78,7 @@ def index_batches(fx):
     load = load_into_index(store, WELL_TREE, ACCESS, "MarkerPick")
     load(picks.where(part < 2).withColumn("PICK_DEPTH", F.lit(0.0)), 0)
     load(picks, 1)
-    rows = store.read().filter("data_key IS NOT NULL")
+    rows = cut_lineage(store.read().filter("data_key IS NOT NULL").select("node_path", "level", "data_type", "data_key", "latitude", "doc"))
     owner = rows.select(F.col("node_path").alias("_o"), F.col("data_key").alias("owner"))
     a = attributes(F.col("doc"))
     out = rows.withColumn("_at", F.when(F.col("level") > 2, F.slice("node_path", F.lit(1), F.col("level") - 2))).join(owner, F.col("_at") == F.col("_o"), "left")

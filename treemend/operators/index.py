@@ -313,6 +313,14 @@ def insert_docs(
 
 def insert_placed(idx: DataFrame, inserts: DataFrame, node: TypeNode, access: AccessDef) -> tuple[DataFrame, DataFrame]:
     """The same for records that come from ``old_path``; also gives (old_path, new_path, doc)."""
+    rows, placed = added_rows(idx, inserts, node, access)
+    return idx.unionByName(rows), placed
+
+
+def added_rows(idx: DataFrame, inserts: DataFrame, node: TypeNode, access: AccessDef) -> tuple[DataFrame, DataFrame]:
+    """The rows alone that ``insert_placed`` adds. Of ``idx`` it reads paths, types, projects and locations."""
+    if "old_path" not in inserts.columns:
+        inserts = inserts.withColumn("old_path", F.lit(None).cast("array<int>"))
     wanted = inserts.select(F.col("parent_path").alias("_owner"), F.col("doc").alias("_doc"), F.col("old_path").alias("_old"))
     owners_ = wanted.select("_owner").distinct()
     level_below = idx.select("node_path", "parent_path", "data_type")
@@ -361,7 +369,7 @@ def insert_placed(idx: DataFrame, inserts: DataFrame, node: TypeNode, access: Ac
     )
     made = _group_rows(groups.filter(F.col("_have").isNull()), F.col("_group"), node.group_name, F.col("project"))
     placed = rows.select(F.col("_old").alias("old_path"), path.alias("new_path"), F.col("_doc").alias("doc"))
-    return idx.unionByName(made).unionByName(records), placed
+    return made.unionByName(records), placed
 
 
 def mark_below(idx: DataFrame, ids: DataFrame, level: int | None = None) -> DataFrame:

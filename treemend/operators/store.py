@@ -15,14 +15,13 @@ import re
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from treemend.model import INDEX_COLUMNS, INDEX_SCHEMA, AccessDef, TypeNode
 from treemend.operators.edits import apply_edits
-from treemend.operators.index import apply_updates, children_of, insert_docs
-from treemend.scale import first_by
+from treemend.operators.index import added_rows, apply_updates, children_of
 from treemend.session import cut_lineage, delete_folder
 
 _WIDTH = 8
@@ -133,12 +132,12 @@ class IndexStore:
         if not layers:
             return rows
         newer = [self._scan(n, where).withColumn("_layer", F.lit(number).cast(LongType())) for number, n, _ in layers]
-        top = newer[0]
-        for df in newer[1:]:
-            top = top.unionByName(df)
-        top = first_by(top, ["path_key"], F.col("_layer"), last=True).drop("_layer")
-        # what changed is small beside the base: AQE sends it to the base's tasks
-        return rows.join(top.select("path_key"), "path_key", "left_anti").unionByName(top)
+        top = reduce(DataFrame.unionByName, newer)
+        # what changed is small beside the base: AQE sends its keys to the base's tasks
+        kept = rows.join(top.select("path_key"), "path_key", "left_anti")
+        # a path has a row a layer at most; as a window, columns that nobody reads are not shuffled either
+        later = F.lead("_layer").over(Window.partitionBy("path_key").orderBy("_layer"))
+        return kept.unionByName(top.withColumn("_later", later).filter("_later IS NULL").drop("_layer", "_later"))
 
     def subtree(self, path: Sequence[int], include_self: bool = False) -> DataFrame:
         """All nodes below a node, from the files that hold them."""
@@ -205,11 +204,9 @@ class IndexStore:
         near = None
         for n in sizes:
             rows = self.read(where).filter(F.col("level").between(n, n + 2)).withColumn("_at", F.slice("node_path", 1, n))
-            rows = rows.join(owners, F.col("_at") == F.col("_owner"), "left_semi").select(*INDEX_COLUMNS)
+            rows = rows.join(owners, F.col("_at") == F.col("_owner"), "left_semi").select("node_path", "parent_path", "data_type", "project", "latitude", "longitude")
             near = rows if near is None else near.unionByName(rows)
         if near is None:
             return self.read().select(*INDEX_COLUMNS).limit(0)
         near = near.dropDuplicates(["node_path"]) if len(sizes) > 1 else near
-        near = cut_lineage(near)
-        after = insert_docs(near, inserts, node, access)
-        return after.join(near.select("node_path"), "node_path", "left_anti").select(*INDEX_COLUMNS)
+        return added_rows(cut_lineage(near), inserts, node, access)[0]

@@ -12,9 +12,8 @@ from treemend.functions.docs import attr_text, attributes, complete, to_doc
 from treemend.functions.geo import resolve_location
 from treemend.functions.values import data_key
 from treemend.model import INDEX_COLUMNS, AccessDef, Taxonomy
-from treemend.operators.index import apply_updates
 from treemend.operators.store import IndexStore
-from treemend.scale import first_by
+from treemend.scale import first_by, require_unique
 from treemend.session import cut_lineage
 
 
@@ -65,7 +64,8 @@ def load_into_index(
     index has replaces its record and drops its flags; a new key goes below its
     parent, whose batches come first: a record without parent fails its batch,
     which is then repeated. Keys of batches are met with the index's by one
-    join on the data key, with neither records nor arrays.
+    join on the data key, with neither records nor arrays; it also gives the rows
+    whose records are replaced.
     """
     node, definition = taxonomy.find(data_type), access[data_type]
     if node.arrays:
@@ -76,19 +76,25 @@ def load_into_index(
         name = f"{data_type}-batch{batch_id}"
         if name in store.commits():
             return
-        rank = F.col(order) if order else F.struct(*batch.columns)
-        rows = complete(first_by(batch.withColumn("_rank", rank), list(definition.keys), F.col("_rank"), last=True), definition)
-        rows = cut_lineage(rows.select(
+        keys, rest = list(definition.keys), [c for c in batch.columns if c not in definition.keys]
+        if order:
+            last = first_by(batch, keys, F.col(order), last=True) if rest else batch.distinct()
+        else:
+            last = batch.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("_row")).select(*keys, "_row.*") if rest else batch.distinct()
+        rows = complete(last, definition).select(
             data_key([(k, F.col(k)) for k in definition.keys]).alias("_key"),
             (data_key([(p, F.col(c)) for c, p in node.parent_pairs()]) if above else F.lit("")).alias("_parent"),
             to_doc(*[F.col(c) for c in definition.columns]).alias("_doc"),
-        ))
-        nodes = store.read().select("node_path", "data_type", "data_key")
-        own = nodes.filter((F.col("data_type") == data_type) & F.col("data_key").isNotNull())
-        met = cut_lineage(rows.join(own.select("node_path", F.col("data_key").alias("_key")), "_key", "left"))
-        none = F.array().cast("array<string>")
-        updates = met.filter("node_path IS NOT NULL").select("node_path", F.col("_doc").alias("doc"), none.alias("qc"))
-        fresh = met.filter("node_path IS NULL").drop("node_path")
+        )
+        # the index is read once, without records: a key's place and row, and the parents'
+        stay = [c for c in INDEX_COLUMNS if c not in ("doc", "qc")]
+        nodes = store.read().select(*stay).filter(F.col("data_type").isin([data_type, *([above.name] if above else [])]))
+        nodes = cut_lineage(nodes.filter(F.col("data_key").isNotNull()))
+        own = nodes.filter(F.col("data_type") == data_type)
+        met = cut_lineage(rows.join(own, F.col("_key") == F.col("data_key"), "left"))
+        known = require_unique(met.filter("node_path IS NOT NULL"), ["node_path"])
+        changed = known.withColumns({"doc": F.col("_doc"), "qc": F.array().cast("array<string>")})
+        fresh = met.filter("node_path IS NULL").select("_key", "_parent", "_doc")
         if above:
             parents = nodes.filter(F.col("data_type") == above.name).select(F.col("node_path").alias("parent_path"), F.col("data_key").alias("_parent"))
             fresh = fresh.join(parents, "_parent", "left")
@@ -96,7 +102,6 @@ def load_into_index(
             fresh = fresh.withColumn("parent_path", F.when(F.col("parent_path").isNotNull(), F.col("parent_path")).otherwise(missing))
         else:
             fresh = fresh.withColumn("parent_path", F.array().cast("array<int>"))
-        changed = apply_updates(store.named(updates.select("node_path")), updates)
         if node.latitude:
             attrs = attributes(F.col("doc"))
             lat, lon = resolve_location(attr_text(attrs, node.latitude), attr_text(attrs, node.longitude))
