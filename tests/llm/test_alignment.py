@@ -1,3 +1,4 @@
+import numpy as np
 import hashlib
 from collections import Counter, defaultdict
 
@@ -103,3 +104,34 @@ def test_a_full_memory_of_stretches_changes_nothing(monkeypatch):
         for t in TEXTS:
             assert align_text(small, t or "", {})[:5] == align_text(ALIGNER, t or "", {})[:5]
     assert small.held <= 2_000
+
+
+def test_a_stretch_reads_its_pieces_once():
+    """Groups, pairs and counts from one pass over B's pieces, as by hand."""
+    import public_tokenizers
+
+    from treemend.llm.alignment import Aligner
+
+    known = Aligner(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    encode, passes = known.b, []
+
+    class Proto:
+        def __init__(self, text):
+            self.made = encode.encode(text, return_type="proto")
+
+        @property
+        def pieces(self):
+            passes.append(1)
+            return self.made.pieces
+
+    known.b = type("B", (), {"encode": lambda self, text, return_type: Proto(text)})()
+    stretches = ["Well", "unbelievable", "\u00e9t\u00e9", "x"]
+    got = known.align(stretches)
+    assert len(passes) == 1
+    for s, (groups, pairs, tokens) in zip(stretches, got):
+        a, b = known.a.encode(" " + s, add_special_tokens=False).ids, encode.encode(s)
+        sides = [g.split("|") for g in groups.split(";")]
+        assert [int(i) for x, _ in sides for i in x.split(",")] == a and [int(i) for _, x in sides for i in x.split(",")] == b
+        assert (tokens & 0xFFFFFFFF, tokens >> 32) == (len(a), len(b))
+        ends = [(int(x.split(",")[-1]), int(y.split(",")[-1])) for x, y in sides]
+        assert [divmod(int(k), known.b_size) for k in np.frombuffer(pairs, known.pair)] == ends

@@ -86,6 +86,8 @@ class Aligner(dict):
             raise ValueError("tokenizer B has pieces that go on after a blank")
         self.pair = np.dtype("<i4" if len(self.a_bytes) * self.b_size < 1 << 31 else "<i8")
         self.a_sizes, self.b_sizes = (np.array(list(map(len, table)), np.int64) for table in (self.a_bytes, self.b_bytes))
+        # ids as text: of A before another and last in a group, of B likewise
+        self.texts = [f"{i}{end}" for table, ends in ((self.a_bytes, ",|"), (self.b_bytes, ",;")) for end in ends for i in range(len(table))]
         self.held = 0
 
     def align(self, stretches: list[str]) -> list[tuple]:
@@ -93,31 +95,33 @@ class Aligner(dict):
         text = " ".join(stretches)
         raw = (" " + text).encode("utf-8", "surrogatepass")
         encoding, proto = self.a.encode(" " + text, add_special_tokens=False), self.b.encode(text, return_type="proto")
-        a_ids, b_ids = encoding.ids, [p.id for p in proto.pieces]
+        # an attribute of a message is dear: each is read once
+        a_ids, pieces = encoding.ids, [(p.id, p.begin, p.end) for p in proto.pieces]
+        b_ids = [p[0] for p in pieces]
         if b"".join(map(self.a_bytes.__getitem__, a_ids)) != raw or b"".join(map(self.b_bytes.__getitem__, b_ids)) != raw:
             # one stretch is at fault, if there are several: the others count
             return [_FAULTY] if len(stretches) == 1 else [e for s in stretches for e in self.align([s])]
         a_spans = np.fromiter(chain.from_iterable(encoding.offsets), np.int64, 2 * len(a_ids)).reshape(-1, 2)
-        b_spans = np.array([[p.begin for p in proto.pieces], [p.end for p in proto.pieces]], np.int64).T + 1
+        b_spans = np.fromiter(chain.from_iterable(pieces), np.int64, 3 * len(pieces)).reshape(-1, 3)[:, 1:] + 1
         points = np.frombuffer((" " + text).encode("utf-32-le", "surrogatepass"), np.uint32)
         at = np.r_[0, np.cumsum(1 + (points > 0x7F).astype(np.int64) + (points > 0x7FF) + (points > 0xFFFF))]  # from characters to bytes
         a, b = np.array(a_ids, np.int64), np.array(b_ids, np.int64)
         _, a_cut, b_cut = np.intersect1d(token_ends(at[a_spans], self.a_sizes[a]), token_ends(b_spans, self.b_sizes[b]), assume_unique=True, return_indices=True)
         pairs = (a[a_cut] * self.b_size + b[b_cut]).astype(self.pair).tobytes()
-        a_text, b_text = list(map(str, a_ids)), list(map(str, b_ids))
-        a_from, b_from = np.r_[0, a_cut + 1].tolist(), np.r_[0, b_cut + 1].tolist()
-        groups = [
-            f"{a_text[i]}|{b_text[k]}" if j - i == m - k == 1 else f"{','.join(a_text[i:j])}|{','.join(b_text[k:m])}"
-            for i, j, k, m in zip(a_from, a_from[1:], b_from, b_from[1:])
-        ]
+        a_from, b_from = np.r_[0, a_cut + 1], np.r_[0, b_cut + 1]
+        # the groups' tokens one after another, A's and then B's, with what follows each: the texts of all groups in a row
+        flat = np.empty(len(a) + len(b), np.int64)
+        flat[np.arange(len(a)) + np.repeat(b_from[:-1], np.diff(a_from))] = a
+        flat[np.arange(len(b)) + np.repeat(a_from[1:], np.diff(b_from))] = b + 2 * len(self.a_bytes)
+        flat[a_cut + b_from[:-1]] += len(self.a_bytes)
+        flat[b_cut + a_from[1:]] += self.b_size
+        texts = list(map(self.texts.__getitem__, flat.tolist()))
         # a stretch ends where the tokens of both have its last byte
         last = at[np.cumsum([len(s) + 1 for s in stretches])]
-        stops = np.searchsorted(np.cumsum(self.a_sizes[a])[a_cut], last) + 1
-        out, g, size = [], 0, self.pair.itemsize
-        for stop in stops.tolist():
-            out.append((";".join(groups[g:stop]), pairs[g * size : stop * size], a_from[stop] - a_from[g] + ((b_from[stop] - b_from[g]) << 32)))
-            g = stop
-        return out
+        stops = np.r_[0, np.searchsorted(np.cumsum(self.a_sizes[a])[a_cut], last) + 1]
+        tokens = np.diff(a_from[stops]) + (np.diff(b_from[stops]) << 32)
+        ends, bytes_at = (a_from[stops] + b_from[stops]).tolist(), (stops * self.pair.itemsize).tolist()
+        return [("".join(texts[f:t])[:-1], pairs[g:h], n) for f, t, g, h, n in zip(ends, ends[1:], bytes_at, bytes_at[1:], tokens.tolist())]
 
     def learn(self, stretches: set[str]) -> dict[str, tuple]:
         """Align stretches not met before; the short ones are remembered as far as they fit, which forgets all others."""
