@@ -135,3 +135,59 @@ def test_a_stretch_reads_its_pieces_once():
         assert (tokens & 0xFFFFFFFF, tokens >> 32) == (len(a), len(b))
         ends = [(int(x.split(",")[-1]), int(y.split(",")[-1])) for x, y in sides]
         assert [divmod(int(k), known.b_size) for k in np.frombuffer(pairs, known.pair)] == ends
+
+
+class Watched:
+    """Tokenizer B that keeps what it was given."""
+
+    def __init__(self, known):
+        self.b, self.texts = known.b, []
+
+    def encode(self, text, **how):
+        self.texts.append(text)
+        return self.b.encode(text, **how)
+
+
+def watched():
+    known = Aligner(A, B)
+    known.b = Watched(known)
+    return known, known.b.texts
+
+
+def is_brute(known, text):
+    na, nb, groups, _, _, pairs, times = align_text(known, text, {})
+    a, b, cuts = brute_text(text)
+    ends = dict((e, i) for i, e in a), dict((e, i) for i, e in b)
+    assert (na, nb, groups) == (len(a), len(b), len(cuts))
+    assert dict(zip(pairs.tolist(), times.tolist())) == Counter(ends[0][c] * ALIGNER.b_size + ends[1][c] for c in cuts)
+
+
+def test_stretches_met_again_outlive_a_full_memory(monkeypatch):
+    monkeypatch.setattr(alignment, "CACHE_BYTES", 40_000)
+    known, given = watched()
+    for n in range(40):
+        is_brute(known, "recurrent " + " ".join(f"w{n}x{i}" for i in range(20)))
+        assert known.held <= 20_000
+    assert sum("recurrent" in t for t in given) == 1
+
+
+def test_line_breaks_and_marks_part_stretches_met_before():
+    known, given = watched()
+    is_brute(known, "one two.\nthree")
+    before = len(given)
+    is_brute(known, "one.\nthree two")
+    assert len(given) == before
+
+
+@pytest.mark.parametrize("text", ["\nfoo bar\nfoo", "\n", "foo\n", "foo\n\nbar.\nbaz", "foo \nbar\n baz", "\n\nfoo bar", "a².\nb³, x'.", "foo\r\nbar", "foo\x1c\nbar", "foo\n▁ bar\nfoo", "foo\n▁", "it's.\n's", "x.y.\n.z"])
+def test_odd_line_breaks(text):
+    known = Aligner(A, B)
+    for t in (text, "foo bar " + text, text + " foo.", text):
+        is_brute(known, t)
+        assert align_text(known, t, {}, 3)[:5] == align_text(ALIGNER, t, {})[:5]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.sampled_from("ab1é²½日'.,#_…®\n\n\r\x85 \x1c  "), max_size=30))
+def test_line_breaks_and_marks_are_brute_force(text):
+    is_brute(ALIGNER, text)

@@ -8,6 +8,10 @@ tokens, the tokens' decoded bytes settle the ends.
 
 Neither tokenizer joins characters across one blank between two others, so a
 text is aligned stretch by stretch and stretches met before are remembered.
+So is a text with single line breaks between others, where no token of either
+goes on before or after a line break: a stretch begins with the break then.
+Marks at the end of a new stretch, such as a full stop, are aligned apart from
+the letters or digits before them, which may have been met without.
 Pairs are counted over the corpus by Spark. The most frequent pairs, a bounded
 number, are looked up from a broadcast; the rest is joined, so neither a hot
 pair nor a long list of rare ones meets in one task.
@@ -16,12 +20,14 @@ pair nor a long list of rare ones meets in one task.
 from __future__ import annotations
 
 import functools
+import gc
 import hashlib
+import operator
 import os
 import re
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain
+from itertools import batched, chain, compress, islice
 
 import numpy as np
 import pyarrow as pa
@@ -36,10 +42,18 @@ FREQUENT_PAIRS = 1 << 18
 # Bytes of remembered stretches per Python worker, about; longer stretches are not remembered.
 CACHE_BYTES = 200_000_000
 CACHE_CHARS = 64
+# Characters of new stretches that go through the tokenizers at once; many at once leave the processor's caches.
+ALIGNED_CHARS = 5_000
 # Characters of a text aligned at a time.
 WINDOW_CHARS = 1_000_000
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _ODD = re.compile(r" (?:(?<=\s )|(?=\s|$))")
+_ODD_BREAK = re.compile(r"(?<!\S)\n|\n(?!\S)")
+_CUT_LINES = re.compile(r"(?<=\S) (?=\S)|(?<=\S)(?=\n\S)")
+# Marks that A's pattern parts from letters and digits before them; an apostrophe may begin 's or 'll.
+MARKS = r"""!"#$%&()*+,./:;<=>?@[\]^_`{|}~-"""
+# Marks at an end that are remembered.
+MOST_MARKS = 10_000
 # What a stretch gives that a tokenizer does not give back byte by byte.
 _FAULTY: tuple = ()
 
@@ -84,25 +98,38 @@ class Aligner(dict):
         ]
         if any("▁" in self.b.id_to_piece(i).lstrip("▁") for i in range(self.b_size)):
             raise ValueError("tokenizer B has pieces that go on after a blank")
+        self.lines = not any(re.search(r"\S\n|\n\S", t.decode("utf-8", "replace")) for t in self.a_bytes + self.b_bytes)
         self.pair = np.dtype("<i4" if len(self.a_bytes) * self.b_size < 1 << 31 else "<i8")
         self.a_sizes, self.b_sizes = (np.array(list(map(len, table)), np.int64) for table in (self.a_bytes, self.b_bytes))
         # ids as text: of A before another and last in a group, of B likewise
         self.texts = [f"{i}{end}" for table, ends in ((self.a_bytes, ",|"), (self.b_bytes, ",;")) for end in ends for i in range(len(table))]
+        self.text_sizes = np.array(list(map(len, self.texts)), np.int64)
+        special = set(self.a.get_added_tokens_decoder())
+        tokens = [t for i, t in enumerate(self.a_bytes) if i not in special]
+        tokens += [t for i, t in enumerate(self.b_bytes) if not (self.b.is_control(i) or self.b.is_unknown(i))]
+        # letters and digits that a token of either joins with a mark
+        self.joined = {c for t in tokens for c in re.findall(rf"([^\W_])[{re.escape(MARKS)}]", t.decode("utf-8", "replace"))}
+        self.marks: dict[str, tuple] = {}
+        self.older: dict[str, tuple] = {}
         self.held = 0
 
-    def align(self, stretches: list[str]) -> list[tuple]:
-        """Stretches one after another, a blank before each, as both tokenizers see them."""
-        text = " ".join(stretches)
+    def align(self, stretches: list[str], between: str = " ") -> list[tuple]:
+        """Stretches one after another, a blank before each, as both tokenizers see them; or a line break, after a first that is left out."""
+        lead = between != " "
+        if lead:
+            stretches = ["x", *stretches]
+        text = between.join(stretches)
         raw = (" " + text).encode("utf-8", "surrogatepass")
         encoding, proto = self.a.encode(" " + text, add_special_tokens=False), self.b.encode(text, return_type="proto")
         # an attribute of a message is dear: each is read once
-        a_ids, pieces = encoding.ids, [(p.id, p.begin, p.end) for p in proto.pieces]
-        b_ids = [p[0] for p in pieces]
+        a_ids, pieces = encoding.ids, list(proto.pieces)
+        b_ids = [p.id for p in pieces]
         if b"".join(map(self.a_bytes.__getitem__, a_ids)) != raw or b"".join(map(self.b_bytes.__getitem__, b_ids)) != raw:
             # one stretch is at fault, if there are several: the others count
-            return [_FAULTY] if len(stretches) == 1 else [e for s in stretches for e in self.align([s])]
+            stretches = stretches[lead:]
+            return [_FAULTY] if len(stretches) == 1 else [e for s in stretches for e in self.align([s], between)]
         a_spans = np.fromiter(chain.from_iterable(encoding.offsets), np.int64, 2 * len(a_ids)).reshape(-1, 2)
-        b_spans = np.fromiter(chain.from_iterable(pieces), np.int64, 3 * len(pieces)).reshape(-1, 3)[:, 1:] + 1
+        b_spans = np.array([[p.begin for p in pieces], [p.end for p in pieces]], np.int64).T + 1
         points = np.frombuffer((" " + text).encode("utf-32-le", "surrogatepass"), np.uint32)
         at = np.r_[0, np.cumsum(1 + (points > 0x7F).astype(np.int64) + (points > 0x7FF) + (points > 0xFFFF))]  # from characters to bytes
         a, b = np.array(a_ids, np.int64), np.array(b_ids, np.int64)
@@ -115,31 +142,83 @@ class Aligner(dict):
         flat[np.arange(len(b)) + np.repeat(a_from[1:], np.diff(b_from))] = b + 2 * len(self.a_bytes)
         flat[a_cut + b_from[:-1]] += len(self.a_bytes)
         flat[b_cut + a_from[1:]] += self.b_size
-        texts = list(map(self.texts.__getitem__, flat.tolist()))
+        texts = "".join(map(self.texts.__getitem__, flat.tolist()))
+        starts = np.r_[0, np.cumsum(self.text_sizes[flat])]
         # a stretch ends where the tokens of both have its last byte
         last = at[np.cumsum([len(s) + 1 for s in stretches])]
         stops = np.r_[0, np.searchsorted(np.cumsum(self.a_sizes[a])[a_cut], last) + 1]
         tokens = np.diff(a_from[stops]) + (np.diff(b_from[stops]) << 32)
-        ends, bytes_at = (a_from[stops] + b_from[stops]).tolist(), (stops * self.pair.itemsize).tolist()
-        return [("".join(texts[f:t])[:-1], pairs[g:h], n) for f, t, g, h, n in zip(ends, ends[1:], bytes_at, bytes_at[1:], tokens.tolist())]
-
-    def learn(self, stretches: set[str]) -> dict[str, tuple]:
-        """Align stretches not met before; the short ones are remembered as far as they fit, which forgets all others."""
-        # blanks at an end would run together with those between stretches, and B reads a low line as a blank
-        plain = [s for s in stretches if s and not s[0].isspace() and not s[-1].isspace() and "▁" not in s]
-        out = {}
-        for a, b in pieces_of(plain, 20_000):
-            out.update(zip(plain[a:b], self.align(plain[a:b])))
-        for s in stretches - out.keys():
-            out[s] = self.align([s])[0]
-        for t, entry in out.items():
-            if len(t) <= CACHE_CHARS:
-                size = 350 + 2 * len(t) + (len(entry[0]) + len(entry[1]) if entry else 0)
-                if self.held + size > CACHE_BYTES:
-                    self.clear()
-                    self.held = 0
-                self[t] = entry
-                self.held += size
+        ends, bytes_at = starts[a_from[stops] + b_from[stops]].tolist(), (stops * self.pair.itemsize).tolist()
+        return [(texts[f : t - 1], pairs[g:h], n) for f, t, g, h, n in zip(ends, ends[1:], bytes_at, bytes_at[1:], tokens.tolist())][lead:]
+
+    def remember(self, keys: list[str], entries: list[tuple]) -> None:
+        """Keep the short ones. Where half the memory is full, what was kept before and is not met again is forgotten."""
+        if keys and max(map(len, keys)) > CACHE_CHARS:
+            short = [len(t) <= CACHE_CHARS for t in keys]
+            keys, entries = list(compress(keys, short)), list(compress(entries, short))
+        # pairs take less than the groups' text
+        size = 350 * len(keys) + 2 * sum(map(len, keys)) + 2 * sum(map(len, [e[0] for e in entries if e]))
+        if self.held + size > CACHE_BYTES // 2:
+            self.older = dict(self)
+            self.clear()
+            self.held = 0
+        if size <= CACHE_BYTES // 2:
+            self.update(zip(keys, entries))
+            self.held += size
+
+    def learn(self, stretches: set) -> dict[str, tuple]:
+        """Entries of stretches that are not at hand: met longer ago, or aligned, some thousand characters at a time; the short ones are remembered."""
+        out = {s: e for s in stretches if (e := self.older.get(s)) is not None} if self.older else {}
+        self.remember(list(out), list(out.values()))
+        new, cut = set(), {}
+        for s in stretches.difference(out):
+            if s.__class__ is tuple:
+                out[s] = self.align(list(s))[0]
+            elif s.isalnum():
+                new.add(s)
+            # blanks at an end would run together with those between stretches, and B reads a low line as a blank
+            elif not s or "▁" in s or s[s[0] == "\n" :] != s.strip():
+                out[s] = self.align([s[1:]], "\n")[0] if s[:1] == "\n" else self.align([s])[0]
+                self.remember([s], [out[s]])
+            else:
+                head = s.rstrip(MARKS)
+                if head and head != s and head[-1].isalnum() and head[-1] not in self.joined:
+                    cut[s] = head
+                else:
+                    new.add(s)
+        heads = {}
+        for head in set(cut.values()) - new:
+            entry = self.get(head) or out.get(head) or self.older.get(head)
+            if entry:
+                heads[head] = entry
+            else:
+                new.add(head)
+        plain, lines = [s for s in new if s[0] != "\n"], [s for s in new if s[0] == "\n"]
+        for some, between in ((plain, " "), (lines, "\n")):
+            for a, b in pieces_of(some, ALIGNED_CHARS):
+                entries = self.align(some[a:b] if between == " " else [s[1:] for s in some[a:b]], between)
+                out.update(zip(some[a:b], entries))
+                self.remember(some[a:b], entries)
+        marks = self.marks_after({s[len(head) :] for s, head in cut.items()})
+        for some in batched(cut.items(), 1000):
+            entries = []
+            for s, head in some:
+                e, f = heads.get(head) or out[head], marks[s[len(head) :]]
+                entries.append((e[0] + ";" + f[0], e[1] + f[1], e[2] + f[2]) if e and f else _FAULTY)
+            some = [s for s, _ in some]
+            out.update(zip(some, entries))
+            self.remember(some, entries)
+        return out
+
+    def marks_after(self, ends: set[str]) -> dict[str, tuple]:
+        """Entries of marks after a letter: what they add to it."""
+        out = {m: e for m in ends if (e := self.marks.get(m))}
+        for some in batched(ends.difference(out), 500):
+            x, *entries = self.align(["x", *["x" + m for m in some]])
+            out.update((m, (e[0][len(x[0]) + 1 :], e[1][len(x[1]) :], e[2] - x[2]) if x and e else _FAULTY) for m, e in zip(some, entries))
+        if len(self.marks) > MOST_MARKS:
+            self.marks.clear()
+        self.marks.update((m, e) for m, e in islice(out.items(), MOST_MARKS) if len(m) <= CACHE_CHARS)
         return out
 
 
@@ -158,28 +237,37 @@ def windows(text: str, most: int = WINDOW_CHARS) -> Iterator[str]:
     yield text[at:]
 
 
-def stretches_of(text: str) -> list[str]:
-    """The text cut at single blanks between other characters."""
-    return _CUT.split(text) if text[0] == " " or _ODD.search(text) else text.split(" ")
+def stretches_of(text: str, lines: bool = True) -> list:
+    """The text cut at single blanks between other characters, and before single line breaks if ``lines``; a break at its beginning is no such cut."""
+    odd = text[0] == " " or _ODD.search(text)
+    if not lines or "\n" not in text:
+        found = _CUT.split(text) if odd else text.split(" ")
+    elif odd or _ODD_BREAK.search(text):
+        found = _CUT_LINES.split(text)
+    else:
+        return text.replace("\n", " \n").split(" ")
+    return [(found[0],), *found[1:]] if text[0] == "\n" else found
 
 
-def align_text(known: Aligner, parts: Iterator[list[str]], fresh: dict) -> tuple:
-    """(tokens of A, tokens of B, groups, links, sha256 of the groups, distinct pairs, how often each) of a text, its stretches window by window."""
+def align_text(known: Aligner, parts: Iterator[list[str]], fresh: dict, met: list[tuple] | None = None) -> tuple:
+    """(tokens of A, tokens of B, groups, links, sha256 of the groups, distinct pairs, how often each) of a text, its stretches window by window.
+
+    ``met`` has the only window's entries as far as they were remembered.
+    """
     digest, counts, totals = hashlib.sha256(), [], 0
     for n, stretches in enumerate(parts):
-        entries = list(map(known.get, stretches))
-        if None in entries:
+        entries = list(map(known.get, stretches)) if met is None else met
+        if not all(entries):
             entries = [fresh.get(s) if e is None else e for s, e in zip(stretches, entries)]
         if None in entries:
             new = known.learn({s for s, e in zip(stretches, entries) if e is None})
             entries = [new[s] if e is None else e for s, e in zip(stretches, entries)]
-        if _FAULTY in entries:
+        if not all(entries):  # a faulty one
             counts = []
             break
-        groups, pairs, tokens = zip(*entries)
-        digest.update((";" if n else "").encode() + ";".join(groups).encode())
-        totals += sum(tokens)
-        counts.append(np.unique(np.frombuffer(b"".join(pairs), known.pair), return_counts=True))
+        digest.update((";" if n else "").encode() + ";".join([e[0] for e in entries]).encode())
+        totals += sum([e[2] for e in entries])
+        counts.append(np.unique(np.frombuffer(b"".join([e[1] for e in entries]), known.pair), return_counts=True))
     if not counts:
         none = np.zeros(0, known.pair)
         return 0, 0, 0, 0, "", none, none.astype(np.int64)
@@ -189,6 +277,20 @@ def align_text(known: Aligner, parts: Iterator[list[str]], fresh: dict) -> tuple
     return totals & 0xFFFFFFFF, totals >> 32, links, links, digest.hexdigest(), pairs, times
 
 
+def align_batch(known: Aligner, cut: list) -> list[tuple]:
+    """align_text of texts; what texts of one window have new is learned together."""
+    # some hundred thousand small tuples without cycles, which the collector would visit again and again
+    collects = gc.isenabled()
+    gc.disable()
+    try:
+        met = [list(map(known.get, parts[0])) if isinstance(parts, list) else None for parts in cut]
+        fresh = known.learn({s for parts, entries in zip(cut, met) if entries for s in compress(parts[0], map(operator.not_, entries))}.difference(known))
+        return [align_text(known, parts, fresh, entries) for parts, entries in zip(cut, met)]
+    finally:
+        if collects:
+            gc.enable()
+
+
 def aligned(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, groups_sha256, and the links as _pairs (id of A * size of B + id of B) with _times."""
     kind = dict(docs.dtypes)["doc_id"]
@@ -206,9 +308,8 @@ def aligned(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in pieces_of(texts):
                 # stretches that the shorter texts of a batch share are aligned once; a long text is cut window by window
-                cut = [[stretches_of(t)] if t and len(t) <= WINDOW_CHARS else map(stretches_of, windows(t)) if t else () for t in texts[a:b]]
-                fresh = known.learn({s for parts in cut if isinstance(parts, list) for s in parts[0]} - known.keys())
-                rows = [(i, *align_text(known, parts, fresh)) for i, parts in zip(ids[a:b], cut)]
+                cut = [[stretches_of(t, known.lines)] if t and len(t) <= WINDOW_CHARS else (stretches_of(w, known.lines) for w in windows(t)) if t else () for t in texts[a:b]]
+                rows = [(i, *row) for i, row in zip(ids[a:b], align_batch(known, cut))]
                 out = dict(zip(schema.names, zip(*rows)))
                 yield arrow_rows(out, schema)
 
