@@ -293,3 +293,52 @@ def test_las_files_are_many_to_a_task(spark, tmp_path):
     assert len(las) == 40 and all(t.startswith("~Version") and t.count("~A ") == 1 for t in texts)
     # tasks follow the rows, not the files or the users' ids
     assert len({f.name.split("-")[1] for f in las}) <= spark.sparkContext.defaultParallelism
+
+
+def test_las_files_read_whole_and_in_splits_give_the_same_lines(spark, tmp_path, monkeypatch):
+    import gzip
+
+    texts = {
+        "odd.las": b"\xef\xbb\xbflost\n~V\n VERS. 2.0 : \xe9\n\n~~W x~C\r\n GR. : g\rtail~Q\nlost~W \xff\n UWI. W1 : w\n~A\n1 2\n\n",
+        "empty.las": b"", "bare.las": b"no section\n", "blanks.las": b"\n~A\n\n\n", "a b%.las": b"~V\n VERS. 2.0 : v\n~A 1 2",
+        "p.las.gz": gzip.compress(b"~V\n VERS. 2.0 : v\n"),
+    }
+    for file, text in texts.items():
+        (tmp_path / file).write_bytes(text)
+    rows = lambda: sorted(tuple(map(str, r)) for r in L.scan_las(spark, str(tmp_path)).select("file", "section", "line_no", F.hex("line")).collect())
+    whole = rows()
+    monkeypatch.setattr(L, "WHOLE_BYTES", -1)
+    assert whole == rows() and len(whole) == 19
+    # some files either way
+    monkeypatch.setattr(L, "WHOLE_BYTES", 20)
+    assert whole == rows()
+    assert L.load_las(spark, str(tmp_path)).verdict.filter("reason IS NULL").count() == 3
+
+
+def test_many_las_files_are_read_once_in_few_tasks(spark, tmp_path, monkeypatch):
+    for i in range(400):
+        (tmp_path / f"{i}.las").write_text(f"~V\n VERS. 2.0 : v\n~W\n UWI. W{i} : w\n~C\n D. : d\n GR. : g\n~A\n1 {i}\n")
+    batch = L.load_las(spark, str(tmp_path))
+    # opened once: what follows does not need them any more
+    for i in range(400):
+        (tmp_path / f"{i}.las").write_text("~V\n")
+    assert batch.values().filter("uwi = concat('W', cast(measured_value AS int))").count() == 400
+    monkeypatch.setattr(L, "PARTS_PER_TASK", 5)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")
+    try:
+        files = L._listing(spark, str(tmp_path))
+        assert files.rdd.getNumPartitions() == 400 and L._many_to_a_task(files).rdd.getNumPartitions() == 80
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_las_fixture_is_the_same_on_any_file_system(spark, tmp_path, monkeypatch):
+    import treemend.catalog.files as C
+    from treemend.fixtures import Fixtures
+
+    events = ["id AS event_id", "if(id % 7 = 0, NULL, id % 40) AS user_id", "timestamp_seconds(id) AS ts", "if(id % 3 = 0, 'view', 'click') AS event_type", "cast(id AS double) AS value"]
+    spark.range(400).selectExpr(*events).write.parquet(str(tmp_path / "events.parquet"))
+    texts = lambda: sorted(f.read_text() for f in Path(C._las_folder(Fixtures(spark, str(tmp_path))).removeprefix("file:")).rglob("part-*"))
+    own = texts()
+    monkeypatch.setattr(C, "mounted_path", lambda spark, path: None)
+    assert own == texts() and len(own) == 41

@@ -1,18 +1,21 @@
 """CSV and LAS sources: S keys. The files are written from the driver tables first."""
 
+import os
+
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from treemend.catalog.registry import query
-from treemend.fixtures import Fixtures, duck_with
+from treemend.fixtures import VIEWS, Fixtures, duck_with
 from treemend.model import ReferenceDef
-from treemend.session import scratch_path
+from treemend.session import mounted_path, scratch_path
 from treemend.sources import csv_files as K
 from treemend.sources import las as L
 
 BIG = "bigint"
-# LAS files that one task writes.
-FILES_PER_TASK = 250
+# Events whose LAS files one task writes, about a thousand files.
+EVENTS_PER_TASK = 65_536
 
 
 def _csv(fx: Fixtures, df, label: str) -> str:
@@ -113,15 +116,49 @@ _GRID = """
     GROUP BY wkey, sample_id"""
 
 
+def _write_folders(folder: str):
+    """A task's rows (wkey, value) in order -> a file per key in a folder of its own; yields how many.
+
+    The rows of a key may span batches. A file gets its name once it is whole,
+    so an attempt that failed leaves none.
+    """
+
+    def write(batches):
+        task = TaskContext.get().partitionId()
+        home, n, at, file = f"{folder}/task={task:05d}", 0, None, None
+        held = f"{home}/_{TaskContext.get().taskAttemptId()}"
+
+        def close():
+            file.close()
+            os.replace(held, f"{home}/part-{task:05d}-{'null' if at is None else at}.las")
+
+        for batch in batches:
+            for key, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if file is None or key != at:
+                    if file is not None:
+                        close()
+                    os.makedirs(home, exist_ok=True)
+                    at, file, n = key, open(held, "w", encoding="utf-8", newline=""), n + 1
+                file.write(f"{value}\n")
+        if file is not None:
+            close()
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+
+    return write
+
+
 def _las_folder(fx: Fixtures) -> str:
-    grid = fx.spark.sql(_GRID, f_curve=fx["f_curve"])
+    # a user's events meet in one task, for all of what follows; tasks follow the rows, not the files
+    events = fx["events"]
+    tasks = max(fx.spark.sparkContext.defaultParallelism, events.count() // EVENTS_PER_TASK + 1)
+    curves = fx.spark.sql(VIEWS["f_curve"], events=events.repartition(tasks, "user_id"))
+    grid = fx.spark.sql(_GRID, f_curve=curves)
     token = lambda c: F.coalesce(F.col(c), F.lit("-999.25"))
     # rows divisible by 10 stop after the first curve: the missing columns repeat it
     row = F.concat(
         F.lit("  "), F.col("idx").cast("string"), F.lit("   "), token("c1"),
         F.when(F.col("sample_id") % 10 > 0, F.concat(F.lit("  "), token("c2"), F.lit(" "), token("c3"), F.lit("  "), token("c4"), F.lit("   "), token("c5"))).otherwise(""),
     )
-    body = grid.select("wkey", F.lit(1).alias("part"), "sample_id", row.alias("value")).where("value IS NOT NULL")
     k = F.col("wkey")
     ks = k.cast("string")
     uwi = F.concat(F.lit("W"), F.lpad(ks, 8, "0"))
@@ -138,12 +175,15 @@ def _las_folder(fx: Fixtures) -> str:
         F.lit("~Parameter Information\n MUD .  GEL : Mud: type\n# no parameter\n BHT .DEGC  "), ks, F.lit(" : Bottom hole\n"),
         F.lit("~A DEPT CLICK VIEW BUY SIGN ERR"),
     )
-    heads = fx["f_curve"].select("wkey").distinct().select("wkey", F.lit(0).alias("part"), F.lit(None).cast(grid.schema["sample_id"].dataType).alias("sample_id"), header.alias("value"))
+    # one file per user: its lines in order, a row each; the header stands before the first sample
+    value = F.when(F.col("sample_id") == 0, F.concat(F.coalesce(header, F.lit("")), F.lit("\n"), row)).otherwise(row)
+    lines = grid.select("wkey", "sample_id", value.alias("value")).sortWithinPartitions("wkey", "sample_id").select("wkey", "value")
     path = scratch_path(fx.spark, "las")
-    # one file per user: its lines in order, a row each. A task writes many files, so tasks and shuffled pieces follow the rows, not the files
-    tasks = max(fx.spark.sparkContext.defaultParallelism, heads.count() // FILES_PER_TASK + 1)
-    lines = heads.union(body).repartition(tasks, "wkey").sortWithinPartitions("wkey", "part", "sample_id")
-    lines.select("wkey", "value").write.partitionBy("wkey").text(path)
+    if mounted := mounted_path(fx.spark, path):
+        # Hadoop starts processes for the mode of every file it makes on such a file system
+        lines.mapInArrow(_write_folders(mounted), "n bigint").agg(F.sum("n")).collect()
+    else:
+        lines.write.partitionBy("wkey").text(path)
     return path
 
 

@@ -70,6 +70,13 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{run_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def mounted_path(spark: SparkSession, path: str) -> str | None:
+    """The path as any process sees it, where it is on a mounted file system; else none."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    uri = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getUri()
+    return folder.toUri().getPath() if uri.getScheme() == "file" else None
+
+
 # Folders that a task writes at a time; rows of further ones are sorted first.
 OPEN_WRITERS = 32
 _UNSORTED = {"spark.sql.maxConcurrentOutputFileWriters": str(OPEN_WRITERS), "spark.sql.optimizer.plannedWrite.enabled": "false"}
