@@ -342,3 +342,21 @@ def test_las_fixture_is_the_same_on_any_file_system(spark, tmp_path, monkeypatch
     own = texts()
     monkeypatch.setattr(C, "mounted_path", lambda spark, path: None)
     assert own == texts() and len(own) == 41
+
+
+def test_tables_from_files_read_each_file_once(spark, tmp_path):
+    from treemend.fixtures import ACCESS
+    from treemend.plans.files import tables_from_files
+
+    (tmp_path / "csv").mkdir()
+    (tmp_path / "las").mkdir()
+    wells = tmp_path / "csv" / "wells.csv"
+    wells.write_text("UWI,NAME\nW1,first\nW2,\nw1,last\n")
+    (tmp_path / "las" / "a.las").write_text(LAS.format(api="A1", leas=""))
+    tables = tables_from_files(spark, ACCESS, {"WellBore": (str(tmp_path / "csv"), "UWI=0; WELL_NAME=1")}, str(tmp_path / "las"))
+    # what came later into the folders is not read
+    wells.write_text("UWI,NAME\nX1,other\n")
+    (tmp_path / "las" / "a.las").write_text("~V\n")
+    assert sorted((r["UWI"], r["WELL_NAME"]) for r in tables["WELL"].collect()) == [("W2", None), ("w1", "last")]
+    assert sorted((r["UWI"], r["CURVE_ID"]) for r in tables["WELL_LOG_CURVE"].collect()) == [("A1", "GR"), ("A1", "RT")]
+    assert tables["WELL_LOG_CURVE_VALUE"].count() == 10

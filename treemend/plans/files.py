@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from treemend.functions.docs import complete
 from treemend.model import AccessDef
+from treemend.session import cut_lineage
 from treemend.sources.csv_files import dedupe_last, scan_csv
 from treemend.sources.las import load_las
 
@@ -23,16 +24,18 @@ def tables_from_files(
     """Tables by name: of each CSV type (folder, column mapping), one row per key, the last in file order; of LAS files the curves.
 
     ``las_types`` names the record types taken from the LAS files; their
-    samples come along. Columns a source lacks are empty.
+    samples come along. Columns a source lacks are empty. Each table is written
+    once: an index reads it several times, and reading and deduplicating the
+    files again costs more.
     """
     out = {}
     for name, (path, mapping) in csv.items():
         definition = access[name]
         rows = scan_csv(spark, path, mapping, definition.lengths, with_order=True, multiline=multiline)
-        out[definition.table] = complete(dedupe_last(rows, definition.keys), definition)
+        out[definition.table] = cut_lineage(complete(dedupe_last(rows, definition.keys), definition))
     if las:
         found = load_las(spark, las).tables()
         for name in las_types:
-            out[access[name].table] = complete(found[access[name].table], access[name])
-        out["WELL_LOG_CURVE_VALUE"] = found["WELL_LOG_CURVE_VALUE"]
+            out[access[name].table] = cut_lineage(complete(found[access[name].table], access[name]))
+        out["WELL_LOG_CURVE_VALUE"] = cut_lineage(found["WELL_LOG_CURVE_VALUE"])
     return out
